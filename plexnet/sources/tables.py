@@ -107,13 +107,26 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         lab = F.col("quality") if name == "D" else F.col("toxic")
         return examples_from_table(t, feats, lab, F.col("doc_id"))
     if name == "V":
-        t = table(spark, sf_dir, "events")
-        feats = [F.log1p(F.col("value")), F.hour(F.col("ts")) / 24.0]
-        lab = (F.col("event_type") == "purchase").cast("double")
-        return examples_from_table(t, feats, lab, F.col("event_id"))
+        return events_examples(table(spark, sf_dir, "events"))
     raise ValueError(f"unknown fixture {name!r}; known: {FIXTURE_NAMES}")
 
 
+def events_examples(events: DataFrame) -> DataFrame:
+    """Fixture V from an events DataFrame (batch or streaming)."""
+    feats = [F.log1p(F.col("value")), F.hour(F.col("ts")) / 24.0]
+    lab = (F.col("event_type") == "purchase").cast("double")
+    return examples_from_table(events, feats, lab, F.col("event_id"))
+
+
+def events_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """The events table read as a stream (file source; schema from the file)."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    r = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
+    if max_files:
+        r = r.option("maxFilesPerTrigger", int(max_files))
+    return r.parquet(sf_dir)
+
+
 def z_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture Z: one scalar per lineitem row for the activation functions."""
     t = table(spark, sf_dir, "lineitem")
