@@ -43,6 +43,52 @@ def md5_normal(*parts) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 
+def md5_bits(*parts) -> Column:
+    """The first 48 bits of md5 as a BIGINT (a per-row key, hashed once)."""
+    return F.conv(F.substring(md5_hex(*parts), 1, 12), 16, 10).cast("bigint")
+
+
+# ---------------------------------------------------------------------------
+# Per-epoch draws from a 48-bit row key without hashing every row again:
+# a bijective mix of the key with constants taken from md5(seed, epoch) on the
+# driver. Three multiply-add rounds on 24-bit halves; every product stays
+# below 2^48, so BIGINT never overflows (ANSI mode) and SQL repeats it exactly.
+# ---------------------------------------------------------------------------
+_M24 = 1 << 24
+_M48 = 1 << 48
+
+
+def epoch_constants(seed, epoch) -> tuple[int, int, int, int]:
+    import hashlib
+    h = hashlib.md5(f"{seed}|{epoch}".encode()).hexdigest()
+    c = int(h[0:12], 16)
+    a, b, d = (int(h[12 + 6 * i: 18 + 6 * i], 16) | 1 for i in range(3))
+    return c, a, b, d
+
+
+def mix_uniform(key: Column, seed, epoch) -> Column:
+    """Uniform in [0, 1) for (row key, seed, epoch)."""
+    c, a, b, d = epoch_constants(seed, epoch)
+    x = (key + F.lit(c)) % F.lit(_M48)
+    hi = F.shiftright(x, 24)
+    lo = x % F.lit(_M24)
+    lo = (lo * F.lit(a) + hi) % F.lit(_M24)
+    hi = (hi * F.lit(b) + lo) % F.lit(_M24)
+    lo = (lo * F.lit(d) + hi) % F.lit(_M24)
+    return (hi * F.lit(_M24) + lo).cast("double") / F.lit(TWO_POW_48)
+
+
+def sql_mix_uniform(key: str, seed, epoch) -> str:
+    c, a, b, d = epoch_constants(seed, epoch)
+    x = f"(({key} + {c}) % {_M48})"
+    hi = f"({x} // {_M24})"
+    lo = f"({x} % {_M24})"
+    lo1 = f"(({lo} * {a} + {hi}) % {_M24})"
+    hi1 = f"(({hi} * {b} + {lo1}) % {_M24})"
+    lo2 = f"(({lo1} * {d} + {hi1}) % {_M24})"
+    return f"(CAST({hi1} * {_M24} + {lo2} AS DOUBLE) / {TWO_POW_48!r})"
+
+
 def md5_id(*parts) -> Column:
     """Stable BIGINT row id from 60 bits of md5 of the given key columns."""
     return F.conv(F.substring(md5_hex(*parts), 1, 15), 16, 10).cast("bigint")

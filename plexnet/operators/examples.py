@@ -6,17 +6,28 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plexnet.functions.random import md5_uniform
+from plexnet.functions.random import md5_bits, mix_uniform
 from plexnet.sources.tables import split_column
 
 # Fixed value: online ("olGD") draws use the seed epoch + 10, as in the reference.
 ONLINE_SEED_OFFSET = 10
 
 
-def cache_examples(df: DataFrame) -> DataFrame:
+def cache_examples(df: DataFrame, batch_seed: int | None = None) -> DataFrame:
     """Persist only the columns the passes read; spills to disk instead of
-    failing, and lost blocks are recomputed from the Parquet lineage."""
-    return df.select("id", "features", "label", "split").persist(StorageLevel.MEMORY_AND_DISK)
+    failing, and lost blocks are recomputed from the Parquet lineage. With
+    ``batch_seed`` the per-row key of the mini-batch draws is hashed once
+    here, so epochs draw their batches with integer arithmetic only."""
+    from plexnet.operators.passes import balance
+    out = balance(df.select("id", "features", "label", "split"))
+    if batch_seed is not None:
+        out = out.withColumn("bkey", batch_key(int(batch_seed)))
+    return out.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def batch_key(seed: int) -> Column:
+    """48-bit row key of the mini-batch draws: md5 of (id, seed)."""
+    return md5_bits(F.col("id"), F.lit(int(seed)))
 
 
 def count_examples(df: DataFrame) -> DataFrame:
@@ -87,9 +98,11 @@ def batch_fraction(n_train: int, size: int) -> float:
     return min(1.0, float(size) / float(n_train)) if n_train > 0 else 0.0
 
 
-def in_batch(epoch: int, fraction: float, seed: int) -> Column:
-    """Bernoulli draw of the mini-batch of one epoch, per row id."""
-    return md5_uniform(F.col("id"), F.lit(int(seed)), F.lit(int(epoch))) < F.lit(float(fraction))
+def in_batch(epoch: int, fraction: float, seed: int, key: Column | None = None) -> Column:
+    """Bernoulli draw of the mini-batch of one epoch, per row: the row key
+    (``bkey`` of cached examples, else md5 of (id, seed)) mixed with the epoch."""
+    k = key if key is not None else batch_key(seed)
+    return mix_uniform(k, seed, epoch) < F.lit(float(fraction))
 
 
 def minibatch(df: DataFrame, epoch: int, n_train: int, size: int = 512, seed: int = 2332) -> DataFrame:
@@ -98,10 +111,11 @@ def minibatch(df: DataFrame, epoch: int, n_train: int, size: int = 512, seed: in
     return df.where((F.col("split") == "train") & in_batch(epoch, frac, seed))
 
 
-def online_pick(df: DataFrame, epoch: int, seed: int = 2332) -> DataFrame:
+def online_pick(df: DataFrame, epoch: int, seed: int = 2332, key: Column | None = None) -> DataFrame:
     """The one train example of an online epoch: the row with the smallest
-    md5 draw (a global min_by, no sort)."""
-    u = md5_uniform(F.col("id"), F.lit(int(seed)), F.lit(int(epoch) + ONLINE_SEED_OFFSET))
+    draw (a global min_by, no sort)."""
+    k = key if key is not None else batch_key(seed)
+    u = mix_uniform(k, seed, int(epoch) + ONLINE_SEED_OFFSET)
     return (df.where(F.col("split") == "train")
             .agg(F.min_by(F.col("id"), F.struct(u, F.col("id"))).alias("id")))
 

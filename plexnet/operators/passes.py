@@ -71,6 +71,17 @@ def specs_from_frames(params: DataFrame, models: DataFrame, **kw) -> list[NetSpe
     return specs_from_pandas(p, m, **kw)
 
 
+def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread an under-partitioned input (e.g. one Parquet row group read as
+    a single task) round-robin over the cluster's cores before the Python
+    stage. Inputs that already have at least that many partitions (any
+    large table) are left alone, so no shuffle is added at scale."""
+    if df.isStreaming:
+        return df
+    target = int(min_partitions or df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def _broadcast(spark, specs):
     ensure_importable(spark)
     return spark.sparkContext.broadcast(specs)
@@ -94,7 +105,7 @@ def sums_pass(examples: DataFrame, specs: list[NetSpec], train: Column | None =
     n_features = _width(examples, specs)
     bc = _broadcast(spark, specs)
     no = F.lit(False)
-    src = examples.select("features", "label",
+    src = balance(examples).select("features", "label",
                           (train if train is not None else no).alias("_t"),
                           (batch if batch is not None else no).alias("_b"),
                           (val if val is not None else no).alias("_v"))
@@ -126,7 +137,7 @@ def score(examples: DataFrame, params: DataFrame, models: DataFrame, what: str =
     def fn(batches):
         return score_kernel(batches, bc.value, n_features, what)
 
-    return examples.select("id", "features").mapInArrow(fn, SCORE_SCHEMA)
+    return balance(examples.select("id", "features")).mapInArrow(fn, SCORE_SCHEMA)
 
 
 def linear_layer(examples: DataFrame, params: DataFrame, models: DataFrame) -> DataFrame:

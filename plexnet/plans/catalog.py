@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plexnet.functions import activations as A
 from plexnet.functions.random import md5_normal
+from plexnet.functions.random import sql_mix_uniform as mix_sql
 from plexnet.operators import examples as E
 from plexnet.operators import params as P
 from plexnet.operators import passes as PS
@@ -568,7 +569,7 @@ def q_mean_gradient_velocity(spark, sf):
 
 @query("minibatch", lambda: _sql(
     [_ex_cte("L"), "n AS (SELECT count(*) AS n FROM ex WHERE split = 'train')"],
-    f"SELECT id FROM ex WHERE split = 'train' AND {Q.md5_uniform('id', Q.q('2332'), Q.q('3'))} < "
+    f"SELECT id FROM ex WHERE split = 'train' AND {mix_sql(Q.md5_bits('id', Q.q('2332')), 2332, 3)} < "
     f"least({Q.d(1.0)}, {Q.d(512.0)} / (SELECT n FROM n))"))
 def q_minibatch(spark, sf):
     ex = T.fixture(spark, sf, "L")
@@ -578,7 +579,7 @@ def q_minibatch(spark, sf):
 
 @query("online_example", lambda: _sql(
     [_ex_cte("L")],
-    f"SELECT id, label, split FROM ex WHERE id = (SELECT arg_min(id, ({Q.md5_uniform('id', Q.q('2332'), Q.q('10'))}, id)) "
+    f"SELECT id, label, split FROM ex WHERE id = (SELECT arg_min(id, ({mix_sql(Q.md5_bits('id', Q.q('2332')), 2332, 10)}, id)) "
     f"FROM ex WHERE split = 'train')"))
 def q_online_example(spark, sf):
     ex = T.fixture(spark, sf, "L")

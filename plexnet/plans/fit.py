@@ -189,7 +189,7 @@ def fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None,
         if mp[col].nunique() > 1:
             raise ValueError(f"models of one fit must share {col}; fit them separately")
     outputs_max = int(mp["outputs"].max())
-    ex = E.cache_examples(examples)
+    ex = E.cache_examples(examples, batch_seed=int(mp["batch_seed"].iloc[0]))
     # counts per split and widths in one job (it also fills the cache)
     stats = (ex.groupBy("split").agg(F.count(F.lit(1)).alias("n"),
                                      F.min(F.size("features")).alias("w0"),
@@ -264,10 +264,11 @@ def fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None,
         look = {m: mus[m] for m in active if mcfg.loc[m, "optimizer"] == "nesterov"}
         specs = _specs(states, mcfg, look)
         if online:
-            pick = E.online_pick(ex, t, seed).first()["id"]
+            pick = E.online_pick(ex, t, seed, key=F.col("bkey")).first()["id"]
             batch = is_train & (F.col("id") == F.lit(pick))
         else:
-            batch = is_train & (F.lit(True) if frac >= 1.0 else E.in_batch(t, frac, seed))
+            batch = is_train & (F.lit(True) if frac >= 1.0
+                                else E.in_batch(t, frac, seed, key=F.col("bkey")))
         sums = sums_pass(ex, specs, train=is_train, batch=batch,
                          val=is_val if (fuse and t > start) else None)
         if step == "driver":

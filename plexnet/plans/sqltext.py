@@ -35,6 +35,10 @@ def md5_uniform(*parts: str) -> str:
     return f"(CAST(('0x' || substr({md5_hex(*parts)}, 1, 12)) AS BIGINT) / {d(TWO_POW_48)})"
 
 
+def md5_bits(*parts: str) -> str:
+    return f"CAST(('0x' || substr({md5_hex(*parts)}, 1, 12)) AS BIGINT)"
+
+
 def md5_normal(*parts: str) -> str:
     u1 = f"({d(1.0)} - {md5_uniform(*parts, repr('a'))})"
     u2 = md5_uniform(*parts, repr("b"))

@@ -35,7 +35,13 @@ FIXTURE_NAMES = ("E", "E2", "ES", "D", "DT", "L", "LM", "V")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A source table. When the file gives fewer input partitions than the
+    cluster has cores (a single Parquet row group is read by one task), rows
+    are spread round-robin first, so the per-row projections after it (md5
+    ids, text shares, the network pass) run on all cores. Column pruning
+    still reaches the scan; large inputs are never reshuffled."""
+    from plexnet.operators.passes import balance
+    return balance(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def split_column(id_col: Column, val_fraction: float = VAL_FRACTION, seed=None) -> Column:
