@@ -39,8 +39,8 @@ def write_weights_text(params: DataFrame, path: str, activation="sigmoid", mode:
             .select("model_id", F.concat(
                 F.array_join(F.transform("sizes", lambda s: s.cast("string")), "_"), F.lit("_"),
                 F.coalesce(act, F.lit("sigmoid")), F.lit("\n"),
-                F.array_join(F.transform("_w", lambda w: w["theta"].cast("string")), "\n"),
-                F.lit("\n")).alias("value")))
+                F.array_join(F.transform("_w", lambda w: w["theta"].cast("string")), "\n")
+                ).alias("value")))
     text.write.mode(mode).partitionBy("model_id").text(path)
 
 
