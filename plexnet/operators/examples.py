@@ -18,8 +18,8 @@ def cache_examples(df: DataFrame, batch_seed: int | None = None) -> DataFrame:
     failing, and lost blocks are recomputed from the Parquet lineage. With
     ``batch_seed`` the per-row key of the mini-batch draws is hashed once
     here, so epochs draw their batches with integer arithmetic only."""
-    from plexnet.operators.passes import balance
-    out = balance(df.select("id", "features", "label", "split"))
+    from plexnet.operators.passes import bound_tasks
+    out = bound_tasks(df.select("id", "features", "label", "split"))
     if batch_seed is not None:
         out = out.withColumn("bkey", batch_key(int(batch_seed)))
     return out.persist(StorageLevel.MEMORY_AND_DISK)
@@ -30,6 +30,12 @@ def batch_key(seed: int) -> Column:
     return md5_bits(F.col("id"), F.lit(int(seed)))
 
 
+def split_stats(df: DataFrame, outputs: int) -> DataFrame:
+    """Per split in one job: rows, widths and the bad-row counts of
+    ``validate_examples`` (the training loop's only setup scan)."""
+    return validate_examples(df, outputs, by="split")
+
+
 def count_examples(df: DataFrame) -> DataFrame:
     """Rows per split in one aggregate."""
     return df.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
@@ -51,7 +57,7 @@ def feature_width_value(df: DataFrame) -> int:
     return int(r["max_width"])
 
 
-def validate_examples(df: DataFrame, outputs: int) -> DataFrame:
+def validate_examples(df: DataFrame, outputs: int, by: str | None = None) -> DataFrame:
     """Bad-row counts in one aggregate: null or empty features, null/NaN
     values, label outside the classes, non-integer class labels, NaN labels,
     and the width range (ragged when min != max)."""
@@ -63,7 +69,8 @@ def validate_examples(df: DataFrame, outputs: int) -> DataFrame:
     else:
         out_of_range = (lab != 0.0) & (lab != 1.0)
     non_int = lab != F.floor(lab)
-    return df.agg(
+    grouped = df.groupBy(by) if by else df
+    return grouped.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(feats.isNull() | (F.size(feats) == 0)).alias("null_features"),
         F.count_if(feats.isNotNull() & has_bad_value).alias("bad_values"),

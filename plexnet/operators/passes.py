@@ -82,6 +82,27 @@ def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
+# Map tasks per pass, as a multiple of the cluster's cores. Every map task of
+# a gradient pass emits one partial sum per weight, so the shuffle of a pass
+# is (tasks x weights) rows: bounding the tasks by the cores (not by the input
+# size) keeps it independent of the data volume.
+TASKS_PER_CORE = 2
+
+
+def bound_tasks(df: DataFrame, per_core: int = TASKS_PER_CORE) -> DataFrame:
+    """Between cores and ``per_core`` x cores partitions: round-robin spread
+    when there are fewer, a shuffle-free ``coalesce`` when there are more."""
+    if df.isStreaming:
+        return df
+    cores = int(df.sparkSession.sparkContext.defaultParallelism)
+    n = df.rdd.getNumPartitions()
+    if n < cores:
+        return df.repartition(cores)
+    if n > per_core * cores:
+        return df.coalesce(per_core * cores)
+    return df
+
+
 def _broadcast(spark, specs):
     ensure_importable(spark)
     return spark.sparkContext.broadcast(specs)
@@ -105,7 +126,7 @@ def sums_pass(examples: DataFrame, specs: list[NetSpec], train: Column | None =
     n_features = _width(examples, specs)
     bc = _broadcast(spark, specs)
     no = F.lit(False)
-    src = balance(examples).select("features", "label",
+    src = (bound_tasks(examples) if with_grads else balance(examples)).select("features", "label",
                           (train if train is not None else no).alias("_t"),
                           (batch if batch is not None else no).alias("_b"),
                           (val if val is not None else no).alias("_v"))

@@ -190,19 +190,17 @@ def fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None,
             raise ValueError(f"models of one fit must share {col}; fit them separately")
     outputs_max = int(mp["outputs"].max())
     ex = E.cache_examples(examples, batch_seed=int(mp["batch_seed"].iloc[0]))
-    # counts per split and widths in one job (it also fills the cache)
-    stats = (ex.groupBy("split").agg(F.count(F.lit(1)).alias("n"),
-                                     F.min(F.size("features")).alias("w0"),
-                                     F.max(F.size("features")).alias("w1")).collect())
+    # counts, widths and bad rows per split in one job (it also fills the cache)
+    stats = E.split_stats(ex, outputs_max).collect()
     counts = {r["split"]: int(r["n"]) for r in stats}
-    widths = {int(r["w0"]) for r in stats} | {int(r["w1"]) for r in stats}
+    widths = {int(r["min_width"]) for r in stats} | {int(r["max_width"]) for r in stats}
     if len(widths) != 1:
         raise ValueError(f"feature width differs between rows or splits: {sorted(widths)}")
     n_features = widths.pop()
-    bad = E.validate_examples(ex, outputs_max).first()
-    if bad["null_features"] or bad["bad_values"] or bad["bad_labels"] or bad["label_out_of_range"] \
-            or (outputs_max > 1 and bad["label_not_integer"]):
-        raise ValueError(f"bad examples: {bad.asDict()}")
+    for r in stats:
+        if r["null_features"] or r["bad_values"] or r["bad_labels"] or r["label_out_of_range"] \
+                or (outputs_max > 1 and r["label_not_integer"]):
+            raise ValueError(f"bad examples: {r.asDict()}")
     n_train = counts.get("train", 0)
     if n_train == 0:
         raise ValueError("no train rows")
