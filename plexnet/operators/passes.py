@@ -72,9 +72,11 @@ def specs_from_frames(params: DataFrame, models: DataFrame, **kw) -> list[NetSpe
 
 
 def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread an under-partitioned input (e.g. one Parquet row group read as
-    a single task) round-robin over the cluster's cores before the Python
-    stage. Inputs that already have at least that many partitions (any
+    """Spread an under-partitioned file scan (e.g. one Parquet row group read
+    as a single task) round-robin over the cluster's cores. Use it on a bare
+    scan only: counting partitions there lists files and runs no job (on a
+    plan with a shuffle, adaptive execution would have to run that shuffle
+    to count). Inputs that already have at least that many partitions (any
     large table) are left alone, so no shuffle is added at scale."""
     if df.isStreaming:
         return df
@@ -90,17 +92,12 @@ TASKS_PER_CORE = 2
 
 
 def bound_tasks(df: DataFrame, per_core: int = TASKS_PER_CORE) -> DataFrame:
-    """Between cores and ``per_core`` x cores partitions: round-robin spread
-    when there are fewer, a shuffle-free ``coalesce`` when there are more."""
+    """At most ``per_core`` x cores partitions, merged without a shuffle
+    (``coalesce`` never raises the count, so no partition count is needed)."""
     if df.isStreaming:
         return df
     cores = int(df.sparkSession.sparkContext.defaultParallelism)
-    n = df.rdd.getNumPartitions()
-    if n < cores:
-        return df.repartition(cores)
-    if n > per_core * cores:
-        return df.coalesce(per_core * cores)
-    return df
+    return df.coalesce(per_core * cores)
 
 
 def _broadcast(spark, specs):
@@ -126,7 +123,7 @@ def sums_pass(examples: DataFrame, specs: list[NetSpec], train: Column | None =
     n_features = _width(examples, specs)
     bc = _broadcast(spark, specs)
     no = F.lit(False)
-    src = (bound_tasks(examples) if with_grads else balance(examples)).select("features", "label",
+    src = (bound_tasks(examples) if with_grads else examples).select("features", "label",
                           (train if train is not None else no).alias("_t"),
                           (batch if batch is not None else no).alias("_b"),
                           (val if val is not None else no).alias("_v"))
@@ -158,7 +155,7 @@ def score(examples: DataFrame, params: DataFrame, models: DataFrame, what: str =
     def fn(batches):
         return score_kernel(batches, bc.value, n_features, what)
 
-    return balance(examples.select("id", "features")).mapInArrow(fn, SCORE_SCHEMA)
+    return examples.select("id", "features").mapInArrow(fn, SCORE_SCHEMA)
 
 
 def linear_layer(examples: DataFrame, params: DataFrame, models: DataFrame) -> DataFrame:

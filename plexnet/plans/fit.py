@@ -23,6 +23,7 @@ written to the shared checkpoint folder and ``resume_from`` restarts there.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,6 +45,7 @@ PARAMS_SCHEMA = ("model_id string, layer int, row int, col int, theta double, "
 HISTORY_SCHEMA = ("model_id string, epoch int, cost_train double, cost_val double, "
                   "acc_val double, sqe_val double")
 SORT = ["model_id", "layer", "row", "col"]
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -178,9 +180,12 @@ def _specs(states: dict, mcfg: pd.DataFrame, lookahead_mu: dict) -> list[NetSpec
 def fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None,
         warm: str = "RND", full_batch: bool = False, fuse: bool = True, step: str = "driver",
         checkpoint_every: int = 0, run_dir: str | None = None,
-        initial_params: DataFrame | None = None, resume_from: str | None = None) -> FitResult:
+        initial_params: DataFrame | None = None, resume_from: str | None = None,
+        timings: list | None = None) -> FitResult:
     """Train every model of ``models`` on ``examples`` (id, features, label,
-    split). Returns last and best parameters, history and summary tables."""
+    split). Returns last and best parameters, history and summary tables.
+    ``timings``, when given, receives the wall seconds of every epoch."""
+    import time
     if step not in ("driver", "dataframe"):
         raise ValueError("step must be 'driver' or 'dataframe'")
     spark = examples.sparkSession
@@ -191,7 +196,9 @@ def fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None,
     outputs_max = int(mp["outputs"].max())
     ex = E.cache_examples(examples, batch_seed=int(mp["batch_seed"].iloc[0]))
     # counts, widths and bad rows per split in one job (it also fills the cache)
+    t0 = time.perf_counter()
     stats = E.split_stats(ex, outputs_max).collect()
+    log.info("setup: cache fill and checks %.2fs", time.perf_counter() - t0)
     counts = {r["split"]: int(r["n"]) for r in stats}
     widths = {int(r["min_width"]) for r in stats} | {int(r["max_width"]) for r in stats}
     if len(widths) != 1:
@@ -218,7 +225,9 @@ def fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None,
         p0 = init_params(models, n_features)
         if stored is not None and warm != "RND":
             p0 = warm_start(p0, stored, warm)
+    t0 = time.perf_counter()
     states = states_from_pandas(p0.select(*PARAMS_COLS).toPandas())
+    log.info("setup: initial parameters %.2fs", time.perf_counter() - t0)
 
     mcfg = mp.set_index("model_id")
     epochs = mcfg["epochs"].astype(int).to_dict()
@@ -250,6 +259,7 @@ def fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None,
         pending.clear()
 
     for t in range(start, t_max + 1):
+        t_start = time.perf_counter()
         active = [m for m in epochs if t < epochs[m]]
         mus = {m: momentum_value(t, float(mcfg.loc[m, "itert"]), float(mcfg.loc[m, "maxmu"]))
                for m in epochs}
@@ -303,6 +313,9 @@ def fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None,
         if checkpoint_every and (t + 1) % checkpoint_every == 0:
             _params_df(spark, states_to_pandas(states)).write.mode("overwrite") \
                 .parquet(f"{run_dir}/params/epoch={t + 1}")
+        log.info("epoch %d: %.2fs", t, time.perf_counter() - t_start)
+        if timings is not None:
+            timings.append(time.perf_counter() - t_start)
 
     ex.unpersist()
     history = spark.createDataFrame(
