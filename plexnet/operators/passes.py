@@ -20,9 +20,11 @@ from plexnet.operators.kernel import (N_SCALARS, SCALAR_NAMES, SUMS_SCHEMA, NetS
                                       score_kernel, sums_kernel)
 from plexnet.shipping import ensure_importable
 
-# Weights of all models of one pass must fit a broadcast: the bound is
-# (sum of weights over models) x 8 bytes, known from the architecture before
-# anything is shipped. Larger grids are split into several passes by the caller.
+# The weights shipped with one pass must fit a broadcast: their size is
+# (sum of weights over models) x 8 bytes (twice for Nesterov look-ahead
+# weights), known from the architecture before anything is shipped. A grid
+# over the bound is split into groups, one scan per group (``group_specs``);
+# only a single model over the bound is refused.
 MAX_BROADCAST_BYTES = 1 << 30
 
 SCORE_SCHEMA = "id bigint, model_id string, p array<double>"
@@ -32,10 +34,6 @@ def specs_from_pandas(params_pdf: pd.DataFrame, models_pdf: pd.DataFrame,
                       value: str = "theta", lookahead_mu: dict | None = None) -> list[NetSpec]:
     """Dense weight matrices per model from a parameter table on the driver
     (parameter sized; the size is checked before it is broadcast)."""
-    total = len(params_pdf) * 8 * (2 if lookahead_mu else 1)
-    if total > MAX_BROADCAST_BYTES:
-        raise ValueError(f"weights of this grid take {total} bytes, over the broadcast bound "
-                         f"{MAX_BROADCAST_BYTES}; train the grid in smaller groups")
     cfg = models_pdf.set_index("model_id")
     specs = []
     for mid, g in params_pdf.groupby("model_id", sort=True):
@@ -71,6 +69,37 @@ def specs_from_frames(params: DataFrame, models: DataFrame, **kw) -> list[NetSpe
     return specs_from_pandas(p, m, **kw)
 
 
+def spec_bytes(spec: NetSpec) -> int:
+    n = sum(int(w.size) for w in spec.weights)
+    return 8 * n * (2 if spec.lookahead is not None else 1)
+
+
+def group_specs(specs: list[NetSpec], max_bytes: int | None = None) -> list[list[NetSpec]]:
+    """Models in groups whose weights fit one broadcast (first fit, in order)."""
+    bound = int(max_bytes or MAX_BROADCAST_BYTES)
+    groups, cur, size = [], [], 0
+    for s in specs:
+        b = spec_bytes(s)
+        if b > bound:
+            raise ValueError(f"model {s.model_id} has {b} bytes of weights, over the broadcast "
+                             f"bound {bound}")
+        if cur and size + b > bound:
+            groups.append(cur)
+            cur, size = [], 0
+        cur.append(s)
+        size += b
+    if cur:
+        groups.append(cur)
+    return groups
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Spread an under-partitioned file scan (e.g. one Parquet row group read
     as a single task) round-robin over the cluster's cores. Use it on a bare
@@ -119,6 +148,9 @@ def sums_pass(examples: DataFrame, specs: list[NetSpec], train: Column | None =
     where ``batch`` holds, costs of ``train`` rows and metrics of ``val`` rows.
     Returns (model_id, layer, row, col, value); layer -1 rows are the scalar
     sums named in ``kernel.SCALAR_NAMES``."""
+    groups = group_specs(specs)
+    if len(groups) > 1:
+        return _union([sums_pass(examples, g, train, batch, val, with_grads) for g in groups])
     spark = examples.sparkSession
     n_features = _width(examples, specs)
     bc = _broadcast(spark, specs)
@@ -148,6 +180,9 @@ def score(examples: DataFrame, params: DataFrame, models: DataFrame, what: str =
     """(id, model_id, p ARRAY<DOUBLE>) for every example and model. Works on
     streaming DataFrames too (mapInArrow is a narrow, stateless operator)."""
     specs = specs if specs is not None else specs_from_frames(params, models)
+    groups = group_specs(specs)
+    if len(groups) > 1:
+        return _union([score(examples, params, models, what, g) for g in groups])
     spark = examples.sparkSession
     n_features = _width(examples, specs)
     bc = _broadcast(spark, specs)

@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 from plexnet.operators import examples as E
 from plexnet.operators.kernel import SCALAR_NAMES, NetSpec
 from plexnet.operators.params import PARAMS_COLS, init_params, warm_start
-from plexnet.operators.passes import MAX_BROADCAST_BYTES, scalars_wide, sums_pass
+from plexnet.operators.passes import scalars_wide, sums_pass
 from plexnet.operators.steps import CLIP_THRESHOLD, momentum_value, optimizer_step
 from plexnet.session import scratch_path
 
@@ -163,10 +163,7 @@ def best_epoch(history: DataFrame) -> DataFrame:
 
 
 def _specs(states: dict, mcfg: pd.DataFrame, lookahead_mu: dict) -> list[NetSpec]:
-    total = sum(sum(w.size for w in st.theta) for st in states.values()) * 8
-    if total * (2 if lookahead_mu else 1) > MAX_BROADCAST_BYTES:
-        raise ValueError(f"weights of this grid take {total} bytes, over the broadcast bound")
-    specs = []
+    specs = []   # grouped under the broadcast bound by sums_pass
     for mid, st in sorted(states.items()):
         c = mcfg.loc[mid]
         la = None

@@ -133,3 +133,17 @@ def test_xor_needs_hidden_layer(spark):
     m = single_model(spark, "x", hidden="6", activation="tanh", rate=0.5, epochs=60, init="xuniform")
     h = _h(fit(ex, m, full_batch=True))
     assert h.cost_val.iloc[-1] < h.cost_val.iloc[0] * 0.8
+
+
+def test_grid_over_broadcast_bound_is_split(spark, L, monkeypatch):
+    from plexnet.operators import passes
+    m = model_grid(spark, "4-3,3", "0.5", epochs=2)
+    whole = _p(fit(L, m))
+    monkeypatch.setattr(passes, "MAX_BROADCAST_BYTES", 8 * 40)   # one model per group
+    assert len(passes.group_specs(passes.specs_from_frames(P.init_params(m, 4), m))) == 2
+    split = _p(fit(L, m))
+    assert np.allclose(whole[["theta", "velocity"]].values, split[["theta", "velocity"]].values,
+                       rtol=1e-12, atol=1e-14)
+    monkeypatch.setattr(passes, "MAX_BROADCAST_BYTES", 8)
+    with pytest.raises(ValueError, match="broadcast"):
+        fit(L, m)
