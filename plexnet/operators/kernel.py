@@ -27,6 +27,14 @@ SCALAR_NAMES = ("train_cost", "train_n", "batch_n", "val_cost", "val_n", "val_co
 
 SUMS_SCHEMA = "model_id string, layer int, row int, col int, value double"
 
+# Block layout: the flat gradient of a model (layers in order, row-major) in
+# blocks of BLOCK values, one double column per value, so a plain
+# sum-per-column aggregate merges the blocks (64x fewer shuffle rows than one
+# row per weight). Block -1 holds the scalar sums in its first columns.
+BLOCK = 64
+BLOCK_COLS = [f"v{i}" for i in range(BLOCK)]
+BLOCKS_SCHEMA = "model_id string, block int, " + ", ".join(f"{c} double" for c in BLOCK_COLS)
+
 
 @dataclass
 class NetSpec:
@@ -182,11 +190,30 @@ def _accumulate(spec: NetSpec, acc: _Acc, x, y, t, b, v):
             ga += g
 
 
-def sums_kernel(batches, specs, n_features: int, with_grads: bool = True):
+def _emit_blocks(spec: NetSpec, acc: "_Acc"):
+    parts = [acc.scalars]
+    if acc.grads is not None and acc.scalars[S_BATCH_N] > 0:
+        flat = np.concatenate([g.ravel() for g in acc.grads])
+        nb = -(-len(flat) // BLOCK)
+        mat = np.zeros((nb + 1, BLOCK))
+        mat[0, :N_SCALARS] = acc.scalars
+        mat[1:].ravel()[:len(flat)] = flat
+        ids = np.arange(-1, nb, dtype=np.int32)
+    else:
+        mat = np.zeros((1, BLOCK))
+        mat[0, :N_SCALARS] = parts[0]
+        ids = np.array([-1], dtype=np.int32)
+    cols = [pa.array(np.full(len(ids), spec.model_id, dtype=object), pa.string()), pa.array(ids)]
+    cols += [pa.array(np.ascontiguousarray(mat[:, i])) for i in range(BLOCK)]
+    return pa.RecordBatch.from_arrays(cols, names=["model_id", "block"] + BLOCK_COLS)
+
+
+def sums_kernel(batches, specs, n_features: int, with_grads: bool = True, layout: str = "keyed"):
     """mapInArrow body: partial sums of one task (all models), emitted once.
 
     Input columns: features, label, and the row flags _t (train cost),
-    _b (mini-batch gradient) and _v (validation metrics)."""
+    _b (mini-batch gradient) and _v (validation metrics). ``layout`` is
+    "keyed" (one row per weight) or "blocks" (see BLOCK)."""
     accs = None
     for rb in batches:
         n = rb.num_rows
@@ -201,6 +228,10 @@ def sums_kernel(batches, specs, n_features: int, with_grads: bool = True):
             _accumulate(spec, acc, x, y, t, b, v)
     if accs is None:
         return
+    if layout == "blocks":
+        for spec, acc in zip(specs, accs):
+            yield _emit_blocks(spec, acc)
+        return
     for spec, acc in zip(specs, accs):
         parts_l, parts_r, parts_c, parts_v = [], [], [], []
         if acc.grads is not None and acc.scalars[S_BATCH_N] > 0:

@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plexnet.operators.kernel import (N_SCALARS, SCALAR_NAMES, SUMS_SCHEMA, NetSpec,
-                                      score_kernel, sums_kernel)
+from plexnet.operators.kernel import (BLOCK_COLS, BLOCKS_SCHEMA, N_SCALARS, SCALAR_NAMES,
+                                      SUMS_SCHEMA, NetSpec, score_kernel, sums_kernel)
 from plexnet.shipping import ensure_importable
 
 # The weights shipped with one pass must fit a broadcast: their size is
@@ -143,14 +143,16 @@ def _width(examples: DataFrame, specs: list[NetSpec]) -> int:
 
 def sums_pass(examples: DataFrame, specs: list[NetSpec], train: Column | None = None,
               batch: Column | None = None, val: Column | None = None,
-              with_grads: bool = True) -> DataFrame:
+              with_grads: bool = True, layout: str = "keyed") -> DataFrame:
     """One scan of ``examples`` for all models: gradient sums of the rows
     where ``batch`` holds, costs of ``train`` rows and metrics of ``val`` rows.
     Returns (model_id, layer, row, col, value); layer -1 rows are the scalar
-    sums named in ``kernel.SCALAR_NAMES``."""
+    sums named in ``kernel.SCALAR_NAMES``. With ``layout="blocks"`` it returns
+    (model_id, block, v0..v63) instead: the same sums, 64 to a row (what the
+    training loop reads)."""
     groups = group_specs(specs)
     if len(groups) > 1:
-        return _union([sums_pass(examples, g, train, batch, val, with_grads) for g in groups])
+        return _union([sums_pass(examples, g, train, batch, val, with_grads, layout) for g in groups])
     spark = examples.sparkSession
     n_features = _width(examples, specs)
     bc = _broadcast(spark, specs)
@@ -161,8 +163,11 @@ def sums_pass(examples: DataFrame, specs: list[NetSpec], train: Column | None =
                           (val if val is not None else no).alias("_v"))
 
     def fn(batches):
-        return sums_kernel(batches, bc.value, n_features, with_grads)
+        return sums_kernel(batches, bc.value, n_features, with_grads, layout)
 
+    if layout == "blocks":
+        return (src.mapInArrow(fn, BLOCKS_SCHEMA).groupBy("model_id", "block")
+                .agg(*[F.sum(c).alias(c) for c in BLOCK_COLS]))
     return (src.mapInArrow(fn, SUMS_SCHEMA)
             .groupBy("model_id", "layer", "row", "col")
             .agg(F.sum("value").alias("value")))

@@ -121,6 +121,32 @@ def grads_from_sums(sums_pdf: pd.DataFrame, states: dict) -> tuple[dict, pd.Data
     return grads, wide
 
 
+def grads_from_blocks(blocks_pdf: pd.DataFrame, states: dict) -> tuple[dict, pd.DataFrame]:
+    """Gradient-sum matrices per model and the wide scalar table from the
+    block layout of a pass (``sums_pass(layout="blocks")``)."""
+    from plexnet.operators.kernel import BLOCK_COLS, N_SCALARS
+    grads, scal = {}, {}
+    for mid, st in states.items():
+        grads[mid] = [np.zeros_like(w) for w in st.theta]
+        scal[mid] = np.zeros(N_SCALARS)
+    for mid, g in blocks_pdf.groupby("model_id", sort=False):
+        if mid not in grads:
+            continue
+        g = g.sort_values("block")
+        sc = g[g["block"] == -1]
+        if len(sc):
+            scal[mid] = sc[BLOCK_COLS].to_numpy()[0, :N_SCALARS]
+        body = g[g["block"] >= 0]
+        if len(body):
+            flat = body[BLOCK_COLS].to_numpy().ravel()
+            off = 0
+            for l, w in enumerate(grads[mid]):
+                grads[mid][l] = flat[off:off + w.size].reshape(w.shape).copy()
+                off += w.size
+    wide = pd.DataFrame.from_dict(scal, orient="index", columns=list(SCALAR_NAMES))
+    return grads, wide
+
+
 def numpy_step(st: NetState, gsum: list, m: float, n_train: float, cfg, mu: float) -> NetState:
     """The update rule of ``operators.steps`` on one model's matrices."""
     if not m or m <= 0:
@@ -262,8 +288,9 @@ def fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None,
                for m in epochs}
         if t == t_max:
             if fuse and pending:   # validation of the last weights
-                vs = sums_pass(ex, _specs(states, mcfg, {}), val=is_val, with_grads=False)
-                _, vals = grads_from_sums(vs.toPandas(), states)
+                vs = sums_pass(ex, _specs(states, mcfg, {}), val=is_val, with_grads=False,
+                               layout="blocks")
+                _, vals = grads_from_blocks(vs.toPandas(), states)
                 close_epoch(vals, states)
             break
         look = {m: mus[m] for m in active if mcfg.loc[m, "optimizer"] == "nesterov"}
@@ -274,10 +301,10 @@ def fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None,
         else:
             batch = is_train & (F.lit(True) if frac >= 1.0
                                 else E.in_batch(t, frac, seed, key=F.col("bkey")))
-        sums = sums_pass(ex, specs, train=is_train, batch=batch,
-                         val=is_val if (fuse and t > start) else None)
+        val_flag = is_val if (fuse and t > start) else None
         if step == "driver":
-            grads, sc = grads_from_sums(sums.toPandas(), states)
+            sums = sums_pass(ex, specs, train=is_train, batch=batch, val=val_flag, layout="blocks")
+            grads, sc = grads_from_blocks(sums.toPandas(), states)
             new_states = {}
             for m, st in states.items():
                 if m in active:
@@ -287,6 +314,7 @@ def fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None,
                     new_states[m] = st
         else:
             # the pass output is read by several branches of the step plan
+            sums = sums_pass(ex, specs, train=is_train, batch=batch, val=val_flag)
             sums = sums.persist(StorageLevel.MEMORY_AND_DISK)
             out = optimizer_step(_params_df(spark, states_to_pandas(states)), sums, models, t,
                                  scalars_wide(sums)).toPandas()
@@ -304,8 +332,9 @@ def fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None,
                               + float(mcfg.loc[m, "lmbda"]) / 2.0 * sq)
         states = new_states
         if not fuse:
-            vs = sums_pass(ex, _specs(states, mcfg, {}), val=is_val, with_grads=False)
-            _, vals = grads_from_sums(vs.toPandas(), states)
+            vs = sums_pass(ex, _specs(states, mcfg, {}), val=is_val, with_grads=False,
+                           layout="blocks")
+            _, vals = grads_from_blocks(vs.toPandas(), states)
             close_epoch(vals, states)
         if checkpoint_every and (t + 1) % checkpoint_every == 0:
             _params_df(spark, states_to_pandas(states)).write.mode("overwrite") \

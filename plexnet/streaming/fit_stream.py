@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from plexnet.operators.params import PARAMS_COLS
 from plexnet.operators.passes import score, sums_pass
 from plexnet.operators.steps import momentum_value
-from plexnet.plans.fit import (_params_df, _specs, grads_from_sums, numpy_step, states_from_pandas,
+from plexnet.plans.fit import (_params_df, _specs, grads_from_blocks, numpy_step, states_from_pandas,
                                states_to_pandas)
 from plexnet.session import scratch_path
 
@@ -66,8 +66,9 @@ def fit_stream(stream: DataFrame, models: DataFrame, initial_params: DataFrame,
         look = {m: momentum_value(batch_id, float(mcfg.loc[m, "itert"]), float(mcfg.loc[m, "maxmu"]))
                 for m in states if mcfg.loc[m, "optimizer"] == "nesterov"}
         specs = _specs(states, mcfg, look)
-        sums = sums_pass(batch_df.select("features", "label"), specs, train=F.lit(True), batch=F.lit(True))
-        grads, sc = grads_from_sums(sums.toPandas(), states)
+        sums = sums_pass(batch_df.select("features", "label"), specs, train=F.lit(True), batch=F.lit(True),
+                         layout="blocks")
+        grads, sc = grads_from_blocks(sums.toPandas(), states)
         new = {}
         for m, st in states.items():
             if m not in sc.index:          # empty micro-batch

@@ -111,3 +111,22 @@ def test_log_softmax_matches_log_of_softmax():
     z = np.array([[1.0, 2.0, 3.0], [-700.0, 0.0, 700.0]])
     assert np.allclose(A.np_log_softmax(z)[0], np.log(A.np_softmax(z)[0]))
     assert np.isfinite(A.np_log_softmax(z)).all()
+
+
+def test_block_layout_equals_keyed_layout():
+    rng = np.random.default_rng(3)
+    sizes = [3, 40, 7, 2]          # 160 + 287 + 16 weights: several blocks, last one padded
+    weights = [rng.normal(0, 0.5, (sizes[i] + 1, sizes[i + 1])) for i in range(3)]
+    x = rng.normal(0, 1, (50, 3))
+    y = rng.integers(0, 2, 50).astype(float)
+    spec = K.NetSpec("m", weights, "tanh", True)
+    keyed = pa.Table.from_batches(list(K.sums_kernel(iter([_batch(x, y)]), [spec], 3))).to_pandas()
+    blocks = pa.Table.from_batches(
+        list(K.sums_kernel(iter([_batch(x, y)]), [spec], 3, layout="blocks"))).to_pandas()
+    from plexnet.plans.fit import NetState, grads_from_blocks
+    st = {"m": NetState(weights, [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights])}
+    grads, sc = grads_from_blocks(blocks, st)
+    for r in keyed[keyed.layer >= 0].itertuples():
+        assert grads["m"][r.layer][r.row, r.col] == r.value
+    ks = keyed[keyed.layer == -1].set_index("row")["value"]
+    assert list(sc.loc["m"].values) == list(ks.sort_index().values)
