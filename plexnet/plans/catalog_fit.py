@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from plexnet.operators import diagnose as D
 from plexnet.operators import params as P
 from plexnet.operators.examples import feature_width_value
+from plexnet.functions.random import sql_mix_uniform as mix_sql
 from plexnet.plans import sqltext as Q
 from plexnet.plans.catalog import (NET_FIT_E, NET_FIT_L, NET_FIT_N, NET_LV, _models, query, r6)
 from plexnet.plans.fit import best_epoch, fit
@@ -22,17 +23,26 @@ FIT_EPOCHS = 2
 HIST_EPOCHS = 3
 
 
-def _fit_ctes(net: Q.Net, epochs: int, ex_train: str = "extr") -> tuple[list[str], list[str]]:
-    """CTEs of ``epochs`` full-batch epochs; returns (ctes, parameter tables
-    P_0 .. P_epochs)."""
+def _fit_ctes(net: Q.Net, epochs: int, ex_train: str = "extr",
+              minibatch: tuple[int, int] | None = None) -> tuple[list[str], list[str]]:
+    """CTEs of ``epochs`` epochs, full batch or, with ``minibatch=(size,
+    seed)``, on the rows drawn for each epoch; returns (ctes, parameter
+    tables P_0 .. P_epochs)."""
     tag = net.model_id.lower()
     p0 = f"p_{tag}_0"
     ctes = [f"{p0} AS MATERIALIZED ({Q.init_params(net)})"]
     names = [p0]
     for t in range(epochs):
         pre = f"{tag}_t{t}_"
-        bc, gs = Q.backprop_ctes(net, ex_train, names[-1], pre)
-        mc, mg = Q.mean_gradient_ctes(net, names[-1], gs, f"(SELECT count(*) FROM {ex_train})", pre)
+        batch = ex_train
+        if minibatch is not None:
+            size, seed = minibatch
+            batch = f"{pre}batch"
+            draw = mix_sql(Q.md5_bits("id", Q.q(str(seed))), seed, t)
+            ctes.append(f"{batch} AS MATERIALIZED (SELECT * FROM {ex_train} WHERE {draw} < "
+                        f"least({Q.d(1.0)}, {Q.d(float(size))} / (SELECT count(*) FROM {ex_train})))")
+        bc, gs = Q.backprop_ctes(net, batch, names[-1], pre)
+        mc, mg = Q.mean_gradient_ctes(net, names[-1], gs, f"(SELECT count(*) FROM {batch})", pre)
         mu = Q.momentum_mu(t, net.itert, net.maxmu)
         sc, new = Q.step_ctes(net, mg, pre, net.optimizer, mu,
                               n_train=f"(SELECT count(*) FROM {ex_train})")
@@ -169,6 +179,24 @@ def q_best_params(spark, sf):
     return r.best_params
 
 
+def _sgd_sql() -> str:
+    ctes = _ex_ctes("L")
+    c, names = _fit_ctes(NET_FIT_L, FIT_EPOCHS, minibatch=(512, 2332))
+    return (Q.with_clause(ctes + c) + f"SELECT model_id, layer, row, col, {Q.r6('theta')} AS theta, "
+            f"{Q.r6('velocity')} AS velocity, {Q.r6('gacc')} AS gacc FROM {names[-1]}")
+
+
+@query("fit_sgd", _sgd_sql)
+def q_fit_sgd(spark, sf):
+    """Two mini-batch epochs (about 512 drawn rows each), the reference's default mode."""
+    from plexnet.plans.grid import models_from_rows
+    s = NET_FIT_L.settings()
+    s.update(epochs=FIT_EPOCHS, batch_size=512, batch_seed=2332)
+    r = fit(T.fixture(spark, sf, "L"), models_from_rows(spark, [s]))
+    return r.params.select(*P.KEYS, r6(F.col("theta")).alias("theta"),
+                           r6(F.col("velocity")).alias("velocity"), r6(F.col("gacc")).alias("gacc"))
+
+
 @query("fit_minibatch")
 def q_fit_minibatch(spark, sf):
     """SGD with the default mini-batch of about 512 rows a epoch."""
@@ -261,8 +289,26 @@ def q_gradient_check(spark, sf):
     return D.gradient_check(ex, P.init_params(models, w), models)
 
 
-@query("hessian_product")
+def _hessian_sql() -> str:
+    net = NET_FIT_L
+    ctes = [f"ex AS MATERIALIZED (SELECT * FROM ({Q.fixture('L')}) f WHERE split = 'train')",
+            f"P0 AS MATERIALIZED ({Q.init_params(net)})"]
+    bc0, gs0 = Q.backprop_ctes(net, "ex", "P0", "h0_")
+    mc0, mg0 = Q.mean_gradient_ctes(net, "P0", gs0, "(SELECT count(*) FROM ex)", "h0_")
+    ctes += bc0 + mc0 + [f"P1 AS MATERIALIZED (SELECT model_id, layer, row, col, theta - {Q.d(D.HESSIAN_EPS)} "
+                         f"* g AS theta, velocity, gacc FROM {mg0})"]
+    bc1, gs1 = Q.backprop_ctes(net, "ex", "P1", "h1_")
+    mc1, mg1 = Q.mean_gradient_ctes(net, "P1", gs1, "(SELECT count(*) FROM ex)", "h1_")
+    ctes += bc1 + mc1
+    hd = f"(b.g - a.g) / {Q.d(D.HESSIAN_EPS)} + {Q.d(net.lmbda)} * a.g"
+    return Q.with_clause(ctes) + (
+        f"SELECT a.model_id, a.layer, a.row, a.col, {Q.r6(hd, 4)} AS hd FROM {mg0} a JOIN {mg1} b "
+        "ON a.layer = b.layer AND a.row = b.row AND a.col = b.col")
+
+
+@query("hessian_product", _hessian_sql)
 def q_hessian_product(spark, sf):
     ex = T.fixture(spark, sf, "L").where(F.col("split") == "train")
     models = _models(spark, NET_FIT_L)
-    return D.hessian_product(ex, P.init_params(models, 4), models)
+    hp = D.hessian_product(ex, P.init_params(models, 4), models)
+    return hp.select(*P.KEYS, r6(F.col("hd"), 4).alias("hd"))
