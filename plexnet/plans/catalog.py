@@ -105,6 +105,43 @@ def q_examples_scan(spark, sf):
     return ex.select("id", "label", "split", *_feature_cols())
 
 
+@query("examples_scan_documents", lambda: _sql([_ex_cte("D")],
+       "SELECT id, label, split, " + ", ".join(Q.r6(f"features[{i + 1}]") + f" AS f{i}" for i in range(5))
+       + " FROM ex"))
+def q_examples_scan_documents(spark, sf):
+    """Fixture D: text statistics of whole documents (regex character shares)."""
+    ex = T.fixture(spark, sf, "D")
+    return ex.select("id", "label", "split", *_feature_cols(n=5))
+
+
+def _labels_sql() -> str:
+    def lab(fx):
+        return f"(SELECT id, label FROM ({Q.fixture(fx)}) q)"
+    return _sql([f"e AS {lab('E')}", f"e2 AS {lab('E2')}", f"es AS {lab('ES')}"],
+                "SELECT e.id, e.label AS label_e, e2.label AS label_e2, es.label AS label_es "
+                "FROM e JOIN e2 ON e.id = e2.id JOIN es ON e.id = es.id")
+
+
+@query("examples_labels_embeddings", _labels_sql)
+def q_examples_labels_embeddings(spark, sf):
+    """Fixtures E, E2 and ES: the three labels derived from embeddings."""
+    e = T.fixture(spark, sf, "E").select("id", F.col("label").alias("label_e"))
+    e2 = T.fixture(spark, sf, "E2").select("id", F.col("label").alias("label_e2"))
+    es = T.fixture(spark, sf, "ES").select("id", F.col("label").alias("label_es"))
+    return e.join(e2, "id").join(es, "id")
+
+
+@query("examples_labels_multi", lambda: _sql([_ex_cte("LM"), "dt AS (" + Q.fixture("DT") + ")"],
+       "SELECT 'LM' AS fixture, label, count(*) AS n FROM ex GROUP BY label "
+       "UNION ALL SELECT 'DT' AS fixture, label, count(*) AS n FROM dt GROUP BY label"))
+def q_examples_labels_multi(spark, sf):
+    """Fixtures LM (3 classes from l_returnflag) and DT (rare toxic class): label counts."""
+    def counts(name):
+        return (T.fixture(spark, sf, name).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+                .select(F.lit(name).alias("fixture"), "label", "n"))
+    return counts("LM").unionByName(counts("DT"))
+
+
 @query("example_counts", lambda: _sql([_ex_cte("D")],
        "SELECT split, count(*) AS n FROM ex GROUP BY split"))
 def q_example_counts(spark, sf):
