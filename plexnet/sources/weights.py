@@ -21,7 +21,9 @@ PARAMS_FILE_SCHEMA = ("layer int, row int, col int, theta double, velocity doubl
 
 def write_weights_text(params: DataFrame, path: str, activation="sigmoid", mode: str = "overwrite") -> None:
     """Header and flat weights per model; ``activation`` is a name or a dict
-    model_id -> name."""
+    model_id -> name. Lines are streamed in (layer, row, col) order: each
+    model's rows go to one task (one file per model is the format) and are
+    sorted there, so no model is ever held as a single row or array."""
     shapes = layer_shapes(params)
     sizes = (shapes.groupBy("model_id")
              .agg(F.sort_array(F.collect_list(F.struct("layer", "rows", "cols"))).alias("_l"))
@@ -33,15 +35,16 @@ def write_weights_text(params: DataFrame, path: str, activation="sigmoid", mode:
             act = F.when(F.col("model_id") == mid, F.lit(a)).otherwise(act)
     else:
         act = F.lit(activation)
-    flat = (params.groupBy("model_id")
-            .agg(F.sort_array(F.collect_list(F.struct("layer", "row", "col", "theta"))).alias("_w")))
-    text = (flat.join(sizes, "model_id")
-            .select("model_id", F.concat(
-                F.array_join(F.transform("sizes", lambda s: s.cast("string")), "_"), F.lit("_"),
-                F.coalesce(act, F.lit("sigmoid")), F.lit("\n"),
-                F.array_join(F.transform("_w", lambda w: w["theta"].cast("string")), "\n")
-                ).alias("value")))
-    text.write.mode(mode).partitionBy("model_id").text(path)
+    header = sizes.select(
+        "model_id", F.lit(0).alias("_k"), F.lit(-1).alias("layer"), F.lit(0).alias("row"),
+        F.lit(0).alias("col"),
+        F.concat(F.array_join(F.transform("sizes", lambda s: s.cast("string")), "_"), F.lit("_"),
+                 F.coalesce(act, F.lit("sigmoid"))).alias("value"))
+    values = params.select("model_id", F.lit(1).alias("_k"), "layer", "row", "col",
+                           F.col("theta").cast("string").alias("value"))
+    lines = (header.unionByName(values).repartition("model_id")
+             .sortWithinPartitions("model_id", "_k", "layer", "row", "col"))
+    lines.select("model_id", "value").write.mode(mode).partitionBy("model_id").text(path)
 
 
 def read_weights_text(spark: SparkSession, path: str) -> DataFrame:
