@@ -66,9 +66,18 @@ def epoch_constants(seed, epoch) -> tuple[int, int, int, int]:
     return c, a, b, d
 
 
-def mix_uniform(key: Column, seed, epoch) -> Column:
-    """Uniform in [0, 1) for (row key, seed, epoch)."""
+def mix_uniform(key, seed, epoch) -> Column:
+    """Uniform in [0, 1) for (row key, seed, epoch). ``key`` is a column name
+    (one SQL expression, planned in one call) or a Column."""
     c, a, b, d = epoch_constants(seed, epoch)
+    if isinstance(key, str):
+        x = f"(({key} + {c}L) % {_M48}L)"
+        hi = f"shiftright({x}, 24)"
+        lo = f"({x} % {_M24}L)"
+        lo1 = f"(({lo} * {a}L + {hi}) % {_M24}L)"
+        hi1 = f"(({hi} * {b}L + {lo1}) % {_M24}L)"
+        lo2 = f"(({lo1} * {d}L + {hi1}) % {_M24}L)"
+        return F.expr(f"CAST({hi1} * {_M24}L + {lo2} AS DOUBLE) / {TWO_POW_48!r}")
     x = (key + F.lit(c)) % F.lit(_M48)
     hi = F.shiftright(x, 24)
     lo = x % F.lit(_M24)

@@ -105,7 +105,7 @@ def batch_fraction(n_train: int, size: int) -> float:
     return min(1.0, float(size) / float(n_train)) if n_train > 0 else 0.0
 
 
-def in_batch(epoch: int, fraction: float, seed: int, key: Column | None = None) -> Column:
+def in_batch(epoch: int, fraction: float, seed: int, key: Column | str | None = None) -> Column:
     """Bernoulli draw of the mini-batch of one epoch, per row: the row key
     (``bkey`` of cached examples, else md5 of (id, seed)) mixed with the epoch."""
     k = key if key is not None else batch_key(seed)
@@ -118,7 +118,7 @@ def minibatch(df: DataFrame, epoch: int, n_train: int, size: int = 512, seed: in
     return df.where((F.col("split") == "train") & in_batch(epoch, frac, seed))
 
 
-def online_pick(df: DataFrame, epoch: int, seed: int = 2332, key: Column | None = None) -> DataFrame:
+def online_pick(df: DataFrame, epoch: int, seed: int = 2332, key: Column | str | None = None) -> DataFrame:
     """The one train example of an online epoch: the row with the smallest
     draw (a global min_by, no sort)."""
     k = key if key is not None else batch_key(seed)

@@ -296,11 +296,11 @@ def fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None,
         look = {m: mus[m] for m in active if mcfg.loc[m, "optimizer"] == "nesterov"}
         specs = _specs(states, mcfg, look)
         if online:
-            pick = E.online_pick(ex, t, seed, key=F.col("bkey")).first()["id"]
+            pick = E.online_pick(ex, t, seed, key="bkey").first()["id"]
             batch = is_train & (F.col("id") == F.lit(pick))
         else:
             batch = is_train & (F.lit(True) if frac >= 1.0
-                                else E.in_batch(t, frac, seed, key=F.col("bkey")))
+                                else E.in_batch(t, frac, seed, key="bkey"))
         val_flag = is_val if (fuse and t > start) else None
         if step == "driver":
             sums = sums_pass(ex, specs, train=is_train, batch=batch, val=val_flag, layout="blocks")
