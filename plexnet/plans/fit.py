@@ -200,7 +200,27 @@ def _specs(states: dict, mcfg: pd.DataFrame, lookahead_mu: dict) -> list[NetSpec
     return specs
 
 
-def fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None,
+ARROW_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_BATCH_VALUES = 8_000_000     # feature values per Arrow batch (64 MB of doubles)
+
+
+def fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None, **kw) -> "FitResult":
+    """Train every model of ``models`` on ``examples`` (id, features, label,
+    split); see ``_fit``. Arrow batches of the passes are sized by the feature
+    width for the duration of the loop (fewer, larger NumPy products per
+    task); the session's own setting is restored afterwards."""
+    spark = examples.sparkSession
+    prev = spark.conf.get(ARROW_BATCH_KEY, None)
+    try:
+        return _fit(examples, models, stored, **kw)
+    finally:
+        if prev is None:
+            spark.conf.unset(ARROW_BATCH_KEY)
+        else:
+            spark.conf.set(ARROW_BATCH_KEY, prev)
+
+
+def _fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None,
         warm: str = "RND", full_batch: bool = False, fuse: bool = True, step: str = "driver",
         checkpoint_every: int = 0, run_dir: str | None = None,
         initial_params: DataFrame | None = None, resume_from: str | None = None,
@@ -227,6 +247,7 @@ def fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None,
     if len(widths) != 1:
         raise ValueError(f"feature width differs between rows or splits: {sorted(widths)}")
     n_features = widths.pop()
+    spark.conf.set(ARROW_BATCH_KEY, str(max(10_000, min(200_000, ARROW_BATCH_VALUES // max(n_features, 1)))))
     for r in stats:
         if r["null_features"] or r["bad_values"] or r["bad_labels"] or r["label_out_of_range"] \
                 or (outputs_max > 1 and r["label_not_integer"]):
