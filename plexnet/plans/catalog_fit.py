@@ -312,3 +312,22 @@ def q_hessian_product(spark, sf):
     models = _models(spark, NET_FIT_L)
     hp = D.hessian_product(ex, P.init_params(models, 4), models)
     return hp.select(*P.KEYS, r6(F.col("hd"), 4).alias("hd"))
+
+
+# --- the whole job ------------------------------------------------------------
+
+@query("train_job")
+def q_train_job(spark, sf):
+    """The reference's job end to end: fixture L written as LibSVM train and
+    val files, a 2 x 1 grid trained together, history, weights and summary
+    written; returns the history read back from its CSV."""
+    from plexnet.plans.job import read_history, train_job
+    from plexnet.session import scratch_path
+    from plexnet.sources.libsvm import write_libsvm
+    ex = T.fixture(spark, sf, "L")
+    base = scratch_path(spark, "job")
+    write_libsvm(ex.where(F.col("split") == "train"), f"{base}/Ltrain")
+    write_libsvm(ex.where(F.col("split") == "val"), f"{base}/Lval")
+    out = train_job(spark, f"{base}/Ltrain", f"{base}/Lval", f"{base}/out", topologies="8-4,4",
+                    rates="0.5", data_name="L", num_features=4, epochs=3)
+    return read_history(spark, out.history_path)

@@ -147,3 +147,18 @@ def test_grid_over_broadcast_bound_is_split(spark, L, monkeypatch):
     monkeypatch.setattr(passes, "MAX_BROADCAST_BYTES", 8)
     with pytest.raises(ValueError, match="broadcast"):
         fit(L, m)
+
+
+def test_train_job_end_to_end(spark, tmp_path):
+    from plexnet import train_job
+    from plexnet.sources.libsvm import write_libsvm
+    L = fixture(spark, SF_SMALL, "L")
+    write_libsvm(L.where(F.col("split") == "train"), str(tmp_path / "Ltrain"))
+    write_libsvm(L.where(F.col("split") == "val"), str(tmp_path / "Lval"))
+    out = train_job(spark, str(tmp_path / "Ltrain"), str(tmp_path / "Lval"), str(tmp_path / "out"),
+                    topologies="4-3,3", rates="0.5", data_name="L", num_features=4, epochs=2)
+    lines = [r[0] for r in spark.read.text(out.summary_path).collect()]
+    assert len(lines) == 2 and all(line.startswith("L;") and line.count(";") == 6 for line in lines)
+    from plexnet.sources.weights import read_weights_text
+    w = read_weights_text(spark, out.weights_path)
+    assert w.count() == out.result.params.count()
