@@ -87,6 +87,19 @@ def mix_uniform(key, seed, epoch) -> Column:
     return (hi * F.lit(_M24) + lo).cast("double") / F.lit(TWO_POW_48)
 
 
+def np_mix_uniform(key, seed, epoch):
+    """NumPy twin of ``mix_uniform`` (same int64 arithmetic, same doubles)."""
+    import numpy as np
+    c, a, b, d = epoch_constants(seed, epoch)
+    x = (np.asarray(key, dtype=np.int64) + np.int64(c)) % np.int64(_M48)
+    hi = x >> 24
+    lo = x % _M24
+    lo = (lo * a + hi) % _M24
+    hi = (hi * b + lo) % _M24
+    lo = (lo * d + hi) % _M24
+    return (hi * _M24 + lo).astype(np.float64) / TWO_POW_48
+
+
 def sql_mix_uniform(key: str, seed, epoch) -> str:
     c, a, b, d = epoch_constants(seed, epoch)
     x = f"(({key} + {c}) % {_M48})"

@@ -208,12 +208,16 @@ def _emit_blocks(spec: NetSpec, acc: "_Acc"):
     return pa.RecordBatch.from_arrays(cols, names=["model_id", "block"] + BLOCK_COLS)
 
 
-def sums_kernel(batches, specs, n_features: int, with_grads: bool = True, layout: str = "keyed"):
+def sums_kernel(batches, specs, n_features: int, with_grads: bool = True, layout: str = "keyed",
+                draw: tuple | None = None):
     """mapInArrow body: partial sums of one task (all models), emitted once.
 
     Input columns: features, label, and the row flags _t (train cost),
     _b (mini-batch gradient) and _v (validation metrics). ``layout`` is
-    "keyed" (one row per weight) or "blocks" (see BLOCK)."""
+    "keyed" (one row per weight) or "blocks" (see BLOCK). ``draw`` =
+    (fraction, seed, epoch) keeps only the _b rows whose key column _k draws
+    below the fraction (the mini-batch, drawn here so that the Spark plan is
+    the same in every epoch)."""
     accs = None
     for rb in batches:
         n = rb.num_rows
@@ -224,6 +228,11 @@ def sums_kernel(batches, specs, n_features: int, with_grads: bool = True, layout
         x = features_matrix(rb, n_features)
         y = rb.column("label").to_numpy(zero_copy_only=False).astype(np.float64)
         t, b, v = _bool(rb, "_t", n), _bool(rb, "_b", n), _bool(rb, "_v", n)
+        if draw is not None:
+            from plexnet.functions.random import np_mix_uniform
+            frac, seed, epoch = draw
+            keys = rb.column("_k").to_numpy(zero_copy_only=False)
+            b = b & (np_mix_uniform(keys, seed, epoch) < frac)
         for spec, acc in zip(specs, accs):
             _accumulate(spec, acc, x, y, t, b, v)
     if accs is None:

@@ -143,16 +143,20 @@ def _width(examples: DataFrame, specs: list[NetSpec]) -> int:
 
 def sums_pass(examples: DataFrame, specs: list[NetSpec], train: Column | None = None,
               batch: Column | None = None, val: Column | None = None,
-              with_grads: bool = True, layout: str = "keyed") -> DataFrame:
+              with_grads: bool = True, layout: str = "keyed",
+              draw: tuple | None = None, draw_key: str = "bkey") -> DataFrame:
     """One scan of ``examples`` for all models: gradient sums of the rows
     where ``batch`` holds, costs of ``train`` rows and metrics of ``val`` rows.
     Returns (model_id, layer, row, col, value); layer -1 rows are the scalar
     sums named in ``kernel.SCALAR_NAMES``. With ``layout="blocks"`` it returns
     (model_id, block, v0..v63) instead: the same sums, 64 to a row (what the
-    training loop reads)."""
+    training loop reads). ``draw=(fraction, seed, epoch)`` narrows the batch
+    rows to the mini-batch drawn from the key column ``draw_key`` inside the
+    kernel (same numbers as ``examples.in_batch``)."""
     groups = group_specs(specs)
     if len(groups) > 1:
-        return _union([sums_pass(examples, g, train, batch, val, with_grads, layout) for g in groups])
+        return _union([sums_pass(examples, g, train, batch, val, with_grads, layout, draw, draw_key)
+                       for g in groups])
     spark = examples.sparkSession
     n_features = _width(examples, specs)
     bc = _broadcast(spark, specs)
@@ -160,10 +164,11 @@ def sums_pass(examples: DataFrame, specs: list[NetSpec], train: Column | None =
     src = (bound_tasks(examples) if with_grads else examples).select("features", "label",
                           (train if train is not None else no).alias("_t"),
                           (batch if batch is not None else no).alias("_b"),
-                          (val if val is not None else no).alias("_v"))
+                          (val if val is not None else no).alias("_v"),
+                          *([F.col(draw_key).alias("_k")] if draw is not None else []))
 
     def fn(batches):
-        return sums_kernel(batches, bc.value, n_features, with_grads, layout)
+        return sums_kernel(batches, bc.value, n_features, with_grads, layout, draw)
 
     if layout == "blocks":
         # GroupedData.sum over the 64 columns: one call to plan (64 separate

@@ -320,11 +320,14 @@ def _fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None
             pick = E.online_pick(ex, t, seed, key="bkey").first()["id"]
             batch = is_train & (F.col("id") == F.lit(pick))
         else:
-            batch = is_train & (F.lit(True) if frac >= 1.0
-                                else E.in_batch(t, frac, seed, key="bkey"))
+            batch = is_train
+        # the mini-batch draw runs in the kernel: no epoch constant enters the
+        # Spark plan, so its generated code is compiled once, not every epoch
+        draw = (frac, seed, t) if (not online and frac < 1.0) else None
         val_flag = is_val if (fuse and t > start) else None
         if step == "driver":
-            sums = sums_pass(ex, specs, train=is_train, batch=batch, val=val_flag, layout="blocks")
+            sums = sums_pass(ex, specs, train=is_train, batch=batch, val=val_flag, layout="blocks",
+                             draw=draw)
             grads, sc = grads_from_blocks(sums.toPandas(), states)
             new_states = {}
             for m, st in states.items():
@@ -335,7 +338,7 @@ def _fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None
                     new_states[m] = st
         else:
             # the pass output is read by several branches of the step plan
-            sums = sums_pass(ex, specs, train=is_train, batch=batch, val=val_flag)
+            sums = sums_pass(ex, specs, train=is_train, batch=batch, val=val_flag, draw=draw)
             sums = sums.persist(StorageLevel.MEMORY_AND_DISK)
             out = optimizer_step(_params_df(spark, states_to_pandas(states)), sums, models, t,
                                  scalars_wide(sums)).toPandas()

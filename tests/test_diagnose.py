@@ -56,3 +56,14 @@ def test_split_is_independent_of_partitions(spark):
     assert a.split.tolist() == b.split.tolist()
     share = (a.split == "val").mean()
     assert 0.17 < share < 0.23
+
+
+def test_numpy_batch_draw_equals_spark_draw(spark):
+    from plexnet.functions.random import mix_uniform, np_mix_uniform
+    from plexnet.operators.examples import batch_key
+    L = fixture(spark, SF_SMALL, "L").withColumn("k", batch_key(2332))
+    for epoch in (0, 7, 123):
+        pdf = L.select("k", mix_uniform("k", 2332, epoch).alias("u"),
+                       mix_uniform(F.col("k"), 2332, epoch).alias("u2")).toPandas()
+        assert (pdf.u == pdf.u2).all()
+        assert np.array_equal(np_mix_uniform(pdf.k.to_numpy(), 2332, epoch), pdf.u.to_numpy())
