@@ -217,15 +217,20 @@ def q_fit_online(spark, sf):
 
 # --- sinks -----------------------------------------------------------------
 
-@query("history_sink")
+@query("history_sink", lambda: Q.with_clause(_history_sql(NET_FIT_L, 2)[0])
+       + f"SELECT epoch, {Q.r6('cost_train')} AS cost_train, {Q.r6('cost_val')} AS cost_val, model_id "
+         "FROM hist")
 def q_history_sink(spark, sf):
+    """The cost history written as CSV (header epoch,cost_train,cost_val) and read back."""
     from plexnet.session import scratch_path
     from plexnet.sources.sinks import write_history
     h = _fit_history(spark, sf, NET_FIT_L, 2)
     path = scratch_path(spark, "history")
     write_history(h, path)
-    return spark.read.option("header", True).schema(
+    back = spark.read.option("header", True).schema(
         "epoch int, cost_train double, cost_val double, model_id string").csv(path)
+    return back.select("epoch", r6(F.col("cost_train")).alias("cost_train"),
+                       r6(F.col("cost_val")).alias("cost_val"), "model_id")
 
 
 @query("model_summary")
