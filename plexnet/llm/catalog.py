@@ -1,13 +1,25 @@
-"""Registered queries of this subpackage and their DuckDB SQL."""
+"""Registered queries of this subpackage and their DuckDB SQL.
+
+Operators without SQL (trained models, tokenizers, MinHash classes, packing)
+are tested in tests/llm against brute-force versions.
+"""
 
 from __future__ import annotations
 
-from plexnet.llm import exact_dedup, quality_rules, url_filter
+from plexnet.llm import (bpe, chat, ctw, exact_dedup, ngram_join, packing, quality_classifier, quality_rules, toxicity,
+                         url_filter)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
+    "op4_bpe": bpe.op4_bpe,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_quality_classifier": quality_classifier.op7_quality_classifier,
+    "op8_packing": packing.op8_packing,
+    "op9_lm_scoring": ctw.op9_lm_scoring,
+    "op10_chat": chat.op10_chat,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.op1_sql(),

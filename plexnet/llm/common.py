@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +72,25 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> D
         if lab2.where("comp <> old").isEmpty():
             return lab
     raise RuntimeError(f"components: not settled after {max_rounds} rounds")
+
+
+def save_arrays(arrays: dict[str, np.ndarray], path: str) -> None:
+    """Write arrays to one file: a JSON line with the layout, then the bytes."""
+    layout, at = {}, 0
+    for k, a in arrays.items():
+        layout[k] = [a.dtype.str, len(a), at]
+        at += -(-a.nbytes // 8) * 8
+    head = json.dumps(layout).encode()
+    head += b" " * (-(len(head) + 1) % 8) + b"\n"
+    with open(path, "wb") as f:
+        f.write(head)
+        for a in arrays.values():
+            f.write(a.tobytes() + bytes(-a.nbytes % 8))
+
+
+def map_arrays(path: str) -> dict[str, np.ndarray]:
+    """The arrays of :func:`save_arrays`, memory-mapped: the workers of a
+    machine share the pages."""
+    with open(path, "rb") as f:
+        head = f.readline()
+    return {k: np.memmap(path, dtype, "r", len(head) + at, (n,)) for k, (dtype, n, at) in json.loads(head).items()}
