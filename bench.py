@@ -67,7 +67,7 @@ def main() -> None:
     spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="plexnet-bench")
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
 
-    L = fixture(spark, sf_dir, "L")
+    L = fixture(spark, sf_dir, "L", spread=True)
     m1 = single_model(spark, "L8", hidden="8", rate=0.5, epochs=EPOCHS)
     p1 = P.init_params(m1, 4)
     specs = PS.specs_from_frames(p1, m1)
@@ -82,9 +82,9 @@ def main() -> None:
     q["epoch_L_8"], q["fit_L_8"] = fit_times(L, grid)
     q["epoch_L_full"], _ = fit_times(L, m1, full_batch=True)
     mE = single_model(spark, "E16", hidden="16", outputs=10, activation="ReLU", rate=0.1, epochs=EPOCHS)
-    q["epoch_E_1"], _ = fit_times(fixture(spark, sf_dir, "E"), mE)
+    q["epoch_E_1"], _ = fit_times(fixture(spark, sf_dir, "E", spread=True), mE)
     mD = single_model(spark, "D8", hidden="8", rate=0.5, epochs=EPOCHS)
-    q["epoch_D_1"], _ = fit_times(fixture(spark, sf_dir, "D"), mD)
+    q["epoch_D_1"], _ = fit_times(fixture(spark, sf_dir, "D", spread=True), mD)
     q = {k: round(v, 4) for k, v in q.items()}
     print(json.dumps({"metric": "sum_of_query_seconds", "value": round(sum(q.values()), 4),
                       "unit": "sec", "queries": q, "sf": sf, "cpus": cpus, "epochs": EPOCHS}))

@@ -8,10 +8,12 @@ the training pass, one matrix per batch.
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 from typing import Callable
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -166,7 +168,12 @@ _REGISTRY: dict[str, Activation] = {}
 
 def register_activation(name: str, column_fn, numpy_fn, d_column_fn, d_numpy_fn) -> None:
     """The extension point: add an activation usable by every operator.
-    The NumPy twin must be importable on executors (define it in a module)."""
+    The NumPy twins travel to the executors with each pass; functions of a
+    module outside this package are shipped by value."""
+    for fn in (numpy_fn, d_numpy_fn):
+        module = sys.modules.get(getattr(fn, "__module__", None) or "")
+        if module is not None and module.__name__ != "__main__" and module.__name__.split(".")[0] not in ("plexnet", "numpy"):
+            cloudpickle.register_pickle_by_value(module)
     _REGISTRY[name] = Activation(name, column_fn, d_column_fn, numpy_fn, d_numpy_fn)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from plexnet.operators import kernel as K
 from plexnet.operators.params import KEYS
-from plexnet.operators.passes import gradient_sums, specs_from_frames
+from plexnet.operators.passes import gradient_sums, specs_from_frames, stored_sums
 from plexnet.operators.steps import HESSIAN_EPS, mean_gradient, perturb
 from plexnet.shipping import ensure_importable
 
@@ -104,11 +104,11 @@ def hessian_product(examples: DataFrame, params: DataFrame, models: DataFrame,
                     eps: float = HESSIAN_EPS) -> DataFrame:
     """Hd = (g(theta + eps d) - g(theta)) / eps + lambda g with d = -g: two
     gradient passes and a join on the weight keys."""
-    g0 = mean_gradient(gradient_sums(examples, params, models), params, models)
+    g0 = mean_gradient(stored_sums(gradient_sums(examples, params, models)), params, models)
     p1 = perturb(params, g0, eps)
-    g1 = mean_gradient(gradient_sums(examples, p1, models), p1, models)
+    g1 = mean_gradient(stored_sums(gradient_sums(examples, p1, models)), p1, models)
     lam = models.select("model_id", "lmbda")
     j = (g0.select(*KEYS, F.col("g").alias("g0")).join(g1.select(*KEYS, F.col("g").alias("g1")), KEYS)
-         .join(F.broadcast(lam), "model_id"))
+         .join(lam, "model_id"))
     return j.select(*KEYS, ((F.col("g1") - F.col("g0")) / F.lit(float(eps))
                             + F.col("lmbda") * F.col("g0")).alias("hd"))

@@ -13,13 +13,17 @@ from plexnet.sources.tables import split_column
 ONLINE_SEED_OFFSET = 10
 
 
-def cache_examples(df: DataFrame, batch_seed: int | None = None) -> DataFrame:
+def cache_examples(df: DataFrame, batch_seed: int | None = None, max_partitions: int | None = None) -> DataFrame:
     """Persist only the columns the passes read; spills to disk instead of
     failing, and lost blocks are recomputed from the Parquet lineage. With
     ``batch_seed`` the per-row key of the mini-batch draws is hashed once
-    here, so epochs draw their batches with integer arithmetic only."""
-    from plexnet.operators.passes import bound_tasks
-    out = bound_tasks(df.select("id", "features", "label", "split"))
+    here, so epochs draw their batches with integer arithmetic only. The
+    input's own partitions stay; ``max_partitions`` merges them without a
+    shuffle. Each task of a pass emits one partial sum per weight, so fewer
+    tasks shuffle less, but a lost partition is longer to recompute."""
+    out = df.select("id", "features", "label", "split")
+    if max_partitions is not None and not df.isStreaming:
+        out = out.coalesce(int(max_partitions))
     if batch_seed is not None:
         out = out.withColumn("bkey", batch_key(int(batch_seed)))
     return out.persist(StorageLevel.MEMORY_AND_DISK)

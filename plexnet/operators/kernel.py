@@ -84,17 +84,36 @@ def _bool(rb: pa.RecordBatch, name: str, n: int) -> np.ndarray:
     return rb.column(name).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
 
 
-def forward(spec: NetSpec, x: np.ndarray, weights=None):
+def check_labels(spec: NetSpec, y: np.ndarray) -> None:
+    """Raise on labels that the loss cannot take: null or NaN, and for class
+    probabilities anything but 0 .. outputs - 1 (0 and 1 with one output)."""
+    if np.isnan(y).any():
+        raise ValueError("null or NaN label; run validate_examples first")
+    if spec.loss != "squared" or spec.multi:
+        classes = spec.n_outputs if spec.multi else 2
+        bad = (y < 0) | (y >= classes) | (y != np.floor(y))
+        if bad.any():
+            raise ValueError(f"label {y[bad][0]} is not one of the classes 0..{classes - 1} of model {spec.model_id}")
+
+
+def _functions(spec: NetSpec, acts: dict | None) -> tuple:
+    if acts is not None and spec.activation in acts:
+        return acts[spec.activation]
+    a = A.get_activation(spec.activation)
+    return a.numpy, a.d_numpy
+
+
+def forward(spec: NetSpec, x: np.ndarray, weights=None, acts_of: dict | None = None):
     """Return (pre-activations Z per hidden layer, activations A per layer
     including the input, output pre-activation z_out)."""
-    act = A.get_activation(spec.activation)
+    act, _ = _functions(spec, acts_of)
     ws = weights if weights is not None else spec.weights
     acts, zs = [x], []
     a = x
     for w in ws[:-1]:
         z = a @ w[1:] + w[0]
         zs.append(z)
-        a = act.numpy(z)
+        a = act(z)
         acts.append(a)
     z_out = a @ ws[-1][1:] + ws[-1][0]
     return zs, acts, z_out
@@ -132,10 +151,10 @@ def predictions(spec: NetSpec, p: np.ndarray) -> np.ndarray:
     return (p[:, 0] >= 0.5).astype(np.float64)
 
 
-def backprop(spec: NetSpec, zs, acts, err_out, weights=None) -> list:
+def backprop(spec: NetSpec, zs, acts, err_out, weights=None, acts_of: dict | None = None) -> list:
     """Gradient sums per layer: [1, a_{l-1}]^T e_l, errors pushed back through
     W[1:]^T and the activation derivative."""
-    act = A.get_activation(spec.activation)
+    _, d_act = _functions(spec, acts_of)
     ws = weights if weights is not None else spec.weights
     grads = [None] * len(ws)
     e = err_out
@@ -146,7 +165,7 @@ def backprop(spec: NetSpec, zs, acts, err_out, weights=None) -> list:
         g[1:] = a_prev.T @ e
         grads[l] = g
         if l > 0:
-            e = (e @ ws[l][1:].T) * act.d_numpy(zs[l - 1])
+            e = (e @ ws[l][1:].T) * d_act(zs[l - 1])
     return grads
 
 
@@ -156,8 +175,14 @@ class _Acc:
         self.scalars = np.zeros(N_SCALARS)
 
 
-def _accumulate(spec: NetSpec, acc: _Acc, x, y, t, b, v):
-    zs, acts, z_out = forward(spec, x)
+def _accumulate(spec: NetSpec, acc: _Acc, x, y, t, b, v, fns=None):
+    used = t | b | v
+    if not used.all():   # rows that no flag asks for cost nothing and need no label
+        if not used.any():
+            return
+        x, y, t, b, v = x[used], y[used], t[used], b[used], v[used]
+    check_labels(spec, y)
+    zs, acts, z_out = forward(spec, x, acts_of=fns)
     p = output_probs(spec, z_out)
     cost = row_costs(spec, z_out, p, y)
     s = acc.scalars
@@ -178,14 +203,14 @@ def _accumulate(spec: NetSpec, acc: _Acc, x, y, t, b, v):
         s[S_BATCH_COST] += cost[b].sum()
         xb, yb = x[b], y[b]
         if spec.lookahead is not None:
-            zs_b, acts_b, z_b = forward(spec, xb, spec.lookahead)
+            zs_b, acts_b, z_b = forward(spec, xb, spec.lookahead, fns)
             e = output_error(spec, output_probs(spec, z_b), yb)
-            grads = backprop(spec, zs_b, acts_b, e, spec.lookahead)
+            grads = backprop(spec, zs_b, acts_b, e, spec.lookahead, fns)
         else:
             zs_b = [z[b] for z in zs]
             acts_b = [a[b] for a in acts]
             e = output_error(spec, p[b], yb)
-            grads = backprop(spec, zs_b, acts_b, e)
+            grads = backprop(spec, zs_b, acts_b, e, acts_of=fns)
         for ga, g in zip(acc.grads, grads):
             ga += g
 
@@ -208,8 +233,27 @@ def _emit_blocks(spec: NetSpec, acc: "_Acc"):
     return pa.RecordBatch.from_arrays(cols, names=["model_id", "block"] + BLOCK_COLS)
 
 
+MERGED_VALUES = 2_000_000   # feature values of one matrix product (16 MB of doubles)
+
+
+def merged(batches, values: int = MERGED_VALUES):
+    """The non-empty batches of a task, small ones joined into larger ones:
+    fewer, larger NumPy products without touching the session's batch size."""
+    held, size = [], 0
+    for rb in batches:
+        if not rb.num_rows:
+            continue
+        held.append(rb)
+        size += len(rb.column("features").flatten())
+        if size >= values:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def sums_kernel(batches, specs, n_features: int, with_grads: bool = True, layout: str = "keyed",
-                draw: tuple | None = None):
+                draw: tuple | None = None, acts: dict | None = None):
     """mapInArrow body: partial sums of one task (all models), emitted once.
 
     Input columns: features, label, and the row flags _t (train cost),
@@ -219,14 +263,12 @@ def sums_kernel(batches, specs, n_features: int, with_grads: bool = True, layout
     below the fraction (the mini-batch, drawn here so that the Spark plan is
     the same in every epoch)."""
     accs = None
-    for rb in batches:
+    for rb in merged(batches):
         n = rb.num_rows
-        if n == 0:
-            continue
         if accs is None:
             accs = [_Acc(s, with_grads) for s in specs]
         x = features_matrix(rb, n_features)
-        y = rb.column("label").to_numpy(zero_copy_only=False).astype(np.float64)
+        y = rb.column("label").to_numpy(zero_copy_only=False).astype(np.float64)   # null becomes NaN
         t, b, v = _bool(rb, "_t", n), _bool(rb, "_b", n), _bool(rb, "_v", n)
         if draw is not None:
             from plexnet.functions.random import np_mix_uniform
@@ -234,7 +276,7 @@ def sums_kernel(batches, specs, n_features: int, with_grads: bool = True, layout
             keys = rb.column("_k").to_numpy(zero_copy_only=False)
             b = b & (np_mix_uniform(keys, seed, epoch) < frac)
         for spec, acc in zip(specs, accs):
-            _accumulate(spec, acc, x, y, t, b, v)
+            _accumulate(spec, acc, x, y, t, b, v, acts)
     if accs is None:
         return
     if layout == "blocks":
@@ -261,25 +303,27 @@ def sums_kernel(batches, specs, n_features: int, with_grads: bool = True, layout
             names=["model_id", "layer", "row", "col", "value"])
 
 
-def score_kernel(batches, specs, n_features: int, what: str = "p"):
-    """mapInArrow body for scoring: (id, model_id, p ARRAY<DOUBLE>) per row
-    and model. ``what='z1'`` returns the first layer's pre-activations."""
+def score_kernel(batches, specs, n_features: int, what: str = "p", acts: dict | None = None):
+    """mapInArrow body for scoring: (id, model_id, p ARRAY<DOUBLE>, kept
+    columns) per row and model; the input holds features, the id and the
+    kept columns in this order. ``what='z1'`` returns the first layer's pre-activations."""
     for rb in batches:
         n = rb.num_rows
         if n == 0:
             continue
         x = features_matrix(rb, n_features)
-        ids = rb.column("id")
+        names = rb.schema.names
         for spec in specs:
             if what == "z1":
                 w = spec.weights[0]
                 out = x @ w[1:] + w[0]
             else:
-                _, _, z_out = forward(spec, x)
+                _, _, z_out = forward(spec, x, acts_of=acts)
                 out = output_probs(spec, z_out)
             k = out.shape[1]
             offsets = pa.array(np.arange(0, n * k + 1, k, dtype=np.int32))
             p = pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(np.full(n, spec.model_id, dtype=object), pa.string()), p],
-                names=["id", "model_id", "p"])
+                [rb.column(1), pa.array(np.full(n, spec.model_id, dtype=object), pa.string()), p,
+                 *(rb.column(i) for i in range(2, len(names)))],
+                names=[names[1], "model_id", "p", *names[2:]])

@@ -121,7 +121,7 @@ def warm_start(fresh: DataFrame, stored: DataFrame, mode: str = "AE", check: boo
         raise ValueError("warm start mode must be AE, PT or RND")
     st = stored.select(*KEYS, F.col("theta").alias("stored_theta"))
     last = stored.groupBy("model_id").agg(F.max("layer").alias("last_layer"))
-    keep = st.join(F.broadcast(last), "model_id")
+    keep = st.join(last, "model_id")
     if mode == "PT":
         keep = keep.where(F.col("layer") < F.col("last_layer"))
     keep = keep.drop("last_layer")

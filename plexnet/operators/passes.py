@@ -11,13 +11,19 @@ per pass in a broadcast variable whose size is checked against
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
+from plexnet.functions.activations import get_activation
 from plexnet.operators.kernel import (BLOCK_COLS, BLOCKS_SCHEMA, N_SCALARS, SCALAR_NAMES,
                                       SUMS_SCHEMA, NetSpec, score_kernel, sums_kernel)
+from plexnet.session import scratch_path
 from plexnet.shipping import ensure_importable
 
 # The weights shipped with one pass must fit a broadcast: their size is
@@ -27,8 +33,6 @@ from plexnet.shipping import ensure_importable
 # only a single model over the bound is refused.
 MAX_BROADCAST_BYTES = 1 << 30
 
-SCORE_SCHEMA = "id bigint, model_id string, p array<double>"
-
 
 def specs_from_pandas(params_pdf: pd.DataFrame, models_pdf: pd.DataFrame,
                       value: str = "theta", lookahead_mu: dict | None = None) -> list[NetSpec]:
@@ -101,7 +105,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread an under-partitioned file scan (e.g. one Parquet row group read
+    """Opt-in: spread an under-partitioned file scan (e.g. one Parquet row group read
     as a single task) round-robin over the cluster's cores. Use it on a bare
     scan only: counting partitions there lists files and runs no job (on a
     plan with a shuffle, adaptive execution would have to run that shuffle
@@ -113,25 +117,36 @@ def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
-# Map tasks per pass, as a multiple of the cluster's cores. Every map task of
-# a gradient pass emits one partial sum per weight, so the shuffle of a pass
-# is (tasks x weights) rows: bounding the tasks by the cores (not by the input
-# size) keeps it independent of the data volume.
-TASKS_PER_CORE = 2
+def _broadcast(spark, specs):
+    ensure_importable(spark)
+    bc = spark.sparkContext.broadcast(specs)
+    for shipped in _SHIPPED.get():
+        shipped.append(bc)
+    return bc
 
 
-def bound_tasks(df: DataFrame, per_core: int = TASKS_PER_CORE) -> DataFrame:
-    """At most ``per_core`` x cores partitions, merged without a shuffle
-    (``coalesce`` never raises the count, so no partition count is needed)."""
-    if df.isStreaming:
-        return df
-    cores = int(df.sparkSession.sparkContext.defaultParallelism)
-    return df.coalesce(per_core * cores)
+_SHIPPED: ContextVar[tuple] = ContextVar("shipped", default=())
 
 
-def _broadcast(spark, specs):
-    ensure_importable(spark)
-    return spark.sparkContext.broadcast(specs)
+@contextmanager
+def released_broadcasts():
+    """Destroy the weight broadcasts of all passes built in the block when it
+    ends. Only for passes whose results are read inside the block."""
+    own: list = []
+    token = _SHIPPED.set((*_SHIPPED.get(), own))
+    try:
+        yield
+    finally:
+        _SHIPPED.reset(token)
+        for bc in own:
+            bc.destroy()
+
+
+def activations_of(specs: list[NetSpec]) -> dict:
+    """name -> (function, derivative) in NumPy of the specs' activations. They
+    travel inside the task's closure, so that activations registered on the
+    driver work on every executor."""
+    return {s.activation: (get_activation(s.activation).numpy, get_activation(s.activation).d_numpy) for s in specs}
 
 
 def _width(examples: DataFrame, specs: list[NetSpec]) -> int:
@@ -161,14 +176,16 @@ def sums_pass(examples: DataFrame, specs: list[NetSpec], train: Column | None =
     n_features = _width(examples, specs)
     bc = _broadcast(spark, specs)
     no = F.lit(False)
-    src = (bound_tasks(examples) if with_grads else examples).select("features", "label",
+    src = examples.select("features", "label",
                           (train if train is not None else no).alias("_t"),
                           (batch if batch is not None else no).alias("_b"),
                           (val if val is not None else no).alias("_v"),
                           *([F.col(draw_key).alias("_k")] if draw is not None else []))
 
+    acts = activations_of(specs)
+
     def fn(batches):
-        return sums_kernel(batches, bc.value, n_features, with_grads, layout, draw)
+        return sums_kernel(batches, bc.value, n_features, with_grads, layout, draw, acts)
 
     if layout == "blocks":
         # GroupedData.sum over the 64 columns: one call to plan (64 separate
@@ -180,6 +197,16 @@ def sums_pass(examples: DataFrame, specs: list[NetSpec], train: Column | None =
             .agg(F.sum("value").alias("value")))
 
 
+def stored_sums(sums: DataFrame) -> DataFrame:
+    """The parameter-sized sums of a pass, run once and written to the shared
+    folder. The steps read sums in several branches; without this each branch
+    would run its own network pass over the data."""
+    spark = sums.sparkSession
+    path = scratch_path(spark, "sums")
+    sums.write.parquet(path)
+    return spark.read.schema(sums.schema).parquet(path)
+
+
 def scalars_wide(sums: DataFrame) -> DataFrame:
     """The scalar rows of a pass as one row per model with named columns."""
     aggs = [F.sum(F.when(F.col("row") == i, F.col("value"))).alias(name)
@@ -188,21 +215,28 @@ def scalars_wide(sums: DataFrame) -> DataFrame:
 
 
 def score(examples: DataFrame, params: DataFrame, models: DataFrame, what: str = "p",
-          specs: list[NetSpec] | None = None) -> DataFrame:
-    """(id, model_id, p ARRAY<DOUBLE>) for every example and model. Works on
-    streaming DataFrames too (mapInArrow is a narrow, stateless operator)."""
+          specs: list[NetSpec] | None = None, keep: tuple[str, ...] = (), id_col: str = "id") -> DataFrame:
+    """(id, model_id, p ARRAY<DOUBLE>) for every example and model, with the
+    example's columns named in ``keep``. ``id_col`` may have any type. Works
+    on streaming DataFrames too (mapInArrow is a narrow, stateless operator)."""
     specs = specs if specs is not None else specs_from_frames(params, models)
     groups = group_specs(specs)
     if len(groups) > 1:
-        return _union([score(examples, params, models, what, g) for g in groups])
+        return _union([score(examples, params, models, what, g, keep, id_col) for g in groups])
     spark = examples.sparkSession
     n_features = _width(examples, specs)
     bc = _broadcast(spark, specs)
 
+    acts = activations_of(specs)
+
     def fn(batches):
-        return score_kernel(batches, bc.value, n_features, what)
+        return score_kernel(batches, bc.value, n_features, what, acts)
 
-    return examples.select("id", "features").mapInArrow(fn, SCORE_SCHEMA)
+    src = examples.select("features", id_col, *keep)
+    kept = src.drop("features").schema
+    schema = StructType([kept[id_col], StructField("model_id", StringType()),
+                         StructField("p", ArrayType(DoubleType())), *(kept[c] for c in keep)])
+    return src.mapInArrow(fn, schema)
 
 
 def linear_layer(examples: DataFrame, params: DataFrame, models: DataFrame) -> DataFrame:
@@ -215,8 +249,8 @@ def evaluate(examples: DataFrame, params: DataFrame, models: DataFrame,
     """The validation pass: cost, count, correct predictions, squared error
     and label moments per model in one scan of all given rows."""
     specs = specs if specs is not None else specs_from_frames(params, models)
-    sums = sums_pass(examples, specs, val=F.lit(True), with_grads=False)
-    w = scalars_wide(sums)
+    blocks = sums_pass(examples, specs, val=F.lit(True), with_grads=False, layout="blocks")
+    w = blocks.where("block = -1").select("model_id", *(F.col(f"v{i}").alias(c) for i, c in enumerate(SCALAR_NAMES)))
     n = F.col("val_n")
     return w.select(
         "model_id", n.cast("bigint").alias("n"),

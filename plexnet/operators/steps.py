@@ -58,7 +58,7 @@ def mean_gradient(sums: DataFrame, params: DataFrame, models: DataFrame,
     gs = sums.where(F.col("layer") >= 0).select(*KEYS, F.col("value").alias("gsum"))
     cnt = batch_counts(sums)
     cfg = models.select("model_id", "lmbda").join(cnt, "model_id", "left")
-    j = params.join(gs, KEYS, "left").join(F.broadcast(cfg), "model_id")
+    j = params.join(gs, KEYS, "left").join(cfg, "model_id")
     base = F.when(F.col("m") > 0, F.coalesce(F.col("gsum"), F.lit(0.0)) / F.col("m"))
     if add_velocity:
         base = base + F.col("velocity")
@@ -85,7 +85,7 @@ def l1_norm(grads: DataFrame, g: str = "g") -> DataFrame:
 
 def _clip(grads: DataFrame, norm_col: str, g: str) -> DataFrame:
     norms = layer_norms(grads, g).select("model_id", "layer", norm_col)
-    j = grads.join(F.broadcast(norms), ["model_id", "layer"])
+    j = grads.join(norms, ["model_id", "layer"])
     gc = F.when(F.col(norm_col) > CLIP_THRESHOLD, F.col(g) * CLIP_THRESHOLD / F.col(norm_col)) \
         .otherwise(F.col(g))
     return j.withColumn("gc", gc).drop(norm_col)
@@ -110,7 +110,7 @@ def adaptive_rate(grads: DataFrame, models: DataFrame) -> DataFrame:
     """(model_id, layer, ada_rate) = rate / ||gacc||_F per layer; NULL when the
     norm is 0 (the layer is then left unchanged instead of becoming NaN)."""
     c = grads.groupBy("model_id", "layer").agg(F.sqrt(F.sum(F.col("gacc") * F.col("gacc"))).alias("nrm"))
-    c = c.join(F.broadcast(models.select("model_id", "rate")), "model_id")
+    c = c.join(models.select("model_id", "rate"), "model_id")
     return c.select("model_id", "layer",
                     F.when(F.col("nrm") > 0, F.col("rate") / F.col("nrm")).alias("ada_rate"))
 
@@ -132,7 +132,7 @@ def _prepared(grads: DataFrame, models: DataFrame) -> DataFrame:
     acc = accumulate_gradients(grads)
     norms = layer_norms(acc, "g", "gacc")
     cfg = models.select("model_id", "rate", "lmbda", "optimizer", "learning_mod", "maxmu", "itert")
-    j = (acc.join(F.broadcast(norms), ["model_id", "layer"]).join(F.broadcast(cfg), "model_id"))
+    j = (acc.join(norms, ["model_id", "layer"]).join(cfg, "model_id"))
     gc = F.when(F.col("l1") > CLIP_THRESHOLD, F.col("g") * CLIP_THRESHOLD / F.col("l1")) \
         .otherwise(F.col("g"))
     ada = F.when(F.col("acc_norm") > 0, F.col("rate") / F.col("acc_norm"))
@@ -179,11 +179,11 @@ def optimizer_step(params: DataFrame, sums: DataFrame, models: DataFrame, epoch:
     grads = mean_gradient(sums, params, models)
     j = _prepared(grads, models)
     cnt = batch_counts(sums)
-    j = j.join(F.broadcast(cnt.select("model_id", "n_train")), "model_id", "left")
+    j = j.join(cnt.select("model_id", "n_train"), "model_id", "left")
     mu = momentum_schedule(F.lit(int(epoch)), F.col("itert"), F.col("maxmu"))
     eta = (F.when((F.col("optimizer") == "vanilla") | (F.col("learning_mod") == "ADA"), F.col("ada_rate"))
            .otherwise(F.col("rate")))
     out = _update(j, F.col("optimizer"), eta, mu, F.col("n_train"))
     if scalars_wide is not None:
-        out = out.join(F.broadcast(scalars_wide), "model_id", "left")
+        out = out.join(scalars_wide, "model_id", "left")
     return out

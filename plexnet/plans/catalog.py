@@ -12,6 +12,7 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plexnet.functions import activations as A
 from plexnet.functions.random import md5_normal
@@ -20,6 +21,7 @@ from plexnet.operators import examples as E
 from plexnet.operators import params as P
 from plexnet.operators import passes as PS
 from plexnet.operators import steps as S
+from plexnet.operators.metrics import accuracy, cross_entropy, log_loss, output_error, predict, reg_cost, squared_error
 from plexnet.plans import sqltext as Q
 from plexnet.plans.grid import model_grid, models_from_rows
 from plexnet.sources import tables as T
@@ -166,10 +168,12 @@ def _libsvm_roundtrip(spark, sf):
 
 @query("libsvm_scan", lambda: _sql([_ex_cte("L")],
        "SELECT label, " + ", ".join(Q.r6(f"features[{i + 1}]") + f" AS f{i}" for i in range(4))
-       + " FROM ex"))
+       + ", 1 AS rows_of_id, true AS has_split FROM ex"))
 def q_libsvm_scan(spark, sf):
     back = _libsvm_roundtrip(spark, sf)
-    return back.select("label", *_feature_cols())
+    of_id = Window.partitionBy("id")
+    return back.select("label", *_feature_cols(), F.count(F.lit(1)).over(of_id).cast("int").alias("rows_of_id"),
+                       F.col("split").isin("train", "val").alias("has_split"))
 
 
 def _init_sql(*nets: Q.Net, state: bool = False) -> str:
@@ -340,12 +344,12 @@ def _forward_sql(net: Q.Net, fx: str, body_fn, where: str | None = None, state=F
     return _sql(ctes + fc, body_fn(out))
 
 
-def _score(spark, sf, net: Q.Net, fx: str, what="p", where: Column | None = None):
+def _score(spark, sf, net: Q.Net, fx: str, what="p", where: Column | None = None, keep=()):
     ex = T.fixture(spark, sf, fx)
     if where is not None:
         ex = ex.where(where)
     m, p = _params(spark, net)
-    return PS.score(ex, p, m, what=what), ex, m, p
+    return PS.score(ex, p, m, what=what, keep=keep), ex, m, p
 
 
 @query("linear_layer", lambda: _sql(
@@ -368,15 +372,6 @@ def q_score_multi(spark, sf):
     return s.select("id", F.posexplode("p").alias("k", "p")).select("id", "k", r6(F.col("p")).alias("p"))
 
 
-def predict(scores: DataFrame, multi: bool) -> DataFrame:
-    """bin: p >= 0.5 -> 1; multi: first index of the maximum."""
-    if multi:
-        pred = (F.array_position("p", F.array_max("p")) - 1).cast("double")
-    else:
-        pred = F.when(F.element_at("p", 1) >= 0.5, F.lit(1.0)).otherwise(F.lit(0.0))
-    return scores.withColumn("pred", pred)
-
-
 @query("predict_binary", lambda: _forward_sql(NET_L, "L", lambda o: Q.predict_expr(NET_L, o)))
 def q_predict_binary(spark, sf):
     s, *_ = _score(spark, sf, NET_L, "L")
@@ -389,38 +384,8 @@ def q_predict_multi(spark, sf):
     return predict(s, True).select("id", "pred")
 
 
-def log_loss(scores_with_label: DataFrame) -> DataFrame:
-    pc = A.clip_prob(F.element_at("p", 1))
-    y = F.col("label")
-    return scores_with_label.groupBy("model_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(-(y * F.log(pc) + (F.lit(1.0) - y) * F.log(F.lit(1.0) - pc))).alias("log_loss"))
-
-
-def cross_entropy(scores_with_label: DataFrame) -> DataFrame:
-    p = F.get(F.col("p"), F.col("label").cast("int"))
-    return scores_with_label.groupBy("model_id").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(-F.log(p)).alias("cross_entropy"))
-
-
-def accuracy(scores_with_label: DataFrame, multi: bool) -> DataFrame:
-    s = predict(scores_with_label, multi)
-    return s.groupBy("model_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy"))
-
-
-def squared_error(scores_with_label: DataFrame) -> DataFrame:
-    y, p = F.col("label"), F.element_at("p", 1)
-    agg = scores_with_label.groupBy("model_id").agg(
-        F.sum((y - p) * (y - p)).alias("sqe"),
-        (F.sum(y * y) - F.sum(y) * F.sum(y) / F.count(F.lit(1))).alias("sst"))
-    return agg.withColumn("r2", F.lit(1.0) - F.try_divide(F.col("sqe"), F.col("sst")))
-
-
 def _labelled(spark, sf, net, fx, where=None):
-    s, ex, m, p = _score(spark, sf, net, fx, where=where)
-    return s.join(ex.select("id", "label"), "id")
+    return _score(spark, sf, net, fx, where=where, keep=("label",))[0]
 
 
 def _metric_sql(net, fx, select, where=None):
@@ -495,13 +460,6 @@ def q_squared_loss(spark, sf):
                      r6(F.col("sqe"), 4).alias("sqe"))
 
 
-def reg_cost(cost: DataFrame, params: DataFrame, models: DataFrame) -> DataFrame:
-    """cost + lambda/2 * sum of squared weights without bias rows."""
-    n = P.weight_norms(params).join(models.select("model_id", "lmbda"), "model_id")
-    return cost.join(n, "model_id").withColumn(
-        "reg_cost", F.col("cost") + F.col("lmbda") / 2.0 * F.col("sq_weights"))
-
-
 @query("reg_cost", lambda: _sql(
     [_ex_cte("L", "split = 'val'"), _params_cte(NET_L2)] + Q.forward_ctes(NET_L2, "ex", "P", "f_")[0]
     + [f"c AS ({Q.row_cost(NET_L2, 'f_out', 'ex')})",
@@ -519,9 +477,17 @@ def q_reg_cost(spark, sf):
 @query("output_error", lambda: _forward_sql(
     NET_L, "L", lambda o: f"SELECT o.id, o.col AS k, {Q.r6('o.p - e.label')} AS e FROM {o} o JOIN ex e ON e.id = o.id"))
 def q_output_error(spark, sf):
-    s = _labelled(spark, sf, NET_L, "L")
-    e = F.transform("p", lambda x: x - F.col("label"))
-    return s.select("id", F.posexplode(e).alias("k", "e")).select("id", "k", r6(F.col("e")).alias("e"))
+    s = output_error(_labelled(spark, sf, NET_L, "L"), multi=False)
+    return s.select("id", F.posexplode("e").alias("k", "e")).select("id", "k", r6(F.col("e")).alias("e"))
+
+
+@query("output_error_multi", lambda: _forward_sql(
+    NET_E, "E", lambda o: "SELECT o.id, o.col AS k, " + Q.r6(
+        "o.p - CASE WHEN o.col = CAST(e.label AS INTEGER) THEN 1.0 ELSE 0.0 END")
+    + f" AS e FROM {o} o JOIN ex e ON e.id = o.id"))
+def q_output_error_multi(spark, sf):
+    s = output_error(_labelled(spark, sf, NET_E, "E"), multi=True)
+    return s.select("id", F.posexplode("e").alias("k", "e")).select("id", "k", r6(F.col("e")).alias("e"))
 
 
 # ---------------------------------------------------------------------------
@@ -578,7 +544,7 @@ def _mg_sql(net: Q.Net, add_velocity=False, look_mu=None) -> tuple[list[str], st
 
 def _mg(spark, sf, net: Q.Net, add_velocity=False, look_mu=None):
     sums, ex, m, p = _gsums(spark, sf, net, "L", state=True, lookahead_mu=look_mu)
-    return S.mean_gradient(sums, p, m, add_velocity=add_velocity), m, ex
+    return S.mean_gradient(PS.stored_sums(sums), p, m, add_velocity=add_velocity), m, ex
 
 
 def _keys_out(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:

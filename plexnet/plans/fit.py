@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 from plexnet.operators import examples as E
 from plexnet.operators.kernel import SCALAR_NAMES, NetSpec
 from plexnet.operators.params import PARAMS_COLS, init_params, warm_start
-from plexnet.operators.passes import scalars_wide, sums_pass
+from plexnet.operators.passes import released_broadcasts, scalars_wide, sums_pass
 from plexnet.operators.steps import CLIP_THRESHOLD, momentum_value, optimizer_step
 from plexnet.session import scratch_path
 
@@ -200,44 +200,43 @@ def _specs(states: dict, mcfg: pd.DataFrame, lookahead_mu: dict) -> list[NetSpec
     return specs
 
 
-ARROW_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
-ARROW_BATCH_VALUES = 8_000_000     # feature values per Arrow batch (64 MB of doubles)
-
-
 def fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None, **kw) -> "FitResult":
     """Train every model of ``models`` on ``examples`` (id, features, label,
-    split); see ``_fit``. Arrow batches of the passes are sized by the feature
-    width for the duration of the loop (fewer, larger NumPy products per
-    task); the session's own setting is restored afterwards."""
-    spark = examples.sparkSession
-    prev = spark.conf.get(ARROW_BATCH_KEY, None)
+    split); see ``_fit``. The examples are cached while the loop runs and
+    released when it ends, also by an error. ``max_partitions`` merges the
+    cached partitions (see ``cache_examples``)."""
+    seeds = [r[0] for r in models.select("batch_seed").distinct().limit(2).collect()]
+    if len(seeds) != 1:
+        raise ValueError("models of one fit must share batch_seed; fit them separately")
+    ex = E.cache_examples(examples, batch_seed=int(seeds[0]), max_partitions=kw.pop("max_partitions", None))
     try:
-        return _fit(examples, models, stored, **kw)
+        return _fit(ex, models, stored, **kw)
     finally:
-        if prev is None:
-            spark.conf.unset(ARROW_BATCH_KEY)
-        else:
-            spark.conf.set(ARROW_BATCH_KEY, prev)
+        ex.unpersist()
 
 
-def _fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None,
+def _fit(ex: DataFrame, models: DataFrame, stored: DataFrame | None = None,
         warm: str = "RND", full_batch: bool = False, fuse: bool = True, step: str = "driver",
         checkpoint_every: int = 0, run_dir: str | None = None,
         initial_params: DataFrame | None = None, resume_from: str | None = None,
         timings: list | None = None) -> FitResult:
-    """Train every model of ``models`` on ``examples`` (id, features, label,
-    split). Returns last and best parameters, history and summary tables.
-    ``timings``, when given, receives the wall seconds of every epoch."""
+    """Train every model of ``models`` on cached examples. Returns last and
+    best parameters, history and summary tables. ``timings``, when given,
+    receives the wall seconds of every epoch.
+
+    ``checkpoint_every`` writes weights, optimiser state, best weights and
+    history of the run so far under ``run_dir``; ``resume_from`` continues
+    from the last checkpoint that was completely written, with the same
+    outcome as a run that was never stopped."""
     import time
     if step not in ("driver", "dataframe"):
         raise ValueError("step must be 'driver' or 'dataframe'")
-    spark = examples.sparkSession
+    spark = ex.sparkSession
     mp = models.toPandas()   # the grid: one row per model
     for col in ("batch_size", "batch_seed", "gradient"):
         if mp[col].nunique() > 1:
             raise ValueError(f"models of one fit must share {col}; fit them separately")
     outputs_max = int(mp["outputs"].max())
-    ex = E.cache_examples(examples, batch_seed=int(mp["batch_seed"].iloc[0]))
     # counts, widths and bad rows per split in one job (it also fills the cache)
     t0 = time.perf_counter()
     stats = E.split_stats(ex, outputs_max).collect()
@@ -247,7 +246,6 @@ def _fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None
     if len(widths) != 1:
         raise ValueError(f"feature width differs between rows or splits: {sorted(widths)}")
     n_features = widths.pop()
-    spark.conf.set(ARROW_BATCH_KEY, str(max(10_000, min(200_000, ARROW_BATCH_VALUES // max(n_features, 1)))))
     for r in stats:
         if r["null_features"] or r["bad_values"] or r["bad_labels"] or r["label_out_of_range"] \
                 or (outputs_max > 1 and r["label_not_integer"]):
@@ -255,14 +253,18 @@ def _fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None
     n_train = counts.get("train", 0)
     if n_train == 0:
         raise ValueError("no train rows")
+    if counts.get("val", 0) == 0:
+        raise ValueError("no validation rows: the best epoch is the one of lowest validation cost")
 
-    start = 0
+    start, saved = 0, None
     if resume_from is not None:
-        done = _list_epochs(spark, resume_from)
+        run_dir = resume_from
+        done = committed_folders(spark, f"{resume_from}/params", "epoch=")
         if done:
             start = max(done)
-            initial_params = spark.read.parquet(f"{resume_from}/params/epoch={start}")
-            run_dir = resume_from
+            saved = spark.read.parquet(f"{resume_from}/params/epoch={start}").toPandas()
+            check_shapes(saved, mp, n_features, f"{resume_from}/params/epoch={start}")
+            initial_params = spark.createDataFrame(saved[PARAMS_COLS], PARAMS_SCHEMA)
     if initial_params is not None:
         p0 = initial_params
     else:
@@ -287,6 +289,16 @@ def _fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None
     pending: dict = {}
     best = {m: np.inf for m in epochs}
     best_states = {m: states[m].copy() for m in epochs}
+    if saved is not None:
+        b = saved.assign(theta=saved["best_theta"], velocity=saved["best_velocity"], gacc=saved["best_gacc"])
+        best_states = states_from_pandas(b[PARAMS_COLS])
+        for r in spark.read.parquet(f"{resume_from}/progress/epoch={start}").collect():
+            row = {k: r[k] for k in ("model_id", "epoch", "cost_train")}
+            if r["pending"]:   # its validation comes with the first pass
+                pending[r["model_id"]] = row | {"_sq": r["sq"]}
+            else:
+                hist_rows.append(row | {k: r[k] for k in ("cost_val", "acc_val", "sqe_val")})
+                best[r["model_id"]] = min(best[r["model_id"]], r["cost_val"])
 
     def close_epoch(vals: pd.DataFrame, weights: dict):
         for m, row in pending.items():
@@ -309,9 +321,9 @@ def _fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None
                for m in epochs}
         if t == t_max:
             if fuse and pending:   # validation of the last weights
-                vs = sums_pass(ex, _specs(states, mcfg, {}), val=is_val, with_grads=False,
-                               layout="blocks")
-                _, vals = grads_from_blocks(vs.toPandas(), states)
+                with released_broadcasts():
+                    vs = sums_pass(ex, _specs(states, mcfg, {}), val=is_val, with_grads=False, layout="blocks").toPandas()
+                _, vals = grads_from_blocks(vs, states)
                 close_epoch(vals, states)
             break
         look = {m: mus[m] for m in active if mcfg.loc[m, "optimizer"] == "nesterov"}
@@ -324,11 +336,12 @@ def _fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None
         # the mini-batch draw runs in the kernel: no epoch constant enters the
         # Spark plan, so its generated code is compiled once, not every epoch
         draw = (frac, seed, t) if (not online and frac < 1.0) else None
-        val_flag = is_val if (fuse and t > start) else None
+        val_flag = is_val if (fuse and pending) else None
         if step == "driver":
-            sums = sums_pass(ex, specs, train=is_train, batch=batch, val=val_flag, layout="blocks",
-                             draw=draw)
-            grads, sc = grads_from_blocks(sums.toPandas(), states)
+            with released_broadcasts():
+                sums = sums_pass(ex, specs, train=is_train, batch=batch, val=val_flag, layout="blocks",
+                                 draw=draw).toPandas()
+            grads, sc = grads_from_blocks(sums, states)
             new_states = {}
             for m, st in states.items():
                 if m in active:
@@ -338,15 +351,16 @@ def _fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None
                     new_states[m] = st
         else:
             # the pass output is read by several branches of the step plan
-            sums = sums_pass(ex, specs, train=is_train, batch=batch, val=val_flag, draw=draw)
-            sums = sums.persist(StorageLevel.MEMORY_AND_DISK)
-            out = optimizer_step(_params_df(spark, states_to_pandas(states)), sums, models, t,
-                                 scalars_wide(sums)).toPandas()
-            sums.unpersist()
+            with released_broadcasts():
+                sums = sums_pass(ex, specs, train=is_train, batch=batch, val=val_flag, draw=draw)
+                sums = sums.persist(StorageLevel.MEMORY_AND_DISK)
+                out = optimizer_step(_params_df(spark, states_to_pandas(states)), sums, models, t,
+                                     scalars_wide(sums)).toPandas()
+                sums.unpersist()
             sc = out.groupby("model_id")[list(SCALAR_NAMES)].first().fillna(0.0)
             stepped = states_from_pandas(out[PARAMS_COLS])
             new_states = {m: (stepped[m] if m in active else st) for m, st in states.items()}
-        if fuse and t > start:
+        if fuse and pending:
             close_epoch(sc, states)       # val rows of pass t scored theta_t
         for m in active:
             r = sc.loc[m]
@@ -356,38 +370,69 @@ def _fit(examples: DataFrame, models: DataFrame, stored: DataFrame | None = None
                               + float(mcfg.loc[m, "lmbda"]) / 2.0 * sq)
         states = new_states
         if not fuse:
-            vs = sums_pass(ex, _specs(states, mcfg, {}), val=is_val, with_grads=False,
-                           layout="blocks")
-            _, vals = grads_from_blocks(vs.toPandas(), states)
+            with released_broadcasts():
+                vs = sums_pass(ex, _specs(states, mcfg, {}), val=is_val, with_grads=False, layout="blocks").toPandas()
+            _, vals = grads_from_blocks(vs, states)
             close_epoch(vals, states)
         if checkpoint_every and (t + 1) % checkpoint_every == 0:
-            _params_df(spark, states_to_pandas(states)).write.mode("overwrite") \
-                .parquet(f"{run_dir}/params/epoch={t + 1}")
+            _save(spark, run_dir, t + 1, states, best_states, hist_rows, pending)
         log.info("epoch %d: %.2fs", t, time.perf_counter() - t_start)
         if timings is not None:
             timings.append(time.perf_counter() - t_start)
 
-    ex.unpersist()
     history = spark.createDataFrame(
         pd.DataFrame(hist_rows, columns=["model_id", "epoch", "cost_train", "cost_val", "acc_val",
                                          "sqe_val"]), HISTORY_SCHEMA)
     if checkpoint_every:
-        history.write.mode("append").parquet(f"{run_dir}/history")
+        history.write.mode("overwrite").parquet(f"{run_dir}/history")
     summary = model_summary(history, models, n_features)
     return FitResult(params=_params_df(spark, states_to_pandas(states)),
                      best_params=_params_df(spark, states_to_pandas(best_states)),
                      history=history, summary=summary)
 
 
-def _list_epochs(spark: SparkSession, run_dir: str) -> list[int]:
-    """Epochs with saved parameters under ``run_dir`` (any Hadoop file system)."""
+PROGRESS_SCHEMA = HISTORY_SCHEMA + ", pending boolean, sq double"
+
+
+def _save(spark: SparkSession, run_dir: str, epoch: int, states: dict, best_states: dict, hist_rows: list,
+          pending: dict) -> None:
+    """One checkpoint: the history first, the weights last, so that a complete
+    ``params`` folder vouches for the whole checkpoint."""
+    rows = [(r["model_id"], r["epoch"], r["cost_train"], r["cost_val"], r["acc_val"], r["sqe_val"], False, None)
+            for r in hist_rows]
+    rows += [(m, r["epoch"], r["cost_train"], None, None, None, True, r["_sq"]) for m, r in pending.items()]
+    rows = [tuple(v.item() if isinstance(v, np.generic) else v for v in r) for r in rows]
+    spark.createDataFrame(rows, PROGRESS_SCHEMA).write.mode("overwrite").parquet(f"{run_dir}/progress/epoch={epoch}")
+    now, best = states_to_pandas(states), states_to_pandas(best_states)
+    for c in ("theta", "velocity", "gacc"):
+        now[f"best_{c}"] = best[c]
+    schema = PARAMS_SCHEMA + ", best_theta double, best_velocity double, best_gacc double"
+    spark.createDataFrame(now, schema).write.mode("overwrite").parquet(f"{run_dir}/params/epoch={epoch}")
+
+
+def committed_folders(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """Numbers n of the sub folders ``<prefix>n`` whose write was committed
+    (they hold ``_SUCCESS``), sorted; on any Hadoop file system."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{run_dir}/params")
+    path = jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return []
-    return [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path)
-            if s.getPath().getName().startswith("epoch=")]
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return sorted(int(n[len(prefix):]) for n in names if n.startswith(prefix)
+                  and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))
+
+
+def check_shapes(params_pdf: pd.DataFrame, models_pdf: pd.DataFrame, n_features: int, where: str) -> None:
+    """Raise unless stored weights have exactly the layers of the models."""
+    have = {(str(m), int(l)): (int(g["row"].max()) + 1, int(g["col"].max()) + 1, len(g))
+            for (m, l), g in params_pdf.groupby(["model_id", "layer"])}
+    want = {}
+    for r in models_pdf.itertuples():
+        sizes = [n_features, *list(r.hidden), int(r.outputs)]
+        want.update({(r.model_id, i): (a + 1, b, (a + 1) * b) for i, (a, b) in enumerate(zip(sizes, sizes[1:]))})
+    if have != want:
+        raise ValueError(f"{where}: stored layers {have} do not fit the models' {want}")
 
 
 def model_summary(history: DataFrame, models: DataFrame, n_features: int) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 # ---------------------------------------------------------------------------
 # Default settings of the reference trainer
 #   seed 4237842, init xnormal, fan fan_in, hidden layers "20", outputs 1,
-#   epochs 200, itert 1, warm start RND, learning rate 0.1, learning_mod "",
+#   epochs 200, itert 1, learning rate 0.1, learning_mod "",
 #   lambda 1e-10, maxmu 0.95, activation sigmoid, optimizer momentum,
 #   gradient SGD, mini-batch about 512 rows drawn with seed 2332
 # ---------------------------------------------------------------------------
@@ -26,7 +26,6 @@ DEFAULTS = {
     "outputs": 1,
     "epochs": 200,
     "itert": 1.0,
-    "warm": "RND",
     "rate": 0.1,
     "learning_mod": "",
     "lmbda": 1e-10,
@@ -44,6 +43,7 @@ INITS = ("xuniform", "xnormal", "deeplearning")
 FANS = ("fan_in", "fan_out", "fan_avg")
 GRADIENTS = ("SGD", "olGD")
 LOSSES = ("log", "squared")
+LEARNING_MODS = ("", "ADA")
 
 MODELS_SCHEMA = (
     "model_id string, hidden array<int>, outputs int, activation string, rate double, "
@@ -69,7 +69,7 @@ def model_settings(**overrides) -> dict:
     from plexnet.functions.activations import get_activation
     get_activation(s["activation"])
     for key, allowed in (("optimizer", OPTIMIZERS), ("init", INITS), ("fan", FANS),
-                         ("gradient", GRADIENTS), ("loss", LOSSES)):
+                         ("gradient", GRADIENTS), ("loss", LOSSES), ("learning_mod", LEARNING_MODS)):
         if s[key] not in allowed:
             raise ValueError(f"{key} must be one of {allowed}, got {s[key]!r}")
     if int(s["outputs"]) < 1:

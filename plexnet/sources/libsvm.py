@@ -16,16 +16,18 @@ def read_libsvm(spark: SparkSession, path: str, num_features: int | None = None,
     indices; missing indices are 0). Give ``num_features`` so train and
     validation files agree on the width. ``split`` fixes the split name for
     every row (the reference reads '<name>train' and '<name>val' files);
-    otherwise rows are split by md5 of the id. The id is md5 of the label
-    and values, so identical lines share one id."""
+    otherwise rows are split by md5 of the id. The id is md5 of the file, the
+    start of the file block and the row's place in the scan: rows with equal
+    lines have different ids, and a file that is read again with the same
+    split size gives the same ids."""
     reader = spark.read.format("libsvm")
     if num_features is not None:
         reader = reader.option("numFeatures", int(num_features))
     df = reader.load(path)
     feats = vector_to_array(F.col("features"), "float64")
-    out = df.select(F.col("label").cast("double").alias("label"), feats.alias("features"))
-    key = F.array_join(F.transform("features", lambda x: x.cast("string")), " ")
-    out = out.withColumn("id", md5_id(F.col("label").cast("string"), key))
+    place = md5_id(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+                   F.monotonically_increasing_id())
+    out = df.select(place.alias("id"), F.col("label").cast("double").alias("label"), feats.alias("features"))
     sp = F.lit(split) if split is not None else split_column(F.col("id"))
     return out.select("id", "features", "label", sp.alias("split"))
 

@@ -34,14 +34,14 @@ SPACE_CLASS = "[ \\t\\n\\r]"
 FIXTURE_NAMES = ("E", "E2", "ES", "D", "DT", "L", "LM", "V")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A source table. When the file gives fewer input partitions than the
-    cluster has cores (a single Parquet row group is read by one task), rows
-    are spread round-robin first, so the per-row projections after it (md5
-    ids, text shares, the network pass) run on all cores. Column pruning
-    still reaches the scan; large inputs are never reshuffled."""
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A source table. ``spread`` deals the rows of a file that gives fewer
+    input partitions than the cluster has cores (a single Parquet row group is
+    read by one task) round-robin over the cores first. It is for small files
+    only: by default the scan's own partitions stay."""
     from plexnet.operators.passes import balance
-    return balance(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    t = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return balance(t) if spread else t
 
 
 def split_column(id_col: Column, val_fraction: float = VAL_FRACTION, seed=None) -> Column:
@@ -77,10 +77,11 @@ def _lineitem_features() -> list[Column]:
             F.col("l_discount") * 10.0, F.col("l_tax") * 12.5]
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The named fixture of FIXTURES.md over the whole source table."""
+def fixture(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """The named fixture of FIXTURES.md over the whole source table; for
+    ``spread`` see :func:`table`."""
     if name in ("E", "E2", "ES"):
-        t = table(spark, sf_dir, "embeddings")
+        t = table(spark, sf_dir, "embeddings", spread)
         if name == "E":
             lab = F.col("label")
         elif name == "E2":
@@ -90,7 +91,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
                     + F.element_at("embedding", 2).cast("double")) > 0).cast("double")
         return examples_from_table(t, F.col("embedding"), lab, F.col("vec_id"))
     if name in ("L", "LM"):
-        t = table(spark, sf_dir, "lineitem")
+        t = table(spark, sf_dir, "lineitem", spread)
         if name == "L":
             lab = (F.col("l_extendedprice") * (1.0 - F.col("l_discount")) > 50000.0).cast("double")
         else:
@@ -99,9 +100,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
                    .when(F.col("l_returnflag") == "R", 2.0))
         return examples_from_table(t, _lineitem_features(), lab, lineitem_id())
     if name in ("D", "DT"):
-        docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-        labels = table(spark, sf_dir, "labels")
-        t = docs.join(labels, "doc_id")
+        # the five numbers are made before the join, so texts never cross it
         n = F.col("n_chars").cast("double")
 
         def share(pattern: str) -> Column:
@@ -109,11 +108,14 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             hits = F.length("text") - F.length(F.regexp_replace(F.col("text"), pattern, ""))
             return hits.cast("double") / n
 
-        feats = [F.log(n), share("[0-9]"), share("\\n"), share(PUNCT_CLASS), share(SPACE_CLASS)]
+        docs = table(spark, sf_dir, "documents", spread).select("doc_id", F.array(
+            F.log(n), share("[0-9]"), share("\\n"), share(PUNCT_CLASS), share(SPACE_CLASS)).alias("shares"))
+        t = docs.join(table(spark, sf_dir, "labels"), "doc_id")
+        feats = F.col("shares")
         lab = F.col("quality") if name == "D" else F.col("toxic")
         return examples_from_table(t, feats, lab, F.col("doc_id"))
     if name == "V":
-        return events_examples(table(spark, sf_dir, "events"))
+        return events_examples(table(spark, sf_dir, "events", spread))
     raise ValueError(f"unknown fixture {name!r}; known: {FIXTURE_NAMES}")
 
 

@@ -48,23 +48,34 @@ def write_weights_text(params: DataFrame, path: str, activation="sigmoid", mode:
 
 
 def read_weights_text(spark: SparkSession, path: str) -> DataFrame:
-    """(model_id, layer, row, col, theta, activation) of every model file."""
-    raw = spark.read.schema(TEXT_SCHEMA).text(path, wholetext=True)
-    lines = F.split(F.col("value"), "\n")
+    """(model_id, layer, row, col, theta, activation) of every model file:
+    folders ``model_id=<id>`` as ``write_weights_text`` makes them, or plain
+    files (one, a folder or a glob of them) with the file's path as model id.
+    A blank line between values raises, since later weights would move; blank
+    lines at the end are ignored, and missing last values stay 0."""
+    if "model_id" in spark.read.text(path).columns:
+        raw = spark.read.schema(TEXT_SCHEMA).text(path, wholetext=True)
+    else:
+        raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("model_id"))
+    raw = raw.withColumn("value", F.regexp_replace("value", r"\s+$", ""))
+    lines = F.split(F.col("value"), "\r?\n")
     hdr = F.split(F.element_at(lines, 1), "_")
     t = raw.select("model_id",
                    F.transform(F.slice(hdr, 1, F.size(hdr) - 1), lambda x: x.cast("int")).alias("sizes"),
                    F.element_at(hdr, -1).alias("activation"),
-                   F.filter(F.slice(lines, 2, F.size(lines)), lambda s: F.trim(s) != "").alias("vals"))
+                   F.slice(lines, 2, F.size(lines)).alias("vals"))
     n_layers = F.size("sizes") - 1
     layer_size = F.transform(F.sequence(F.lit(1), n_layers),
                              lambda j: (F.element_at("sizes", j) + 1) * F.element_at("sizes", j + 1))
     ends = F.transform(F.sequence(F.lit(1), n_layers),
                        lambda l: F.aggregate(F.slice(layer_size, 1, l), F.lit(0), lambda a, x: a + x))
     t = t.withColumn("ends", ends).withColumn("n_weights", F.element_at("ends", -1))
-    too_long = t.where(F.size("vals") > F.col("n_weights")).select("model_id").limit(5).collect()
-    if too_long:
-        raise ValueError(f"weight files with more values than the header allows: {[r[0] for r in too_long]}")
+    for what, bad in (("more values than the header allows", F.size("vals") > F.col("n_weights")),
+                      ("a blank line between values", F.exists("vals", lambda v: F.trim(v) == ""))):
+        found = t.where(bad).select("model_id")
+        first = [r[0] for r in found.limit(5).collect()]
+        if first:
+            raise ValueError(f"weight files with {what}: first {len(first)} of {found.count()}: {first}")
     # every position of the header's network, left-joined with the values
     # (one row per value; missing trailing values stay 0)
     vals = t.select("model_id", F.posexplode("vals").alias("pos", "v"))

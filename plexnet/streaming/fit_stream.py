@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexnet.operators.params import PARAMS_COLS
-from plexnet.operators.passes import score, sums_pass
+from plexnet.operators.passes import released_broadcasts, score, sums_pass
 from plexnet.operators.steps import momentum_value
-from plexnet.plans.fit import (_params_df, _specs, grads_from_blocks, numpy_step, states_from_pandas,
+from plexnet.plans.fit import (_params_df, _specs, committed_folders, grads_from_blocks, numpy_step, states_from_pandas,
                                states_to_pandas)
 from plexnet.session import scratch_path
 
@@ -36,13 +36,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _batches_done(spark: SparkSession, run_dir: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{run_dir}/params")
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    return sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p)
-                  if s.getPath().getName().startswith("batch_id="))
+    return committed_folders(spark, f"{run_dir}/params", "batch_id=")
 
 
 def fit_stream(stream: DataFrame, models: DataFrame, initial_params: DataFrame,
@@ -66,12 +60,13 @@ def fit_stream(stream: DataFrame, models: DataFrame, initial_params: DataFrame,
         look = {m: momentum_value(batch_id, float(mcfg.loc[m, "itert"]), float(mcfg.loc[m, "maxmu"]))
                 for m in states if mcfg.loc[m, "optimizer"] == "nesterov"}
         specs = _specs(states, mcfg, look)
-        sums = sums_pass(batch_df.select("features", "label"), specs, train=F.lit(True), batch=F.lit(True),
-                         layout="blocks")
-        grads, sc = grads_from_blocks(sums.toPandas(), states)
+        with released_broadcasts():
+            sums = sums_pass(batch_df.select("features", "label"), specs, train=F.lit(True), batch=F.lit(True),
+                             layout="blocks").toPandas()
+        grads, sc = grads_from_blocks(sums, states)
         new = {}
         for m, st in states.items():
-            if m not in sc.index:          # empty micro-batch
+            if m not in sc.index or not sc.loc[m, "batch_n"]:          # empty micro-batch
                 new[m] = st
                 continue
             mu = momentum_value(batch_id, float(mcfg.loc[m, "itert"]), float(mcfg.loc[m, "maxmu"]))
