@@ -91,6 +91,40 @@ def _params_cte(*nets: Q.Net, state: bool = False, name: str = "P") -> str:
     return f"{name} AS MATERIALIZED (" + " UNION ALL ".join(Q.init_params(n, state) for n in nets) + ")"
 
 
+#: Momentum of the first epoch.
+MU0 = S.momentum_value(0, 1.0, 0.95)
+
+
+def _trained(spark: SparkSession, sf: str, *pairs: tuple[Q.Net, str]) -> DataFrame:
+    """Parameters after one full-batch momentum step on the fixture of each
+    net: weights, velocities and gradient sums that come from the table."""
+    out = []
+    for fx in dict.fromkeys(f for _, f in pairs):
+        ex = T.fixture(spark, sf, fx)
+        m = _models(spark, *(n for n, f in pairs if f == fx))
+        p = with_state(P.init_params(m, E.feature_width_value(ex)))
+        sums = PS.stored_sums(PS.gradient_sums(ex, p, m))
+        out.append(S.step_momentum(S.mean_gradient(sums, p, m), m, MU0).select(
+            *P.KEYS, "theta", "velocity", "gacc"))
+    return PS.stored_sums(PS._union(out))
+
+
+def _trained_ctes(*pairs: tuple[Q.Net, str], name: str = "P") -> list[str]:
+    """The same parameters in SQL, as the table ``name``."""
+    ctes, tables, tag = [], [], name.lower()
+    for fx in dict.fromkeys(f for _, f in pairs):
+        ctes.append(f"{tag}_ex_{fx} AS MATERIALIZED ({Q.fixture(fx)})")
+    for i, (net, fx) in enumerate(pairs):
+        ex, p0 = f"{tag}_ex_{fx}", f"{tag}_{i}_p"
+        ctes.append(f"{p0} AS MATERIALIZED ({Q.init_params(net, True)})")
+        bc, gs = Q.backprop_ctes(net, ex, p0, f"{tag}_{i}_b_")
+        mc, mg = Q.mean_gradient_ctes(net, p0, gs, f"(SELECT count(*) FROM {ex})", f"{tag}_{i}_m_")
+        sc, new = Q.step_ctes(net, mg, f"{tag}_{i}_s_", "momentum", MU0, n_train=f"(SELECT count(*) FROM {ex})")
+        ctes += bc + mc + sc
+        tables.append(f"SELECT model_id, layer, row, col, theta, velocity, gacc FROM {new}")
+    return [*ctes, f"{name} AS MATERIALIZED (" + " UNION ALL ".join(tables) + ")"]
+
+
 # ---------------------------------------------------------------------------
 # 2.1 sources and sinks
 # ---------------------------------------------------------------------------
@@ -176,38 +210,28 @@ def q_libsvm_scan(spark, sf):
                        F.col("split").isin("train", "val").alias("has_split"))
 
 
-def _init_sql(*nets: Q.Net, state: bool = False) -> str:
-    return _sql([_params_cte(*nets, state=state)],
-                "SELECT model_id, layer, row, col, " + Q.r6("theta") + " AS theta FROM P")
+TWO = ((NET_L2, "L"), (NET_E, "E"))
+_THETA_SQL = "SELECT model_id, layer, row, col, " + Q.r6("theta") + " AS theta FROM P"
 
 
-@query("weights_text_roundtrip", lambda: _init_sql(NET_L2, NET_E))
+@query("weights_text_roundtrip", lambda: _sql(_trained_ctes(*TWO), _THETA_SQL))
 def q_weights_text_roundtrip(spark, sf):
     from plexnet.session import scratch_path
     from plexnet.sources.weights import read_weights_text, write_weights_text
-    ex_w = E.feature_width_value(T.fixture(spark, sf, "L"))
-    m2 = _models(spark, NET_L2)
-    mE = _models(spark, NET_E)
-    p = P.init_params(m2, ex_w).unionByName(
-        P.init_params(mE, E.feature_width_value(T.fixture(spark, sf, "E"))))
     path = scratch_path(spark, "weights")
-    write_weights_text(p, path, activation={NET_L2.model_id: NET_L2.activation,
-                                            NET_E.model_id: NET_E.activation})
+    write_weights_text(_trained(spark, sf, *TWO), path, activation={n.model_id: n.activation for n, _ in TWO})
     back = read_weights_text(spark, path)
     return back.select("model_id", "layer", "row", "col", r6(F.col("theta")).alias("theta"))
 
 
-@query("params_roundtrip", lambda: _sql([_params_cte(NET_L2, state=True)],
+@query("params_roundtrip", lambda: _sql(_trained_ctes((NET_L2, "L")),
        "SELECT model_id, layer, row, col, " + Q.r6("theta") + " AS theta, " + Q.r6("velocity")
        + " AS velocity, " + Q.r6("gacc") + " AS gacc FROM P"))
 def q_params_roundtrip(spark, sf):
     from plexnet.session import scratch_path
     from plexnet.sources.weights import read_params, write_params
-    w = E.feature_width_value(T.fixture(spark, sf, "L"))
-    m = _models(spark, NET_L2)
-    p = with_state(P.init_params(m, w))
     path = scratch_path(spark, "params")
-    write_params(p, path)
+    write_params(_trained(spark, sf, (NET_L2, "L")), path)
     back = read_params(spark, path)
     return back.select("model_id", "layer", "row", "col", r6(F.col("theta")).alias("theta"),
                        r6(F.col("velocity")).alias("velocity"), r6(F.col("gacc")).alias("gacc"))
@@ -634,28 +658,35 @@ def q_architecture(spark, sf):
 
 
 def _init_query(net: Q.Net, fx: str):
+    """Fresh weights with the width of the fixture, a column of the plan."""
     def fn(spark, sf):
-        w = E.feature_width_value(T.fixture(spark, sf, fx))
-        p = P.init_params(_models(spark, net), w)
-        return p.select(*P.KEYS, r6(F.col("theta")).alias("theta"))
+        ex = T.fixture(spark, sf, fx)
+        p = P.init_params(_models(spark, net), E.feature_width_value(ex))
+        width = E.feature_width(ex).select(F.col("max_width").cast("int").alias("n_features"))   # one row
+        return p.crossJoin(width).select(*P.KEYS, r6(F.col("theta")).alias("theta"), "n_features")
     return fn
 
 
+def _init_sql(net: Q.Net, fx: str) -> str:
+    return _sql([_ex_cte(fx), _params_cte(net)],
+                "SELECT model_id, layer, row, col, " + Q.r6("theta")
+                + " AS theta, (SELECT CAST(max(len(features)) AS INTEGER) FROM ex) AS n_features FROM P")
+
+
 NET_INIT_U = Q.Net("U", [4, 8, 4, 1], init="xuniform", seed=11)
 NET_INIT_N = Q.Net("N", [64, 16, 10], init="xnormal", seed=12)
 NET_INIT_F = Q.Net("F", [64, 16, 10], init="deeplearning", fan="fan_out", seed=13)
 
-query("init_xuniform", lambda: _init_sql(NET_INIT_U))(_init_query(NET_INIT_U, "L"))
-query("init_xnormal", lambda: _init_sql(NET_INIT_N))(_init_query(NET_INIT_N, "E"))
-query("init_fan", lambda: _init_sql(NET_INIT_F))(_init_query(NET_INIT_F, "E"))
+query("init_xuniform", lambda: _init_sql(NET_INIT_U, "L"))(_init_query(NET_INIT_U, "L"))
+query("init_xnormal", lambda: _init_sql(NET_INIT_N, "E"))(_init_query(NET_INIT_N, "E"))
+query("init_fan", lambda: _init_sql(NET_INIT_F, "E"))(_init_query(NET_INIT_F, "E"))
 
 
-@query("zero_state", lambda: _sql([_params_cte(NET_L2, state=True)],
+@query("zero_state", lambda: _sql(_trained_ctes((NET_L2, "L")),
        "SELECT model_id, layer, row, col, " + Q.r6("theta") + f" AS theta, {Q.d(0.0)} AS velocity, "
        f"{Q.d(0.0)} AS gacc FROM P"))
 def q_zero_state(spark, sf):
-    w = E.feature_width_value(T.fixture(spark, sf, "L"))
-    p = P.zero_state(with_state(P.init_params(_models(spark, NET_L2), w)))
+    p = P.zero_state(_trained(spark, sf, (NET_L2, "L")))
     return p.select(*P.KEYS, r6(F.col("theta")).alias("theta"), "velocity", "gacc")
 
 
@@ -667,7 +698,7 @@ NET_PT_STORED = Q.Net("W", [4, 8, 6, 1], init="xnormal", seed=31)
 def _warm_sql(stored: Q.Net, fresh: Q.Net, mode: str) -> str:
     last = stored.n_layers - 1
     cond = f"s.layer <= {last}" if mode == "AE" else f"s.layer < {last}"
-    return _sql([f"S AS ({Q.init_params(stored)})", f"Fr AS ({Q.init_params(fresh)})"],
+    return _sql(_trained_ctes((stored, "L"), name="S") + [f"Fr AS ({Q.init_params(fresh)})"],
                 "SELECT f.model_id, f.layer, f.row, f.col, "
                 + Q.r6("coalesce(s.theta, f.theta)") + " AS theta FROM Fr f LEFT JOIN S s ON "
                 f"s.layer = f.layer AND s.row = f.row AND s.col = f.col AND {cond}")
@@ -676,7 +707,7 @@ def _warm_sql(stored: Q.Net, fresh: Q.Net, mode: str) -> str:
 def _warm_query(stored: Q.Net, fresh: Q.Net, mode: str):
     def fn(spark, sf):
         w = E.feature_width_value(T.fixture(spark, sf, "L"))
-        st = P.init_params(_models(spark, stored), w)
+        st = _trained(spark, sf, (stored, "L"))
         fr = P.init_params(_models(spark, fresh), w)
         out = P.warm_start(fr, st, mode)
         return out.select(*P.KEYS, r6(F.col("theta")).alias("theta"))
@@ -689,43 +720,41 @@ query("warm_start_pt", lambda: _warm_sql(NET_PT_STORED, NET_AE_FRESH, "PT"))(
     _warm_query(NET_PT_STORED, NET_AE_FRESH, "PT"))
 
 
-def _grid_params(spark, sf) -> DataFrame:
-    w = E.feature_width_value(T.fixture(spark, sf, "L"))
-    return P.init_params(_models(spark, NET_L, NET_L2, NET_LV), w)
+THREE = ((NET_L, "L"), (NET_L2, "L"), (NET_LV, "L"))
 
 
-@query("layer_shapes", lambda: _sql([_params_cte(NET_L, NET_L2, NET_LV)],
+@query("layer_shapes", lambda: _sql(_trained_ctes(*THREE),
        "SELECT model_id, layer, max(row) + 1 AS rows, max(col) + 1 AS cols, count(*) AS n FROM P "
        "GROUP BY model_id, layer"))
 def q_layer_shapes(spark, sf):
-    return P.layer_shapes(_grid_params(spark, sf))
+    return P.layer_shapes(_trained(spark, sf, *THREE))
 
 
 _FLAT_SQL = ("SELECT model_id, CAST(row_number() OVER (PARTITION BY model_id ORDER BY layer, row, col) - 1 "
              "AS INTEGER) AS pos, " + Q.r6("theta") + " AS theta FROM P")
 
 
-@query("flatten_params", lambda: _sql([_params_cte(NET_L, NET_L2, NET_LV)], _FLAT_SQL))
+@query("flatten_params", lambda: _sql(_trained_ctes(*THREE), _FLAT_SQL))
 def q_flatten_params(spark, sf):
-    f = P.flatten_params(_grid_params(spark, sf))
+    f = P.flatten_params(_trained(spark, sf, *THREE))
     return f.select("model_id", F.posexplode("flat").alias("pos", "theta")).select(
         "model_id", "pos", r6(F.col("theta")).alias("theta"))
 
 
-@query("unflatten_params", lambda: _init_sql(NET_L, NET_L2, NET_LV))
+@query("unflatten_params", lambda: _sql(_trained_ctes(*THREE), _THETA_SQL))
 def q_unflatten_params(spark, sf):
     w = E.feature_width_value(T.fixture(spark, sf, "L"))
     models = _models(spark, NET_L, NET_L2, NET_LV)
-    flat = P.flatten_params(P.init_params(models, w))
+    flat = P.flatten_params(_trained(spark, sf, *THREE))
     back = P.unflatten_params(flat, models, w)
     return back.select(*P.KEYS, r6(F.col("theta")).alias("theta"))
 
 
-@query("weight_norms", lambda: _sql([_params_cte(NET_L, NET_L2, NET_LV)],
+@query("weight_norms", lambda: _sql(_trained_ctes(*THREE),
        "SELECT model_id, " + Q.r6("sum(CASE WHEN row > 0 THEN theta * theta ELSE 0.0 END)")
        + " AS sq_weights FROM P GROUP BY model_id"))
 def q_weight_norms(spark, sf):
-    n = P.weight_norms(_grid_params(spark, sf))
+    n = P.weight_norms(_trained(spark, sf, *THREE))
     return n.select("model_id", r6(F.col("sq_weights")).alias("sq_weights"))
 
 
@@ -787,9 +816,6 @@ def _step_sql(net: Q.Net, optimizer: str, mu: float, look=False) -> str:
     return _keys_sql(ctes + sc, new, "theta", "velocity", "gacc")
 
 
-MU0 = S.momentum_value(0, 1.0, 0.95)
-
-
 @query("step_vanilla", lambda: _step_sql(NET_LV, "vanilla", 0.0))
 def q_step_vanilla(spark, sf):
     g, m, ex = _mg(spark, sf, NET_LV)
@@ -809,12 +835,10 @@ def q_step_momentum_ada(spark, sf):
     return _keys_out(S.step_momentum(g, m, MU0), "theta", "velocity", "gacc")
 
 
-@query("lookahead", lambda: _sql([_params_cte(NET_L2, state=True)],
+@query("lookahead", lambda: _sql(_trained_ctes((NET_L2, "L")),
        "SELECT model_id, layer, row, col, " + Q.r6(f"theta + {Q.d(MU0)} * velocity") + " AS theta FROM P"))
 def q_lookahead(spark, sf):
-    w = E.feature_width_value(T.fixture(spark, sf, "L"))
-    p = with_state(P.init_params(_models(spark, NET_L2), w))
-    return _keys_out(S.lookahead(p, MU0), "theta")
+    return _keys_out(S.lookahead(_trained(spark, sf, (NET_L2, "L")), MU0), "theta")
 
 
 @query("step_nesterov", lambda: _step_sql(NET_L2, "momentum", MU0, look=True))
