@@ -7,6 +7,8 @@ then the next epoch on the new parameter table.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +26,12 @@ HIST_EPOCHS = 3
 
 
 def _fit_ctes(net: Q.Net, epochs: int, ex_train: str = "extr",
-              minibatch: tuple[int, int] | None = None) -> tuple[list[str], list[str]]:
+              minibatch: tuple[int, int] | None = None, online: int | None = None) -> tuple[list[str], list[str]]:
     """CTEs of ``epochs`` epochs, full batch or, with ``minibatch=(size,
-    seed)``, on the rows drawn for each epoch; returns (ctes, parameter
-    tables P_0 .. P_epochs)."""
-    tag = net.model_id.lower()
+    seed)``, on the rows drawn for each epoch, or with ``online=seed`` on the
+    one row of the smallest draw; returns (ctes, parameter tables P_0 ..
+    P_epochs)."""
+    tag = re.sub(r"\W", "_", "n" + net.model_id.lower())
     p0 = f"p_{tag}_0"
     ctes = [f"{p0} AS MATERIALIZED ({Q.init_params(net)})"]
     names = [p0]
@@ -41,6 +44,10 @@ def _fit_ctes(net: Q.Net, epochs: int, ex_train: str = "extr",
             draw = mix_sql(Q.md5_bits("id", Q.q(str(seed))), seed, t)
             ctes.append(f"{batch} AS MATERIALIZED (SELECT * FROM {ex_train} WHERE {draw} < "
                         f"least({Q.d(1.0)}, {Q.d(float(size))} / (SELECT count(*) FROM {ex_train})))")
+        if online is not None:
+            batch = f"{pre}batch"
+            draw = mix_sql(Q.md5_bits("id", Q.q(str(online))), online, t + 10)
+            ctes.append(f"{batch} AS MATERIALIZED (SELECT * FROM {ex_train} ORDER BY {draw}, id LIMIT 1)")
         bc, gs = Q.backprop_ctes(net, batch, names[-1], pre)
         mc, mg = Q.mean_gradient_ctes(net, names[-1], gs, f"(SELECT count(*) FROM {batch})", pre)
         mu = Q.momentum_mu(t, net.itert, net.maxmu)
@@ -114,14 +121,19 @@ query("fit_grid", lambda: _fit_sql("L", NET_FIT_L, NET_LV, NET_FIT_N))(
 
 # --- history and best epoch -------------------------------------------------
 
-def _history_sql(net: Q.Net, epochs: int) -> tuple[list[str], str]:
+def _history_sql(net: Q.Net, epochs: int, **mode) -> tuple[list[str], str]:
     ctes = _ex_ctes("L")
-    c, names = _fit_ctes(net, epochs)
-    ctes += c
+    c, h, _ = _history_ctes(net, epochs, "h", **mode)
+    return [*ctes, *c, f"hist AS ({h})"], "hist"
+
+
+def _history_ctes(net: Q.Net, epochs: int, tag: str, **mode) -> tuple[list[str], str, list[str]]:
+    """(CTEs, SELECT of the history, parameter tables) of one net."""
+    ctes, names = _fit_ctes(net, epochs, **mode)
     rows = []
     for t in range(epochs):
         cur, nxt = names[t], names[t + 1]
-        pre_tr, pre_va = f"h{t}tr_", f"h{t}va_"
+        pre_tr, pre_va = f"{tag}{t}tr_", f"{tag}{t}va_"
         ftr, otr = Q.forward_ctes(net, "extr", cur, pre_tr)
         fva, ova = Q.forward_ctes(net, "exva", nxt, pre_va)
         ctes += ftr + fva
@@ -136,8 +148,7 @@ def _history_sql(net: Q.Net, epochs: int) -> tuple[list[str], str]:
             f"(SELECT avg(cost) FROM {pre_va}c) + {reg} AS cost_val, "
             f"(SELECT avg(CASE WHEN pr.pred = e.label THEN 1.0 ELSE 0.0 END) FROM {pre_va}pr pr "
             f"JOIN exva e ON e.id = pr.id) AS acc_val")
-    ctes.append("hist AS (" + " UNION ALL ".join(rows) + ")")
-    return ctes, "hist"
+    return ctes, " UNION ALL ".join(rows), names
 
 
 def _fit_history(spark, sf, net: Q.Net, epochs: int) -> DataFrame:
@@ -170,13 +181,33 @@ def q_best_epoch(spark, sf):
     return b.select("model_id", "epoch", r6(F.col("best_cost")).alias("best_cost"), "best_epoch")
 
 
-@query("best_params")
+def _best_params_sql() -> str:
+    c, h, names = _history_ctes(NET_FIT_L, 4, "h", minibatch=(512, 2332))
+    tables = " UNION ALL ".join(f"SELECT {t} AS epoch, * FROM {n}" for t, n in enumerate(names[1:]))
+    return Q.with_clause([*_ex_ctes("L"), *c, f"hist AS ({h})", f"allp AS ({tables})"]) + (
+        f"SELECT model_id, layer, row, col, {Q.r6('theta')} AS theta, {Q.r6('velocity')} AS velocity, "
+        f"{Q.r6('gacc')} AS gacc FROM allp WHERE epoch = (SELECT epoch FROM hist ORDER BY cost_val, epoch DESC LIMIT 1)")
+
+
+def _hist_out(h: DataFrame) -> DataFrame:
+    return h.select("model_id", "epoch", *(r6(F.col(c)).alias(c) for c in ("cost_train", "cost_val", "acc_val")))
+
+
+def _state_out(p: DataFrame) -> DataFrame:
+    return p.select(*P.KEYS, *(r6(F.col(c)).alias(c) for c in ("theta", "velocity", "gacc")))
+
+
+_HIST_SQL = ("SELECT model_id, epoch, " + ", ".join(f"{Q.r6(c)} AS {c}" for c in ("cost_train", "cost_val", "acc_val"))
+             + " FROM hist")
+
+
+@query("best_params", _best_params_sql)
 def q_best_params(spark, sf):
     from plexnet.plans.grid import models_from_rows
     s = NET_FIT_L.settings()
     s["epochs"] = 4
     r = fit(T.fixture(spark, sf, "L"), models_from_rows(spark, [s]))
-    return r.best_params
+    return _state_out(r.best_params)
 
 
 def _sgd_sql() -> str:
@@ -197,22 +228,22 @@ def q_fit_sgd(spark, sf):
                            r6(F.col("velocity")).alias("velocity"), r6(F.col("gacc")).alias("gacc"))
 
 
-@query("fit_minibatch")
+@query("fit_minibatch", lambda: Q.with_clause(_history_sql(NET_FIT_L, 5, minibatch=(512, 2332))[0]) + _HIST_SQL)
 def q_fit_minibatch(spark, sf):
     """SGD with the default mini-batch of about 512 rows a epoch."""
     from plexnet.plans.grid import models_from_rows
     s = NET_FIT_L.settings()
     s["epochs"] = 5
-    return fit(T.fixture(spark, sf, "L"), models_from_rows(spark, [s])).history
+    return _hist_out(fit(T.fixture(spark, sf, "L"), models_from_rows(spark, [s])).history)
 
 
-@query("fit_online")
+@query("fit_online", lambda: Q.with_clause(_history_sql(NET_FIT_L, 3, online=2332)[0]) + _HIST_SQL)
 def q_fit_online(spark, sf):
     """Online mode: one drawn example per epoch."""
     from plexnet.plans.grid import models_from_rows
     s = NET_FIT_L.settings()
     s.update(epochs=3, gradient="olGD")
-    return fit(T.fixture(spark, sf, "L"), models_from_rows(spark, [s])).history
+    return _hist_out(fit(T.fixture(spark, sf, "L"), models_from_rows(spark, [s])).history)
 
 
 # --- sinks -----------------------------------------------------------------
@@ -270,14 +301,22 @@ def q_score_stream(spark, sf):
     return spark.read.parquet(f"{out}/data").select("id", r6(F.col("p")).alias("p"))
 
 
-@query("fit_stream")
+def _fit_stream_sql() -> str:
+    """The table arrives as one micro-batch: one step over all its rows."""
+    c, names = _fit_ctes(NET_V, 1, ex_train="ex")
+    return Q.with_clause([f"ex AS MATERIALIZED ({Q.fixture('V')})", *c]) + (
+        f"SELECT model_id, layer, row, col, {Q.r6('theta')} AS theta, {Q.r6('velocity')} AS velocity, "
+        f"{Q.r6('gacc')} AS gacc FROM {names[-1]}")
+
+
+@query("fit_stream", _fit_stream_sql)
 def q_fit_stream(spark, sf):
     from plexnet.streaming.fit_stream import fit_stream, latest_params
     models = _models(spark, NET_V)
     params = P.init_params(models, 2)
     stream = T.events_examples(T.events_stream(spark, sf))
     run_dir, _ = fit_stream(stream, models, params)
-    return latest_params(spark, run_dir)
+    return _state_out(latest_params(spark, run_dir))
 
 
 # --- diagnostics ---------------------------------------------------------------
@@ -321,7 +360,20 @@ def q_hessian_product(spark, sf):
 
 # --- the whole job ------------------------------------------------------------
 
-@query("train_job")
+JOB_NETS = [Q.Net(f"{h}@0.5", [4, h, 1], rate=0.5) for h in (8, 4)]
+
+
+def _train_job_sql() -> str:
+    ctes, rows = _ex_ctes("L"), []
+    for i, net in enumerate(JOB_NETS):
+        c, h, _ = _history_ctes(net, 3, f"h{i}_")
+        ctes += c
+        rows.append(h)
+    return Q.with_clause([*ctes, "hist AS (" + " UNION ALL ".join(rows) + ")"]) + (
+        f"SELECT model_id, epoch, {Q.r6('cost_train')} AS cost_train, {Q.r6('cost_val')} AS cost_val FROM hist")
+
+
+@query("train_job", _train_job_sql)
 def q_train_job(spark, sf):
     """The reference's job end to end: fixture L written as LibSVM train and
     val files, a 2 x 1 grid trained together, history, weights and summary
@@ -333,6 +385,7 @@ def q_train_job(spark, sf):
     base = scratch_path(spark, "job")
     write_libsvm(ex.where(F.col("split") == "train"), f"{base}/Ltrain")
     write_libsvm(ex.where(F.col("split") == "val"), f"{base}/Lval")
-    out = train_job(spark, f"{base}/Ltrain", f"{base}/Lval", f"{base}/out", topologies="8-4,4",
-                    rates="0.5", data_name="L", num_features=4, epochs=3)
-    return read_history(spark, out.history_path)
+    out = train_job(spark, f"{base}/Ltrain", f"{base}/Lval", f"{base}/out", topologies="8-4",
+                    rates="0.5", data_name="L", num_features=4, epochs=3, full_batch=True)
+    return read_history(spark, out.history_path).select(
+        "model_id", "epoch", r6(F.col("cost_train")).alias("cost_train"), r6(F.col("cost_val")).alias("cost_val"))
