@@ -57,6 +57,8 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> D
     """
     e = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     e = materialize(spark, e.union(e.select("b", "a")).distinct(), "edges")
+    if e.isEmpty():
+        return e.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     lab = materialize(spark, e.groupBy(F.col("a").alias("node")).agg(
         F.least(F.min("b"), F.col("a")).alias("comp")), "labels")
     for _ in range(max_rounds):

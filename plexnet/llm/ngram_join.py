@@ -11,9 +11,10 @@ Texts with equal shingle sets are one *node* from the start. Links then join
 nodes to classes (connected components). So that a group of n near copies
 costs n and not n^2 comparisons, members of a prefix are compared with one
 leader of it (the smallest under a hash), and once linked they are compared
-only across classes: at the target prefix, the leader of each class that a
-prefix holds is compared with those of its other classes, with other leaders
-in every tree and round, until a round adds no link.
+only across classes, by up to LEADERS members of each class that a prefix holds,
+others in every tree and round. Where a prefix of the target length holds up
+to FEW classes, all of them are compared; in a more crowded one each is
+compared with one of them. Rounds follow until one adds no link.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ from plexnet.shipping import ensure_importable
 
 WORDS, THRESHOLD, TARGET = 5, 0.8, 0.9999
 TREES, DEPTH = 24, 8
+#: Classes of one prefix that are compared each with each; beyond, each with one.
+FEW = 8
+#: Members that stand for a class in one prefix and round.
+LEADERS = 4
 _WORD = re.compile(r"[^\x20\x09-\x0d]+")
 _M64 = (1 << 64) - 1
 
@@ -193,12 +198,19 @@ def link(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     comp = comps(links)
     for seed in range(1, 1000):
         x = wide.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        leads = x.groupBy("key", "comp").agg(F.min(_rank(seed, "node", "key")).alias("l")).select(
-            "key", "comp", F.col("l.leader").alias("leader"))
+        some = [F.min(_rank(LEADERS * seed + i, "node", "key")).alias(f"l{i}") for i in range(LEADERS)]
+        leads = x.groupBy("key", "comp").agg(*some).select(
+            "key", "comp", F.array_distinct(F.array(*(f"l{i}.leader" for i in range(LEADERS)))).alias("leaders"))
         leads = materialize(spark, leads, "class-leaders")
-        mixed = leads.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        leads = materialize(spark, leads.join(mixed, "key", "left_semi"), "class-leaders")
-        pairs = leads.select("key", F.col("comp").alias("c1"), F.col("leader").alias("node")).join(leads, "key").where("comp < c1")
+        crowd = materialize(spark, leads.groupBy("key").agg(
+            F.count("*").alias("n"), F.min(F.struct(F.xxhash64("comp", "key", F.lit(-seed)).alias("r"), F.col("leaders")[0].alias("leader"))).alias("one"))
+            .where("n > 1").select("key", "n", F.col("one.leader").alias("leader")), "crowded")
+        few = leads.join(crowd.where(F.col("n") <= FEW).select("key"), "key", "left_semi").select(
+            "key", "comp", F.explode("leaders").alias("leader"))
+        each = few.select("key", F.col("comp").alias("c1"), F.col("leader").alias("node")).join(few, "key").where("comp < c1")
+        one = leads.select("key", F.explode("leaders").alias("node")).join(
+            crowd.where(F.col("n") > FEW).select("key", "leader"), "key").where("node <> leader")
+        pairs = each.select("node", "leader").unionAll(one.select("node", "leader"))
         pairs = materialize(spark, ordered(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             break
