@@ -13,8 +13,6 @@ are merged exactly by the merge ranks of the vocabulary.
 from __future__ import annotations
 
 import hashlib
-import heapq
-import json
 import os
 import tempfile
 import uuid
@@ -27,12 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexnet.llm.common import map_arrays, read_table, save_arrays, words_of
+from plexnet.llm.merges import SEPARATOR, MergeTable
 from plexnet.shipping import ensure_importable
 
 #: The lexicon holds the word pieces of this many most frequent words.
 LEXICON_WORDS = 40_000
 #: Chunks kept in a worker's cache before it starts anew (bounds its memory).
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 300_000
 
 _WS = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: how this family of vocabularies splits text into pieces.
@@ -41,72 +40,6 @@ PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}
 _CHUNKS = rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 
 
-def byte_chars() -> list[str]:
-    """The printable character that stands for each byte in the vocabulary."""
-    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out, spare = [""] * 256, 256
-    for b in range(256):
-        if b in keep:
-            out[b] = chr(b)
-        else:
-            out[b], spare = chr(spare), spare + 1
-    return out
-
-
-class Vocabulary:
-    """Vocabulary file in the tokenizers library's JSON form."""
-
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            j = json.load(f)
-        chars = byte_chars()
-        back = {c: b for b, c in enumerate(chars)}
-        ids = j["model"]["vocab"]
-        self.special = {t["content"]: t["id"] for t in j["added_tokens"]}
-        self.bytes: dict[int, bytes] = {i: bytes(back[c] for c in t) for t, i in ids.items() if all(c in back for c in t)}
-        self.bytes.update((i, t.encode()) for t, i in self.special.items())
-        self.byte_ids = [ids[c] for c in chars]
-        #: (left id, right id) -> (rank, merged id)
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, m in enumerate(j["model"]["merges"]):
-            a, b = m.split(" ") if isinstance(m, str) else m
-            self.merges.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one piece: the adjacent pair of lowest rank is merged, the
-        leftmost first, until none is left. Long pieces use a heap of pairs
-        over a linked list, so the time stays near-linear."""
-        ids, get = [self.byte_ids[b] for b in piece], self.merges.get
-        if len(ids) > 40:
-            return self._merge_long(ids)
-        while len(ids) > 1:
-            best = min(((m, i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if (m := get(p))), default=None)
-            if best is None:
-                break
-            (_, new), i = best
-            ids[i:i + 2] = [new]
-        return ids
-
-    def _merge_long(self, ids: list[int]) -> list[int]:
-        n, get = len(ids), self.merges.get
-        prev, nxt, cur = list(range(-1, n - 1)), [*range(1, n), -1], list(ids)
-        heap = [(m[0], i, cur[i], cur[i + 1], m[1]) for i in range(n - 1) if (m := get((cur[i], cur[i + 1])))]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b, new = heapq.heappop(heap)
-            j = nxt[i]
-            if cur[i] != a or j < 0 or cur[j] != b:
-                continue  # one of the two has been merged since
-            cur[i], cur[j], nxt[i] = new, -1, nxt[j]
-            if nxt[i] >= 0:
-                prev[nxt[i]] = i
-                if m := get((new, cur[nxt[i]])):
-                    heapq.heappush(heap, (m[0], i, new, cur[nxt[i]], m[1]))
-            if prev[i] >= 0 and (m := get((cur[prev[i]], new))):
-                heapq.heappush(heap, (m[0], prev[i], cur[prev[i]], new, m[1]))
-        return [x for x in cur if x >= 0]
-
-
 def compile_lexicon(words: dict[bytes, list[int]]) -> dict[str, np.ndarray]:
     """Minimal acyclic automaton of ``words`` (built from the sorted words,
     freezing each finished suffix into a register of known states), as flat
@@ -190,20 +123,29 @@ class Encoder:
         import re
 
         import regex
-        self.vocab = Vocabulary(vocab_path)
+        self.vocab = MergeTable(vocab_path)
         self.lexicon = Lexicon(lexicon_path) if lexicon_path else None
         self.chunks_of, self.pieces_of = re.compile(_CHUNKS).findall, regex.compile(PIECES).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.vocab.special, key=len, reverse=True))) + ")").split
         self.marks = list(self.vocab.special)
-        self.cache: dict[str, bytes] = {}
+        self.spaces = frozenset(re.findall(f"[{_WS}]", "".join(map(chr, range(0x3001)))))
+        self.cache: dict = {}  # chunk -> its ids, little-endian 32-bit
+        self.shown: dict = {}  # chunk -> its ids in decimal, its ids decoded
 
     def _learn(self, chunks: set[str]) -> None:
-        parts = {c: [p.encode() for p in self.pieces_of(c)] for c in chunks}
-        new = list({p for ps in parts.values() for p in ps})
-        found = self.lexicon.find(new) if self.lexicon else [None] * len(new)
-        ids = {p: f if f is not None else np.array(self.vocab.merge(p), "<u4").tobytes()
-               for p, f in zip(new, found, strict=True)}
-        self.cache.update((c, b"".join(map(ids.__getitem__, ps))) for c, ps in parts.items())
+        words = [c for c in chunks if c[-1] not in self.spaces]
+        found = self.pieces_of("\n".join(words))  # all pieces in a row, a newline after each chunk's
+        blank = [c for c in chunks if c[-1] in self.spaces]  # a run of white space is one piece
+        new = list(set(found).union(blank).difference("\n"))
+        new.append("\n")
+        raw = [p.encode() for p in new]
+        ids = dict(zip(new, self.lexicon.find(raw) if self.lexicon else [None] * len(new), strict=True))
+        unseen = [p for p, f in ids.items() if f is None]
+        ids.update(zip(unseen, self.vocab.merge_many([p.encode() for p in unseen]), strict=True))
+        self.cache.update((c, ids[c]) for c in blank)
+        ids["\n"] = SEPARATOR
+        if words:
+            self.cache.update(zip(words, b"".join(map(ids.__getitem__, found)).split(SEPARATOR), strict=True))
 
     def _chunks(self, text: str) -> list:
         """Chunks of the text; ids (bytes) of the special tokens it spells out."""
@@ -217,21 +159,39 @@ class Encoder:
                 out.extend(self.chunks_of(part))
         return out
 
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """Ids of each text, as the tokenizers library gives them without
-        added special tokens (null as empty)."""
+    def _learned(self, texts: list[str | None]) -> Iterator[list]:
+        """Chunks of each text, all of them in the cache."""
         for at in range(0, len(texts), 500):
             parts = [self._chunks(t or "") for t in texts[at:at + 500]]
-            need = {c for p in parts for c in p if type(c) is str}
+            need = {c for p in parts for c in p}
             new = need.difference(self.cache)
             if len(self.cache) + len(new) > CACHE_CHUNKS:
                 self.cache.clear()
+                self.shown.clear()
                 new = need
             if new:
-                self._learn(new)
-            get = self.cache.get
-            for p in parts:
-                yield np.frombuffer(b"".join([get(c, c) for c in p]), "<u4")
+                self._learn({c for c in new if type(c) is str})
+                self.cache.update((c, c) for c in new if type(c) is bytes)
+            yield from parts
+
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text, as the tokenizers library gives them without
+        added special tokens (null as empty)."""
+        for p in self._learned(texts):
+            yield np.frombuffer(b"".join(map(self.cache.__getitem__, p)), "<u4")
+
+    def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+        """(number of ids, SHA-256 of the ids in decimal joined by commas,
+        SHA-256 of the decoded ids) per text. Each chunk's ids are written out
+        and decoded once; a text's are theirs in a row."""
+        for p in self._learned(texts):
+            for c in set(p).difference(self.shown):
+                ids = np.frombuffer(self.cache[c], "<u4").tolist()
+                self.shown[c] = ",".join(map(str, ids)), b"".join(map(self.vocab.bytes.__getitem__, ids))
+            both = [self.shown[c] for c in p]
+            ids = ",".join([x for x, _ in both]).encode()
+            text = b"".join([x for _, x in both]).decode("utf-8", "replace")
+            yield (ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids, special tokens included; ids outside the
@@ -311,14 +271,8 @@ def round_trip(spark: SparkSession, docs: DataFrame, vocab_path: str | None = No
 
     def run(batches):
         enc = _encoder(vocab_path, lexicon)
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
-            n, a, d = [], [], []
-            for x in enc.encode(b.column(1).to_pylist()):
-                ids = x.tolist()
-                n.append(len(ids))
-                a.append(sha(",".join(map(str, ids))))
-                d.append(sha(enc.decode(ids)))
+            n, a, d = zip(*enc.digests(b.column(1).to_pylist()), strict=True) if len(b) else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()),
                                               pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(
