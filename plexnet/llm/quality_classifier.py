@@ -112,7 +112,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column
     rate = F.when(F.col("seen") & F.col("good"), MAX_DICTIONARY_TEXTS / max(1, sizes.get((True, True), 0))).when(
         F.col("seen"), MAX_DICTIONARY_TEXTS / max(1, sizes.get((False, True), 0))).otherwise(
         MAX_CURVE_TEXTS / max(1, curve_size))
-    sample = materialize(spark, docs.select("doc_id", "text").join(lab.where(draw < rate), "doc_id"), "quality-sample")
+    chosen = F.broadcast(lab.where(draw < rate))  # some 2 * MAX_DICTIONARY_TEXTS + MAX_CURVE_TEXTS ids, whatever the data
+    sample = materialize(spark, docs.select("doc_id", "text").join(chosen, "doc_id"), "quality-sample")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"good": [bool(pdf["good"].iloc[0])], "d": [build_dictionary(pdf["text"])]})
