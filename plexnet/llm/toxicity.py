@@ -136,7 +136,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     slim = docs.where(learn).select("doc_id", "text")
     p = lab.where("toxic > 0").where(draw < MAX_POSITIVE / n_pos).select("doc_id")
-    pos = slim.join(p, "doc_id", "left_semi").withColumn("positive", F.lit(True))
+    pos = slim.join(F.broadcast(p), "doc_id", "left_semi")  # some MAX_POSITIVE ids, whatever the data
+    pos = pos.withColumn("positive", F.lit(True))
     unl = slim.where(draw < MAX_UNLABELLED / max(n_docs, 1)).withColumn("positive", F.lit(False))
     own = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS))
     parts = F.filter(F.array(*map(F.lit, range(PARTS))), lambda i: i != own)
