@@ -15,35 +15,40 @@ along the path from the root, weighted by w and the shares not yet spent. A
 text is scored with the longest known context of each decision, so the eight
 decisions of a byte always make a proper distribution over bytes.
 
-The model that is shipped to the tasks has a fixed size: contexts that occur
-less than a minimum number of times keep their counts in their parents but
-get no node of their own, and the minimum is the smallest power of two that
-leaves at most MAX_NODES nodes. All texts count, whatever the input's size.
+The model that is shipped to the tasks has a fixed size: decisions that were
+met less than a minimum number of times in a context keep their counts in its
+parents but get no node of their own, and the minimum is the smallest power of
+two that leaves at most MAX_NODES nodes. All texts count, whatever their size.
 """
 
 from __future__ import annotations
 
+import math
 import os
+import re
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
+from pyspark import Broadcast, SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexnet.llm.common import crc_mod, flat_text, map_arrays, materialize, read_table, save_arrays
+from plexnet.llm.common import crc_mod, map_arrays, materialize, read_table, save_arrays
 from plexnet.shipping import ensure_importable
 
 DEPTH = 5
 MAX_NODES = 4_000_000
-#: Tokens whose counts are broadcast; the others are joined by a shuffle.
+#: Tokens whose values every task holds; the others are joined by a shuffle.
 FREQUENT = 200_000
 #: Marks the end of a text and fills the context before its start; never occurs in UTF-8.
 END = 0xFF
 _PIECE = 4 << 20  # bytes that are counted or scored at once
+_WORD = re.compile(r"[^\x20\x09-\x0d]+").findall
+_LOWER_TEXT = {i: i + 32 for i in range(65, 91)}
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -120,13 +125,18 @@ LN_KT = f"({_lgamma('(n0 + 0.5D)')} + {_lgamma('(n1 + 0.5D)')} - {_lgamma('(n0 +
 
 def build_tree(spark: SparkSession, grams: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     """``(depth, key, q)``: the mixed estimate of a one for every node, with
-    key = context << 8 | decision (1..255), from ``grams(gram, n)``."""
-    bit = F.expr("CAST(shiftright(gram, 7 - k) & 1 AS BIGINT)")
-    key = F.expr("shiftleft(shiftright(gram, 8), 8) | shiftleft(1L, k) | shiftright(gram & 255, 8 - k)")
-    level = grams.select("gram", "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).select(
-        key.alias("key"), (F.col("n") * (1 - bit)).alias("z"), (F.col("n") * bit).alias("o")).groupBy("key").agg(
+    key = context << 8 | decision (1..255), from ``grams(gram, n)``; a gram may
+    stand in several rows."""
+    # dealt out by context, the rows of a context's eight decisions stay together
+    by_context = grams.repartition(F.shiftright("gram", 8)).select(
+        F.shiftright("gram", 8).alias("ctx"), F.col("gram").bitwiseAND(255).alias("byte"), "n")
+    by_context = by_context.groupBy("ctx", "byte").agg(F.sum("n").alias("n"))
+    node = F.expr("shiftleft(1L, k) | shiftright(byte, 8 - k)")
+    bit = F.expr("CAST(shiftright(byte, 7 - k) & 1 AS BIGINT)")
+    level = by_context.select("ctx", "byte", "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).select(
+        "ctx", node.alias("node"), (F.col("n") * (1 - bit)).alias("z"), (F.col("n") * bit).alias("o")).groupBy("ctx", "node").agg(
         F.sum("z").alias("n0"), F.sum("o").alias("n1"))
-    level = level.withColumn("kt", F.expr(LN_KT)).withColumn("pw", F.col("kt"))
+    level = level.select(F.expr("shiftleft(ctx, 8) | node").alias("key"), "n0", "n1", F.expr(LN_KT).alias("pw"))
     levels = {DEPTH: materialize(spark, level, f"tree{DEPTH}")}
     for d in range(DEPTH - 1, -1, -1):
         mask = (1 << (8 * (d + 1))) - 1
@@ -135,15 +145,11 @@ def build_tree(spark: SparkSession, grams: DataFrame, max_nodes: int = MAX_NODES
         up = up.withColumn("kt", F.expr(LN_KT))
         top = F.greatest("kt", "below")
         up = up.withColumn("pw", top - F.lit(float(np.log(2))) + F.log1p(F.exp(F.least("kt", "below") - top)))
-        levels[d] = materialize(spark, up.drop("below"), f"tree{d}")
-    # how often a context occurs: the sum over its first decision, the node 1
-    # of the eight that every byte passes
-    counts: dict[int, int] = {}
-    for d, lev in levels.items():
-        ctx = lev.where("(key & 255) = 1").select(F.shiftright("key", 8).alias("ctx"), (F.col("n0") + F.col("n1")).alias("c"))
-        per = lev.groupBy(F.shiftright("key", 8).alias("ctx")).agg(F.count("*").alias("nodes"))
-        size = F.floor(F.log2("c")).cast("int")
-        for r in ctx.join(per, "ctx").groupBy(size.alias("s")).agg(F.sum("nodes").alias("nodes")).collect():
+        levels[d] = materialize(spark, up.select("key", "n0", "n1", "pw"), f"tree{d}")
+    met = F.col("n0") + F.col("n1")
+    counts: dict[int, int] = {}  # nodes by the power of two of how often they were met
+    for lev in levels.values():
+        for r in lev.groupBy(F.floor(F.log2(met)).cast("int").alias("s")).agg(F.count("*").alias("nodes")).collect():
             counts[r.s] = counts.get(r.s, 0) + r.nodes
     least, total = 0, sum(counts.values())
     while total > max_nodes and least < 62:
@@ -151,22 +157,20 @@ def build_tree(spark: SparkSession, grams: DataFrame, max_nodes: int = MAX_NODES
         least += 1
     out, mixed = [], None
     for d in range(DEPTH + 1):
-        lev = levels[d].withColumn("p", (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0))
-        stop = F.exp(F.col("kt") - F.col("pw") - float(np.log(2))) if d < DEPTH else F.lit(1.0)
-        lev = lev.select("key", "p", F.least(stop, F.lit(1.0)).alias("w"))
-        if least:
-            often = levels[d].where("(key & 255) = 1").where(F.col("n0") + F.col("n1") >= (1 << least)).select(
-                F.shiftright("key", 8).alias("ctx"))
-            lev = lev.withColumn("ctx", F.shiftright("key", 8)).join(often, "ctx", "left_semi").drop("ctx")
+        stop = F.exp(F.expr(LN_KT) - F.col("pw") - float(np.log(2))) if d < DEPTH else F.lit(1.0)
+        lev = levels[d].where(met >= (1 << least)).select(
+            "key", ((F.col("n1") + 0.5) / (met + 1.0)).alias("p"), F.least(stop, F.lit(1.0)).alias("w"))
         if mixed is None:
             lev = lev.withColumn("acc", F.lit(0.0)).withColumn("rest", F.lit(1.0))
         else:
             mask = (1 << (8 * d)) - 1
-            up = mixed.select(F.col("key").alias("up"), (F.col("acc") + F.col("rest") * F.col("w") * F.col("p")).alias("acc"),
-                              (F.col("rest") * (1 - F.col("w"))).alias("rest"))
-            lev = lev.withColumn("up", F.col("key").bitwiseAND(mask)).join(up, "up").drop("up")
-        mixed = materialize(spark, lev, f"mixed{d}")
-        out.append(mixed.select(F.lit(d).alias("depth"), "key", (F.col("acc") + F.col("rest") * F.col("p")).cast("float").alias("q")))
+            above = mixed.select(F.col("key").alias("up"), "acc", "rest")
+            lev = lev.join(above, F.col("key").bitwiseAND(mask) == F.col("up")).drop("up")
+        q = (F.col("acc") + F.col("rest") * F.col("p")).cast("float")
+        mixed = materialize(spark, lev.select(
+            "key", q.alias("q"), (F.col("acc") + F.col("rest") * F.col("w") * F.col("p")).alias("acc"),
+            (F.col("rest") * (1 - F.col("w"))).alias("rest")) if d < DEPTH else lev.select("key", q.alias("q")), f"mixed{d}")
+        out.append(mixed.select(F.lit(d).alias("depth"), "key", "q"))
     tree = out[0]
     for x in out[1:]:
         tree = tree.unionAll(x)
@@ -234,23 +238,72 @@ class Scorer:
 _SCORERS: dict[str, Scorer] = {}
 
 
-def _score_task(name: str):
+def _scorer(name: str) -> Scorer:
+    """One per Python worker, reused by its later tasks."""
+    if name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[name] = Scorer(SparkFiles.get(name))
+    return _SCORERS[name]
+
+
+def tokens(text: str | None) -> list[str]:
+    """Words with A-Z lower-cased, then one space for the end of the text
+    (no word holds a space)."""
+    return [*_WORD((text or "").translate(_LOWER_TEXT)), " "]
+
+
+def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: Counter = Counter()
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        words, counts = list(held), list(held.values())
+        for i in range(0, len(words), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(words[i:i + 100_000], pa.string()),
+                                              pa.array(counts[i:i + 100_000], pa.int64())], ["w", "n"])
+        held.clear()
+    for b in batches:
+        for t in b.column(0):
+            held.update(tokens(t.as_py()))
+            if len(held) > 500_000:
+                yield from rows()
+    yield from rows()
+
+
+def _score_task(name: str | None, known: "Broadcast | None"):
+    """Per text one row with its tree score and the sums of its frequent
+    tokens (``w`` is a key that no token has), and one row per rare token."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _SCORERS:  # one per Python worker, reused by its later tasks
-            _SCORERS.clear()
-            _SCORERS[name] = Scorer(SparkFiles.get(name))
-        scorer = _SCORERS[name]
+        table = known.value if known is not None else None
+        names = ["row", "w", "score", "base", "n", "n_known"]
         for b in batches:
-            out = scorer.score(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["row", "score"])
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            score = _scorer(name).score(texts).tolist() if name else [0.0] * len(texts)
+            cols: tuple[list, ...] = ([], [], [], [], [], [])
+            for row, t, s in zip(ids, texts, score, strict=True):
+                found = tokens(t) if table is not None else []
+                values = list(map(table.get, found)) if table is not None else []
+                sure = [v for v in values if v is not None]
+                rare = [w for w, v in zip(found, values, strict=True) if v is None] if len(sure) < len(found) else []
+                for c, x in zip(cols, (row, f" {row}", s, math.fsum(sure), len(sure), len(sure)), strict=True):
+                    c.append(x)
+                cols[0].extend([row] * len(rare))
+                cols[1].extend(rare)
+                for c in cols[2:]:
+                    c.extend([None] * len(rare))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()),
+                                              *(pa.array(c, pa.float64()) for c in cols[2:4]),
+                                              *(pa.array(c, pa.int64()) for c in cols[4:])], names)
     return run
 
 
+ROWS_SCHEMA = "row bigint, w string, score double, base double, n bigint, n_known bigint"
+
+
 def train(spark: SparkSession, docs: DataFrame, max_nodes: int = MAX_NODES) -> str:
     """Train on the whole ``docs.text``; ships the tree, returns its file's name."""
     ensure_importable(spark)
-    grams = docs.select("text").mapInArrow(count_grams, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    tree = build_tree(spark, materialize(spark, grams, "grams"), max_nodes)
+    grams = docs.select("text").mapInArrow(count_grams, "gram bigint, n bigint")
+    tree = build_tree(spark, grams, max_nodes)
     arrays = {}
     for d in range(DEPTH + 1):
         t = tree.where(F.col("depth") == d).select("key", "q").toArrow()
@@ -267,43 +320,36 @@ def train(spark: SparkSession, docs: DataFrame, max_nodes: int = MAX_NODES) -> s
 def score(spark: SparkSession, docs: DataFrame, model: str) -> DataFrame:
     """``(row, score)`` of ``docs(row, text)``: the log10 probability of each
     whole text and its end, A-Z lower-cased. Null counts as empty."""
-    return docs.select("row", "text").mapInArrow(_score_task(model), "row bigint, score double")
-
+    return docs.select("row", "text").mapInArrow(_score_task(model, None), ROWS_SCHEMA).select("row", "score")
 
-def _tokens(text: Column) -> Column:
-    """Lower-cased words (A-Z only), then one null for the end of the text."""
-    t = F.trim(flat_text(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
-    end = F.array(F.lit(None).cast("string"))
-    return F.when(t == "", end).otherwise(F.concat(F.split(t, " +"), end))
 
+def scores(spark: SparkSession, docs: DataFrame, learn: Column, model: str | None) -> DataFrame:
+    """Tree scores and unigram scores of ``docs(row, text)``: (row, n_tokens,
+    n_known, train_tokens, base_score, score). The unigram counts come from
+    the rows that satisfy ``learn``, with 0.1 added to every count.
 
-def base_scores(spark: SparkSession, docs: DataFrame, learn: Column) -> DataFrame:
-    """Unigram scores with 0.1 added to every count: (row, n_tokens, n_known,
-    train_tokens, base_score) of ``docs(row, doc_id, text)``, counts from the
-    rows that satisfy ``learn``. Counts of the FREQUENT most common tokens are
-    broadcast, so that only rare tokens are joined by a shuffle."""
-    end = F.lit("\x20")  # no word holds a space: the end's place among the words
-    token = F.coalesce(F.col("w"), end).alias("w")
-    counts = materialize(spark, docs.where(learn).select(F.explode(_tokens(F.coalesce("text", F.lit("")))).alias("w")).select(
-        token).groupBy("w").agg(F.count("*").alias("c")), "token-counts")
+    One pass over the texts looks up the FREQUENT most common tokens in a
+    table of bounded size; only the rare tokens are joined with their counts
+    by a shuffle, in which no token can be hot."""
+    ensure_importable(spark)
+    counts = docs.where(learn).select("text").mapInArrow(count_tokens, "w string, n bigint").groupBy("w").agg(
+        F.sum("n").alias("c"))
+    counts = materialize(spark, counts, "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = 0
-    if distinct > FREQUENT:
-        least = _least_count(counts)
-    often = F.broadcast(counts.where(F.col("c") > least))
-    rare = counts.where(F.col("c") <= least)
+    least = _least_count(counts) if distinct > FREQUENT else 0
     z = float(total) + 0.1 * (distinct + 1)
+    often = {r.w: math.log10((r.c + 0.1) / z) for r in counts.where(F.col("c") > least).toLocalIterator()}
+    shared = spark.sparkContext.broadcast(often)
+    rows = docs.select("row", "text").mapInArrow(_score_task(model, shared), ROWS_SCHEMA)
+    rare = counts.where(F.col("c") <= least)
     c = F.coalesce(F.col("c"), F.lit(0))
-    sums = [F.sum(F.log10((c + 0.1) / F.lit(z))).alias("base_score"), F.count("*").alias("n_tokens"),
-            F.count_if(c > 0).alias("n_known")]
-    words = docs.select("row", F.explode(_tokens(F.coalesce("text", F.lit("")))).alias("w")).select("row", token)
-    if least == 0:
-        parts = words.join(often, "w", "left").groupBy("row").agg(*sums)
-    else:
-        known = words.join(often, "w").groupBy("row").agg(*sums)
-        other = words.join(often.select("w"), "w", "left_anti").join(rare, "w", "left").groupBy("row").agg(*sums)
-        parts = known.unionAll(other).groupBy("row").agg(*(F.sum(x).alias(x) for x in ("base_score", "n_tokens", "n_known")))
-    return parts.withColumn("train_tokens", F.lit(int(total)).cast("bigint"))
+    text_row = F.col("n").isNotNull()
+    out = rows.join(rare, "w", "left").select(
+        "row", "score", F.when(text_row, F.col("base")).otherwise(F.log10((c + 0.1) / F.lit(z))).alias("base"),
+        F.coalesce("n", F.lit(1)).alias("n"), F.when(text_row, F.col("n_known")).otherwise((c > 0).cast("bigint")).alias("n_known"))
+    return out.groupBy("row").agg(
+        F.sum("n").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.lit(int(total)).cast("bigint").alias("train_tokens"),
+        F.sum("base").alias("base_score"), F.max("score").alias("score"))
 
 
 def _least_count(counts: DataFrame) -> int:
@@ -333,13 +379,5 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     held = crc_mod(F.col("doc_id"), 10) == 0
     model = train(spark, docs.where(~held))
-    base = base_scores(spark, docs, ~held).withColumn("score", F.lit(None).cast("double")).withColumn(
-        "doc_id", F.lit(None).cast("bigint")).withColumn("held_out", F.lit(None).cast("boolean"))
-    ids = docs.select("row", "doc_id", held.alias("held_out"))
-    scores = score(spark, docs, model)
-    names = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "doc_id", "held_out"]
-
-    def shaped(df: DataFrame) -> DataFrame:
-        return df.select("row", *[F.col(x) if x in df.columns else F.lit(None).cast(base.schema[x].dataType).alias(x) for x in names])
-    rows = shaped(base).unionAll(shaped(scores)).unionAll(shaped(ids)).groupBy("row").agg(*(F.max(x).alias(x) for x in names))
-    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return docs.select("row", "doc_id", held.alias("held_out")).join(scores(spark, docs, ~held, model), "row").select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
