@@ -8,8 +8,10 @@ the roles by Viterbi; its tables are counted on the cluster from transcripts
 whose roles are known. The recovered turns are rendered in one canonical form.
 
 Lines are rows. Viterbi runs over windows of WINDOW lines with MARGIN lines of
-context on either side, so no task ever holds a whole long transcript; for
-transcripts of up to WINDOW lines this is plain Viterbi.
+context on either side, and written transcripts are numbered in chunks of 512
+turns, so no task ever holds a whole long conversation; for up to WINDOW lines
+and 512 turns this is plain Viterbi. A transcript that is given as one text
+(one row) is one chunk.
 """
 
 from __future__ import annotations
