@@ -195,14 +195,14 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that :func:`judge` rejects, columns unchanged."""
-    slim = docs.select("doc_id", "text", "lang")
-    with_label = slim.join(F.broadcast(sampled_labels(labels)), "doc_id", "left_semi")
-    chosen = fit_rules(spark, with_metrics(with_label).drop("text"), labels)
+    """``docs`` without the rows that :func:`judge` rejects, columns unchanged.
+    The rows are written once with their metrics: the choice of cutoffs reads
+    only the metrics, and no filter is pushed below their computation."""
     clash = {c: f"_in{i}" for i, c in enumerate(docs.columns) if c.startswith("_")}
     back = {v: k for k, v in clash.items()}
-    renamed = docs.withColumnsRenamed(clash)
-    return with_metrics(renamed).where(verdict(chosen)).select(*[F.col(c).alias(back.get(c, c)) for c in renamed.columns])
+    measured = materialize(spark, with_metrics(docs.withColumnsRenamed(clash)), "measured")
+    chosen = fit_rules(spark, measured, labels)
+    return measured.where(verdict(chosen)).select(*[F.col(c).alias(back.get(c, c)) for c in measured.columns if c != "_m"])
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
