@@ -23,24 +23,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from plexnet.llm.common import read_table
+from plexnet.llm.merges import SEPARATOR, MergeTable
 from plexnet.shipping import ensure_importable
 
 CAPACITY, CLASSES, END_ID = 4096, 32, 2
 #: Words kept in a worker's cache before it starts anew (bounds its memory).
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 
 #: Chunks made of these characters are composed (NFC) already, and their lower
 #: case does not depend on the neighbours; others go to the library whole.
-_PLAIN = re.compile("[!-~À-ɏ]+")
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ɏ]+|[0-9]"
-                     "|[^a-z0-9À-ÖØ-öø-ɏ]+")
+_PLAIN = frozenset(chr(c) for c in (*range(33, 127), *range(0xC0, 0x250))) | {"\n"}
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ɏ]+|[0-9]|\\n"
+                     "|[^\\na-z0-9À-ÖØ-öø-ɏ]+")
 
 
 class WordIds:
-    """Ids of whole texts by the tokenizers library, one call per distinct
-    piece. The vocabulary splits at white space and then into words, digits
-    and runs of signs, and merges inside these only; so the ids of a text are
-    those of its pieces in a row."""
+    """Ids of whole texts, equal to the tokenizers library's. The vocabulary
+    splits at white space and then into words, digits and runs of signs, and
+    merges inside these only; so the ids of a text are those of its pieces in
+    a row. Pieces of plain characters are merged by the vocabulary's ranks,
+    all new ones of a batch at once; others go through the library."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -48,6 +50,7 @@ class WordIds:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.table = MergeTable(path)
         self.pieces: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
@@ -59,17 +62,20 @@ class WordIds:
             self.chunks.clear()
         if len(self.pieces) > CACHE_WORDS:
             self.pieces.clear()
-        split, whole = {}, []
-        for c in chunks:
-            if _PLAIN.fullmatch(c) and "<|" not in c:
-                split[c] = _PIECES.findall(c.lower())
-            else:
-                whole.append(c)
-        new = list({p for ps in split.values() for p in ps if p not in self.pieces})
-        self.pieces.update(zip(new, self._by_library(new), strict=True))
-        get = self.pieces.__getitem__
-        self.chunks.update((c, b"".join(map(get, ps))) for c, ps in split.items())
-        self.chunks.update(zip(whole, self._by_library(whole), strict=True))
+        lines = "\n".join(chunks)
+        whole: list[str] = []
+        if "<|" in lines or not _PLAIN.issuperset(lines):
+            whole = [c for c in chunks if "<|" in c or not _PLAIN.issuperset(c)]
+            chunks = chunks.difference(whole)
+            lines = "\n".join(chunks)
+            self.chunks.update(zip(whole, self._by_library(whole), strict=True))
+        if not chunks:
+            return
+        found = _PIECES.findall(lines.lower())  # all pieces in a row, a newline after each chunk's
+        new = list(set(found).difference(self.pieces, "\n"))
+        self.pieces.update(zip(new, self.table.merge_many([p.encode() for p in new]), strict=True))
+        self.pieces["\n"] = SEPARATOR
+        self.chunks.update(zip(chunks, b"".join(map(self.pieces.__getitem__, found)).split(SEPARATOR), strict=True))
 
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         for at in range(0, len(texts), 500):
