@@ -1,24 +1,25 @@
-"""N-gram Jaccard join by a MinHash LSH forest (operator 3).
-
-Every text is the set of its 5-word shingles. TREES tries hold the texts under
-labels of DEPTH MinHash values each; texts that share a label prefix of k
-values in some tree are candidates. Matching starts at full labels, where only
-close texts meet, and shortens the prefix until the chance that a pair at the
-threshold meets in at least one tree, 1 - (1 - t^k)^TREES, reaches the target
-recall. Candidates are verified exactly on their shingle sets.
-
-Texts with equal shingle sets are one *node* from the start. Links then join
-nodes to classes (connected components). So that a group of n near copies
-costs n and not n^2 comparisons, members of a prefix are compared with one
-leader of it (the smallest under a hash), and once linked they are compared
-only across classes, by up to LEADERS members of each class that a prefix holds,
-others in every tree and round. Where a prefix of the target length holds up
-to FEW classes, all of them are compared; in a more crowded one each is
-compared with one of them. Rounds follow until one adds no link.
+"""N-gram Jaccard join by an exact prefix filter (operator 3).
+
+Every text is the set of its 5-word shingles. All sets are put in one order of
+the shingles, common ones last. Two sets of Jaccard similarity THRESHOLD or
+more must share a shingle among the first n - ceil(THRESHOLD n) + 1 of each
+(n its size), so sets that share none need no comparison and no link is lost.
+Which shingles are common is estimated from a sample of texts; that changes
+only how many pairs are compared, as the filter is exact in any order.
+
+Texts with equal shingle sets are one *node* from the start. Nodes with the
+same first shingle form a block; near copies mostly fall together. A block of
+more than BLOCK nodes (or BLOCK_SHINGLES shingles) is split by a hash of the
+node. Every two blocks that share a prefix shingle, and every block with
+itself, are compared once, node by node and exactly, in one task: what it
+returns is each node's number of links and a spanning forest of the links, so
+a group of n near copies costs n^2 comparisons in numpy but n^2 / BLOCK rows.
+Classes are the connected components of the links.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -32,12 +33,13 @@ from plexnet.shipping import ensure_importable
 
 WORDS, THRESHOLD, TARGET = 5, 0.8, 0.9999
 TREES, DEPTH = 24, 8
-#: Classes of one prefix that are compared each with each; beyond, each with one.
-FEW = 8
-#: Members that stand for a class in one prefix and round.
-LEADERS = 4
+#: Nodes and shingles of a block; larger families are split.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
+#: Texts (expected number) that tell which shingles are common, how often such a
+#: shingle occurs among them, and how many are told apart. They set the order of
+#: the prefix filter, hence its speed, never its result.
+SAMPLE, COMMON, MAX_COMMON = 10_000, 3, 500_000
 _WORD = re.compile(r"[^\x20\x09-\x0d]+")
-_M64 = (1 << 64) - 1
 
 
 class _Hashes(dict):
@@ -50,7 +52,8 @@ class _Hashes(dict):
 
 
 def target_depth(threshold: float = THRESHOLD, target: float = TARGET, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix that reaches the target recall (1 if none does)."""
+    """The longest prefix of a MinHash forest that reaches the target recall (1
+    if none does). The join does not use it: its filter is exact."""
     for k in range(depth, 1, -1):
         if 1 - (1 - threshold ** k) ** trees >= target:
             return k
@@ -77,151 +80,238 @@ def shingles(text: str | None, hashes: _Hashes, words: int = WORDS) -> np.ndarra
     return np.unique(h)
 
 
-def _multipliers() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20240607)
-    a = rng.integers(0, 1 << 63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
-    return a, rng.integers(0, 1 << 63, TREES * DEPTH, np.uint64)
-
-
-def minhash(s: np.ndarray, mult: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    a, b = mult
-    out = np.full(len(a), _M64, np.uint64)
-    for i in range(0, len(s), 2048):
-        out = np.minimum(out, (s[i:i + 2048, None] * a + b).min(0))
-    return out >> np.uint64(16)
-
-
-def prefixes(sig: np.ndarray, depths: list[int]) -> list[np.ndarray]:
-    """Per depth, one 64-bit key per tree: the tree's number and its first values."""
-    v = sig.reshape(TREES, DEPTH)
-    key = _mix(np.arange(1, TREES + 1, dtype=np.uint64))
-    out = {}
-    for k in range(DEPTH):
-        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + v[:, k])
-        out[k + 1] = key.view(np.int64)
-    return [out[k] for k in depths]
-
-
-def _label_task(depths: list[int]):
+def prefix(s: np.ndarray, common: np.ndarray, rank: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """The first len(s) - ceil(threshold len(s)) + 1 of the sorted shingles
+    ``s``: those not in the sorted array ``common`` by hash, then the others by
+    ``rank``."""
+    n = len(s) - math.ceil(threshold * len(s) - 1e-9) + 1
+    if not len(common):
+        return s[:n]
+    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+    known = common[at] == s
+    first = s[~known][:n]
+    if len(first) == n:
+        return first
+    return np.concatenate([first, s[known][np.argsort(rank[at[known]])[:n - len(first)]]])
+
+
+def _sample_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = _Hashes()
+    for b in batches:
+        sets = [shingles(t, hashes) for t in b.column(0).to_pylist()]
+        keys, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that are frequent in a sample of the texts, sorted, and
+    their ranks from the rarest."""
+    share = SAMPLE / max(1, docs.count())
+    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    some = docs.select("text").where(draw < share).distinct()
+    counts = some.mapInArrow(_sample_task, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    t = counts.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(MAX_COMMON).toArrow()
+    keys = t.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], (len(keys) - order).astype(np.int32)
+
+
+def _label_task(shared):
+    """Digest, size, first shingle (the family) and prefix of every text's set;
+    a set that the task has met before comes without its prefix."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
-        hashes, mult = _Hashes(), _multipliers()
+        hashes, met, (common, rank) = _Hashes(), set(), shared.value
         for b in batches:
             texts = b.column(2).to_pylist()
             for at in range(0, len(texts), 2000):
-                sets, labels = [], [[] for _ in depths]
+                sets, sizes, families, keys = [], [], [], []
                 for t in texts[at:at + 2000]:
                     s = shingles(t, hashes)
-                    sets.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                    for out, keys in zip(labels, prefixes(minhash(s, mult), depths) if len(s) else [[]] * len(depths), strict=True):
-                        out.append(keys)
+                    digest = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+                    first = prefix(s, common, rank).view(np.int64) if len(s) else []
+                    sets.append(digest), sizes.append(len(s)), families.append(first[0] if len(s) else None)
+                    keys.append([] if digest in met else first)
+                    met.add(digest)
+                if len(met) > 500_000:
+                    met.clear()
                 n = len(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, n), b.column(1).slice(at, n), pa.array(sets, pa.binary()),
-                     *(pa.array(x, pa.list_(pa.int64())) for x in labels)], ["row", "doc_id", "set", *(f"k{k}" for k in depths)])
+                    [b.column(0).slice(at, n), b.column(1).slice(at, n), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()),
+                     pa.array(families, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["row", "doc_id", "set", "size", "family", "keys"])
     return run
 
 
-def _verify_task(threshold: float):
+def _meet_task(threshold: float):
+    """Pairs of blocks that share a key (all rows of a key are in one task),
+    without those too different in size for a link and those with too few
+    shingles from that key on to reach the overlap of a link whose first
+    common shingle it is."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, leader, known = _Hashes(), None, None
-        for b in batches:
-            a, c, j = [], [], []
-            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True)
-            for node, lead, text, lead_text in rows:
-                if lead != leader:  # rows come sorted by leader
-                    leader, known = lead, shingles(lead_text.as_py(), hashes)
-                s = shingles(text.as_py(), hashes)
-                if min(len(s), len(known)) < threshold * max(len(s), len(known)):
-                    continue
-                both = len(np.intersect1d(s, known, assume_unique=True))
-                sim = both / (len(s) + len(known) - both)
-                if sim >= threshold:
-                    a.append(node), c.append(lead), j.append(sim)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(j, pa.float64())], ["a", "b", "jaccard"])
+        cols = [[c.to_numpy() for c in b.columns] for b in batches]
+        key, block, size, rest = (np.concatenate([np.zeros(0, np.int64), *(c[k] for c in cols)]) for k in range(4))
+        order = np.lexsort((block, key))
+        key, block, size, rest = key[order], block[order], size[order], rest[order]
+        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]))[:len(key)])
+        if not len(new):
+            return
+        key, block, least = key[new], block[new], np.minimum.reduceat(size, new)
+        most, rest = np.maximum.reduceat(size, new), np.maximum.reduceat(rest, new)
+        held, n, at, d = [], 0, np.arange(len(key)), 1
+
+        def merged() -> np.ndarray:
+            return np.unique(np.concatenate([np.zeros((0, 2), np.int64), *held]), axis=0)
+
+        while len(at):  # the d-th next block of the same key
+            at = at[at + d < len(key)]
+            at = at[key[at] == key[at + d]]
+            to = at + d
+            may = (most[at] >= threshold * least[to] - 1e-9) & (most[to] >= threshold * least[at] - 1e-9)
+            may &= np.minimum(rest[at], rest[to]) >= threshold / (1 + threshold) * (least[at] + least[to]) - 1e-9
+            held.append(np.stack([block[at[may]], block[to[may]]], 1))
+            n, d = n + len(held[-1]), d + 1
+            if n > 4_000_000:
+                held = [merged()]
+                n = len(held[0])
+                if n > 2_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0][:, 0]), pa.array(held[0][:, 1])], ["i", "j"])
+                    held, n = [], 0
+        out = merged()
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["i", "j"])
     return run
 
 
-def _verify(spark: SparkSession, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those ``pairs(a, b)`` of nodes with a Jaccard similarity of THRESHOLD or more."""
-    left = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    both = both.sortWithinPartitions("b")
-    return materialize(spark, both.mapInArrow(_verify_task(THRESHOLD), "a bigint, b bigint, jaccard double"), "links")
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all ``left`` with all ``right`` sets."""
+    if len(left) == len(right) == 1:
+        return np.array([[len(np.intersect1d(left[0], right[0], assume_unique=True))]])
+    a, b = np.concatenate(left), np.concatenate(right)
+    ra, rb = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right))
+    both = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(both):
+        return out
+
+    def columns(x: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(both, x), len(both) - 1)
+        keep = both[at] == x
+        order = np.argsort(at[keep], kind="stable")
+        return at[keep][order], r[keep][order]
+    (ca, ra), (cb, rb) = columns(a, ra), columns(b, rb)
+    for lo in range(0, len(both), 4096):
+        part = []
+        for c, r, n in ((ca, ra, len(left)), (cb, rb, len(right))):
+            x, y = np.searchsorted(c, [lo, lo + 4096])
+            m = np.zeros((n, min(4096, len(both) - lo)), np.float32)
+            m[r[x:y], c[x:y] - lo] = 1
+            part.append(m)
+        out += part[0] @ part[1].T  # whole numbers below 2^24, exact
+    return out
+
+
+def _compare(nodes: list[int], sets: list[np.ndarray], cross: int | None, threshold: float) -> Iterator[tuple]:
+    """(node, other, jaccard, n) of every node with n > 0 links: among all
+    nodes, or, if ``cross`` is given, between the first ``cross`` and the rest.
+    ``other`` is its parent in a spanning forest (null for a root)."""
+    left, right = (sets, sets) if cross is None else (sets[:cross], sets[cross:])
+    if not left or not right:
+        return
+    both = overlaps(left, right).astype(np.float64)
+    sizes = [np.array([len(s) for s in x], np.float64) for x in (left, right)]
+    sim = both / (sizes[0][:, None] + sizes[1][None, :] - both)
+    near = sim >= threshold
+    if cross is None:
+        np.fill_diagonal(near, False)
+    degree = near.sum(1) if cross is None else np.concatenate([near.sum(1), near.sum(0)])
+    off = cross or 0
+    todo = set(np.flatnonzero(degree).tolist())
+    while todo:
+        root = min(todo, key=nodes.__getitem__)
+        todo.discard(root)
+        yield nodes[root], None, None, int(degree[root])
+        stack = [root]
+        while stack:
+            x = stack.pop()
+            if cross is None or x < cross:
+                others, sims = np.flatnonzero(near[x]), sim[x]
+            else:
+                others, sims = np.flatnonzero(near[:, x - off]), sim[:, x - off]
+            shift = off if cross is not None and x < cross else 0
+            for y in others.tolist():
+                if y + shift in todo:
+                    todo.discard(y + shift)
+                    stack.append(y + shift)
+                    yield nodes[y + shift], nodes[x], float(sims[y]), int(degree[y + shift])
 
 
-def _rank(seed: int, *cols: str):
-    return F.struct(F.xxhash64(*cols, F.lit(seed)).alias("r"), F.col("node").alias("leader"))
+def _verify_task(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, pair, nodes, sets, sides = _Hashes(), None, [], [], []
+
+        def done() -> list[tuple]:
+            if not nodes:
+                return []
+            cross = None if pair[0] == pair[1] else sides.count(False)
+            return list(_compare(nodes, sets, cross, threshold))
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)],
+                ["node", "other", "jaccard", "n"])
+        for b in batches:  # rows come sorted by pair, the left block first
+            out = []
+            cols = (b.column(k).to_pylist() for k in range(4))
+            for i, j, side, node, text in zip(*cols, b.column(4), strict=True):
+                if pair != (i, j):
+                    out += done()
+                    pair, nodes, sets, sides = (i, j), [], [], []
+                nodes.append(node), sides.append(side), sets.append(shingles(text.as_py(), hashes))
+            yield batch(out)
+        yield batch(done())
+    return run
 
 
 def link(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, links) of ``docs(doc_id, text, ...)``.
 
     ``members``: one row per input row with row (place in the scan), doc_id,
-    node (smallest row with the same shingle set; null without words) and
-    comp (smallest node of the class). ``links(a, b, jaccard)``: the verified
-    links between nodes, each once, a > b.
+    node (smallest row with the same shingle set; null without words) and comp
+    (smallest node of the class). ``links(a, b, jaccard)``: verified links that
+    span the classes, each once, a > b.
     """
     ensure_importable(spark)
-    least = target_depth()
-    depths = [DEPTH, least] if least < DEPTH else [DEPTH]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    schema = "row bigint, doc_id bigint, set binary, " + ", ".join(f"k{k} array<bigint>" for k in depths)
-    labels = materialize(spark, rows.mapInArrow(_label_task(depths), schema), "labels")
-    first = materialize(spark, labels.where("set IS NOT NULL").groupBy("set").agg(F.min("row").alias("node")), "nodes")
-    nodes = first.select("node").join(labels.drop("doc_id", "set"), F.col("node") == F.col("row")).drop("row")
-    nodes = materialize(spark, nodes, "node-labels")
-
-    def buckets(k: int) -> DataFrame:
-        return nodes.select("node", F.explode(f"k{k}").alias("key"))
-
-    shared = buckets(least).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    wide = materialize(spark, buckets(least).join(materialize(spark, shared, "shared"), "key", "left_semi"), "wide")
-    met = wide.select(F.col("node").alias("row")).distinct()
-    texts = materialize(spark, rows.select("row", "text").join(met, "row", "left_semi"), "candidate-texts")
-
-    def comps(links: DataFrame) -> DataFrame:
-        return components(spark, links)
-
-    def star(b: DataFrame, seed: int) -> DataFrame:
-        """Each node with the leader it shares the most prefixes with."""
-        leaders = materialize(spark, b.groupBy("key").agg(F.count("*").alias("n"), F.min(_rank(seed, "node")).alias("l"))
-                              .where("n > 1").select("key", F.col("l.leader").alias("leader")), "leaders")
-        shared = b.join(leaders, "key").where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
-        return shared.groupBy("node").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"))
-
-    def ordered(p: DataFrame) -> DataFrame:
-        return p.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
-
-    tested = materialize(spark, ordered(star(buckets(DEPTH), 0)), "pairs")
-    links = _verify(spark, tested, texts)
-    comp = comps(links)
-    for seed in range(1, 1000):
-        x = wide.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        some = [F.min(_rank(LEADERS * seed + i, "node", "key")).alias(f"l{i}") for i in range(LEADERS)]
-        leads = x.groupBy("key", "comp").agg(*some).select(
-            "key", "comp", F.array_distinct(F.array(*(f"l{i}.leader" for i in range(LEADERS)))).alias("leaders"))
-        leads = materialize(spark, leads, "class-leaders")
-        crowd = materialize(spark, leads.groupBy("key").agg(
-            F.count("*").alias("n"), F.min(F.struct(F.xxhash64("comp", "key", F.lit(-seed)).alias("r"), F.col("leaders")[0].alias("leader"))).alias("one"))
-            .where("n > 1").select("key", "n", F.col("one.leader").alias("leader")), "crowded")
-        few = leads.join(crowd.where(F.col("n") <= FEW).select("key"), "key", "left_semi").select(
-            "key", "comp", F.explode("leaders").alias("leader"))
-        each = few.select("key", F.col("comp").alias("c1"), F.col("leader").alias("node")).join(few, "key").where("comp < c1")
-        one = leads.select("key", F.explode("leaders").alias("node")).join(
-            crowd.where(F.col("n") > FEW).select("key", "leader"), "key").where("node <> leader")
-        pairs = each.select("node", "leader").unionAll(one.select("node", "leader"))
-        pairs = materialize(spark, ordered(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
-        new = _verify(spark, pairs, texts)
-        tested = tested.unionAll(pairs)
-        if new.isEmpty():
-            break
-        links = materialize(spark, links.unionAll(new), "links")
-        comp = comps(links)
-    members = labels.select("row", "doc_id", "set").join(first, "set", "left").select("row", "doc_id", "node")
-    members = members.join(comp, "node", "left").select("row", "doc_id", "node", F.coalesce("comp", "node").alias("comp"))
+    shared = spark.sparkContext.broadcast(_common(docs))
+    labels = materialize(spark, rows.mapInArrow(
+        _label_task(shared), "row bigint, doc_id bigint, set binary, size bigint, family bigint, keys array<bigint>"), "labels")
+    first = labels.where("set IS NOT NULL").groupBy("set").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.first("family").alias("family"))
+    first = materialize(spark, first, "nodes")
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES))
+    large = materialize(spark, first.groupBy("family").agg(parts.alias("parts")).where("parts > 1"), "large-families")
+
+    def with_block(df: DataFrame) -> DataFrame:
+        salt = F.pmod(F.xxhash64("set"), F.coalesce("parts", F.lit(1)))
+        return df.join(large, "family", "left").withColumn("block", F.xxhash64("family", salt))
+
+    nodes = materialize(spark, with_block(first).select("node", "block"), "blocks")
+    keys = with_block(labels.where("size(keys) > 0").select("set", "size", "family", "keys")).select(
+        F.posexplode("keys").alias("pos", "key"), "block", "size")
+    keys = keys.select("key", "block", "size", (F.col("size") - F.col("pos")).alias("rest")).repartition("key")
+    cross = keys.mapInArrow(_meet_task(THRESHOLD), "i bigint, j bigint").distinct()
+    own = nodes.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select(F.col("block").alias("i"), F.col("block").alias("j"))
+    pairs = materialize(spark, cross.unionAll(own), "block-pairs")
+    sides = pairs.select("i", "j", F.lit(False).alias("side"), F.col("i").alias("block")).unionAll(
+        pairs.where("i <> j").select("i", "j", F.lit(True).alias("side"), F.col("j").alias("block")))
+    sides = materialize(spark, sides.join(nodes, "block").select("i", "j", "side", F.col("node").alias("row")), "sides")
+    both = sides.join(rows.select("row", "text"), "row").select("i", "j", "side", F.col("row").alias("node"), "text")
+    both = both.repartition("i", "j").sortWithinPartitions("i", "j", "side")
+    found = materialize(spark, both.mapInArrow(
+        _verify_task(THRESHOLD), "node bigint, other bigint, jaccard double, n bigint"), "links")
+    links = found.where("other IS NOT NULL").select(
+        F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"), "jaccard")
+    members = labels.select("row", "doc_id", "set").join(first.select("set", "node"), "set", "left").select("row", "doc_id", "node")
+    members = members.join(components(spark, links), "node", "left").select("row", "doc_id", "node", F.coalesce("comp", "node").alias("comp"))
     return materialize(spark, members, "members"), links
 
 

@@ -94,6 +94,70 @@ def test_ngram_classes_against_brute_force(spark):
     assert links.where(F.col("jaccard") < 0.8).isEmpty()
 
 
+def _links_by_brute_force(rows):
+    """(linked ids per id, class of each id) of (id, text) with all shingle sets distinct."""
+    hashes = ngram_join._Hashes()
+    sets = {d: set(ngram_join.shingles(t, hashes).tolist()) for d, t in rows}
+    assert len({frozenset(s) for s in sets.values()}) == len(sets)
+    near = {d: set() for d in sets}
+    for a, b in itertools.combinations(sets, 2):
+        n = len(sets[a] & sets[b])
+        if n and n / (len(sets[a]) + len(sets[b]) - n) >= 0.8:
+            near[a].add(b), near[b].add(a)
+    comp = {}
+    for d in sorted(sets):
+        todo = [] if d in comp else [d]
+        while todo:
+            x = todo.pop()
+            if x not in comp:
+                comp[x] = d
+                todo.extend(near[x])
+    return near, comp
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_ngram_links_of_template_families(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng, rows = np.random.default_rng(7), []
+
+    def edited(words, n, tag):
+        out = list(words)
+        for p in rng.choice(len(words) // 6, n, False) * 6 + 3:
+            out[p] = f"{tag}x{p}"
+        return out
+    for f in range(3):  # 60 texts at about 0.7 to each other, and to some a copy at about 0.85
+        base = [f"f{f}w{i}" for i in range(300)]
+        for i in range(60):
+            one = edited(base, 5, f"f{f}t{i}")
+            rows.append((1000 * f + i, " ".join(one)))
+            if i % 6 == 0:
+                rows.append((1000 * f + 500 + i, " ".join(edited(one, 4 + i % 2, f"f{f}p{i}"))))
+    base = [f"near{i}" for i in range(200)]  # a group of near copies that are all alike
+    rows += [(9000 + i, " ".join(edited(base, 1, f"n{i}"))) for i in range(80)]
+    rows += [(9900 + i, " ".join(f"s{i % 3}w{j}" for j in range(4 + i))) for i in range(12)]  # short texts
+    near, comp = _links_by_brute_force(rows)
+    assert sum(map(bool, near.values())) >= 80 + 2 * 30
+    path = scratch_path(spark, "families-test")
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(path)
+    got = ngram_join.classes(spark, spark.read.parquet(path)).collect()
+    assert {r.doc_id: r.class_id for r in got} == comp
+
+
+def test_prefix_filter_keeps_every_pair():
+    rng = np.random.default_rng(11)
+    common = np.unique(rng.integers(0, 400, 150).astype(np.uint64))
+    rank = rng.permutation(len(common)).astype(np.int32)
+    seen = 0
+    for _ in range(3000):
+        a = np.unique(rng.integers(0, 400, rng.integers(1, 60)).astype(np.uint64))
+        b = np.unique(np.append(rng.choice(a, max(1, int(len(a) * rng.uniform(0.8, 1))), False), rng.integers(0, 400, 2).astype(np.uint64)))
+        n = len(np.intersect1d(a, b))
+        if n / (len(a) + len(b) - n) >= 0.8:
+            seen += 1
+            assert len(np.intersect1d(ngram_join.prefix(a, common, rank), ngram_join.prefix(b, common, rank)))
+    assert seen > 300
+
+
 def test_target_depth_reaches_the_recall():
     k = ngram_join.target_depth()
     miss = lambda k: (1 - ngram_join.THRESHOLD ** k) ** ngram_join.TREES
