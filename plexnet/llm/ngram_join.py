@@ -276,8 +276,9 @@ def link(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, links) of ``docs(doc_id, text, ...)``.
 
     ``members``: one row per input row with row (place in the scan), doc_id,
-    node (smallest row with the same shingle set; null without words) and comp
-    (smallest node of the class). ``links(a, b, jaccard)``: verified links that
+    node (smallest row with the same shingle set; null without words), comp
+    (smallest node of the class) and n_links (nodes of similarity THRESHOLD or
+    more with it, all counted). ``links(a, b, jaccard)``: verified links that
     span the classes, each once, a > b.
     """
     ensure_importable(spark)
@@ -310,29 +311,30 @@ def link(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         _verify_task(THRESHOLD), "node bigint, other bigint, jaccard double, n bigint"), "links")
     links = found.where("other IS NOT NULL").select(
         F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"), "jaccard")
+    degree = materialize(spark, found.groupBy("node").agg(F.sum("n").alias("n_links")), "degree")
     members = labels.select("row", "doc_id", "set").join(first.select("set", "node"), "set", "left").select("row", "doc_id", "node")
-    members = members.join(components(spark, links), "node", "left").select("row", "doc_id", "node", F.coalesce("comp", "node").alias("comp"))
+    members = members.join(components(spark, links), "node", "left").join(degree, "node", "left").select(
+        "row", "doc_id", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
     return materialize(spark, members, "members"), links
 
 
 def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: row, doc_id, class_id (smallest doc_id of
-    its class), n_links (verified links of its shingle set to other sets),
+    its class), n_links (other shingle sets of similarity THRESHOLD or more),
     class_size (rows), kept (the class's smallest doc_id, of repeated rows one).
 
     Null and blank texts are classes of their own. Null ids lose to any other
     id. Copies share their links. Other columns are ignored; an empty table
     gives an empty result.
     """
-    members, links = link(spark, docs)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    members, _ = link(spark, docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
     heads = materialize(spark, members.where("comp IS NOT NULL").groupBy("comp").agg(
         first.alias("h"), F.count("*").alias("class_size")), "heads")
-    out = members.join(heads, "comp", "left").join(materialize(spark, degree, "degree"), "node", "left")
+    out = members.join(heads, "comp", "left")
     alone = F.col("comp").isNull()
     return out.select("row", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("h.doc_id")).alias("class_id"),
-                      F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+                      "n_links",
                       F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"),
                       (alone | (F.col("row") == F.col("h.row"))).alias("kept"))
 

@@ -141,6 +141,7 @@ def test_ngram_links_of_template_families(spark, monkeypatch, block):
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(path)
     got = ngram_join.classes(spark, spark.read.parquet(path)).collect()
     assert {r.doc_id: r.class_id for r in got} == comp
+    assert {r.doc_id: r.n_links for r in got} == {d: len(x) for d, x in near.items()}
 
 
 def test_prefix_filter_keeps_every_pair():
