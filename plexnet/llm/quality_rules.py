@@ -31,8 +31,6 @@ from plexnet.llm.common import crc_mod, flat_text, materialize, read_table, word
 RISK, DELTA, PRICE = 0.05, 0.05, 3
 #: Strata beyond the MAX_STRATA with the most labels share one pooled stratum.
 MAX_STRATA, POOLED = 100, "(other)"
-#: Labelled texts that choose and certify (expected number; drawn by a hash of the id).
-MAX_LABELLED = 200_000
 
 #: rule -> (metric, cutoffs from lenient to strict)
 RULES = {
@@ -161,21 +159,15 @@ def verdict(chosen: dict) -> Column:
     return ~base_failed() & ~bad
 
 
-def sampled_labels(labels: DataFrame) -> DataFrame:
-    """``(doc_id, good)`` of at most some MAX_LABELLED labelled ids."""
-    lab = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
-        (F.min("quality") > 0).alias("good"))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return lab.where(draw < MAX_LABELLED / max(1, labels.count()))
-
-
 def fit_rules(spark: SparkSession, measured: DataFrame, labels: DataFrame) -> dict:
     """Cutoffs from ``measured(doc_id, lang, _m)`` joined with ``labels(doc_id,
     quality)``. Rows with a null id or label teach nothing; of repeated labels
     of one id, a text is good only if all say so. Texts the base rules reject
-    are left out: the risk is that of the method's own verdict."""
-    lab = sampled_labels(labels)
-    joined = measured.where(~base_failed()).select("doc_id", "lang", "_m").join(F.broadcast(lab), "doc_id")
+    are left out: the risk is that of the method's own verdict. All labels
+    count, whatever their number."""
+    lab = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
+        (F.min("quality") > 0).alias("good"))
+    joined = measured.where(~base_failed()).select("doc_id", "lang", "_m").join(lab, "doc_id")
     labelled = materialize(spark, joined.select(
         label_stratum(F.col("lang")).alias("stratum"), (crc_mod(F.col("doc_id"), 2) == 0).alias("choice"),
         "good", "_m"), "labelled")

@@ -42,6 +42,17 @@ def test_binomial_tail_and_guarantee():
     assert quality_rules.binomial_tail(7, 200, 0.05) == pytest.approx(want, rel=1e-12)
 
 
+def test_all_labels_count_beside_a_million_others(spark):
+    """110 good certifying texts of a small language certify its rule, however many labels there are."""
+    value = {"n_symbols": "IF(id < 220, 0L, 200L)", "n_words": "100L", "n_lines": "100L", "word_chars": "100L"}
+    m = "struct(" + ", ".join(f"{value.get(c, '0L')} AS {c}" for c in quality_rules.METRIC_COLUMNS) + ") AS _m"
+    measured = spark.range(320).selectExpr("id AS doc_id", "'xx' AS lang", m)
+    labels = spark.range(1_000_000).selectExpr("id AS doc_id", "IF(id < 220, 1, 0) AS quality")
+    chosen = quality_rules.fit_rules(spark, measured, labels)
+    good = sum(zlib.crc32(str(i).encode()) % 2 for i in range(220))
+    assert chosen["report"]["xx"]["good"] == good and chosen["rules"]["xx"] == [("symbols", 1.0)]
+
+
 def test_index_keeps_across_batches(spark):
     index = exact_dedup.DigestIndex(spark, scratch_path(spark, "index-test"), 4)
     one = spark.createDataFrame([(1, "a b"), (2, "a  b"), (3, "c")], "doc_id bigint, text string")
