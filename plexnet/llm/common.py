@@ -76,14 +76,21 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> D
     raise RuntimeError(f"components: not settled after {max_rounds} rounds")
 
 
-def save_arrays(arrays: dict[str, np.ndarray], path: str) -> None:
-    """Write arrays to one file: a JSON line with the layout, then the bytes."""
+def array_file_head(spec: dict[str, tuple[str, int]]) -> tuple[bytes, dict[str, int], int]:
+    """For a file of arrays of these types and lengths: its first line (JSON
+    with the layout), the place of each array in the file, and the file's size."""
     layout, at = {}, 0
-    for k, a in arrays.items():
-        layout[k] = [a.dtype.str, len(a), at]
-        at += -(-a.nbytes // 8) * 8
+    for k, (dtype, n) in spec.items():
+        layout[k] = [dtype, n, at]
+        at += -(-n * np.dtype(dtype).itemsize // 8) * 8
     head = json.dumps(layout).encode()
     head += b" " * (-(len(head) + 1) % 8) + b"\n"
+    return head, {k: len(head) + x[2] for k, x in layout.items()}, len(head) + at
+
+
+def save_arrays(arrays: dict[str, np.ndarray], path: str) -> None:
+    """Write arrays to one file: a JSON line with the layout, then the bytes."""
+    head, _, _ = array_file_head({k: (a.dtype.str, len(a)) for k, a in arrays.items()})
     with open(path, "wb") as f:
         f.write(head)
         for a in arrays.values():

@@ -15,10 +15,9 @@ along the path from the root, weighted by w and the shares not yet spent. A
 text is scored with the longest known context of each decision, so the eight
 decisions of a byte always make a proper distribution over bytes.
 
-The model that is shipped to the tasks has a fixed size: decisions that were
-met less than a minimum number of times in a context keep their counts in its
-parents but get no node of their own, and the minimum is the smallest power of
-two that leaves at most MAX_NODES nodes. All texts count, whatever their size.
+The model keeps every node, so it grows with the input like the number of its
+distinct contexts. Spark sorts the nodes; the driver only passes them on, a
+partition at a time, to a file that the tasks map into memory.
 """
 
 from __future__ import annotations
@@ -37,11 +36,10 @@ from pyspark import Broadcast, SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexnet.llm.common import crc_mod, map_arrays, materialize, read_table, save_arrays
+from plexnet.llm.common import array_file_head, crc_mod, map_arrays, materialize, read_table
 from plexnet.shipping import ensure_importable
 
 DEPTH = 5
-MAX_NODES = 4_000_000
 #: Tokens whose values every task holds; the others are joined by a shuffle.
 FREQUENT = 200_000
 #: Marks the end of a text and fills the context before its start; never occurs in UTF-8.
@@ -123,7 +121,7 @@ def _lgamma(x: str) -> str:
 LN_KT = f"({_lgamma('(n0 + 0.5D)')} + {_lgamma('(n1 + 0.5D)')} - {_lgamma('(n0 + n1 + 1D)')} - 1.1447298858494002D)"
 
 
-def build_tree(spark: SparkSession, grams: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
+def build_tree(spark: SparkSession, grams: DataFrame) -> DataFrame:
     """``(depth, key, q)``: the mixed estimate of a one for every node, with
     key = context << 8 | decision (1..255), from ``grams(gram, n)``; a gram may
     stand in several rows."""
@@ -147,18 +145,10 @@ def build_tree(spark: SparkSession, grams: DataFrame, max_nodes: int = MAX_NODES
         up = up.withColumn("pw", top - F.lit(float(np.log(2))) + F.log1p(F.exp(F.least("kt", "below") - top)))
         levels[d] = materialize(spark, up.select("key", "n0", "n1", "pw"), f"tree{d}")
     met = F.col("n0") + F.col("n1")
-    counts: dict[int, int] = {}  # nodes by the power of two of how often they were met
-    for lev in levels.values():
-        for r in lev.groupBy(F.floor(F.log2(met)).cast("int").alias("s")).agg(F.count("*").alias("nodes")).collect():
-            counts[r.s] = counts.get(r.s, 0) + r.nodes
-    least, total = 0, sum(counts.values())
-    while total > max_nodes and least < 62:
-        total -= counts.get(least, 0)
-        least += 1
     out, mixed = [], None
     for d in range(DEPTH + 1):
         stop = F.exp(F.expr(LN_KT) - F.col("pw") - float(np.log(2))) if d < DEPTH else F.lit(1.0)
-        lev = levels[d].where(met >= (1 << least)).select(
+        lev = levels[d].select(
             "key", ((F.col("n1") + 0.5) / (met + 1.0)).alias("p"), F.least(stop, F.lit(1.0)).alias("w"))
         if mixed is None:
             lev = lev.withColumn("acc", F.lit(0.0)).withColumn("rest", F.lit(1.0))
@@ -299,24 +289,44 @@ def _score_task(name: str | None, known: "Broadcast | None"):
 ROWS_SCHEMA = "row bigint, w string, score double, base double, n bigint, n_known bigint"
 
 
-def train(spark: SparkSession, docs: DataFrame, max_nodes: int = MAX_NODES) -> str:
-    """Train on the whole ``docs.text``; ships the tree, returns its file's name."""
-    ensure_importable(spark)
-    grams = docs.select("text").mapInArrow(count_grams, "gram bigint, n bigint")
-    tree = build_tree(spark, grams, max_nodes)
-    arrays = {}
-    for d in range(DEPTH + 1):
-        t = tree.where(F.col("depth") == d).select("key", "q").toArrow()
-        key, q = t.column("key").to_numpy(), t.column("q").to_numpy()
-        order = np.argsort(key)
-        arrays[f"key{d}"], arrays[f"q{d}"] = key[order].astype("<i8"), q[order].astype("<f4")
+def _pack_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (depth, key, q) rows as the bytes of arrays, one row per depth and batch."""
+    for b in batches:
+        depth, key, q = (c.to_numpy() for c in b.columns)
+        for d in np.unique(depth).tolist():
+            x = depth == d
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([d], pa.int32()), pa.array([key[x].astype("<i8").tobytes()], pa.binary()),
+                 pa.array([q[x].astype("<f4").tobytes()], pa.binary())], ["depth", "key", "q"])
+
+
+def ship(spark: SparkSession, tree: DataFrame) -> str:
+    """Sends a tree to the executors as one file and returns the file's name.
+    The driver holds one partition of it at a time."""
+    sizes = {r.depth: r["count"] for r in tree.groupBy("depth").count().collect()}
+    head, at, size = array_file_head({f"{k}{d}": (t, sizes.get(d, 0)) for d in range(DEPTH + 1) for k, t in (("key", "<i8"), ("q", "<f4"))})
     name = f"tree-{uuid.uuid4().hex[:12]}.bin"
     path = os.path.join(tempfile.mkdtemp(prefix="plexnet-"), name)  # the driver's own copy, which Spark serves
-    save_arrays(arrays, path)
+    packed = tree.repartitionByRange("depth", "key").sortWithinPartitions("depth", "key").mapInArrow(
+        _pack_task, "depth int, key binary, q binary")
+    with open(path, "wb") as f:
+        f.write(head)
+        f.truncate(size)
+        for r in packed.toLocalIterator(prefetchPartitions=True):
+            for k, x in ((f"key{r.depth}", r.key), (f"q{r.depth}", r.q)):
+                f.seek(at[k])
+                f.write(x)
+                at[k] += len(x)
     spark.sparkContext.addFile(path)
     return name
 
 
+def train(spark: SparkSession, docs: DataFrame) -> str:
+    """Train on the whole ``docs.text``; ships the tree, returns its file's name."""
+    ensure_importable(spark)
+    return ship(spark, build_tree(spark, docs.select("text").mapInArrow(count_grams, "gram bigint, n bigint")))
+
+
 def score(spark: SparkSession, docs: DataFrame, model: str) -> DataFrame:
     """``(row, score)`` of ``docs(row, text)``: the log10 probability of each
     whole text and its end, A-Z lower-cased. Null counts as empty."""

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from edge_fixtures import SF_MID, SF_SMALL
 from hypothesis import given, settings
@@ -318,6 +319,17 @@ def test_ctw_against_brute_force(spark):
         assert got[r.row] == pytest.approx(brute(r.text or ""), rel=1e-5)
 
 
+def test_tree_keeps_every_node(spark):
+    raw = np.unique(np.random.default_rng(5).integers(0, 1 << 48, 250_000))
+    grams = spark.createDataFrame(pa.table({"gram": raw, "n": np.ones(len(raw), np.int64)}))
+    want = 0
+    for d in range(ctw.DEPTH + 1):
+        ctx, byte = raw >> 8 & ((1 << 8 * d) - 1), raw & 255
+        want += sum(len(np.unique(ctx << 8 | 1 << k | byte >> (8 - k))) for k in range(8))
+    assert want > 4_000_000
+    assert ctw.build_tree(spark, grams).count() == want
+
+
 def test_unigram_base_scores(spark):
     texts = ["The cat, the CAT", "dog", None, "Ünder the É"]
     docs = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string")
