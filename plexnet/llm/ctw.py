@@ -122,9 +122,11 @@ LN_KT = f"({_lgamma('(n0 + 0.5D)')} + {_lgamma('(n1 + 0.5D)')} - {_lgamma('(n0 +
 
 
 def build_tree(spark: SparkSession, grams: DataFrame) -> DataFrame:
-    """``(depth, key, q)``: the mixed estimate of a one for every node, with
-    key = context << 8 | decision (1..255), from ``grams(gram, n)``; a gram may
-    stand in several rows."""
+    """``(depth, key, q)``: the mixed estimate for every node, with key =
+    context << 8 | decision (1..255), from ``grams(gram, n)``; a gram may stand
+    in several rows. q is the estimate of a one, or, if that of a zero is
+    smaller, the latter with a minus sign: the small one is the one that a
+    float of it would lose to rounding (1 - q = 0)."""
     # dealt out by context, the rows of a context's eight decisions stay together
     by_context = grams.repartition(F.shiftright("gram", 8)).select(
         F.shiftright("gram", 8).alias("ctx"), F.col("gram").bitwiseAND(255).alias("byte"), "n")
@@ -149,16 +151,18 @@ def build_tree(spark: SparkSession, grams: DataFrame) -> DataFrame:
     for d in range(DEPTH + 1):
         stop = F.exp(F.expr(LN_KT) - F.col("pw") - float(np.log(2))) if d < DEPTH else F.lit(1.0)
         lev = levels[d].select(
-            "key", ((F.col("n1") + 0.5) / (met + 1.0)).alias("p"), F.least(stop, F.lit(1.0)).alias("w"))
+            "key", ((F.col("n1") + 0.5) / (met + 1.0)).alias("p"), ((F.col("n0") + 0.5) / (met + 1.0)).alias("p0"), F.least(stop, F.lit(1.0)).alias("w"))
         if mixed is None:
-            lev = lev.withColumn("acc", F.lit(0.0)).withColumn("rest", F.lit(1.0))
+            lev = lev.withColumn("acc", F.lit(0.0)).withColumn("acc0", F.lit(0.0)).withColumn("rest", F.lit(1.0))
         else:
             mask = (1 << (8 * d)) - 1
-            above = mixed.select(F.col("key").alias("up"), "acc", "rest")
+            above = mixed.select(F.col("key").alias("up"), "acc", "acc0", "rest")
             lev = lev.join(above, F.col("key").bitwiseAND(mask) == F.col("up")).drop("up")
-        q = (F.col("acc") + F.col("rest") * F.col("p")).cast("float")
+        one, zero = F.col("acc") + F.col("rest") * F.col("p"), F.col("acc0") + F.col("rest") * F.col("p0")
+        q = F.when(one <= zero, one).otherwise(-zero).cast("float")
         mixed = materialize(spark, lev.select(
             "key", q.alias("q"), (F.col("acc") + F.col("rest") * F.col("w") * F.col("p")).alias("acc"),
+            (F.col("acc0") + F.col("rest") * F.col("w") * F.col("p0")).alias("acc0"),
             (F.col("rest") * (1 - F.col("w"))).alias("rest")) if d < DEPTH else lev.select("key", q.alias("q")), f"mixed{d}")
         out.append(mixed.select(F.lit(d).alias("depth"), "key", "q"))
     tree = out[0]
@@ -195,7 +199,8 @@ class Scorer:
                 hit = keys[at] == key
                 q[open_[hit]] = qs[at[hit]]
                 open_ = open_[~hit]
-            out += np.log10(np.where(bit == 1, q, 1 - q))
+            low = np.abs(q)  # of a one where q > 0, else of a zero
+            out += np.log10(np.where((bit == 1) == (q > 0), low, 1 - low))
         return out
 
     def values(self, grams: np.ndarray) -> np.ndarray:

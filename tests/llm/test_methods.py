@@ -319,6 +319,19 @@ def test_ctw_against_brute_force(spark):
         assert got[r.row] == pytest.approx(brute(r.text or ""), rel=1e-5)
 
 
+def test_a_decision_against_many_is_not_impossible(spark):
+    """'b' where 'a' stood 2^40 times in the context; a and b differ in the last two bits."""
+    n, aaaaaa = 1 << 40, int.from_bytes(b"aaaaaa")
+    model = ctw.ship(spark, ctw.build_tree(spark, spark.createDataFrame([(aaaaaa, n)], "gram bigint, n bigint")))
+    scorer = ctw.Scorer(ctw.SparkFiles.get(model))
+    grams = np.array([aaaaaa, aaaaaa ^ 3, aaaaaa ^ 1], np.int64)  # ...a, ...b, ...`
+    got = scorer.values(grams)
+    miss = math.log10(0.5 / (n + 1))  # every context says the same, whatever their weights
+    assert got[2] == pytest.approx(miss, rel=1e-6)
+    assert got[1] == pytest.approx(miss + math.log10(0.5), rel=1e-6)  # beyond the first miss the node is unknown
+    assert np.isfinite(got).all() and -1e-10 < got[0] <= 0
+
+
 def test_tree_keeps_every_node(spark):
     raw = np.unique(np.random.default_rng(5).integers(0, 1 << 48, 250_000))
     grams = spark.createDataFrame(pa.table({"gram": raw, "n": np.ones(len(raw), np.int64)}))
