@@ -6,8 +6,8 @@ are tested in tests/llm against brute-force versions.
 
 from __future__ import annotations
 
-from plexnet.llm import (bpe, chat, ctw, exact_dedup, ngram_join, packing, quality_classifier, quality_rules, toxicity,
-                         url_filter)
+from plexnet.llm import (bpe, chat, collocations, ctw, embedding_dedup, exact_dedup, ngram_join, packing, quality_classifier,
+                         quality_rules, toxicity, url_filter, whitening)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -20,9 +20,14 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_lm_scoring": ctw.op9_lm_scoring,
     "op10_chat": chat.op10_chat,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_embedding_dedup": embedding_dedup.op12_embedding_dedup,
+    "op13_collocations": collocations.op13_collocations,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.op1_sql(),
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op5_url_filter": url_filter.OP5_SQL,
+    "op12_embedding_dedup": embedding_dedup.OP12_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }
