@@ -138,6 +138,20 @@ def np_d_elu(z: np.ndarray) -> np.ndarray:
     return np.where(z >= 0, 1.0, ELU_ALPHA * np.expm1(np.minimum(z, 0.0)) + ELU_ALPHA)
 
 
+def np_dd_sigmoid(z: np.ndarray) -> np.ndarray:
+    s = np_sigmoid(z)
+    return s * (1.0 - s) * (1.0 - 2.0 * s)
+
+
+def np_dd_tanh(z: np.ndarray) -> np.ndarray:
+    t = np.tanh(z)
+    return -2.0 * t * (1.0 - t * t)
+
+
+def np_dd_elu(z: np.ndarray) -> np.ndarray:
+    return np.where(z >= 0, 0.0, ELU_ALPHA * np.exp(np.minimum(z, 0.0)))
+
+
 def np_clip_prob(p: np.ndarray) -> np.ndarray:
     return np.clip(p, PROB_EPS, 1.0 - PROB_EPS)
 
@@ -161,28 +175,30 @@ class Activation:
     d_column: Callable[[Column], Column]
     numpy: Callable[[np.ndarray], np.ndarray]
     d_numpy: Callable[[np.ndarray], np.ndarray]
+    dd_numpy: Callable[[np.ndarray], np.ndarray] | None = None
 
 
 _REGISTRY: dict[str, Activation] = {}
 
 
-def register_activation(name: str, column_fn, numpy_fn, d_column_fn, d_numpy_fn) -> None:
-    """The extension point: add an activation usable by every operator.
+def register_activation(name: str, column_fn, numpy_fn, d_column_fn, d_numpy_fn, dd_numpy_fn=None) -> None:
+    """The extension point: add an activation usable by every operator (the
+    second derivative is for Hessian products only).
     The NumPy twins travel to the executors with each pass; functions of a
     module outside this package are shipped by value."""
-    for fn in (numpy_fn, d_numpy_fn):
+    for fn in filter(None, (numpy_fn, d_numpy_fn, dd_numpy_fn)):
         module = sys.modules.get(getattr(fn, "__module__", None) or "")
         if module is not None and module.__name__ != "__main__" and module.__name__.split(".")[0] not in ("plexnet", "numpy"):
             cloudpickle.register_pickle_by_value(module)
-    _REGISTRY[name] = Activation(name, column_fn, d_column_fn, numpy_fn, d_numpy_fn)
+    _REGISTRY[name] = Activation(name, column_fn, d_column_fn, numpy_fn, d_numpy_fn, dd_numpy_fn)
 
 
 # names accepted by the reference settings, plus the plain "tanh"
-register_activation("sigmoid", sigmoid, np_sigmoid, d_sigmoid, np_d_sigmoid)
-register_activation("tanh", tanh, np_tanh, d_tanh, np_d_tanh)
-register_activation("ReLU", relu, np_relu, d_relu, np_d_relu)
-register_activation("LReLU", lrelu, np_lrelu, d_lrelu, np_d_lrelu)
-register_activation("ELU", elu, np_elu, d_elu, np_d_elu)
+register_activation("sigmoid", sigmoid, np_sigmoid, d_sigmoid, np_d_sigmoid, np_dd_sigmoid)
+register_activation("tanh", tanh, np_tanh, d_tanh, np_d_tanh, np_dd_tanh)
+register_activation("ReLU", relu, np_relu, d_relu, np_d_relu, np.zeros_like)
+register_activation("LReLU", lrelu, np_lrelu, d_lrelu, np_d_lrelu, np.zeros_like)
+register_activation("ELU", elu, np_elu, d_elu, np_d_elu, np_dd_elu)
 
 
 def get_activation(name: str) -> Activation:

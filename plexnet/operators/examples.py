@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plexnet.functions.random import md5_bits, mix_uniform
+from plexnet.functions.random import md5_bits, mix_uniform, np_mix_uniform
+from plexnet.shipping import ensure_importable
 from plexnet.sources.tables import split_column
 
 # Fixed value: online ("olGD") draws use the seed epoch + 10, as in the reference.
@@ -131,6 +134,30 @@ def online_pick(df: DataFrame, epoch: int, seed: int = 2332, key: Column | str |
             .agg(F.min_by(F.col("id"), F.struct(u, F.col("id"))).alias("id")))
 
 
+def online_picks(df: DataFrame, epochs: range, seed: int = 2332, key: str = "bkey") -> DataFrame:
+    """(epoch, id): the train example of every online epoch, as ``online_pick``
+    finds it, in one scan. Each task keeps the smallest draw of each epoch;
+    these meet in one min per epoch."""
+    many = [int(e) for e in epochs]
+
+    def run(batches):
+        best_u, best_id = np.full(len(many), np.inf), np.zeros(len(many), np.int64)
+        for b in batches:
+            ids, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for k, e in enumerate(many if len(ids) else []):
+                u = np_mix_uniform(keys, seed, e + ONLINE_SEED_OFFSET)
+                low = u.min()
+                if low <= best_u[k]:
+                    first = int(ids[u == low].min())
+                    best_id[k] = first if low < best_u[k] else min(first, best_id[k])
+                    best_u[k] = low
+        met = np.isfinite(best_u)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(many, np.int32)[met], pa.int32()), pa.array(best_u[met]), pa.array(best_id[met])], ["epoch", "u", "id"])
+    ensure_importable(df.sparkSession)
+    found = df.where(F.col("split") == "train").select(F.col("id").cast("bigint"), key).mapInArrow(run, "epoch int, u double, id bigint")
+    return found.groupBy("epoch").agg(F.min(F.struct("u", "id")).alias("m")).select("epoch", F.col("m.id").alias("id"))
+
+
 def online_example(df: DataFrame, epoch: int, seed: int = 2332) -> DataFrame:
     """The picked example itself (one row)."""
     pick = online_pick(df, epoch, seed)

@@ -67,8 +67,14 @@ def specs_from_pandas(params_pdf: pd.DataFrame, models_pdf: pd.DataFrame,
 
 
 def specs_from_frames(params: DataFrame, models: DataFrame, **kw) -> list[NetSpec]:
+    """Weights of a parameter table, after a check of its size: a model over
+    the broadcast bound is refused before any of it comes to the driver
+    (``operators.sharded`` takes such models)."""
+    each = 16 if kw.get("lookahead_mu") else 8
+    for r in params.groupBy("model_id").agg((F.count("*") * each).alias("size")).where(F.col("size") > MAX_BROADCAST_BYTES).limit(1).collect():
+        raise ValueError(f"model {r['model_id']} has {r['size']} bytes of weights, over the broadcast bound {MAX_BROADCAST_BYTES}")
     p = params.select("model_id", "layer", "row", "col", "theta",
-                      *(["velocity"] if kw.get("lookahead_mu") else [])).toPandas()
+                      *(["velocity"] if kw.get("lookahead_mu") else [])).toArrow().to_pandas()
     m = models.select("model_id", "outputs", "activation", "loss").toPandas()
     return specs_from_pandas(p, m, **kw)
 
@@ -159,7 +165,7 @@ def _width(examples: DataFrame, specs: list[NetSpec]) -> int:
 def sums_pass(examples: DataFrame, specs: list[NetSpec], train: Column | None = None,
               batch: Column | None = None, val: Column | None = None,
               with_grads: bool = True, layout: str = "keyed",
-              draw: tuple | None = None, draw_key: str = "bkey") -> DataFrame:
+              draw: tuple | None = None, draw_key: str = "bkey", merge_groups: int | None = None) -> DataFrame:
     """One scan of ``examples`` for all models: gradient sums of the rows
     where ``batch`` holds, costs of ``train`` rows and metrics of ``val`` rows.
     Returns (model_id, layer, row, col, value); layer -1 rows are the scalar
@@ -167,10 +173,11 @@ def sums_pass(examples: DataFrame, specs: list[NetSpec], train: Column | None =
     (model_id, block, v0..v63) instead: the same sums, 64 to a row (what the
     training loop reads). ``draw=(fraction, seed, epoch)`` narrows the batch
     rows to the mini-batch drawn from the key column ``draw_key`` inside the
-    kernel (same numbers as ``examples.in_batch``)."""
+    kernel (same numbers as ``examples.in_batch``). ``merge_groups`` merges the
+    sums of the tasks in two levels (see :func:`merged_sums`)."""
     groups = group_specs(specs)
     if len(groups) > 1:
-        return _union([sums_pass(examples, g, train, batch, val, with_grads, layout, draw, draw_key)
+        return _union([sums_pass(examples, g, train, batch, val, with_grads, layout, draw, draw_key, merge_groups)
                        for g in groups])
     spark = examples.sparkSession
     n_features = _width(examples, specs)
@@ -188,13 +195,21 @@ def sums_pass(examples: DataFrame, specs: list[NetSpec], train: Column | None =
         return sums_kernel(batches, bc.value, n_features, with_grads, layout, draw, acts)
 
     if layout == "blocks":
-        # GroupedData.sum over the 64 columns: one call to plan (64 separate
-        # sum() columns cost about a second of py4j round trips per pass)
-        return (src.mapInArrow(fn, BLOCKS_SCHEMA).groupBy("model_id", "block")
-                .sum(*BLOCK_COLS).toDF("model_id", "block", *BLOCK_COLS))
-    return (src.mapInArrow(fn, SUMS_SCHEMA)
-            .groupBy("model_id", "layer", "row", "col")
-            .agg(F.sum("value").alias("value")))
+        return merged_sums(src.mapInArrow(fn, BLOCKS_SCHEMA), ["model_id", "block"], BLOCK_COLS, merge_groups)
+    return merged_sums(src.mapInArrow(fn, SUMS_SCHEMA), ["model_id", "layer", "row", "col"], ["value"], merge_groups)
+
+
+def merged_sums(parts: DataFrame, key: list[str], cols: list[str], groups: int | None = None) -> DataFrame:
+    """Sums of the tasks' partial sums by ``key``. With ``groups``, sums are
+    merged inside that many groups of tasks first, then across the groups:
+    a task of the last exchange reads at most one row per key and group, however
+    many map tasks there are, and no key's sums meet in a single task before.
+    About the square root of the number of map tasks balances the two levels."""
+    if groups is not None:
+        parts = parts.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(int(groups)))).groupBy(*key, "_group").sum(*cols).toDF(*key, "_group", *cols)
+    # GroupedData.sum over the columns: one call to plan (64 separate sum()
+    # columns cost about a second of py4j round trips per pass)
+    return parts.groupBy(*key).sum(*cols).toDF(*key, *cols)
 
 
 def stored_sums(sums: DataFrame) -> DataFrame:
@@ -262,10 +277,10 @@ def evaluate(examples: DataFrame, params: DataFrame, models: DataFrame,
 
 def gradient_sums(examples: DataFrame, params: DataFrame, models: DataFrame,
                   batch: Column | None = None, specs: list[NetSpec] | None = None,
-                  lookahead_mu: dict | None = None) -> DataFrame:
+                  lookahead_mu: dict | None = None, merge_groups: int | None = None) -> DataFrame:
     """Summed per-example gradients (model_id, layer, row, col, value) over
     the rows where ``batch`` holds (all rows by default), plus the scalar
     rows of layer -1 (batch_n is the event count)."""
     if specs is None:
         specs = specs_from_frames(params, models, lookahead_mu=lookahead_mu)
-    return sums_pass(examples, specs, batch=batch if batch is not None else F.lit(True))
+    return sums_pass(examples, specs, batch=batch if batch is not None else F.lit(True), merge_groups=merge_groups)

@@ -264,7 +264,15 @@ def q_history_sink(spark, sf):
                        r6(F.col("cost_val")).alias("cost_val"), "model_id")
 
 
-@query("model_summary")
+def _summary_sql() -> str:
+    ctes, h = _history_sql(NET_FIT_L, 2)
+    n = NET_FIT_L
+    return Q.with_clause([*ctes, f"low AS (SELECT min(cost_val) AS c FROM {h})"]) + (
+        f"SELECT 'L;{n.sizes[1]} 2 {n.rate};1;' || CAST((SELECT max(epoch) + 1 FROM {h} JOIN low ON cost_val = c) AS VARCHAR) || ';' || "
+        f"replace(printf('%.3f', c), '.', ',') || ';{n.optimizer}_{n.maxmu}_{n.itert};RND_ 1.0E-10' AS value FROM low")
+
+
+@query("model_summary", _summary_sql)
 def q_model_summary(spark, sf):
     from plexnet.plans.fit import model_summary
     from plexnet.plans.grid import models_from_rows

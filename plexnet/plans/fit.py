@@ -219,10 +219,11 @@ def _fit(ex: DataFrame, models: DataFrame, stored: DataFrame | None = None,
         warm: str = "RND", full_batch: bool = False, fuse: bool = True, step: str = "driver",
         checkpoint_every: int = 0, run_dir: str | None = None,
         initial_params: DataFrame | None = None, resume_from: str | None = None,
-        timings: list | None = None) -> FitResult:
+        timings: list | None = None, merge_groups: int | None = None) -> FitResult:
     """Train every model of ``models`` on cached examples. Returns last and
     best parameters, history and summary tables. ``timings``, when given,
-    receives the wall seconds of every epoch.
+    receives the wall seconds of every epoch. ``merge_groups`` merges the sums
+    of many map tasks in two levels (``passes.merged_sums``).
 
     ``checkpoint_every`` writes weights, optimiser state, best weights and
     history of the run so far under ``run_dir``; ``resume_from`` continues
@@ -314,6 +315,7 @@ def _fit(ex: DataFrame, models: DataFrame, stored: DataFrame | None = None,
                 best_states[m] = weights[m].copy()
         pending.clear()
 
+    picks: dict | None = None
     for t in range(start, t_max + 1):
         t_start = time.perf_counter()
         active = [m for m in epochs if t < epochs[m]]
@@ -329,8 +331,9 @@ def _fit(ex: DataFrame, models: DataFrame, stored: DataFrame | None = None,
         look = {m: mus[m] for m in active if mcfg.loc[m, "optimizer"] == "nesterov"}
         specs = _specs(states, mcfg, look)
         if online:
-            pick = E.online_pick(ex, t, seed, key="bkey").first()["id"]
-            batch = is_train & (F.col("id") == F.lit(pick))
+            if picks is None:  # of all epochs, in one job
+                picks = {r["epoch"]: r["id"] for r in E.online_picks(ex, range(t, t_max), seed).collect()}
+            batch = is_train & (F.col("id") == F.lit(picks[t]))
         else:
             batch = is_train
         # the mini-batch draw runs in the kernel: no epoch constant enters the
@@ -340,7 +343,7 @@ def _fit(ex: DataFrame, models: DataFrame, stored: DataFrame | None = None,
         if step == "driver":
             with released_broadcasts():
                 sums = sums_pass(ex, specs, train=is_train, batch=batch, val=val_flag, layout="blocks",
-                                 draw=draw).toPandas()
+                                 draw=draw, merge_groups=merge_groups).toPandas()
             grads, sc = grads_from_blocks(sums, states)
             new_states = {}
             for m, st in states.items():
@@ -352,7 +355,8 @@ def _fit(ex: DataFrame, models: DataFrame, stored: DataFrame | None = None,
         else:
             # the pass output is read by several branches of the step plan
             with released_broadcasts():
-                sums = sums_pass(ex, specs, train=is_train, batch=batch, val=val_flag, draw=draw)
+                sums = sums_pass(ex, specs, train=is_train, batch=batch, val=val_flag, draw=draw,
+                                 merge_groups=merge_groups)
                 sums = sums.persist(StorageLevel.MEMORY_AND_DISK)
                 out = optimizer_step(_params_df(spark, states_to_pandas(states)), sums, models, t,
                                      scalars_wide(sums)).toPandas()

@@ -48,7 +48,7 @@ def train_job(spark: SparkSession, train_path: str, val_path: str, out_dir: str,
     write_history(res.history, paths[0])
     acts = {r["model_id"]: r["activation"] for r in models.select("model_id", "activation").collect()}
     write_weights_text(res.best_params if save_best else res.params, paths[1], activation=acts)
-    write_model_summary(res.summary, paths[2], data_name, mode="overwrite")
+    write_model_summary(res.summary, paths[2], data_name, mode="overwrite", warm=warm, stored=(stored_weights or "") if warm != "RND" else "")
     return JobOutput(res, *paths)
 
 

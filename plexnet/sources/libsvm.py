@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexnet.functions.random import md5_id
+from plexnet.sources.lines import numbered_rows
 from plexnet.sources.tables import split_column
 
 
@@ -16,18 +17,16 @@ def read_libsvm(spark: SparkSession, path: str, num_features: int | None = None,
     indices; missing indices are 0). Give ``num_features`` so train and
     validation files agree on the width. ``split`` fixes the split name for
     every row (the reference reads '<name>train' and '<name>val' files);
-    otherwise rows are split by md5 of the id. The id is md5 of the file, the
-    start of the file block and the row's place in the scan: rows with equal
-    lines have different ids, and a file that is read again with the same
-    split size gives the same ids."""
+    otherwise rows are split by md5 of the id. The id is md5 of the file and
+    the example's number in it: rows with equal lines have different ids, and
+    a file gives the same ids however it is cut into splits. Wide data should
+    stay sparse: see ``sources.sparse.read_libsvm_sparse``."""
     reader = spark.read.format("libsvm")
     if num_features is not None:
         reader = reader.option("numFeatures", int(num_features))
-    df = reader.load(path)
+    df = numbered_rows(reader.load(path), "_number")
     feats = vector_to_array(F.col("features"), "float64")
-    place = md5_id(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
-                   F.monotonically_increasing_id())
-    out = df.select(place.alias("id"), F.col("label").cast("double").alias("label"), feats.alias("features"))
+    out = df.select(md5_id(F.col("file"), F.col("_number")).alias("id"), F.col("label").cast("double").alias("label"), feats.alias("features"))
     sp = F.lit(split) if split is not None else split_column(F.col("id"))
     return out.select("id", "features", "label", sp.alias("split"))
 
