@@ -1,26 +1,28 @@
-"""N-gram Jaccard join by an exact prefix filter (operator 3).
-
-Every text is the set of its 5-word shingles. All sets are put in one order of
-the shingles, common ones last. Two sets of Jaccard similarity THRESHOLD or
-more must share a shingle among the first n - ceil(THRESHOLD n) + 1 of each
-(n its size), so sets that share none need no comparison and no link is lost.
-Which shingles are common is estimated from a sample of texts; that changes
-only how many pairs are compared, as the filter is exact in any order.
-
-Texts with equal shingle sets are one *node* from the start. Nodes with the
-same first shingle form a block; near copies mostly fall together. A block of
-more than BLOCK nodes (or BLOCK_SHINGLES shingles) is split by a hash of the
-node. Every two blocks that share a prefix shingle, and every block with
-itself, are compared once, node by node and exactly, in one task: what it
-returns is each node's number of links and a spanning forest of the links, so
-a group of n near copies costs n^2 comparisons in numpy but n^2 / BLOCK rows.
-Classes are the connected components of the links.
+"""N-gram Jaccard join by a MinHash LSH forest (operator 3).
+
+Every text is the set of its 5-word shingles; texts with equal sets are one
+*node* from the start. A node's signature is TREES x DEPTH MinHash values:
+its path in each of TREES prefix tries. Nodes that share a path down to some
+depth meet in a bucket of that tree, and meet sooner or later if they are
+alike: two sets of similarity s share a path of length k in one of the trees
+with probability 1 - (1 - s^k)^TREES.
+
+The join starts with paths of full length and shortens them by one level at a
+time. After each round it estimates its recall from the links found so far: a
+link of similarity s stands for 1 / P(s) links that exist. It stops as soon as
+the estimate reaches TARGET. A round looks at new pairs only, those that share
+no longer path, and every pair is looked at in the first tree where it meets,
+so no pair is counted twice and none is emitted.
+
+All candidates are verified exactly on their shingle sets. A bucket of more
+than BLOCK nodes (or BLOCK_SHINGLES shingles) is dealt into blocks by a hash,
+and each pair of blocks is compared in one task. Texts are sent only where a
+node has a new pair. What a task returns is each node's number of links and
+the root of its group, once per node. Classes are the connected components.
 """
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,22 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexnet.llm.common import components, materialize, read_table
+from plexnet.llm.common import components, id_filter, materialize, maybe_in, read_table
 from plexnet.shipping import ensure_importable
 
 WORDS, THRESHOLD, TARGET = 5, 0.8, 0.9999
-TREES, DEPTH = 24, 8
-#: Nodes and shingles of a block; larger families are split.
+TREES, DEPTH = 24, 6
+#: Nodes and shingles of a block; larger buckets are split.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19
-#: Texts (expected number) that tell which shingles are common, how often such a
-#: shingle occurs among them, and how many are told apart. They set the order of
-#: the prefix filter, hence its speed, never its result.
-SAMPLE, COMMON, MAX_COMMON = 10_000, 3, 500_000
-_WORD = re.compile(r"[^\x20\x09-\x0d]+")
+#: Similarities of links are counted in so many steps from the threshold to 1.
+STEPS = 200
 
 
 class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
         if len(self) > 500_000:
             self.clear()
@@ -51,24 +50,15 @@ class _Hashes(dict):
         return h
 
 
-def target_depth(threshold: float = THRESHOLD, target: float = TARGET, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix of a MinHash forest that reaches the target recall (1
-    if none does). The join does not use it: its filter is exact."""
-    for k in range(depth, 1, -1):
-        if 1 - (1 - threshold ** k) ** trees >= target:
-            return k
-    return 1
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
 
 
-def shingles(text: str | None, hashes: _Hashes, words: int = WORDS) -> np.ndarray:
+def shingles(text: str | bytes | None, hashes: _Hashes, words: int = WORDS) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles. A text of fewer words is
     one shingle of all its words; null or blank text has none."""
-    found = _WORD.findall(text or "")
+    found = (text.encode() if isinstance(text, str) else text or b"").split()  # bytes split at ASCII white space only
     n = len(found)
     a = np.fromiter(map(hashes.__getitem__, found), np.uint64, n)
     if not n:
@@ -80,104 +70,139 @@ def shingles(text: str | None, hashes: _Hashes, words: int = WORDS) -> np.ndarra
     return np.unique(h)
 
 
-def prefix(s: np.ndarray, common: np.ndarray, rank: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
-    """The first len(s) - ceil(threshold len(s)) + 1 of the sorted shingles
-    ``s``: those not in the sorted array ``common`` by hash, then the others by
-    ``rank``."""
-    n = len(s) - math.ceil(threshold * len(s) - 1e-9) + 1
-    if not len(common):
-        return s[:n]
-    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-    known = common[at] == s
-    first = s[~known][:n]
-    if len(first) == n:
-        return first
-    return np.concatenate([first, s[known][np.argsort(rank[at[known]])[:n - len(first)]]])
+_FACTORS = np.random.default_rng(2024).integers(1 << 62, 1 << 63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def signature(s: np.ndarray) -> np.ndarray:
+    """MinHash fingerprints (16 bits) of a non-empty set: TREES paths of DEPTH values."""
+    least = np.full(TREES * DEPTH, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(s), 2048):
+        np.minimum(least, (s[at:at + 2048, None] * _FACTORS).min(0), out=least)
+    return (_mix(least) >> np.uint64(48)).astype(np.uint16).reshape(TREES, DEPTH)
+
+
+def paths(signatures: np.ndarray, depth: int) -> np.ndarray:
+    """A 64-bit key of each node's path of length ``depth`` in each tree."""
+    h = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), signatures.shape[:2])
+    for d in range(depth):
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + signatures[:, :, d])
+    return h
+
 
+def meets(similarity: np.ndarray, depth: int) -> np.ndarray:
+    """Probability that two sets share a path of ``depth`` in one of the trees."""
+    return 1 - (1 - np.asarray(similarity, float) ** depth) ** TREES
 
-def _sample_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _Hashes()
+
+def estimated_recall(counts: dict[int, int], depth: int, threshold: float = THRESHOLD) -> float:
+    """Share of the links found, by the links' similarities (``counts`` by step)."""
+    if not counts:
+        return 1.0
+    s = threshold + (1 - threshold) * np.minimum(1, (np.array(list(counts)) + 0.5) / STEPS)
+    n = np.array(list(counts.values()), float)
+    return float(n.sum() / (n / meets(s, depth)).sum())
+
+
+def new_pairs(left: np.ndarray, right: np.ndarray, tree: int, depth: int) -> np.ndarray:
+    """For signatures that share tree ``tree``'s path: the pairs that no earlier
+    tree and no longer path has brought together."""
+    a, b = paths(left, depth), paths(right, depth)
+    new = np.ones((len(left), len(right)), bool)
+    for t in range(tree):
+        new &= a[:, t, None] != b[None, :, t]
+    if depth < DEPTH:
+        a, b = paths(left, depth + 1), paths(right, depth + 1)
+        for t in range(tree, TREES):  # those of earlier trees are gone
+            new &= a[:, t, None] != b[None, :, t]
+    return new
+
+
+def _label_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digest, size and signature of every text's set; a set that the task has
+    met before comes without its signature."""
+    import xxhash
+    hashes, met = _Hashes(), set()
     for b in batches:
-        sets = [shingles(t, hashes) for t in b.column(0).to_pylist()]
-        keys, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
-
-
-def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that are frequent in a sample of the texts, sorted, and
-    their ranks from the rarest."""
-    share = SAMPLE / max(1, docs.count())
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    some = docs.select("text").where(draw < share).distinct()
-    counts = some.mapInArrow(_sample_task, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    t = counts.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(MAX_COMMON).toArrow()
-    keys = t.column("key").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], (len(keys) - order).astype(np.int32)
-
-
-def _label_task(shared):
-    """Digest, size, first shingle (the family) and prefix of every text's set;
-    a set that the task has met before comes without its prefix."""
+        for at in range(0, len(b), 2000):
+            part = b.slice(at, 2000)
+            digests, sizes, found = [], [], []
+            for t in part.column(2).cast(pa.binary()):
+                s = shingles(t.as_py(), hashes)
+                digest = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+                digests.append(digest)
+                sizes.append(len(s))
+                found.append(None if digest is None or digest in met else signature(s).tobytes())
+                met.add(digest)
+            if len(met) > 500_000:
+                met.clear()
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.binary())],
+                                             ["row", "doc_id", "set", "size", "sig"])
+
+
+def _signatures(column: pa.Array | list[bytes]) -> np.ndarray:
+    raw = column.to_pylist() if isinstance(column, pa.Array) else column
+    return np.frombuffer(b"".join(raw), np.uint16).reshape(-1, TREES, DEPTH)
+
+
+def _paths_task(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-        hashes, met, (common, rank) = _Hashes(), set(), shared.value
         for b in batches:
-            texts = b.column(2).to_pylist()
-            for at in range(0, len(texts), 2000):
-                sets, sizes, families, keys = [], [], [], []
-                for t in texts[at:at + 2000]:
-                    s = shingles(t, hashes)
-                    digest = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-                    first = prefix(s, common, rank).view(np.int64) if len(s) else []
-                    sets.append(digest), sizes.append(len(s)), families.append(first[0] if len(s) else None)
-                    keys.append([] if digest in met else first)
-                    met.add(digest)
-                if len(met) > 500_000:
-                    met.clear()
-                n = len(sets)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, n), b.column(1).slice(at, n), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()),
-                     pa.array(families, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["row", "doc_id", "set", "size", "family", "keys"])
+            n = len(b)
+            keys = paths(_signatures(b.column(2)), depth).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)),
+                 b.column(0).take(pa.array(np.repeat(np.arange(n), TREES))), b.column(1).take(pa.array(np.repeat(np.arange(n), TREES)))],
+                ["key", "tree", "node", "size"])
     return run
 
 
-def _meet_task(threshold: float):
-    """Pairs of blocks that share a key (all rows of a key are in one task),
-    without those too different in size for a link and those with too few
-    shingles from that key on to reach the overlap of a link whose first
-    common shingle it is."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with the same (tree, key, i, j); rows come sorted by these and ``side``."""
+    key, held = None, []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[:4] != key:
+                if len(held) > 1:
+                    yield key, held
+                key, held = row[:4], []
+            held.append(row[4:])
+    if len(held) > 1:
+        yield key, held
+
+
+def _sides(held: list[tuple]) -> int | None:
+    """Number of rows of the left block; None where a block meets itself."""
+    n = sum(h[0] == 0 for h in held)
+    return n if n < len(held) else None
+
+
+def _pairs_of(key: tuple, held: list[tuple], cut: int | None, depth: int) -> np.ndarray:
+    sigs = _signatures([h[2] for h in held])
+    if cut is None:
+        return np.triu(new_pairs(sigs, sigs, key[0], depth), 1)
+    return new_pairs(sigs[:cut], sigs[cut:], key[0], depth)
+
+
+def _active_task(depth: int):
+    """The rows of a bucket that have a new pair there."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = [[c.to_numpy() for c in b.columns] for b in batches]
-        key, block, size, rest = (np.concatenate([np.zeros(0, np.int64), *(c[k] for c in cols)]) for k in range(4))
-        order = np.lexsort((block, key))
-        key, block, size, rest = key[order], block[order], size[order], rest[order]
-        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]))[:len(key)])
-        if not len(new):
-            return
-        key, block, least = key[new], block[new], np.minimum.reduceat(size, new)
-        most, rest = np.maximum.reduceat(size, new), np.maximum.reduceat(rest, new)
-        held, n, at, d = [], 0, np.arange(len(key)), 1
-
-        def merged() -> np.ndarray:
-            return np.unique(np.concatenate([np.zeros((0, 2), np.int64), *held]), axis=0)
-
-        while len(at):  # the d-th next block of the same key
-            at = at[at + d < len(key)]
-            at = at[key[at] == key[at + d]]
-            to = at + d
-            may = (most[at] >= threshold * least[to] - 1e-9) & (most[to] >= threshold * least[at] - 1e-9)
-            may &= np.minimum(rest[at], rest[to]) >= threshold / (1 + threshold) * (least[at] + least[to]) - 1e-9
-            held.append(np.stack([block[at[may]], block[to[may]]], 1))
-            n, d = n + len(held[-1]), d + 1
-            if n > 4_000_000:
-                held = [merged()]
-                n = len(held[0])
-                if n > 2_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(held[0][:, 0]), pa.array(held[0][:, 1])], ["i", "j"])
-                    held, n = [], 0
-        out = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["i", "j"])
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            out.clear()
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["tree", "key", "i", "j", "side", "node"])
+        for key, held in _groups(batches):
+            cut = _sides(held)
+            if cut == 0:
+                continue
+            new = _pairs_of(key, held, cut, depth)
+            on = new.any(1) | new.any(0) if cut is None else np.concatenate([new.any(1), new.any(0)])
+            out.extend((*key, held[k][0], held[k][1]) for k in np.flatnonzero(on).tolist())
+            if len(out) > 50_000:
+                yield batch()
+        yield batch()
     return run
 
 
@@ -209,113 +234,133 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _compare(nodes: list[int], sets: list[np.ndarray], cross: int | None, threshold: float) -> Iterator[tuple]:
-    """(node, other, jaccard, n) of every node with n > 0 links: among all
-    nodes, or, if ``cross`` is given, between the first ``cross`` and the rest.
-    ``other`` is its parent in a spanning forest (null for a root)."""
-    left, right = (sets, sets) if cross is None else (sets[:cross], sets[cross:])
-    if not left or not right:
-        return
-    both = overlaps(left, right).astype(np.float64)
-    sizes = [np.array([len(s) for s in x], np.float64) for x in (left, right)]
-    sim = both / (sizes[0][:, None] + sizes[1][None, :] - both)
-    near = sim >= threshold
-    if cross is None:
-        np.fill_diagonal(near, False)
-    degree = near.sum(1) if cross is None else np.concatenate([near.sum(1), near.sum(0)])
-    off = cross or 0
-    todo = set(np.flatnonzero(degree).tolist())
-    while todo:
-        root = min(todo, key=nodes.__getitem__)
-        todo.discard(root)
-        yield nodes[root], None, None, int(degree[root])
-        stack = [root]
-        while stack:
-            x = stack.pop()
-            if cross is None or x < cross:
-                others, sims = np.flatnonzero(near[x]), sim[x]
-            else:
-                others, sims = np.flatnonzero(near[:, x - off]), sim[:, x - off]
-            shift = off if cross is not None and x < cross else 0
-            for y in others.tolist():
-                if y + shift in todo:
-                    todo.discard(y + shift)
-                    stack.append(y + shift)
-                    yield nodes[y + shift], nodes[x], float(sims[y]), int(degree[y + shift])
-
-
-def _verify_task(threshold: float):
+class _Found:
+    """What a task has found: links per node, groups, similarities of the links."""
+
+    def __init__(self):
+        self.links: dict[int, int] = {}
+        self.parent: dict[int, int] = {}
+        self.steps: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        p = self.parent
+        while p.setdefault(x, x) != x:
+            p[x] = p[p[x]]
+            x = p[x]
+        return x
+
+    def add(self, nodes: list[int], cut: int | None, near: np.ndarray, sims: np.ndarray, threshold: float) -> None:
+        """``near`` marks the links: rows are the left nodes, columns the right ones (all nodes both if ``cut`` is None)."""
+        left, right = (nodes, nodes) if cut is None else (nodes[:cut], nodes[cut:])
+        for side, counts in ((left, near.sum(1)), (right, near.sum(0))):
+            for k in np.flatnonzero(counts).tolist():
+                self.links[side[k]] = self.links.get(side[k], 0) + int(counts[k])
+        for k in np.flatnonzero(near.any(1)).tolist():
+            others = np.flatnonzero(near[k]).tolist()
+            roots = {self.root(left[k]), *(self.root(right[y]) for y in others)}
+            low = min(roots)
+            self.parent.update(dict.fromkeys(roots, low))
+        step = np.minimum(STEPS - 1, ((sims[near] - threshold) / (1 - threshold) * STEPS).astype(int))
+        for k, n in zip(*np.unique(step, return_counts=True), strict=True):
+            self.steps[int(k)] = self.steps.get(int(k), 0) + int(n)
+
+    def batch(self) -> pa.RecordBatch:
+        nodes, steps = list(self.links), list(self.steps)
+        none = [None] * len(steps)
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(nodes + none, pa.int64()), pa.array([self.root(x) for x in nodes] + none, pa.int64()),
+             pa.array([*self.links.values(), *self.steps.values()], pa.int64()), pa.array([None] * len(nodes) + steps, pa.int32())], ["node", "root", "n", "step"])
+        self.__init__()
+        return out
+
+
+def _verify_task(depth: int, threshold: float):
+    """Exact similarities of the new pairs of each bucket (or pair of its blocks)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, pair, nodes, sets, sides = _Hashes(), None, [], [], []
-
-        def done() -> list[tuple]:
-            if not nodes:
-                return []
-            cross = None if pair[0] == pair[1] else sides.count(False)
-            return list(_compare(nodes, sets, cross, threshold))
-
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)],
-                ["node", "other", "jaccard", "n"])
-        for b in batches:  # rows come sorted by pair, the left block first
-            out = []
-            cols = (b.column(k).to_pylist() for k in range(4))
-            for i, j, side, node, text in zip(*cols, b.column(4), strict=True):
-                if pair != (i, j):
-                    out += done()
-                    pair, nodes, sets, sides = (i, j), [], [], []
-                nodes.append(node), sides.append(side), sets.append(shingles(text.as_py(), hashes))
-            yield batch(out)
-        yield batch(done())
+        hashes, found = _Hashes(), _Found()
+        for key, held in _groups(batches):
+            cut = _sides(held)
+            if cut == 0:
+                continue
+            new = _pairs_of(key, held, cut, depth)
+            sets = [shingles(h[3], hashes) for h in held]
+            left, right = (sets, sets) if cut is None else (sets[:cut], sets[cut:])
+            both = overlaps(left, right).astype(np.float64)
+            a, b = (np.array([len(s) for s in x], np.float64) for x in (left, right))
+            sims = both / (a[:, None] + b[None, :] - both)
+            near = new & (sims >= threshold)
+            if near.any():
+                found.add([h[1] for h in held], cut, near, sims, threshold)
+                if len(found.parent) > 1_000_000:
+                    yield found.batch()
+        yield found.batch()
+    return run
+
+
+def _texts_task(shared):
+    """Texts of the rows that the filter lets pass."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                yield b.filter(pa.array(maybe_in(shared.value, b.column(0).to_numpy())))
     return run
 
 
-def link(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of ``docs(doc_id, text, ...)``.
+def _round(spark: SparkSession, rows: DataFrame, nodes: DataFrame, depth: int, threshold: float) -> DataFrame | None:
+    """Links of the new pairs of one depth: (node, root, n) and (n, step); None
+    where no two nodes meet."""
+    keys = nodes.select("node", "size", "sig").mapInArrow(_paths_task(depth), "key bigint, tree int, node bigint, size bigint")
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    crowded = materialize(spark, keys.groupBy("tree", "key").agg(F.count("*").alias("n"), parts.alias("parts")).where("n > 1").select("tree", "key", "parts"), "buckets")
+    if crowded.isEmpty():
+        return None
+    dealt = keys.join(crowded, ["tree", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.select("tree", "key", "node", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+    dealt = dealt.select("tree", "key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).cast("int").alias("side"), "node")
+    bucket, kinds = ["tree", "key", "i", "j"], "tree int, key bigint, i int, j int, side int, node bigint"
+
+    def together(members: DataFrame, *cols: str) -> DataFrame:
+        each = members.join(nodes.select("node", "sig"), "node").select(*bucket, "side", "node", "sig", *cols)
+        return each.repartition(*bucket).sortWithinPartitions(*bucket, "side", "node")
+    active = materialize(spark, together(dealt).mapInArrow(_active_task(depth), kinds), "active")
+    shared = spark.sparkContext.broadcast(id_filter(active.select("node")))
+    texts = rows.select("row", "text").mapInArrow(_texts_task(shared), "row bigint, text string").withColumnRenamed("row", "node")
+    return materialize(spark, together(active.join(texts, "node"), "text").mapInArrow(
+        _verify_task(depth, threshold), "node bigint, root bigint, n bigint, step int"), "links")
+
+
+def link(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> tuple[DataFrame, float]:
+    """(members, recall) of ``docs(doc_id, text, ...)``.
 
     ``members``: one row per input row with row (place in the scan), doc_id,
     node (smallest row with the same shingle set; null without words), comp
-    (smallest node of the class) and n_links (nodes of similarity THRESHOLD or
-    more with it, all counted). ``links(a, b, jaccard)``: verified links that
-    span the classes, each once, a > b.
+    (smallest node of the class) and n_links (nodes found with similarity
+    ``threshold`` or more to it, all verified). ``recall`` is the estimated
+    share of such links that were found; ``target`` is reached unless even
+    paths of one level do not reach it.
     """
     ensure_importable(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    shared = spark.sparkContext.broadcast(_common(docs))
-    labels = materialize(spark, rows.mapInArrow(
-        _label_task(shared), "row bigint, doc_id bigint, set binary, size bigint, family bigint, keys array<bigint>"), "labels")
-    first = labels.where("set IS NOT NULL").groupBy("set").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.first("family").alias("family"))
-    first = materialize(spark, first, "nodes")
-    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES))
-    large = materialize(spark, first.groupBy("family").agg(parts.alias("parts")).where("parts > 1"), "large-families")
-
-    def with_block(df: DataFrame) -> DataFrame:
-        salt = F.pmod(F.xxhash64("set"), F.coalesce("parts", F.lit(1)))
-        return df.join(large, "family", "left").withColumn("block", F.xxhash64("family", salt))
-
-    nodes = materialize(spark, with_block(first).select("node", "block"), "blocks")
-    keys = with_block(labels.where("size(keys) > 0").select("set", "size", "family", "keys")).select(
-        F.posexplode("keys").alias("pos", "key"), "block", "size")
-    keys = keys.select("key", "block", "size", (F.col("size") - F.col("pos")).alias("rest")).repartition("key")
-    cross = keys.mapInArrow(_meet_task(THRESHOLD), "i bigint, j bigint").distinct()
-    own = nodes.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select(F.col("block").alias("i"), F.col("block").alias("j"))
-    pairs = materialize(spark, cross.unionAll(own), "block-pairs")
-    sides = pairs.select("i", "j", F.lit(False).alias("side"), F.col("i").alias("block")).unionAll(
-        pairs.where("i <> j").select("i", "j", F.lit(True).alias("side"), F.col("j").alias("block")))
-    sides = materialize(spark, sides.join(nodes, "block").select("i", "j", "side", F.col("node").alias("row")), "sides")
-    both = sides.join(rows.select("row", "text"), "row").select("i", "j", "side", F.col("row").alias("node"), "text")
-    both = both.repartition("i", "j").sortWithinPartitions("i", "j", "side")
-    found = materialize(spark, both.mapInArrow(
-        _verify_task(THRESHOLD), "node bigint, other bigint, jaccard double, n bigint"), "links")
-    links = found.where("other IS NOT NULL").select(
-        F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"), "jaccard")
-    degree = materialize(spark, found.groupBy("node").agg(F.sum("n").alias("n_links")), "degree")
-    members = labels.select("row", "doc_id", "set").join(first.select("set", "node"), "set", "left").select("row", "doc_id", "node")
-    members = members.join(components(spark, links), "node", "left").join(degree, "node", "left").select(
+    labels = materialize(spark, rows.mapInArrow(_label_task, "row bigint, doc_id bigint, set binary, size bigint, sig binary"), "labels")
+    nodes = materialize(spark, labels.where("set IS NOT NULL").groupBy("set").agg(
+        F.min("row").alias("node"), F.first("size").alias("size"), F.first("sig", ignorenulls=True).alias("sig")), "nodes")
+    found, recall = None, 1.0
+    for depth in range(DEPTH, 0, -1):
+        links = _round(spark, rows, nodes, depth, threshold)
+        if links is not None:
+            found = links if found is None else found.unionAll(links)
+            recall = estimated_recall({r.step: r.n for r in found.where("step IS NOT NULL").groupBy("step").agg(F.sum("n").alias("n")).collect()}, depth, threshold)
+        if recall >= target:
+            break
+    members = labels.select("row", "doc_id", "set").join(nodes.select("set", "node"), "set", "left").select("row", "doc_id", "node")
+    if found is None:
+        return materialize(spark, members.select("*", F.col("node").alias("comp"), F.lit(0).cast("bigint").alias("n_links")), "members"), recall
+    linked = found.where("node IS NOT NULL")
+    degree = linked.groupBy("node").agg(F.sum("n").alias("n_links"))
+    groups = components(spark, linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    members = members.join(groups, "node", "left").join(degree, "node", "left").select(
         "row", "doc_id", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    return materialize(spark, members, "members"), links
+    return materialize(spark, members, "members"), recall
 
 
 def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -324,8 +369,9 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     class_size (rows), kept (the class's smallest doc_id, of repeated rows one).
 
     Null and blank texts are classes of their own. Null ids lose to any other
-    id. Copies share their links. Other columns are ignored; an empty table
-    gives an empty result.
+    id; of equal ids the first row of the scan stays. Copies share their links.
+    Texts of any length are read whole. Other columns are ignored; an empty
+    table gives an empty result.
     """
     members, _ = link(spark, docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
