@@ -165,6 +165,40 @@ def unflatten_params(flat: DataFrame, models: DataFrame, n_features: int,
     return pos.join(ex, ["model_id", "pos"]).select(*KEYS, value)
 
 
+#: Values of one row of a flat model.
+FLAT_CHUNK = 65_536
+
+
+def _layer_ends(shapes: DataFrame) -> DataFrame:
+    """(model_id, starts, cols) from ``shapes(model_id, layer, rows, cols)``: where each layer begins in the
+    flat array, and its width. One row a model, one entry a layer."""
+    w = Window.partitionBy("model_id").orderBy("layer").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.col("rows").cast("bigint") * F.col("cols")
+    each = shapes.withColumn("start", F.coalesce(F.sum(size).over(w), F.lit(0)))
+    return each.groupBy("model_id").agg(F.sort_array(F.collect_list(F.struct("layer", "start", "cols"))).alias("_l")).select(
+        "model_id", F.col("_l.start").alias("starts"), F.col("_l.cols").alias("cols"))
+
+
+def flatten_chunks(params: DataFrame, chunk: int = FLAT_CHUNK, value: str = "theta") -> DataFrame:
+    """(model_id, chunk, flat): the row-major flat array of every model in
+    pieces of ``chunk`` values, so that no model is ever one row. A weight's
+    place follows from the shapes of the layers before it."""
+    ends = _layer_ends(layer_shapes(params))
+    at = params.select(*KEYS, F.col(value).alias("_v")).join(ends, "model_id").select(
+        "model_id", (F.get("starts", F.col("layer")) + F.col("row").cast("bigint") * F.get("cols", F.col("layer")) + F.col("col")).alias("pos"), "_v")
+    pieces = at.groupBy("model_id", F.expr(f"pos div {int(chunk)}").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("pos", "_v"))).alias("_s"))
+    return pieces.select("model_id", "chunk", F.col("_s._v").alias("flat"))
+
+
+def unflatten_chunks(flat: DataFrame, models: DataFrame, n_features: int, chunk: int = FLAT_CHUNK, value: str = "theta") -> DataFrame:
+    """Inverse of ``flatten_chunks``: (model_id, layer, row, col, <value>)."""
+    shapes = layer_grid(models, n_features).select("model_id", "layer", (F.col("n_in") + 1).alias("rows"), F.col("n_out").alias("cols"))
+    each = flat.select("model_id", "chunk", F.posexplode("flat").alias("_i", value)).join(_layer_ends(shapes), "model_id")
+    each = each.withColumn("pos", F.col("chunk") * int(chunk) + F.col("_i")).withColumn("layer", F.size(F.filter("starts", lambda s: s <= F.col("pos"))) - 1)
+    each = each.withColumn("_local", F.col("pos") - F.get("starts", F.col("layer"))).withColumn("_cols", F.get("cols", F.col("layer")))
+    return each.select("model_id", F.col("layer").cast("int").alias("layer"), F.expr("CAST(_local div _cols AS INT)").alias("row"), F.expr("CAST(_local % _cols AS INT)").alias("col"), value)
+
+
 def n_weights_of(sizes: list[int]) -> int:
     return sum((sizes[i] + 1) * sizes[i + 1] for i in range(len(sizes) - 1))
 

@@ -11,7 +11,9 @@ from plexnet.operators import sharded as SH
 from plexnet.operators import sparse as SP
 from plexnet.operators.passes import gradient_sums
 from plexnet.plans import sqltext as Q
-from plexnet.plans.catalog import NET_E, NET_L2, _ex_cte, _forward_sql, _gsum_out, _gsum_query_sql, _params, _params_cte, _sql, query, r6
+from plexnet.plans.catalog import (NET_E, NET_L2, TWO, _THETA_SQL, _ex_cte, _forward_sql, _gsum_out, _gsum_query_sql, _models, _params, _params_cte, _sql, _trained,
+                                   _trained_ctes, query, r6)
+from plexnet.plans.catalog_fit import NET_V, _state_out
 from plexnet.session import scratch_path
 from plexnet.sources import sparse as SS
 from plexnet.sources import tables as T
@@ -239,3 +241,59 @@ def q_gradient_check_all(spark, sf):
     m, p = _params(spark, NET_G)
     c = CV.check_gradients(T.fixture(spark, sf, "L"), p, m)
     return c.select(*P.KEYS, r6(F.col("analytic")).alias("analytic"), r6(F.col("numeric"), 5).alias("numeric"), (F.col("rel_error") < 1e-3).alias("agrees"))
+
+
+# ---------------------------------------------------------------------------
+# flat weights in pieces; a stream of several micro-batches with a restart
+# ---------------------------------------------------------------------------
+PIECE = 100
+
+
+@query("flatten_chunks", lambda: _sql(_trained_ctes(*TWO), f"SELECT model_id, pos // {PIECE} AS chunk, list({Q.r6('theta')} ORDER BY pos) AS flat FROM ("
+       "SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY layer, row, col) - 1 AS pos FROM P) t GROUP BY model_id, chunk"))
+def q_flatten_chunks(spark, sf):
+    f = P.flatten_chunks(_trained(spark, sf, *TWO), PIECE)
+    return f.select("model_id", "chunk", F.transform("flat", lambda v: r6(v)).alias("flat"))
+
+
+@query("unflatten_chunks", lambda: _sql(_trained_ctes(*TWO), _THETA_SQL))
+def q_unflatten_chunks(spark, sf):
+    trained = _trained(spark, sf, *TWO)
+    models = {n.model_id: n for n, _ in TWO}
+    back = None
+    for name, net in models.items():
+        one = P.unflatten_chunks(P.flatten_chunks(trained.where(F.col("model_id") == name), PIECE), _models(spark, net), net.n_features, PIECE)
+        back = one if back is None else back.unionAll(one)
+    return back.select(*P.KEYS, r6(F.col("theta")).alias("theta"))
+
+
+BATCHES = 4
+
+
+def _stream_sql() -> str:
+    """Four steps in a row, each over the rows of one micro-batch."""
+    ctes = [f"all_ex AS MATERIALIZED ({Q.fixture('V')})", f"s0 AS MATERIALIZED ({Q.init_params(NET_V)})"]
+    last = "s0"
+    for t in range(BATCHES):
+        ctes.append(f"ex{t} AS MATERIALIZED (SELECT * FROM all_ex WHERE id % {BATCHES} = {t})")
+        bc, gs = Q.backprop_ctes(NET_V, f"ex{t}", last, f"s{t}_")
+        mc, mg = Q.mean_gradient_ctes(NET_V, last, gs, f"(SELECT count(*) FROM ex{t})", f"s{t}_")
+        sc, last = Q.step_ctes(NET_V, mg, f"s{t}_", "momentum", Q.momentum_mu(t, NET_V.itert, NET_V.maxmu))
+        ctes += bc + mc + sc
+    return Q.with_clause(ctes) + f"SELECT model_id, layer, row, col, {Q.r6('theta')} AS theta, {Q.r6('velocity')} AS velocity, {Q.r6('gacc')} AS gacc FROM {last}"
+
+
+@query("fit_stream_batches", _stream_sql)
+def q_fit_stream_batches(spark, sf):
+    """The events arrive as four files, each a micro-batch; the query is stopped after two and started again."""
+    from plexnet.streaming.fit_stream import fit_stream, latest_params
+    models, base = _models(spark, NET_V), scratch_path(spark, "stream")
+    params = P.init_params(models, 2)
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    run_dir = f"{base}/run"
+    for t in range(BATCHES):
+        events.where(F.col("event_id") % BATCHES == t).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        if t % 2:
+            stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+            fit_stream(T.events_examples(stream), models, params, run_dir)
+    return _state_out(latest_params(spark, run_dir))

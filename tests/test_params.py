@@ -5,6 +5,7 @@ import pytest
 
 from plexnet.operators import params as P
 from plexnet.plans.grid import model_grid, single_model
+from pyspark.sql import functions as F
 from plexnet.sources.weights import read_weights_text, write_weights_text
 
 
@@ -90,3 +91,21 @@ def test_flatten_unflatten_roundtrip(spark):
     a = p.toPandas().sort_values(["model_id", "layer", "row", "col"]).theta.values
     b = back.sort_values(["model_id", "layer", "row", "col"]).theta.values
     assert np.array_equal(a, b)
+
+
+def test_chunks_of_a_large_model(spark):
+    """Two million weights in pieces of 65,536: the longest row is a piece, and the way back is exact."""
+    m = models_of(spark, "1000,999")
+    p = P.init_params(m, 999)
+    flat = P.flatten_chunks(p)
+    n = 1000 * 1000 + 1001 * 999 + 1000
+    sizes = {r.chunk: r.n for r in flat.select("chunk", F.size("flat").alias("n")).collect()}
+    assert sum(sizes.values()) == n and max(sizes.values()) == 65_536 and sorted(sizes) == list(range(-(-n // 65_536)))
+    back = P.unflatten_chunks(flat, m, 999)
+    both = back.join(p.select(*P.KEYS, F.col("theta").alias("want")), P.KEYS)
+    assert both.agg(F.count("*"), F.count_if(F.col("theta") == F.col("want"))).first()[:] == (n, n)
+
+
+def models_of(spark, hidden):
+    from plexnet.plans.grid import single_model
+    return single_model(spark, "big", hidden=hidden, init="xnormal")
