@@ -90,14 +90,14 @@ def test_quality_classifier(spark, edge_docs, no_docs, edge_labels, empty):
 
 def test_ctw(spark, edge_docs, no_docs):
     docs = edge_docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    rows = ctw.score(spark, docs, ctw.train(spark, docs)).collect()
+    rows = ctw.scores(spark, docs, F.lit(True)).collect()
     assert len(rows) == 13 and all(r.score < 0 for r in rows)
     none = no_docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    model = ctw.train(spark, none)  # nothing known: every bit has probability 1/2
-    got = {r.row: r.score for r in ctw.score(spark, docs, model).collect()}
+    assert ctw.scores(spark, none, F.lit(True)).count() == 0
+    got = {r.row: r.score for r in ctw.scores(spark, docs, F.lit(False)).collect()}  # nothing known: every bit has probability 1/2
     size = {r.row: len((r.text or "").encode()) + 1 for r in docs.collect()}
     assert all(abs(got[k] + 8 * size[k] * 0.30102999566398) < 1e-6 * size[k] for k in got)
-    base = {r.row: r for r in ctw.scores(spark, docs, F.lit(True), None).collect()}
+    base = {r.row: r for r in ctw.scores(spark, docs, F.lit(True)).collect()}
     assert len(base) == 13 and {base[r.row].n_tokens for r in docs.collect() if r.doc_id in (2, 3, 4)} == {1}
 
 
@@ -123,7 +123,7 @@ def test_chat(spark):
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, obs string").drop("obs")
     observed = chat.observe(chat.write_transcripts(df))
     model = chat.train(chat.with_first(observed))
-    assert chat.render(chat.turns_of(chat.recover(spark, observed, model))).count() >= 4
+    assert chat.render(chat.turns_of(spark, chat.recover(spark, observed, model))).count() >= 4
     raw = spark.createDataFrame([(1, "User: hi there\n\nAssistant: hello\nmore\n\nUser: bye"), (2, None), (3, "\n \n")], "conv_id bigint, text string")
     turns = chat.parse(spark, chat.split_transcripts(raw), model).orderBy("conv_id", "first_line").collect()
     assert {t.conv_id for t in turns} == {1}
