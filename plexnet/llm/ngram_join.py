@@ -36,7 +36,9 @@ from plexnet.shipping import ensure_importable
 WORDS, THRESHOLD, TARGET = 5, 0.8, 0.9999
 TREES, DEPTH = 24, 6
 #: Nodes and shingles of a block; larger buckets are split.
-BLOCK, BLOCK_SHINGLES = 512, 1 << 19
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+#: Rows of a block that are verified at once.
+ROWS_AT_ONCE = 256
 #: Similarities of links are counted in so many steps from the threshold to 1.
 STEPS = 200
 
@@ -144,15 +146,24 @@ def _signatures(column: pa.Array | list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.uint16).reshape(-1, TREES, DEPTH)
 
 
-def _paths_task(depth: int):
+def _count_task(depth: int):
+    """(key, size) of every node's path in each tree."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = len(b)
-            keys = paths(_signatures(b.column(2)), depth).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)),
-                 b.column(0).take(pa.array(np.repeat(np.arange(n), TREES))), b.column(1).take(pa.array(np.repeat(np.arange(n), TREES)))],
-                ["key", "tree", "node", "size"])
+            keys = paths(_signatures(b.column(1)), depth)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), b.column(0).take(pa.array(np.repeat(np.arange(len(b)), TREES)))], ["key", "size"])
+    return run
+
+
+def _members_task(depth: int, shared):
+    """The nodes' paths that the filter of crowded buckets lets pass, with the signature."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = paths(_signatures(b.column(1)), depth).ravel().view(np.int64)
+            at = np.flatnonzero(maybe_in(shared.value, keys))
+            row = pa.array(at // TREES)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array((at % TREES).astype(np.int32)), b.column(0).take(row), b.column(1).take(row)],
+                                             ["key", "tree", "node", "sig"])
     return run
 
 
@@ -189,17 +200,17 @@ def _active_task(depth: int):
         out: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) or [()] * 6
+            cols = list(zip(*out, strict=True)) or [()] * 7
             out.clear()
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["tree", "key", "i", "j", "side", "node"])
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["tree", "key", "i", "j", "side", "node", "sig"])
         for key, held in _groups(batches):
             cut = _sides(held)
             if cut == 0:
                 continue
             new = _pairs_of(key, held, cut, depth)
             on = new.any(1) | new.any(0) if cut is None else np.concatenate([new.any(1), new.any(0)])
-            out.extend((*key, held[k][0], held[k][1]) for k in np.flatnonzero(on).tolist())
+            out.extend((*key, *held[k][:3]) for k in np.flatnonzero(on).tolist())
             if len(out) > 50_000:
                 yield batch()
         yield batch()
@@ -223,11 +234,11 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         order = np.argsort(at[keep], kind="stable")
         return at[keep][order], r[keep][order]
     (ca, ra), (cb, rb) = columns(a, ra), columns(b, rb)
-    for lo in range(0, len(both), 4096):
+    for lo in range(0, len(both), 2048):
         part = []
         for c, r, n in ((ca, ra, len(left)), (cb, rb, len(right))):
-            x, y = np.searchsorted(c, [lo, lo + 4096])
-            m = np.zeros((n, min(4096, len(both) - lo)), np.float32)
+            x, y = np.searchsorted(c, [lo, lo + 2048])
+            m = np.zeros((n, min(2048, len(both) - lo)), np.float32)
             m[r[x:y], c[x:y] - lo] = 1
             part.append(m)
         out += part[0] @ part[1].T  # whole numbers below 2^24, exact
@@ -249,9 +260,8 @@ class _Found:
             x = p[x]
         return x
 
-    def add(self, nodes: list[int], cut: int | None, near: np.ndarray, sims: np.ndarray, threshold: float) -> None:
-        """``near`` marks the links: rows are the left nodes, columns the right ones (all nodes both if ``cut`` is None)."""
-        left, right = (nodes, nodes) if cut is None else (nodes[:cut], nodes[cut:])
+    def add(self, left: list[int], right: list[int], near: np.ndarray, sims: np.ndarray, threshold: float) -> None:
+        """``near`` marks the links, each once: rows are the left nodes, columns the right ones."""
         for side, counts in ((left, near.sum(1)), (right, near.sum(0))):
             for k in np.flatnonzero(counts).tolist():
                 self.links[side[k]] = self.links.get(side[k], 0) + int(counts[k])
@@ -285,14 +295,19 @@ def _verify_task(depth: int, threshold: float):
             new = _pairs_of(key, held, cut, depth)
             sets = [shingles(h[3], hashes) for h in held]
             left, right = (sets, sets) if cut is None else (sets[:cut], sets[cut:])
-            both = overlaps(left, right).astype(np.float64)
-            a, b = (np.array([len(s) for s in x], np.float64) for x in (left, right))
-            sims = both / (a[:, None] + b[None, :] - both)
-            near = new & (sims >= threshold)
-            if near.any():
-                found.add([h[1] for h in held], cut, near, sims, threshold)
-                if len(found.parent) > 1_000_000:
-                    yield found.batch()
+            nodes, sizes = [h[1] for h in held], np.array([len(x) for x in right], np.float64)
+            for lo in range(0, len(left), ROWS_AT_ONCE):  # of the left block, against the whole right one
+                rows = new[lo:lo + ROWS_AT_ONCE]
+                if not rows.any():
+                    continue
+                part = left[lo:lo + ROWS_AT_ONCE]
+                both = overlaps(part, right).astype(np.float64)
+                sims = both / (np.array([len(x) for x in part], np.float64)[:, None] + sizes - both)
+                near = rows & (sims >= threshold)
+                if near.any():
+                    found.add(nodes[lo:lo + len(part)], nodes[cut or 0:], near, sims, threshold)
+            if len(found.parent) > 1_000_000:
+                yield found.batch()
         yield found.batch()
     return run
 
@@ -309,23 +324,26 @@ def _texts_task(shared):
 def _round(spark: SparkSession, rows: DataFrame, nodes: DataFrame, depth: int, threshold: float) -> DataFrame | None:
     """Links of the new pairs of one depth: (node, root, n) and (n, step); None
     where no two nodes meet."""
-    keys = nodes.select("node", "size", "sig").mapInArrow(_paths_task(depth), "key bigint, tree int, node bigint, size bigint")
+    keys = nodes.select("size", "sig").mapInArrow(_count_task(depth), "key bigint, size bigint")
     parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int")
-    crowded = materialize(spark, keys.groupBy("tree", "key").agg(F.count("*").alias("n"), parts.alias("parts")).where("n > 1").select("tree", "key", "parts"), "buckets")
+    crowded = materialize(spark, keys.groupBy("key").agg(F.count("*").alias("n"), parts.alias("parts")).where("n > 1").select("key", "parts"), "buckets")
     if crowded.isEmpty():
         return None
-    dealt = keys.join(crowded, ["tree", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = dealt.select("tree", "key", "node", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
-    dealt = dealt.select("tree", "key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).cast("int").alias("side"), "node")
-    bucket, kinds = ["tree", "key", "i", "j"], "tree int, key bigint, i int, j int, side int, node bigint"
-
-    def together(members: DataFrame, *cols: str) -> DataFrame:
-        each = members.join(nodes.select("node", "sig"), "node").select(*bucket, "side", "node", "sig", *cols)
-        return each.repartition(*bucket).sortWithinPartitions(*bucket, "side", "node")
-    active = materialize(spark, together(dealt).mapInArrow(_active_task(depth), kinds), "active")
-    shared = spark.sparkContext.broadcast(id_filter(active.select("node")))
-    texts = rows.select("row", "text").mapInArrow(_texts_task(shared), "row bigint, text string").withColumnRenamed("row", "node")
-    return materialize(spark, together(active.join(texts, "node"), "text").mapInArrow(
+    shared = spark.sparkContext.broadcast(id_filter(crowded.select("key")))
+    members = nodes.select("node", "sig").mapInArrow(_members_task(depth, shared), "key bigint, tree int, node bigint, sig binary")
+    dealt = members.join(crowded, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.select("tree", "key", "node", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+    dealt = dealt.select("tree", "key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).cast("int").alias("side"), "node", "sig")
+    bucket = ["tree", "key", "i", "j"]
+
+    def together(rows_: DataFrame) -> DataFrame:
+        return rows_.repartition(*bucket).sortWithinPartitions(*bucket, "side", "node")
+    active = materialize(spark, together(dealt).mapInArrow(
+        _active_task(depth), "tree int, key bigint, i int, j int, side int, node bigint, sig binary"), "active")
+    wanted = spark.sparkContext.broadcast(id_filter(active.select("node")))
+    texts = rows.select("row", "text").mapInArrow(_texts_task(wanted), "row bigint, text string").withColumnRenamed("row", "node")
+    both = active.join(texts, "node").select(*bucket, "side", "node", "sig", "text")
+    return materialize(spark, together(both).mapInArrow(
         _verify_task(depth, threshold), "node bigint, root bigint, n bigint, step int"), "links")
 
 
