@@ -8,6 +8,8 @@ import json
 
 import numpy as np
 
+#: Fixed value: white space in such vocabularies' patterns, as the inside of a character class.
+WHITE = r"\t-\r \x85\xa0  -     　"
 _NONE = np.int32(2**31 - 1)
 _LONG = 64  # longer pieces are merged one by one
 #: Stands between the ids of two chunks; no id below 2**24 has a byte pattern that forms it.
@@ -118,8 +120,9 @@ class MergeTable:
             best = ranks[line, j]
             go = best < _NONE
             if not go.all():
-                for i, row, k in zip(rows[~go].tolist(), ids[~go], n[~go].tolist(), strict=True):
-                    out[i] = row[:k].astype("<u4").tobytes()
+                done = ids[~go].astype("<u4").tobytes()  # all finished rows at once, then a slice of it each
+                for i, k, at in zip(rows[~go].tolist(), n[~go].tolist(), range(0, len(done), 4 * (width + 1)), strict=True):
+                    out[i] = done[at:at + 4 * k]
                 rows, ids, ranks, n, j, best = rows[go], ids[go], ranks[go], n[go], j[go], best[go]
                 line = np.arange(len(rows))
                 if not len(rows):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from plexnet.llm.common import read_table
-from plexnet.llm.merges import SEPARATOR, MergeTable
+from plexnet.llm.merges import SEPARATOR, WHITE, MergeTable
 from plexnet.shipping import ensure_importable
 
 CAPACITY, CLASSES, END_ID = 4096, 32, 2
@@ -31,12 +31,24 @@ CAPACITY, CLASSES, END_ID = 4096, 32, 2
 CACHE_WORDS = 700_000
 
 #: Chunks made of these characters are composed (NFC) already, and their lower
-#: case does not depend on the neighbours; others go to the library whole.
-_PLAIN = frozenset(chr(c) for c in (*range(33, 127), *range(0xC0, 0x250))) | {"\n"}
+#: case is one of them and does not depend on the neighbours; others go to the
+#: library whole.
+_RANGE = frozenset(chr(c) for c in (*range(33, 127), *range(0xC0, 0x250)))
+_PLAIN = frozenset(c for c in _RANGE if c.lower() in _RANGE) | {"\n"}
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ɏ]+|[0-9]|\\n"
                      "|[^\\na-z0-9À-ÖØ-öø-ɏ]+")
 
 
+#: Python's split also cuts at these four; the vocabulary does not.
+_NO_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+_CHUNKS = re.compile(rf"[^{WHITE}]+").findall
+
+
+def chunks_of(text: str) -> list[str]:
+    """The text split at the vocabulary's white space."""
+    return _CHUNKS(text) if any(c in text for c in _NO_SPACE) else text.split()
+
+
 class WordIds:
     """Ids of whole texts, equal to the tokenizers library's. The vocabulary
     splits at white space and then into words, digits and runs of signs, and
@@ -79,7 +91,7 @@ class WordIds:
 
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         for at in range(0, len(texts), 500):
-            parts = [(t or "").split() for t in texts[at:at + 500]]
+            parts = [chunks_of(t or "") for t in texts[at:at + 500]]
             need = set().union(*parts)
             new = need.difference(self.chunks)
             if len(self.chunks) + len(new) > CACHE_WORDS:
