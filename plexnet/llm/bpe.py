@@ -24,8 +24,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexnet.llm.common import map_arrays, read_table, save_arrays, words_of
-from plexnet.llm.merges import SEPARATOR, MergeTable
+from plexnet.llm.common import count_words, discard, least_count, map_arrays, materialize, read_table, save_arrays
+from plexnet.llm.merges import SEPARATOR, WHITE, MergeTable
 from plexnet.shipping import ensure_importable
 
 #: The lexicon holds the word pieces of this many most frequent words.
@@ -33,11 +33,10 @@ LEXICON_WORDS = 40_000
 #: Chunks kept in a worker's cache before it starts anew (bounds its memory).
 CACHE_CHUNKS = 300_000
 
-_WS = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: how this family of vocabularies splits text into pieces.
-PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
+PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 #: A coarser split whose chunks contain whole pieces: a word with its space, or white space.
-_CHUNKS = rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
+_CHUNKS = rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 
 
 def compile_lexicon(words: dict[bytes, list[int]]) -> dict[str, np.ndarray]:
@@ -116,6 +115,14 @@ class Lexicon:
         return [ids[starts[k]:starts[k + 1]].tobytes() if y else None for k, y in zip(number.tolist(), ok.tolist(), strict=True)]
 
 
+def _is_utf8(raw: bytes) -> bool:
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 class Encoder:
     """Encodes and decodes whole texts with a lexicon and a vocabulary."""
 
@@ -128,9 +135,11 @@ class Encoder:
         self.chunks_of, self.pieces_of = re.compile(_CHUNKS).findall, regex.compile(PIECES).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.vocab.special, key=len, reverse=True))) + ")").split
         self.marks = list(self.vocab.special)
-        self.spaces = frozenset(re.findall(f"[{_WS}]", "".join(map(chr, range(0x3001)))))
+        self.spaces = frozenset(re.findall(f"[{WHITE}]", "".join(map(chr, range(0x3001)))))
         self.cache: dict = {}  # chunk -> its ids, little-endian 32-bit
-        self.shown: dict = {}  # chunk -> its ids in decimal, its ids decoded
+        self.written: dict = {}  # chunk -> its ids in decimal
+        self.decoded: dict = {}  # chunk -> its ids decoded
+        self.decimal = {i: b"%d" % i for i in self.vocab.bytes}
 
     def _learn(self, chunks: set[str]) -> None:
         words = [c for c in chunks if c[-1] not in self.spaces]
@@ -163,11 +172,12 @@ class Encoder:
         """Chunks of each text, all of them in the cache."""
         for at in range(0, len(texts), 500):
             parts = [self._chunks(t or "") for t in texts[at:at + 500]]
-            need = {c for p in parts for c in p}
+            need = set().union(*parts)
             new = need.difference(self.cache)
             if len(self.cache) + len(new) > CACHE_CHUNKS:
                 self.cache.clear()
-                self.shown.clear()
+                self.written.clear()
+                self.decoded.clear()
                 new = need
             if new:
                 self._learn({c for c in new if type(c) is str})
@@ -184,14 +194,18 @@ class Encoder:
         """(number of ids, SHA-256 of the ids in decimal joined by commas,
         SHA-256 of the decoded ids) per text. Each chunk's ids are written out
         and decoded once; a text's are theirs in a row."""
+        written, decoded, bytes_of, decimal = self.written, self.decoded, self.vocab.bytes.__getitem__, self.decimal.__getitem__
         for p in self._learned(texts):
-            for c in set(p).difference(self.shown):
-                ids = np.frombuffer(self.cache[c], "<u4").tolist()
-                self.shown[c] = ",".join(map(str, ids)), b"".join(map(self.vocab.bytes.__getitem__, ids))
-            both = [self.shown[c] for c in p]
-            ids = ",".join([x for x, _ in both]).encode()
-            text = b"".join([x for _, x in both]).decode("utf-8", "replace")
-            yield (ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+            try:
+                ids = b",".join(map(written.__getitem__, p))
+            except KeyError:  # chunks that came into the cache since
+                for c in set(p).difference(written):
+                    found = np.frombuffer(self.cache[c], "<u4").tolist()
+                    written[c], decoded[c] = b",".join(map(decimal, found)), b"".join(map(bytes_of, found))
+                ids = b",".join(map(written.__getitem__, p))
+            raw = b"".join(map(decoded.__getitem__, p))
+            text = raw if _is_utf8(raw) else raw.decode("utf-8", "replace").encode()
+            yield (ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest())
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids, special tokens included; ids outside the
@@ -206,9 +220,12 @@ def vocabulary_path() -> str:
 
 def build_lexicon(spark: SparkSession, docs: DataFrame, vocab_path: str, words: int = LEXICON_WORDS) -> str:
     """Count all words of ``docs.text`` on the cluster, compile the pieces of
-    the ``words`` most frequent ones, ship the file; returns its name."""
-    top = [r[0] for r in docs.select(F.explode(words_of(F.col("text"))).alias("w")).groupBy("w").count()
-           .orderBy(F.desc("count"), "w").limit(words).collect()]
+    the most frequent ones (``words`` at most; of a count that would pass that
+    number, none), ship the file; returns its name."""
+    ensure_importable(spark)
+    counts = materialize(spark, docs.select("text").mapInArrow(count_words, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")), "word-counts")
+    top = [r.w for r in counts.where(F.col("n") > least_count(counts, "n", words)).select("w").toLocalIterator()]
+    discard(counts)
     enc = Encoder(vocab_path)
     pieces = {p.encode() for w in top for form in (w, " " + w) for p in enc.pieces_of(form)}
     arrays = compile_lexicon({p: enc.vocab.merge(p) for p in pieces})
