@@ -12,6 +12,9 @@ white space by one space; the digest is the SHA-256 of that text in UTF-8.
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,17 +36,33 @@ class DigestIndex:
     """A digest index at ``path`` (any shared file system Spark can write).
 
     Opening a path that holds an index registers it under a session table
-    name; an absent one is created. ``add`` may be repeated after a failure:
-    digests that are already in the index are not appended again.
+    name; an absent one is created. The number of buckets is stored beside the
+    index, in ``<path>.meta``: an index that is opened again has the buckets it
+    was made with, whatever the session's settings, and asking for another
+    number raises. ``add`` may be repeated after a failure: digests that are
+    already in the index are not appended again.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        self.spark, self.path = spark, path
-        self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.name = "digest_index_" + path.rstrip("/").rsplit("-", 1)[-1].replace("/", "_").replace(".", "_")
+        self.spark, self.path = spark, path.rstrip("/")
+        stored = self._stored_buckets()
+        if stored is not None and buckets not in (None, stored):
+            raise ValueError(f"the index at {self.path} has {stored} buckets, not {buckets}")
+        self.buckets = stored or buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        if stored is None:
+            spark.createDataFrame([(self.buckets,)], "buckets int").coalesce(1).write.json(f"{self.path}.meta")
+        self.name = "digest_index_" + hashlib.sha256(self.path.encode()).hexdigest()[:24]
         spark.sql(f"""CREATE TABLE IF NOT EXISTS {self.name}
             (digest BINARY, keep_id BIGINT, keep_row BIGINT) USING PARQUET
-            CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'""")
+            CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'""")
+
+    def _stored_buckets(self) -> int | None:
+        try:
+            return self.spark.read.schema("buckets int").json(f"{self.path}.meta").first().buckets
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -79,7 +98,7 @@ def dedup(spark: SparkSession, docs: DataFrame, index: DigestIndex | None = None
                          .select("digest", F.col("first.doc_id").alias("keep_id"),
                                  F.col("first.row").alias("keep_row"), "group_size"), "digest-groups")
     known = groups.join(index.table().select("digest", F.col("keep_id").alias("old_id")), "digest")
-    known = materialize(spark, known.select("digest", "old_id"), "digest-known")
+    known = materialize(spark, known.groupBy("digest").agg(F.min("old_id").alias("old_id")), "digest-known")  # one row per digest
     index.add(groups)
     total = rows.count()
     cols = ["row", "doc_id", "digest", "keep_id", "keep_row", "group_size"]
