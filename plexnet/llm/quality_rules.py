@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from plexnet.llm.common import crc_mod, flat_text, materialize, read_table, words_of
 
 RISK, DELTA, PRICE = 0.05, 0.05, 3
-#: Strata beyond the MAX_STRATA with the most labels share one pooled stratum.
-MAX_STRATA, POOLED = 100, "(other)"
+#: A table of certified rules of so many strata is broadcast (some 200 bytes
+#: each); a larger one is joined by a shuffle.
+BROADCAST_STRATA = 10_000
 
 #: rule -> (metric, cutoffs from lenient to strict)
 RULES = {
@@ -96,41 +97,47 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return 1.0 if k >= n else math.fsum(math.exp(log(i)) for i in range(k + 1))
 
 
+def _plans(spark: SparkSession, plans: dict[str, list[tuple[str, float]]]) -> DataFrame:
+    """(_stratum, _plan): the rules of each stratum in their order, as numbers and cutoffs."""
+    order = list(RULES)
+    rows = [(s, [(order.index(r), float(c)) for r, c in plan]) for s, plan in plans.items() if plan]
+    df = spark.createDataFrame(rows, "_stratum string, _plan array<struct<rule:int,cutoff:double>>")
+    return F.broadcast(df) if len(rows) <= BROADCAST_STRATA else df
+
+
+def _first_hit() -> Column:
+    """Place (from 1) of the first rule of ``_plan`` that rejects the text; null if none does."""
+    values = F.array(*(_metric(r) for r in RULES))
+    hits = F.transform("_plan", lambda p, i: F.when(F.get(values, p["rule"]) > p["cutoff"], i + 1))
+    return F.array_min(F.coalesce(F.filter(hits, lambda x: x.isNotNull()), F.array().cast("array<int>")))
+
+
 def choose_cutoffs(labelled: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict:
     """Certified rules per stratum from ``labelled(stratum, choice, good, _m)``.
 
-    Returns stratum -> list of (rule, cutoff), plus per-stratum figures under
-    ``report``. Only counts come to the driver: strata x rules x cutoffs rows,
-    at most (MAX_STRATA + 1) x 26.
+    Returns stratum -> list of (rule, cutoff) under ``rules``, and per-stratum
+    figures under ``report``. Every stratum stands for itself, however many
+    there are. Only counts come to the driver: at most 32 rows a stratum.
     """
-    strata = [r[0] for r in labelled.groupBy("stratum").count().orderBy(F.desc("count"), "stratum")
-              .limit(MAX_STRATA).collect()]
-    pooled = F.when(F.col("stratum").isin(strata), F.col("stratum")).otherwise(F.lit(POOLED))
-    labelled = labelled.withColumn("stratum", pooled)
     grid = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), _metric(r).alias("x"))
                                for r, (_, cuts) in RULES.items() for c in cuts])).alias("g")
     hits = labelled.where("choice").select("stratum", "good", grid).groupBy("stratum", "g.rule", "g.cutoff").agg(
         F.count_if(F.col("good") & (F.col("g.x") > F.col("g.cutoff"))).alias("k_good"),
-        F.count_if(~F.col("good") & (F.col("g.x") > F.col("g.cutoff"))).alias("k_bad")).collect()
+        F.count_if(~F.col("good") & (F.col("g.x") > F.col("g.cutoff"))).alias("k_bad")).where(F.col("k_bad") > PRICE * F.col("k_good")).collect()
     best: dict = {}
     for h in hits:
-        gain = h.k_bad - PRICE * h.k_good
-        key = (gain, h.cutoff)  # of equal gain, the more lenient cutoff
-        if gain > 0 and key > best.setdefault(h.stratum, {}).get(h.rule, (0, 0.0)):
+        key = (h.k_bad - PRICE * h.k_good, h.cutoff)  # of equal gain, the more lenient cutoff
+        if key > best.setdefault(h.stratum, {}).get(h.rule, (0, 0.0)):
             best[h.stratum][h.rule] = key
     order = list(RULES)
     plans = {s: sorted(((r, c) for r, (_, c) in b.items()), key=lambda x: (-best[s][x[0]][0], order.index(x[0])))
              for s, b in best.items()}
-    first = F.lit(len(RULES) + 1)  # the first configuration that rejects the text
-    for s, plan in plans.items():
-        step = F.lit(len(RULES) + 1)
-        for i, (r, c) in reversed(list(enumerate(plan, 1))):
-            step = F.when(_metric(r) > c, F.lit(i)).otherwise(step)
-        first = F.when(F.col("stratum") == s, step).otherwise(first)
+    judged = labelled.where("NOT choice AND good").join(_plans(labelled.sparkSession, plans), F.col("stratum") == F.col("_stratum"), "left")
+    first = F.coalesce(_first_hit(), F.lit(len(RULES) + 1))  # the first configuration that rejects the text
     counts: dict = {}
-    for r in labelled.where("NOT choice AND good").groupBy("stratum", first.alias("t")).count().collect():
+    for r in judged.groupBy("stratum", first.alias("t")).count().collect():
         counts.setdefault(r.stratum, {})[r.t] = r["count"]
-    n_strata = max(1, len(set(strata) | set(counts)))
+    n_strata = max(1, labelled.select("stratum").distinct().count())
     out, report = {}, {}
     for s, plan in plans.items():
         n, k, passed = sum(counts.get(s, {}).values()), 0, 0
@@ -141,22 +148,20 @@ def choose_cutoffs(labelled: DataFrame, risk: float = RISK, delta: float = DELTA
             passed = t
         out[s] = plan[:passed]
         report[s] = {"good": n, "plan": plan, "certified": passed}
-    return {"rules": out, "strata": strata, "report": report}
+    return {"rules": out, "report": report}
 
 
 def label_stratum(lang: Column) -> Column:
     return F.coalesce(lang, F.lit("(none)"))
 
 
-def verdict(chosen: dict) -> Column:
-    """True when the base rules and the stratum's certified rules keep the text."""
-    stratum = label_stratum(F.col("lang"))
-    stratum = F.when(stratum.isin(chosen["strata"]), stratum).otherwise(F.lit(POOLED))
-    bad = F.lit(False)
-    for s, plan in chosen["rules"].items():
-        for r, c in plan:
-            bad = bad | ((stratum == s) & (_metric(r) > c))
-    return ~base_failed() & ~bad
+def with_verdict(measured: DataFrame, chosen: dict) -> DataFrame:
+    """``measured(lang, _m, ...)`` with ``_kept``: true when the base rules and
+    the certified rules of the text's own stratum keep it. A stratum without
+    certified rules, or without any label, is judged by the base rules alone."""
+    plans = _plans(measured.sparkSession, chosen["rules"])
+    joined = measured.join(plans, label_stratum(F.col("lang")) == F.col("_stratum"), "left")
+    return joined.withColumn("_kept", ~base_failed() & _first_hit().isNull()).drop("_stratum", "_plan")
 
 
 def fit_rules(spark: SparkSession, measured: DataFrame, labels: DataFrame) -> dict:
@@ -177,13 +182,14 @@ def fit_rules(spark: SparkSession, measured: DataFrame, labels: DataFrame) -> di
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs(doc_id, text, lang, ...)``: doc_id, the
     metrics, base_failed, kept. Null text has no words and fails the base;
-    ties and repeated rows are judged alike; extra columns are ignored; an
+    ties and repeated rows are judged alike; texts of any length are measured
+    whole; a null lang is a stratum of its own; extra columns are ignored; an
     empty table gives an empty result. Texts are read once: metrics go to the
     shared folder and serve both the choice of cutoffs and the verdicts."""
     measured = materialize(spark, with_metrics(docs.select("doc_id", "text", "lang")).drop("text"), "metrics")
     chosen = fit_rules(spark, measured, labels)
-    return measured.select("doc_id", *[F.col("_m." + c).alias(c) for c in METRIC_COLUMNS],
-                           base_failed().alias("base_failed"), verdict(chosen).alias("kept"))
+    return with_verdict(measured, chosen).select("doc_id", *[F.col("_m." + c).alias(c) for c in METRIC_COLUMNS],
+                                                 base_failed().alias("base_failed"), F.col("_kept").alias("kept"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -194,7 +200,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFr
     back = {v: k for k, v in clash.items()}
     measured = materialize(spark, with_metrics(docs.withColumnsRenamed(clash)), "measured")
     chosen = fit_rules(spark, measured, labels)
-    return measured.where(verdict(chosen)).select(*[F.col(c).alias(back.get(c, c)) for c in measured.columns if c != "_m"])
+    return with_verdict(measured, chosen).where("_kept").select(*[F.col(c).alias(back.get(c, c)) for c in measured.columns if c != "_m"])
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +229,7 @@ m AS (SELECT doc_id, coalesce(lang, '(none)') AS stratum, n_words, word_chars, n
 
 
 def op1_sql() -> str:
-    """The method in DuckDB SQL (strata beyond MAX_STRATA are not pooled here)."""
+    """The method in DuckDB SQL."""
     order = {r: i for i, r in enumerate(RULES)}
     value = "CASE rule " + " ".join(
         "WHEN '{}' THEN coalesce({} * 1.0 / nullif({}, 0), 0.0)".format(r, *f.split(" / ")) for r, (f, _) in RULES.items()) + " END"
