@@ -19,8 +19,9 @@ from plexnet.llm.common import components, materialize, read_table
 #: (verdict, host, path) of the contract query.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Rules are a configuration list applied inside one expression; beyond this length it is refused.
-MAX_RULES = 1000
+#: Lists up to this length are applied inside one expression; longer ones, and
+#: rules given as a table, are joined on the host's suffixes, with the same result.
+INLINE_RULES = 200
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"(?is)(<link\s[^>]*\brel\s*=\s*[\x22']?canonical\b[^>]*>)"
@@ -40,18 +41,51 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def _by_precedence(rule: tuple) -> tuple:
+    """Sort key: the rule that wins comes first. The longest host and path
+    together win; of these the longer host; of equal rules allow."""
+    verdict, h, p = rule
+    return -len(h + p), -len(h), verdict != "allow", h, p
+
+
 def apply_rules(host: Column, path: Column, rules=RULES) -> Column:
-    """struct(rule, verdict) of the longest rule that fits; null if none does.
-    A rule fits its host and all subdomains if the path starts with its path."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} fit one expression")
+    """struct(rule, verdict) of the rule that wins; null if none fits. A rule
+    fits its host and all subdomains if the path starts with its path."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):  # the longest is tested first
+    for verdict, h, p in sorted(rules, key=_by_precedence, reverse=True):  # the last one here is tested first
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
     return out
 
 
+def with_rule(spark: SparkSession, rows: DataFrame, rules=RULES) -> DataFrame:
+    """``rows(host, path, ...)`` with ``own``, the struct of :func:`apply_rules`.
+    ``rules`` is a list of (verdict, host, path) or a table of these columns;
+    nulls in a table make a rule void.
+
+    A long list is joined: the rules of one host are one row, in their order;
+    a URL's host is spread into its suffixes, one of which meets them. Each
+    distinct (host, path) is judged once, so that a host of many pages is no
+    larger than its paths."""
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= INLINE_RULES:
+            return rows.withColumn("own", apply_rules(F.col("host"), F.col("path"), rules))
+        rules = spark.createDataFrame([tuple(r) for r in rules], "verdict string, host string, path string")
+    size = -F.length("host") - F.length("path")
+    order = F.struct(size.alias("a"), (-F.length("host")).alias("b"), (F.col("verdict") != "allow").alias("c"), F.col("path").alias("p"), F.col("verdict").alias("v"))
+    table = rules.where("verdict IS NOT NULL AND host IS NOT NULL AND path IS NOT NULL").groupBy(F.col("host").alias("rule_host")).agg(
+        F.array_sort(F.collect_list(order)).alias("rules"))
+    each = rows.select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    met = each.select("host", "path", F.explode(suffixes).alias("rule_host")).join(table, "rule_host")
+    first = F.get(F.filter("rules", lambda r: F.col("path").startswith(r["p"])), 0)
+    met = met.select("host", "path", "rule_host", first.alias("r")).where("r IS NOT NULL")
+    best = met.groupBy("host", "path").agg(F.min(F.struct("r.a", "r.b", "r.c", F.concat("rule_host", "r.p").alias("rule"), "r.v")).alias("m"))
+    best = best.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.struct(F.col("m.rule").alias("rule"), F.col("m.v").alias("verdict")).alias("own"))
+    return rows.join(best, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left").drop("_host", "_path")
+
+
 def node_of(url: Column) -> Column:
     """The URL as a graph node: host, path and query, without scheme and fragment."""
     rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^#]*)", 1)
@@ -86,10 +120,13 @@ def page_edges(pages: DataFrame) -> DataFrame:
 def judge(spark: SparkSession, pages: DataFrame, rules=RULES, edges: DataFrame | None = None) -> DataFrame:
     """One row per row of ``pages(page_id, url, html)``: page_id, host, path,
     rule (null if none fits), verdict, component (null if the page has no
-    alias). ``edges(from_url, to_url)`` adds a redirect log.
+    alias). ``rules`` is a list or a table (see :func:`with_rule`), of any
+    size; ``edges(from_url, to_url)`` adds a redirect log.
 
     Null, empty or malformed URLs have empty host and path, no aliases, and
-    are allowed unless a rule fits. Null html has no links. Repeated pages
+    are allowed unless a rule fits. Null html has no links; html of any length
+    is searched whole, and its first canonical link and first refresh count.
+    Of rules that fit equally the longer host wins, then allow. Repeated pages
     each get their row. Other columns are ignored. An empty table gives an
     empty result.
     """
@@ -102,7 +139,7 @@ def judge(spark: SparkSession, pages: DataFrame, rules=RULES, edges: DataFrame |
     base = pages.select(F.col("page_id"), F.col("url"))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     base = base.select("page_id", "url", host.alias("host"), path.alias("path"))
-    base = base.select("*", apply_rules(F.col("host"), F.col("path"), rules).alias("own"))
+    base = with_rule(spark, base, rules)
     if links.isEmpty():
         return base.select("page_id", "host", "path", F.col("own.rule").alias("rule"),
                            F.coalesce("own.verdict", F.lit("allow")).alias("verdict"),
@@ -110,7 +147,8 @@ def judge(spark: SparkSession, pages: DataFrame, rules=RULES, edges: DataFrame |
     comp = components(spark, links.select("a", "b"))
     ends = links.select(F.col("a").alias("node"), F.col("from_url").alias("u")).union(
         links.select("b", "to_url")).distinct()
-    ends = ends.select("node", apply_rules(host_of(F.col("u")), path_of(F.col("u")), rules)["verdict"].alias("v"))
+    ends = ends.select("node", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
+    ends = with_rule(spark, ends, rules).select("node", F.col("own.verdict").alias("v"))
     votes = ends.groupBy("node").agg(F.max(F.col("v") == "allow").alias("allow"), F.max(F.col("v") == "block").alias("block"))
     # a link from a page to itself has no component row; it is its own
     nodes = materialize(spark, votes.join(comp, "node", "left").select(
@@ -145,6 +183,15 @@ _N = _H + " || CASE WHEN {r} = '' THEN '/' ELSE {r} END"
 _R = "regexp_extract(coalesce({u}, ''), '(?s)^.*?://[^/?#]*([^#]*)', 1)"
 
 
+def _abs(link: str) -> str:
+    """DuckDB SQL of :func:`_absolute` for a link of the page's columns url, host and path."""
+    scheme = "regexp_extract(url, '(?s)^(.*?)://', 1)"
+    folder = "regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '')"
+    return (f"CASE WHEN {link} = '' THEN NULL WHEN contains({link}, '://') THEN {link} WHEN starts_with({link}, '//') THEN {scheme} || ':' || {link} "
+            f"WHEN starts_with({link}, '/') THEN {scheme} || '://' || host || {link} WHEN regexp_matches({link}, '^(#|[A-Za-z][A-Za-z0-9+.-]*:)') THEN NULL "
+            f"ELSE {scheme} || '://' || host || {folder} || {link} END")
+
+
 def _n(u: str) -> str:
     return _N.format(u=u, r=_R.format(u=u))
 
@@ -157,8 +204,8 @@ WITH RECURSIVE p AS (
          replace(regexp_extract(regexp_extract(coalesce(html, ''), '(?is)(<meta\s[^>]*\bhttp-equiv\s*=\s*[\x22\x27]?refresh\b[^>]*>)', 1),
                  '(?is)\burl\s*=\s*[\x22\x27]?([^\x22\x27>\s]+)', 1), '&amp;', '&') AS g
   FROM pages),
-l AS (SELECT url AS from_url, c AS to_url FROM p WHERE contains(url, '://') AND contains(c, '://')
-      UNION SELECT url, g FROM p WHERE contains(url, '://') AND contains(g, '://')),
+l AS (SELECT url AS from_url, {_abs('c')} AS to_url FROM p WHERE contains(url, '://') AND contains({_abs('c')}, '://')
+      UNION SELECT url, {_abs('g')} FROM p WHERE contains(url, '://') AND contains({_abs('g')}, '://')),
 e AS (SELECT {_n('from_url')} AS a, {_n('to_url')} AS b FROM l),
 b AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e),
 reach AS (SELECT a AS node, b AS other FROM b UNION SELECT r.node, b.b FROM reach r JOIN b ON r.other = b.a),
