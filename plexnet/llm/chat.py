@@ -7,11 +7,13 @@ model with two states per role (the first line of a turn, a later line) gives
 the roles by Viterbi; its tables are counted on the cluster from transcripts
 whose roles are known. The recovered turns are rendered in one canonical form.
 
-Lines are rows. Viterbi runs over windows of WINDOW lines with MARGIN lines of
-context on either side, and written transcripts are numbered in chunks of 512
-turns, so no task ever holds a whole long conversation; for up to WINDOW lines
-and 512 turns this is plain Viterbi. A transcript that is given as one text
-(one row) is one chunk.
+Lines are rows, and a conversation is cut into windows of WINDOW lines that
+different tasks work on; the result is that of Viterbi over the whole
+conversation. A window's effect on the six states' best scores is a max-plus
+matrix; a scan over these small matrices gives the scores with which each
+window begins. Under these, each window tells for each of its possible end
+states where its best path comes from; a scan backwards over these maps gives
+every window's end state, and the windows are then traced back on their own.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from plexnet.llm.common import crc_mod, materialize, read_table
 from plexnet.shipping import ensure_importable
 
 ROLES = ("system", "user", "assistant")
-WINDOW, MARGIN = 512, 64
+WINDOW = 512
 #: marker class -> names that open a turn (matched without regard to case, before ':' or alone after '###')
 MARKERS = {"system": ("system", "instructions", "context"), "user": ("user", "human", "question", "q", "customer"),
            "assistant": ("assistant", "ai", "answer", "a", "bot", "agent")}
@@ -85,21 +87,31 @@ def symbols(line: Column, blank_before: Column) -> Column:
     return ((marker * 2 + blank_before.cast("int")) * 2 + ends.cast("int")) * 4 + bucket
 
 
+def _conversation() -> Column:
+    """A key of the conversation that is never null."""
+    return F.coalesce(F.col("conv_id").cast("string"), F.lit(""))
+
+
 def observe(lines: DataFrame) -> DataFrame:
-    """``lines`` without the blank ones, with the symbol ``obs`` and the
-    window a line belongs to. Lines are numbered per conversation by counts of
-    chunks first, so that no task sorts a whole long conversation."""
+    """``lines`` without the blank ones, with the key ``conv`` of the
+    conversation, the symbol ``obs``, the line's number ``at`` (from 1) and its
+    window. Lines are sorted in parts of 512 written turns; the counts of the
+    parts before give every line its number in the conversation."""
     from pyspark.sql import Window
     chunk = F.floor(F.col("line_no") / F.lit(1 << 41)).cast("bigint")  # 512 turns of written transcripts
-    part = Window.partitionBy("conv_id", "chunk").orderBy("line_no", "line")
     cols = [c for c in lines.columns if c not in ("conv_id", "line_no", "line")]
-    x = lines.withColumn("chunk", chunk)
-    x = x.withColumn("prev", F.lag("line").over(part))
-    x = x.where(F.trim("line") != "").withColumn("at", F.row_number().over(part))
-    blank = F.coalesce(F.trim("prev") == "", F.lit(True))
-    win = F.floor((F.col("at") - 1) / F.lit(WINDOW)).cast("bigint")
-    return x.select("conv_id", "line_no", "line", *cols, symbols(F.col("line"), blank).alias("obs"), "chunk",
-                    "at", win.alias("window"))
+    x = lines.withColumn("conv", _conversation()).withColumn("chunk", chunk)
+    full = F.trim("line") != ""
+    parts = x.groupBy("conv", "chunk").agg(F.count_if(full).alias("n"), F.max_by(F.trim("line") == "", F.struct("line_no", "line")).alias("ends_blank"))
+    before = Window.partitionBy("conv").orderBy("chunk")
+    parts = parts.select("conv", "chunk", F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n_before"),
+                         F.coalesce(F.lag("ends_blank").over(before), F.lit(True)).alias("blank_before"))
+    part = Window.partitionBy("conv", "chunk").orderBy("line_no", "line")
+    x = x.withColumn("prev_blank", F.lag(F.trim("line") == "").over(part)).where(full).withColumn("place", F.row_number().over(part))
+    x = x.join(parts, ["conv", "chunk"]).withColumn("at", F.col("n_before") + F.col("place"))
+    blank = F.coalesce("prev_blank", "blank_before")
+    return x.select("conv", "conv_id", "line_no", "line", *cols, symbols(F.col("line"), blank).alias("obs"), "at",
+                    F.floor((F.col("at") - 1) / F.lit(WINDOW)).cast("bigint").alias("window"))
 
 
 def train(observed: DataFrame) -> dict[str, np.ndarray]:
@@ -109,8 +121,10 @@ def train(observed: DataFrame) -> dict[str, np.ndarray]:
     from pyspark.sql import Window
     role = F.expr(f"array_position(array({', '.join(repr(r) for r in ROLES)}), true_role) - 1")
     x = observed.withColumn("state", (role * 2 + (~F.col("first")).cast("int")).cast("int")).where("true_role IS NOT NULL AND state >= 0")
-    order = Window.partitionBy("conv_id", "chunk", "window").orderBy("line_no", "line")
-    x = x.withColumn("before", F.lag("state").over(order))
+    order = Window.partitionBy("conv", "window").orderBy("at")
+    last = x.groupBy("conv", (F.col("window") + 1).alias("window")).agg(F.max_by("state", "at").alias("state_above"))
+    x = x.withColumn("above", F.lag("state").over(order)).join(last, ["conv", "window"], "left")
+    x = x.withColumn("before", F.coalesce("above", "state_above"))
     emit, step, start = np.ones((6, N_SYMBOLS)), np.ones((6, 6)), np.ones(6)
     for r in x.groupBy("before", "state", "obs").count().collect():  # at most 7 * 6 * N_SYMBOLS rows
         emit[r.state, r.obs] += r["count"]
@@ -126,75 +140,170 @@ def train(observed: DataFrame) -> dict[str, np.ndarray]:
     return {"start": norm(start), "step": norm(step), "emit": norm(emit)}
 
 
-def viterbi(obs: np.ndarray, model: dict[str, np.ndarray]) -> np.ndarray:
-    """Most likely states of a sequence of symbols; of ties, the lower state."""
-    n = len(obs)
-    back = np.zeros((n, 6), np.int8)
-    v = model["start"] + model["emit"][:, obs[0]]
-    for i in range(1, n):
+def _forward(obs: np.ndarray, model: dict[str, np.ndarray], before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Back pointers and the states' best scores at the end of ``obs``. The
+    scores ``before`` it are None at the start of a conversation."""
+    back = np.zeros((len(obs), 6), np.int8)
+    v = before
+    for i, o in enumerate(obs):
+        if v is None:
+            v = model["start"] + model["emit"][:, o]
+            continue
         s = v[:, None] + model["step"]
         back[i] = s.argmax(0)
-        v = s.max(0) + model["emit"][:, obs[i]]
-    out = np.zeros(n, np.int64)
-    out[-1] = v.argmax()
-    for i in range(n - 1, 0, -1):
+        v = s.max(0) + model["emit"][:, o]
+    return back, v
+
+
+def viterbi(obs: np.ndarray, model: dict[str, np.ndarray], before: np.ndarray | None = None, end: int | None = None) -> np.ndarray:
+    """Most likely states of a sequence of symbols; of ties, the lower state.
+    For a window of a longer sequence, with the scores ``before`` it and its
+    ``end`` state."""
+    back, v = _forward(obs, model, before)
+    out = np.zeros(len(obs), np.int64)
+    out[-1] = v.argmax() if end is None else end
+    for i in range(len(obs) - 1, 0, -1):
         out[i - 1] = back[i, out[i]]
     return out
 
 
-def recover(spark: SparkSession, observed: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """``(conv_id, line_no, state)`` for every observed line: state is 2 * role
-    + (0 for a turn's first line, 1 for a later one)."""
-    ensure_importable(spark)
-    near = F.array_distinct(F.array("window", F.when(F.col("at") - 1 - F.col("window") * WINDOW < MARGIN, F.col("window") - 1).otherwise(
-        F.col("window")), F.when((F.col("window") + 1) * WINDOW - F.col("at") < MARGIN, F.col("window") + 1).otherwise(F.col("window"))))
-    rows = observed.select("conv_id", "chunk", F.explode(near).alias("in_window"), "window", "at", "line_no", "line", "obs").where(
-        "in_window >= 0")
-    rows = rows.repartition("conv_id", "chunk", "in_window").sortWithinPartitions("conv_id", "chunk", "in_window", "line_no", "line")
+def transfer(obs: np.ndarray, model: dict[str, np.ndarray], first: bool) -> np.ndarray:
+    """The max-plus matrix of a window: best score from each state before it to
+    each state at its end. All rows of a conversation's first window are alike."""
+    m = None
+    for o in obs:
+        if m is None:
+            m = (np.tile(model["start"], (6, 1)) if first else model["step"]) + model["emit"][:, o]
+        else:
+            m = (m[:, :, None] + model["step"]).max(1) + model["emit"][:, o]
+    return m
+
+
+def sources(obs: np.ndarray, model: dict[str, np.ndarray], before: np.ndarray) -> tuple[list[int], int]:
+    """For each end state of a window the state before it on the best path, and the best end state."""
+    back, v = _forward(obs, model, before)
+    at = np.arange(6)
+    for i in range(len(obs) - 1, -1, -1):
+        at = back[i, at]
+    return at.tolist(), int(v.argmax())
 
+
+def _by_window(f):
+    """Runs ``f(conv, window, frame)`` on each window's lines; rows come sorted by conv, window and at."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
-        keys = ["conv_id", "chunk", "in_window"]
-
-        def solve(df: pd.DataFrame) -> pd.DataFrame:
-            k = df[keys].fillna(-1)
-            cut = np.flatnonzero(np.append(True, (k.to_numpy()[1:] != k.to_numpy()[:-1]).any(1)))
-            obs, states = df["obs"].to_numpy(), np.zeros(len(df), np.int64)
-            for a, b in zip(cut, [*cut[1:], len(df)], strict=True):
-                states[a:b] = viterbi(obs[a:b], model)
-            own = (df["window"] == df["in_window"]).to_numpy()
-            return df[own].assign(state=states[own])[["conv_id", "chunk", "at", "line_no", "line", "state"]]
 
+        def groups(df: pd.DataFrame) -> pd.DataFrame:
+            conv, window = df["conv"].to_numpy(), df["window"].to_numpy()
+            cut = np.flatnonzero(np.append(True, (conv[1:] != conv[:-1]) | (window[1:] != window[:-1])))
+            return pd.concat([f(conv[a], int(window[a]), df.iloc[a:b]) for a, b in zip(cut, [*cut[1:], len(df)], strict=True)], ignore_index=True)
         for b in batches:
             if not len(b):
                 continue
             df = b if held is None else pd.concat([held, b], ignore_index=True)
-            k = df[keys].fillna(-1).to_numpy()
-            last = int(np.flatnonzero((k != k[-1]).any(1)).max(initial=-1)) + 1  # the last group may go on
+            same = (df["conv"] == df["conv"].iloc[-1]) & (df["window"] == df["window"].iloc[-1])
+            last = int(np.flatnonzero(~same.to_numpy()).max(initial=-1)) + 1  # the last group may go on
             held = df.iloc[last:]
             if last:
-                yield solve(df.iloc[:last])
+                yield groups(df.iloc[:last])
         if held is not None and len(held):
-            yield solve(held)
-    return rows.mapInPandas(run, "conv_id bigint, chunk bigint, at int, line_no bigint, line string, state int")
+            yield groups(held)
+    return run
+
+
+def _scan(rows: DataFrame, f, schema: str, backwards: bool = False) -> DataFrame:
+    """``f(state, window, *values) -> (state, row)`` along each conversation's
+    windows, whose rows are small; the state starts as None."""
+    names = [c for c in rows.columns if c not in ("conv", "window")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        conv, state = None, None
+        for b in batches:
+            out = []
+            for c, w, *values in zip(b["conv"], b["window"], *(b[n] for n in names), strict=True):
+                if c != conv:
+                    conv, state = c, None
+                state, row = f(state, int(w), *values)
+                out.append((c, int(w), *row))
+            if out:
+                yield pd.DataFrame(out, columns=[x.split()[0].strip("`") for x in schema.split(", ")])
+    order = F.desc("window") if backwards else F.asc("window")
+    return rows.repartition("conv").sortWithinPartitions("conv", order).mapInPandas(run, schema)
+
+
+def boundaries(spark: SparkSession, observed: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+    """``(conv, window, before, ends)`` for the windows of conversations of more
+    than one window: the scores before the window (null for the first) and its
+    end state on the best path of the whole conversation."""
+    ensure_importable(spark)
+    long = observed.where("window > 0").select("conv").distinct()
+    lines = materialize(spark, observed.join(long, "conv", "left_semi").select("conv", "window", "at", "obs"), "long-lines")
+
+    def sorted_(df: DataFrame) -> DataFrame:
+        return df.repartition("conv", "window").sortWithinPartitions("conv", "window", "at")
+
+    def matrix(conv, window, df):
+        return pd.DataFrame({"conv": [conv], "window": [window], "m": [transfer(df["obs"].to_numpy(), model, window == 0).ravel().tolist()]})
+
+    def forward(v, window, m):
+        after = np.array(m).reshape(6, 6) if v is None else v[:, None] + np.array(m).reshape(6, 6)
+        after = after.max(0)
+        return after - after.max(), (None if v is None else v.tolist(),)
+    matrices = sorted_(lines).mapInPandas(_by_window(matrix), "conv string, window bigint, m array<double>")
+    starts = materialize(spark, _scan(matrices, forward, "conv string, window bigint, before array<double>"), "window-starts")
+
+    def came(conv, window, df):
+        if window == 0:
+            back, v = _forward(df["obs"].to_numpy(), model, None)
+            return pd.DataFrame({"conv": [conv], "window": [window], "from": [[0] * 6], "best": [int(v.argmax())]})
+        f, best = sources(df["obs"].to_numpy(), model, np.array(df["before"].iloc[0]))
+        return pd.DataFrame({"conv": [conv], "window": [window], "from": [f], "best": [best]})
+
+    def backward(end, window, sources_, best):
+        end = int(best) if end is None else end
+        return int(sources_[end]), (end,)
+    maps = sorted_(lines.join(starts, ["conv", "window"])).mapInPandas(_by_window(came), "conv string, window bigint, `from` array<int>, best int")
+    ends = _scan(maps, backward, "conv string, window bigint, ends int", backwards=True)
+    return materialize(spark, starts.join(ends, ["conv", "window"]), "window-bounds")
+
+
+def recover(spark: SparkSession, observed: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+    """``(conv, conv_id, window, at, line_no, line, state, above)`` for every
+    observed line: state is 2 * role + (0 for a turn's first line, 1 for a
+    later one); above is the state of the line before (null for the first)."""
+    ensure_importable(spark)
+    bounds = boundaries(spark, observed, model)
+    rows = observed.select("conv", "conv_id", "window", "at", "line_no", "line", "obs").join(bounds, ["conv", "window"], "left")
+    above = bounds.select("conv", (F.col("window") + 1).alias("window"), F.col("ends").alias("last"))
+    rows = rows.join(above, ["conv", "window"], "left")
+    rows = rows.repartition("conv", "window").sortWithinPartitions("conv", "window", "at")
+
+    def solve(conv, window, df):
+        before, end, last = df["before"].iloc[0], df["ends"].iloc[0], df["last"].iloc[0]
+        states = viterbi(df["obs"].to_numpy(), model, None if before is None else np.array(before), None if pd.isna(end) else int(end))
+        prior = [None if pd.isna(last) else int(last), *states[:-1].tolist()]
+        return df.assign(state=states, above=pd.array(prior, "Int64"))[["conv", "conv_id", "window", "at", "line_no", "line", "state", "above"]]
+    return rows.mapInPandas(_by_window(solve), "conv string, conv_id bigint, window bigint, at bigint, line_no bigint, line string, state int, above int")
 
 
-def turns_of(states: DataFrame) -> DataFrame:
+def turns_of(spark: SparkSession, states: DataFrame) -> DataFrame:
     """Turns ``(conv_id, first_line, role, text, n_lines)`` of recovered lines:
     a turn opens at a first-line state or where the role changes; its marker
     is taken off."""
     from pyspark.sql import Window
-    order = Window.partitionBy("conv_id", "chunk").orderBy("at")
-    role = F.element_at(F.array(*map(F.lit, ROLES)), (F.floor(F.col("state") / 2) + 1).cast("int"))
-    x = states.withColumn("role", role)
-    opens = (F.col("state") % 2 == 0) | F.coalesce(F.lag("role").over(order) != F.col("role"), F.lit(True))
-    x = x.withColumn("no", F.sum(F.when(opens, 1).otherwise(0)).over(order))
+    names = F.array(*map(F.lit, ROLES))
+    role = F.floor(F.col("state") / 2)
+    opens = (F.col("state") % 2 == 0) | F.col("above").isNull() | (F.floor(F.col("above") / 2) != role)
+    x = materialize(spark, states.select("conv", "conv_id", "window", "at", "line_no", "line", role.cast("int").alias("role"), opens.cast("int").alias("opens")), "chat-states")
+    before = Window.partitionBy("conv").orderBy("window").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = x.groupBy("conv", "window").agg(F.sum("opens").alias("n")).select("conv", "window", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"))
+    order = Window.partitionBy("conv", "window").orderBy("at")
+    x = x.withColumn("no", F.sum("opens").over(order)).join(offsets, ["conv", "window"]).withColumn("no", F.col("no") + F.col("n_before"))
     clean = F.regexp_replace("line", _STRIP, "")
     lines = F.sort_array(F.collect_list(F.struct("at", clean.alias("line"))))
-    t = x.groupBy("conv_id", "chunk", "no").agg(F.min("line_no").alias("first_line"), F.first("role").alias("role"),
-                                                lines.alias("lines"))
+    t = x.groupBy("conv", "no").agg(F.first("conv_id").alias("conv_id"), F.min_by("line_no", "at").alias("first_line"), F.first("role").alias("role"), lines.alias("lines"))
     body = F.filter(F.transform("lines", lambda s: s["line"]), lambda s: F.trim(s) != "")
-    return t.select("conv_id", "first_line", "role", F.array_join(body, "\n").alias("text"), F.size("lines").alias("n_lines"))
+    return t.select("conv_id", "first_line", F.element_at(names, F.col("role") + 1).alias("role"), F.array_join(body, "\n").alias("text"), F.size("lines").alias("n_lines"))
 
 
 def render(turns: DataFrame) -> DataFrame:
@@ -207,14 +316,16 @@ def render(turns: DataFrame) -> DataFrame:
 def parse(spark: SparkSession, lines: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """Canonical turns of raw ``lines(conv_id, line_no, line)``. Blank lines
     separate and are not content; a transcript without any other line has no
-    turns; null ids form one transcript; other columns are ignored."""
-    observed = observe(lines.select("conv_id", "line_no", "line"))
-    return render(turns_of(recover(spark, observed, model)))
+    turns; null ids form one transcript; lines of equal numbers stand in the
+    order of their text; conversations and lines of any length are parsed
+    whole; other columns are ignored; an empty table gives an empty result."""
+    observed = materialize(spark, observe(lines.select("conv_id", "line_no", "line")), "chat-lines")
+    return render(turns_of(spark, recover(spark, observed, model)))
 
 
 def with_first(observed: DataFrame) -> DataFrame:
     from pyspark.sql import Window
-    part = Window.partitionBy("conv_id", "chunk", "turn").orderBy("line_no")
+    part = Window.partitionBy("conv", "turn").orderBy("line_no")
     return observed.withColumn("first", F.row_number().over(part) == 1)
 
 
@@ -227,7 +338,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(conv_id AS BIGINT) AS conv_id", "turn", "role", "text"))
     observed = materialize(spark, observe(raw), "chat-lines")
     model = train(with_first(observed.where(crc_mod(F.col("conv_id"), 5) != 0)))
-    turns = materialize(spark, render(turns_of(recover(spark, observed, model))), "chat-turns")
+    turns = materialize(spark, render(turns_of(spark, recover(spark, observed, model))), "chat-turns")
     truth = observed.select("conv_id", F.col("line_no").alias("first_line"), "true_role", "turn").distinct()
     held = crc_mod(F.col("conv_id"), 5) == 0
     return turns.join(truth, ["conv_id", "first_line"], "left").select(
