@@ -262,7 +262,7 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = LEAST, subsu
                          F.when(cut1, F.col("r1")).otherwise(F.col("r2")).alias("r"), F.least("s1", "s2").alias("score"))
     best = F.row_number().over(_order())
     ranked = two.unionAll(three).withColumn("rank", best).where(F.col("rank") <= top)
-    return ranked.join(F.broadcast(totals), "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def _order():
