@@ -142,7 +142,7 @@ def whiten(spark: SparkSession, vectors: DataFrame, components: int = COMPONENTS
     repeated rows stay and count once in the fit list; equal eigenvalues keep
     the order and the vectors that eigh gives. A component without variance
     has whitened null and explained 0 and no part in identity_error. Columns
-    of ``vectors`` named like one of the results (or ``x``) are replaced; an
+    of ``vectors`` named like one of the results (or ``x``, ``_away``, ``_cell``) go; an
     empty table gives an empty result; vectors of different lengths raise.
     """
     rows = with_integers(vectors, column)
@@ -158,29 +158,30 @@ def whiten(spark: SparkSession, vectors: DataFrame, components: int = COMPONENTS
     explained = [float(values[k] / trace) if up else 0.0 for k, up in zip(order, alive, strict=True)]
     mean = [s / sc.n for s in sc.sums]
     away = f"zip_with(x, array({', '.join(f'{m!r}D' for m in mean)}), (a, m) -> a - m)"
-    white = [_dot(away, (vecs[:, k] / np.sqrt(values[k])).tolist()) if up else "CAST(NULL AS DOUBLE)" for k, up in zip(order, alive, strict=True)]
-    error = _identity_error(fit, [w for w, up in zip(white, alive, strict=True) if up])
+    white = [_dot("_away", (vecs[:, k] / np.sqrt(values[k])).tolist()) if up else "CAST(NULL AS DOUBLE)" for k, up in zip(order, alive, strict=True)]
+    error = _identity_error(fit.select(F.expr(away).alias("_away")), [w for w, up in zip(white, alive, strict=True) if up])
     far = sum(max(abs(sc.n * lo - s), abs(sc.n * hi - s)) ** 2 for lo, hi, s in zip(sc.least, sc.most, sc.sums, strict=True))
     kind, suffix = ("BIGINT", "L") if far < 1 << 63 else ("DECIMAL(38,0)", "BD")
     off = ", ".join(f"{s}{suffix}" for s in sc.sums)
     square = f"aggregate(zip_with(x, array({off}), (a, s) -> CAST(CAST({sc.n}{suffix} * a - s AS {kind}) * CAST({sc.n}{suffix} * a - s AS {kind}) AS {kind})), CAST(0 AS {kind}), (t, v) -> CAST(t + v AS {kind}))"
     own = ["component", "n", "deviation", "whitened", "explained", "identity_error"]
-    kept = [c for c in vectors.columns if c not in (*own, "x")]
+    kept = [c for c in vectors.columns if c not in (*own, "x", "_away", "_cell")]
     if not dims:
         return vectors.select(*kept).limit(0).selectExpr(
             *(f"`{c}`" for c in kept), "CAST(NULL AS INT) AS component", "CAST(NULL AS BIGINT) AS n", "CAST(NULL AS BIGINT) AS deviation",
             "CAST(NULL AS DOUBLE) AS whitened", "CAST(NULL AS DOUBLE) AS explained", "CAST(NULL AS DOUBLE) AS identity_error")
     cells = ", ".join(f"struct({k + 1} AS component, {w} AS whitened, {explained[k]!r}D AS explained)" for k, w in enumerate(white))
-    out = rows.select(*(F.col(f"`{c}`") for c in kept), F.expr(square).alias("deviation"), F.explode(F.expr(f"array({cells})")).alias("_cell"))
+    out = rows.select(*(F.col(f"`{c}`") for c in kept), "x", F.expr(away).alias("_away"))  # computed once a row, used for every component
+    out = out.select(*(F.col(f"`{c}`") for c in kept), F.expr(square).alias("deviation"), F.explode(F.expr(f"array({cells})")).alias("_cell"))
     return out.selectExpr(*(f"`{c}`" for c in kept), "_cell.component AS component", f"{sc.n}L AS n", "deviation",
                           "_cell.whitened AS whitened", "_cell.explained AS explained", f"{error!r}D AS identity_error")
 
 
-def _identity_error(fit: DataFrame, white: list[str]) -> float:
+def _identity_error(away: DataFrame, white: list[str]) -> float:
     """Largest entry of |covariance of the whitened fit list - identity|."""
     if not white:
         return 0.0
-    w = fit.selectExpr(*(f"{x} AS w{i}" for i, x in enumerate(white)))
+    w = away.selectExpr(*(f"{x} AS w{i}" for i, x in enumerate(white)))
     mean = w.agg(*(F.avg(f"w{i}").alias(f"w{i}") for i in range(len(white)))).first()
     pairs = [(i, j) for i in range(len(white)) for j in range(i + 1)]
     cov = w.agg(*(F.avg((F.col(f"w{i}") - mean[i]) * (F.col(f"w{j}") - mean[j])).alias(f"c{i}_{j}") for i, j in pairs)).first()
