@@ -331,7 +331,9 @@ def _round(spark: SparkSession, rows: DataFrame, nodes: DataFrame, depth: int, t
         return None
     shared = spark.sparkContext.broadcast(id_filter(crowded.select("key")))
     members = nodes.select("node", "sig").mapInArrow(_members_task(depth, shared), "key bigint, tree int, node bigint, sig binary")
-    dealt = members.join(crowded, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    large = crowded.where("parts > 1")  # the other buckets are one block each
+    dealt = members.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = dealt.select("tree", "key", "node", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
     dealt = dealt.select("tree", "key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).cast("int").alias("side"), "node", "sig")
     bucket = ["tree", "key", "i", "j"]
@@ -376,7 +378,7 @@ def link(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, tar
     linked = found.where("node IS NOT NULL")
     degree = linked.groupBy("node").agg(F.sum("n").alias("n_links"))
     groups = components(spark, linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    members = members.join(groups, "node", "left").join(degree, "node", "left").select(
+    members = members.join(groups.join(degree, "node"), "node", "left").select(
         "row", "doc_id", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
     return materialize(spark, members, "members"), recall
 
