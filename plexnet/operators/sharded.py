@@ -2,23 +2,27 @@
 
 Weights stay in a table of tiles: tile (layer, kb, cb) holds the weights from
 TILE inputs to TILE units, and (layer, -1, cb) the bias row. Examples become
-blocks of ROWS rows, and a layer's activations pieces (rb, kb) of a block and
-TILE units. Every layer is three keyed steps that Spark shuffles and sorts:
-
-    forward   z(rb, cb)     = sum over kb of a(rb, kb) . W(kb, cb)
-    backward  e(rb, kb)     = sum over cb of e(rb, cb) . W(kb, cb)' * f'(z(rb, kb))
-    gradient  g(kb, cb)     = sum over rb of a(rb, kb)' . e(rb, cb)
-
-A task streams the pieces that meet one tile (dealt out in salts, so that few
-tiles still use many tasks) and holds one tile and one piece at a time; the
-sums are streamed in sorted order too. Nothing is broadcast or brought to the
-driver but the layer widths. Pieces of a layer are stored under
-``spark.checkpoint.dir`` before they are read twice.
+blocks of ROWS rows, and consecutive blocks a group whose activations of all
+layers fit HELD doubles. A group is shuffled once; the tiles of all layers come
+to it in the order of the pass and are held one at a time:
+
+    forward   z(cb)    += a(kb) . W(kb, cb)                 layer by layer
+    backward  e(kb)    += e(cb) . W(kb, cb)' * f'(z(kb))    from the last layer down
+    gradient  g(kb, cb) = a(kb)' . e(cb)                    summed over the groups
+
+So a pass shuffles the examples once, and the weights and gradients once per
+group (the weights twice for gradients); activations never leave their task.
+Nothing is broadcast or brought to the driver but the layer widths, the number
+of blocks and the numbers of the groups. Tiles and blocks are stored under
+``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain, groupby
+from operator import attrgetter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,24 @@ from plexnet.session import scratch_path
 from plexnet.shipping import ensure_importable
 
 TILE, ROWS = 256, 256
-_MEET = "model_id string, kb int, cb int, rb bigint, m binary"
+#: Doubles that a task holds of a group: pre-activations, activations and errors of its rows.
+HELD = 8_000_000
+_TILES = "model_id string, layer int, kb int, cb int, m binary"
+
+
+class _Row(NamedTuple):
+    """A row that comes to a group: a block of examples (no model, step 0) or a tile."""
+
+    g: int
+    model: str | None
+    step: int
+    layer: int
+    kb: int
+    cb: int
+    rb: int
+    ids: list
+    labels: list
+    m: bytes
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -80,40 +101,27 @@ def _blocks(examples: DataFrame, rows: int) -> DataFrame:
         run, "rb bigint, ids array<bigint>, labels array<double>, x binary")
 
 
-def _pieces(width: int, tile: int, f: Callable | None = None):
-    """Bytes of all ``width`` units of a block as pieces of ``tile`` units, and
-    the piece of ones (-1) that meets the bias row."""
-    def run(raw: bytes) -> list[tuple[int, bytes]]:
-        m = _array(raw, width)
-        return [(-1, np.ones((len(m), 1)).tobytes()), *((k // tile, np.ascontiguousarray(m[:, k:k + tile]).tobytes()) for k in range(0, width, tile))]
-    return run
-
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[_Row]:
+    for b in batches:
+        for i in range(len(b)):
+            yield _Row(*(c[i].as_py() for c in b.columns))
 
-def _rows(found: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*found, strict=True))
-    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["model_id", "kb", "cb", "rb", "m"])
 
+def _tile_rows(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows (model_id, layer, kb, cb, m) in batches of about 32 MB."""
+    kinds, names = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), ["model_id", "layer", "kb", "cb", "m"]
 
-def _each(batches: Iterator[pa.RecordBatch], f: Callable[..., Iterator[tuple]], end: Callable[[], Iterator[tuple]] = lambda: iter(())) -> Iterator[pa.RecordBatch]:
-    """Rows of the batches through ``f``; its rows leave in batches of about 32 MB."""
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
     out, size = [], 0
-    for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            for found in f(*row):
-                out.append(found)
-                size += len(found[-1])
-            if size > 32 << 20:
-                yield _rows(out)
-                out, size = [], 0
-    out.extend(end())
+    for row in found:
+        out.append(row)
+        size += len(row[-1])
+        if size > 32 << 20:
+            yield batch()
+            out, size = [], 0
     if out:
-        yield _rows(out)
-
-
-def _whole(n: int, parts: list[bytes]) -> np.ndarray:
-    """The pieces of ``n`` rows side by side."""
-    return np.hstack([np.frombuffer(p, np.float64).reshape(n, -1) for p in parts])
+        yield batch()
 
 
 class _Shapes:
@@ -126,52 +134,27 @@ class _Shapes:
         """Units of a block of layer ``layer`` (0: the input; block -1: the bias input)."""
         return 1 if block < 0 else min(self.tile, self.widths[model][layer] - block * self.tile)
 
-    def count(self, layer: int) -> int:
-        return max(-(-w[layer] // self.tile) for w in self.widths.values())
-
-    def column(self, layer: int):
-        """Blocks of that layer, by model."""
-        pairs = [F.lit(x) for m, w in self.widths.items() for x in (m, -(-w[layer] // self.tile))]
-        return F.element_at(F.create_map(*pairs), F.col("model_id"))
-
+    def count(self, model: str, layer: int) -> int:
+        return -(-self.widths[model][layer] // self.tile)
 
-def _meet(held: DataFrame, streamed: DataFrame, salts: int, f: Callable) -> DataFrame:
-    """Streams the rows of ``streamed`` past the row of ``held`` with the same
-    (model_id, kb, cb); both have the columns of _MEET."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {"key": None, "m": None}
-
-        def row(model, kb, cb, _salt, side, rb, m):
-            if side == 0:
-                state["key"], state["m"] = (model, kb, cb), m
-            elif state["key"] == (model, kb, cb):
-                yield from f(model, kb, cb, rb, state["m"], m)
-        yield from _each(batches, row)
-    key = ["model_id", "kb", "cb"]
-    tiles = held.select(*key, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("side"), "rb", "m")
-    pieces = streamed.select(*key, F.pmod(F.xxhash64("rb"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("side"), "rb", "m")
-    both = tiles.unionAll(pieces).repartition(*key, "salt").sortWithinPartitions(*key, "salt", "side", "rb")
-    return both.mapInArrow(run, _MEET)
+    def at(self, block: int) -> slice:
+        """Units of a block among those of its layer."""
+        return slice(block * self.tile, (block + 1) * self.tile)
 
 
 def _summed(parts: DataFrame) -> DataFrame:
-    """Adds up the matrices of one (model_id, kb, cb, rb), one at a time."""
+    """Adds up the matrices of one (model_id, layer, kb, cb), one at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {"key": None, "m": None}
-
-        def done() -> Iterator[tuple]:
-            if state["key"] is not None:
-                yield (*state["key"], state["m"].tobytes())
-
-        def row(model, kb, cb, rb, m):
-            if state["key"] != (model, kb, cb, rb):
-                yield from done()
-                state["key"], state["m"] = (model, kb, cb, rb), np.frombuffer(m, np.float64).copy()
-            else:
-                state["m"] += np.frombuffer(m, np.float64)
-        yield from _each(batches, row, done)
-    key = ["model_id", "kb", "cb", "rb"]
-    return parts.select(*key, "m").repartition(*key).sortWithinPartitions(*key).mapInArrow(run, _MEET)
+        def sums() -> Iterator[tuple]:
+            rows = (tuple(c[i].as_py() for c in b.columns) for b in batches for i in range(len(b)))
+            for key, same in groupby(rows, key=lambda r: r[:4]):
+                total = np.frombuffer(next(same)[4], np.float64).copy()
+                for r in same:
+                    total += np.frombuffer(r[4], np.float64)
+                yield (*key, total.tobytes())
+        yield from _tile_rows(sums())
+    key = ["model_id", "layer", "kb", "cb"]
+    return parts.select(*key, "m").repartition(*key).sortWithinPartitions(*key).mapInArrow(run, _TILES)
 
 
 class ShardedPass:
@@ -192,175 +175,143 @@ class ShardedPass:
                      for r in models.select("model_id", "outputs", "activation", "loss").collect()}
         self.tile, self.layers = tile, len(next(iter(sizes.values()))) - 1
         self.shapes = _Shapes(sizes, tile)
-        self.spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.tiles = _stored(weight_tiles(params, tile), "tiles")
-        self.blocks = _stored(_blocks(examples, rows), "blocks")
         self.acts = {s.activation: (get_activation(s.activation).numpy, get_activation(s.activation).d_numpy) for s in self.spec.values()}
-        self.z: dict[int, DataFrame] = {}
-
-    def _salts(self, layer: int) -> int:
-        return max(1, -(-self.spread // ((self.shapes.count(layer) + 1) * self.shapes.count(layer + 1) * len(self.spec))))
-
-    def _layer_tiles(self, layer: int) -> DataFrame:
-        return self.tiles.where(F.col("layer") == layer).select("model_id", "kb", "cb", F.lit(None).cast("bigint").alias("rb"), "m")
-
-    def inputs(self, layer: int) -> DataFrame:
-        """(model_id, kb, rb, m): the activations that enter a layer, with the ones of the bias."""
-        shapes, spec, acts, tile = self.shapes, self.spec, self.acts, self.tile
-        if layer == 0:
-            names, width = sorted(spec), shapes.widths[next(iter(spec))][0]
-
-            def run(batches):
-                def row(rb, x):
-                    for k, m in _pieces(width, tile)(x):
-                        for model in names:
-                            yield model, k, 0, rb, m
-                yield from _each(batches, row)
-            return self.blocks.select("rb", "x").mapInArrow(run, _MEET).select("model_id", "kb", "rb", "m")
-
-        def run_z(batches):
-            def row(model, kb, rb, m):
-                z = np.frombuffer(m, np.float64)
-                yield model, kb, 0, rb, acts[spec[model].activation][0](z).tobytes()
-                if kb == 0:
-                    yield model, -1, 0, rb, np.ones(len(z) // shapes.size(model, layer, 0)).tobytes()
-            yield from _each(batches, row)
-        return self.z[layer].select("model_id", F.col("cb").alias("kb"), "rb", "m").mapInArrow(run_z, _MEET).select("model_id", "kb", "rb", "m")
-
-    def forward(self) -> DataFrame:
-        """Pre-activations (model_id, cb, rb, m) of the output layer; those of the hidden ones are kept in ``z``."""
-        shapes = self.shapes
-        for layer in range(self.layers):
-            def product(model, kb, cb, rb, tile, piece, layer=layer):
-                yield model, 0, cb, rb, (_array(piece, shapes.size(model, layer, kb)) @ _array(tile, shapes.size(model, layer + 1, cb))).tobytes()
-            each = self.inputs(layer).select("model_id", "kb", F.explode(F.sequence(F.lit(0), shapes.column(layer + 1) - 1)).alias("cb"), "rb", "m")
-            z = _summed(_meet(self._layer_tiles(layer), each, self._salts(layer), product))
-            self.z[layer + 1] = _stored(z.select("model_id", "cb", "rb", "m"), f"z{layer + 1}")
-        return self.z[self.layers]
-
-    def outputs(self) -> DataFrame:
-        """(model_id, rb, ids, labels, z): the output layer's pre-activations of
-        whole rows. A block's outputs stand in one row (block rows x outputs)."""
-        z = self.forward() if self.layers not in self.z else self.z[self.layers]
-        whole = z.groupBy("model_id", "rb").agg(F.sort_array(F.collect_list(F.struct("cb", "m"))).alias("parts"))
-        return whole.join(self.blocks.select("rb", "ids", "labels"), "rb").select("model_id", "rb", "ids", "labels", F.col("parts.m").alias("parts"))
+        most = max(1, HELD // (3 * max(sum(w) for w in sizes.values())))  # rows of a group
+        rows = min(rows, most)
+        self.tiles = _stored(weight_tiles(params, tile), "tiles")
+        blocks = _stored(_blocks(examples, rows), "blocks")
+        spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # numbers of blocks leave wide gaps between partitions, so no group has blocks of two
+        each = max(1, min(most // rows, -(-blocks.count() // spread)))
+        self.blocks = blocks.withColumn("g", F.expr(f"rb div {each}"))
+
+    def _steps(self, backward: bool) -> DataFrame:
+        """The rows of every group in the order of the pass: its blocks, then for
+        each model the tiles forward (steps 1 to layers) and those backward (to
+        2 * layers - 1, layer 1)."""
+        def none(kind):
+            return F.lit(None).cast(kind)
+        blocks = self.blocks.select("g", none("string").alias("model_id"), F.lit(0).alias("step"), F.lit(-1).alias("layer"), F.lit(-1).alias("kb"), F.lit(-1).alias("cb"),
+                                    "rb", "ids", "labels", F.col("x").alias("m"))
+        forward = self.tiles.withColumn("step", F.col("layer") + 1)
+        tiles = forward
+        if backward:
+            tiles = forward.unionByName(self.tiles.where("layer > 0 AND kb >= 0").withColumn("step", F.lit(2 * self.layers) - F.col("layer")))
+        dealt = tiles.crossJoin(F.broadcast(self.blocks.select("g").distinct()))  # one number per group
+        tiles = dealt.select("g", "model_id", "step", "layer", "kb", "cb", none("bigint").alias("rb"), none("array<bigint>").alias("ids"),
+                             none("array<double>").alias("labels"), "m")
+        return blocks.unionAll(tiles).repartition("g").sortWithinPartitions("g", "model_id", "step", "kb", "cb", "rb")
+
+    def _groups(self):
+        """(batches) -> (model, ids, labels, activations, pre-activations of the
+        hidden layers and of the output, rows of the steps backward) of every group and model."""
+        shapes, spec, acts, layers = self.shapes, self.spec, self.acts, self.layers
+
+        def forward(model: str, x: np.ndarray, steps: Iterator) -> tuple:
+            a, zs = [x], []
+            for layer in range(layers):
+                z = np.zeros((len(x), shapes.widths[model][layer + 1]))
+                for t in next(steps)[1]:
+                    w = _array(t.m, shapes.size(model, layer + 1, t.cb))
+                    z[:, shapes.at(t.cb)] += w if t.kb < 0 else a[layer][:, shapes.at(t.kb)] @ w
+                if layer + 1 < layers:
+                    zs.append(z)
+                    a.append(acts[spec[model].activation][0](z))
+            return a, zs, z
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+            for _, rows in groupby(_each(batches), key=attrgetter("g")):
+                models = groupby(rows, key=attrgetter("model"))
+                blocks = list(next(models)[1])
+                ids, labels = (list(chain.from_iterable(v)) for v in ([b.ids for b in blocks], [b.labels for b in blocks]))
+                x = np.frombuffer(b"".join(b.m for b in blocks), np.float64)
+                width = next(iter(shapes.widths.values()))[0]
+                if len(x) != len(ids) * width:
+                    raise ValueError(f"ragged features: {len(x)} values for {len(ids)} rows of width {width}")
+                x, y = x.reshape(-1, width), np.array(labels, np.float64)
+                del blocks, labels
+                for model, tiles in models:
+                    steps = groupby(tiles, key=attrgetter("step"))
+                    yield (model, ids, y, *forward(model, x, steps), steps)
+        return run
 
     def score(self) -> DataFrame:
         """(id, model_id, p ARRAY<DOUBLE>)."""
-        spec = self.spec
+        spec, groups = self.spec, self._groups()
 
         def run(batches):
-            for b in batches:
-                for model, _, ids, _, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    p = K.output_probs(spec[model], _whole(len(ids), parts))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([model] * len(ids), pa.string()), pa.array(list(p), pa.list_(pa.float64()))], ["id", "model_id", "p"])
-        return self.outputs().mapInArrow(run, "id bigint, model_id string, p array<double>")
-
-    def scalars(self) -> DataFrame:
-        """(model_id, layer -1, row, col 0, value): the scalar sums named in ``kernel.SCALAR_NAMES``."""
-        spec = self.spec
+            for model, ids, _, _, _, z, _ in groups(batches):
+                for at in range(0, len(ids), 10_000):
+                    part = ids[at:at + 10_000]
+                    p = K.output_probs(spec[model], z[at:at + 10_000])
+                    ends = pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([model] * len(part), pa.string()), pa.ListArray.from_arrays(ends, pa.array(p.ravel()))],
+                                                     ["id", "model_id", "p"])
+        return self._steps(False).mapInArrow(run, "id bigint, model_id string, p array<double>")
+
+    def gradient_tiles(self, with_grads: bool = True) -> DataFrame:
+        """(model_id, layer, kb, cb, m): gradient sums over all examples, as tiles,
+        and the scalar sums named in ``kernel.SCALAR_NAMES`` as a tile of layer -1."""
+        shapes, spec, acts, layers, groups = self.shapes, self.spec, self.acts, self.layers, self._groups()
+
+        def scalars(s: K.NetSpec, y: np.ndarray, z: np.ndarray, p: np.ndarray) -> np.ndarray:
+            out, cost = np.zeros(K.N_SCALARS), K.row_costs(s, z, p, y).sum()
+            for k, v in ((K.S_VAL_COST, cost), (K.S_VAL_N, len(y)), (K.S_VAL_CORRECT, (K.predictions(s, p) == y).sum()), (K.S_VAL_SUM_Y, y.sum()),
+                         (K.S_VAL_SUM_Y2, (y * y).sum()), (K.S_BATCH_N, len(y)), (K.S_BATCH_COST, cost), (K.S_VAL_SQE, 0.0 if s.multi else ((y - p[:, 0]) ** 2).sum())):
+                out[k] = v
+            return out
+
+        def outer(model: str, layer: int, a: np.ndarray, e: np.ndarray) -> Iterator[tuple]:
+            for cb in range(shapes.count(model, layer + 1)):
+                right = e[:, shapes.at(cb)]
+                yield model, layer, -1, cb, right.sum(0).tobytes()
+                for kb in range(shapes.count(model, layer)):
+                    yield model, layer, kb, cb, (a[:, shapes.at(kb)].T @ right).tobytes()
+
+        def each(batches) -> Iterator[tuple]:
+            for model, _, y, a, zs, z, steps in groups(batches):
+                s = spec[model]
+                K.check_labels(s, y)
+                p = K.output_probs(s, z)
+                yield model, -1, -1, 0, scalars(s, y, z, p).tobytes()
+                if not with_grads:
+                    continue
+                e = K.output_error(s, p, y)
+                for layer in range(layers - 1, 0, -1):
+                    yield from outer(model, layer, a[layer], e)
+                    below = np.zeros_like(a[layer])
+                    for t in next(steps)[1]:
+                        w = _array(t.m, shapes.size(model, layer + 1, t.cb))
+                        below[:, shapes.at(t.kb)] += e[:, shapes.at(t.cb)] @ w.T
+                    e = below * acts[s.activation][1](zs[layer - 1])
+                yield from outer(model, 0, a[0], e)
 
         def run(batches):
-            sums = {m: np.zeros(K.N_SCALARS) for m in spec}
-            for b in batches:
-                for model, _, ids, labels, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    y, z, s = np.array(labels, np.float64), _whole(len(ids), parts), spec[model]
-                    K.check_labels(s, y)
-                    p = K.output_probs(s, z)
-                    cost = K.row_costs(s, z, p, y).sum()
-                    for k, v in ((K.S_VAL_COST, cost), (K.S_VAL_N, len(y)), (K.S_VAL_CORRECT, (K.predictions(s, p) == y).sum()), (K.S_VAL_SUM_Y, y.sum()),
-                                 (K.S_VAL_SUM_Y2, (y * y).sum()), (K.S_BATCH_N, len(y)), (K.S_BATCH_COST, cost), (K.S_VAL_SQE, 0.0 if s.multi else ((y - p[:, 0]) ** 2).sum())):
-                        sums[model][k] += v
-            for m, v in sums.items():
-                if v[K.S_BATCH_N]:
-                    yield pa.RecordBatch.from_arrays([pa.array([m] * len(v), pa.string()), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], ["model_id", "row", "value"])
-        sums = self.outputs().mapInArrow(run, "model_id string, row int, value double").groupBy("model_id", "row").agg(F.sum("value").alias("value"))
-        return sums.select("model_id", F.lit(-1).alias("layer"), "row", F.lit(0).alias("col"), "value")
-
-    def evaluate(self) -> DataFrame:
-        """Count, mean cost, accuracy and squared errors per model, as ``passes.evaluate``."""
-        s = self.scalars().groupBy("model_id").agg(*(F.sum(F.when(F.col("row") == i, F.col("value"))).alias(c) for i, c in enumerate(K.SCALAR_NAMES)))
-        n = F.col("val_n")
-        return s.select("model_id", n.cast("bigint").alias("n"), (F.col("val_cost") / n).alias("cost"), (F.col("val_correct") / n).alias("accuracy"),
-                        F.col("val_sqe").alias("sqe"), (F.col("val_sum_y2") - F.col("val_sum_y") * F.col("val_sum_y") / n).alias("sst"))
+            yield from _tile_rows(each(batches))
+        return _summed(self._steps(with_grads).mapInArrow(run, _TILES))
 
-    def _output_errors(self) -> DataFrame:
-        spec, tile = self.spec, self.tile
-
-        def run(batches):
-            def row(model, rb, ids, labels, parts):
-                y = np.array(labels, np.float64)
-                K.check_labels(spec[model], y)
-                e = K.output_error(spec[model], K.output_probs(spec[model], _whole(len(ids), parts)), y)
-                for k in range(0, e.shape[1], tile):
-                    yield model, 0, k // tile, rb, np.ascontiguousarray(e[:, k:k + tile]).tobytes()
-            yield from _each(batches, row)
-        return self.outputs().mapInArrow(run, _MEET)
-
-    def gradient_tiles(self) -> DataFrame:
-        """(model_id, layer, kb, cb, m): gradient sums over all examples, as tiles."""
-        shapes, spec, acts = self.shapes, self.spec, self.acts
-        errors, out = _stored(self._output_errors().select("model_id", "cb", "rb", "m"), "errors"), None
-        for layer in range(self.layers - 1, -1, -1):
-            a = self.inputs(layer).select("model_id", "kb", F.explode(F.sequence(F.lit(0), shapes.column(layer + 1) - 1)).alias("cb"), "rb", "m")
-            e = errors.select("model_id", F.explode(F.sequence(F.lit(-1), shapes.column(layer) - 1)).alias("kb"), "cb", "rb", "m")
-            g = _summed(_outer(e, a, self._salts(layer), shapes, layer)).select("model_id", F.lit(layer).alias("layer"), "kb", "cb", "m")
-            out = g if out is None else out.unionAll(g)
-            if layer:
-                def back(model, kb, cb, rb, tile, piece, layer=layer):
-                    w = _array(tile, shapes.size(model, layer + 1, cb))
-                    yield model, kb, 0, rb, (_array(piece, w.shape[1]) @ w.T).tobytes()
-                below = _summed(_meet(self._layer_tiles(layer).where("kb >= 0"), e.where("kb >= 0"), self._salts(layer), back))
-
-                def slope(batches):
-                    def row(model, cb, rb, m, z):
-                        d = acts[spec[model].activation][1](np.frombuffer(z, np.float64))
-                        yield model, 0, cb, rb, (np.frombuffer(m, np.float64) * d).tobytes()
-                    yield from _each(batches, row)
-                z = self.z[layer].select("model_id", "cb", "rb", F.col("m").alias("z"))
-                both = below.select("model_id", F.col("kb").alias("cb"), "rb", "m").join(z, ["model_id", "cb", "rb"])
-                errors = _stored(both.mapInArrow(slope, _MEET).select("model_id", "cb", "rb", "m"), f"errors{layer}")
-        return out
-
-    def gradient_sums(self) -> DataFrame:
+    def gradient_sums(self, with_grads: bool = True) -> DataFrame:
         """(model_id, layer, row, col, value) with the scalar rows of layer -1, as ``passes.gradient_sums``."""
         shapes, tile = self.shapes, self.tile
 
         def run(batches):
             for b in batches:
-                for model, layer, kb, cb, m in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    g = _array(m, shapes.size(model, layer + 1, cb))
+                for i in range(len(b)):
+                    model, layer, kb, cb, m = (c[i].as_py() for c in b.columns)
+                    g = _array(m, shapes.size(model, layer + 1, cb) if layer >= 0 else 1)
                     r, c = np.indices(g.shape)
-                    r, c = (np.zeros_like(r) if kb < 0 else r + kb * tile + 1).ravel(), (c + cb * tile).ravel()
+                    r, c = (r if layer < 0 else np.zeros_like(r) if kb < 0 else r + kb * tile + 1).ravel(), (c + cb * tile).ravel()
                     yield pa.RecordBatch.from_arrays([pa.array([model] * g.size, pa.string()), pa.array(np.full(g.size, layer, np.int32)),
                                                       pa.array(r.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(g.ravel())], ["model_id", "layer", "row", "col", "value"])
-        keyed = self.gradient_tiles().mapInArrow(run, "model_id string, layer int, row int, col int, value double")
-        return keyed.unionAll(self.scalars())
+        return self.gradient_tiles(with_grads).mapInArrow(run, "model_id string, layer int, row int, col int, value double")
 
+    def scalars(self) -> DataFrame:
+        """(model_id, layer -1, row, col 0, value): the scalar sums named in ``kernel.SCALAR_NAMES``."""
+        return self.gradient_sums(with_grads=False)
 
-def _outer(errors: DataFrame, inputs: DataFrame, salts: int, shapes: _Shapes, layer: int) -> DataFrame:
-    """Per tile and salt, a' . e summed over the blocks that meet there: pieces
-    of one block stand together, the error first."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {"key": None, "sum": None, "rb": None, "e": None}
-
-        def done() -> Iterator[tuple]:
-            if state["key"] is not None and state["sum"] is not None:
-                yield (*state["key"][:3], 0, state["sum"].tobytes())
-
-        def row(model, kb, cb, salt, rb, side, m):
-            if state["key"] != (model, kb, cb, salt):
-                yield from done()
-                state.update(key=(model, kb, cb, salt), sum=None, rb=None)
-            if side == 0:
-                state.update(rb=rb, e=_array(m, shapes.size(model, layer + 1, cb)))
-            elif state["rb"] == rb:
-                g = _array(m, shapes.size(model, layer, kb)).T @ state["e"]
-                state["sum"] = g if state["sum"] is None else state["sum"] + g
-        yield from _each(batches, row, done)
-    cols = ["model_id", "kb", "cb"]
-
-    def dealt(df: DataFrame, side: int) -> DataFrame:
-        return df.select(*cols, F.pmod(F.xxhash64("rb"), F.lit(salts)).cast("int").alias("salt"), "rb", F.lit(side).alias("side"), "m")
-    both = dealt(errors, 0).unionAll(dealt(inputs, 1)).repartition(*cols, "salt").sortWithinPartitions(*cols, "salt", "rb", "side")
-    return both.mapInArrow(run, _MEET)
+    def evaluate(self) -> DataFrame:
+        """Count, mean cost, accuracy and squared errors per model, as ``passes.evaluate``."""
+        s = self.scalars().groupBy("model_id").agg(*(F.sum(F.when(F.col("row") == i, F.col("value"))).alias(c) for i, c in enumerate(K.SCALAR_NAMES)))
+        n = F.col("val_n")
+        return s.select("model_id", n.cast("bigint").alias("n"), (F.col("val_cost") / n).alias("cost"), (F.col("val_correct") / n).alias("accuracy"),
+                        F.col("val_sqe").alias("sqe"), (F.col("val_sum_y2") - F.col("val_sum_y") * F.col("val_sum_y") / n).alias("sst"))
