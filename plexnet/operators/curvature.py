@@ -99,7 +99,7 @@ def _hv_sums(examples: DataFrame, specs: list[K.NetSpec]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = None, 0
-        for b in K.merged(batches):
+        for b in K.merged(batches, max(sum(w.shape[1] for w in s.weights) for s in bc.value)):
             x, y = K.features_matrix(b, width), b.column("label").to_numpy(zero_copy_only=False).astype(np.float64)
             parts = []
             for s in bc.value:

@@ -233,21 +233,25 @@ def _emit_blocks(spec: NetSpec, acc: "_Acc"):
     return pa.RecordBatch.from_arrays(cols, names=["model_id", "block"] + BLOCK_COLS)
 
 
-MERGED_VALUES = 2_000_000   # feature values of one matrix product (16 MB of doubles)
+MERGED_VALUES = 500_000   # doubles of a piece: features and units of all layers (4 MB each way)
 
 
-def merged(batches, values: int = MERGED_VALUES):
-    """The non-empty batches of a task, small ones joined into larger ones:
-    fewer, larger NumPy products without touching the session's batch size."""
+def merged(batches, units: int = 0, values: int = MERGED_VALUES):
+    """The non-empty batches of a task, small ones joined and large ones cut:
+    NumPy products of about ``values`` doubles (features and ``units`` a row),
+    whatever the session's batch size and the size of the task's input."""
     held, size = [], 0
     for rb in batches:
         if not rb.num_rows:
             continue
-        held.append(rb)
-        size += len(rb.column("features").flatten())
-        if size >= values:
-            yield pa.concat_batches(held)
-            held, size = [], 0
+        each = -(-len(rb.column("features").flatten()) // rb.num_rows) + units
+        most = max(1, values // max(1, each))
+        for at in range(0, rb.num_rows, most):
+            held.append(rb.slice(at, most))
+            size += held[-1].num_rows * each
+            if size >= values:
+                yield pa.concat_batches(held)
+                held, size = [], 0
     if held:
         yield pa.concat_batches(held)
 
@@ -263,7 +267,7 @@ def sums_kernel(batches, specs, n_features: int, with_grads: bool = True, layout
     below the fraction (the mini-batch, drawn here so that the Spark plan is
     the same in every epoch)."""
     accs = None
-    for rb in merged(batches):
+    for rb in merged(batches, max(sum(w.shape[1] for w in s.weights) for s in specs)):
         n = rb.num_rows
         if accs is None:
             accs = [_Acc(s, with_grads) for s in specs]

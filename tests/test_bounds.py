@@ -45,3 +45,21 @@ def test_sharded_groups_keep_the_sums_and_store_no_activations(spark, held, monk
     want = {(r.model_id, r.layer, r.row, r.col): r.value for r in PS.gradient_sums(ex, p, m).where("layer >= 0").collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
     assert {(r.model_id, r.n) for r in s.evaluate().collect()} == {("a", 150), ("b", 150)}
+
+
+def test_sums_of_a_long_task_hold_little():
+    rng = np.random.default_rng(6)
+    n, spec = 10_000, K.NetSpec("a", [rng.normal(size=(5, 8)), rng.normal(size=(9, 4)), rng.normal(size=(5, 1))], "tanh")
+    yes, no = pa.array(np.ones(n, bool)), pa.array(np.zeros(n, bool))
+    x, y = rng.normal(size=(n, 4)), (np.arange(n) % 2).astype(float)
+    batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * n + 1, 4, dtype=np.int32)), pa.array(x.ravel())), pa.array(y), yes, yes, no],
+                                       ["features", "label", "_t", "_b", "_v"])
+    tracemalloc.start()
+    sums = pa.Table.from_batches(K.sums_kernel((batch for _ in range(50)), [spec], 4)).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    one = pa.Table.from_batches(K.sums_kernel(iter([batch]), [spec], 4)).to_pydict()
+    assert sums["value"] == pytest.approx([50 * v for v in one["value"]])
+    wide = list(K.merged(iter([batch]), units=996, values=100_000))  # a large batch is cut
+    assert [len(b) for b in wide] == [100] * 100 and pa.Table.from_batches(wide).equals(pa.Table.from_batches([batch]))
