@@ -78,13 +78,17 @@ def mix_uniform(key, seed, epoch) -> Column:
         hi1 = f"(({hi} * {b}L + {lo1}) % {_M24}L)"
         lo2 = f"(({lo1} * {d}L + {hi1}) % {_M24}L)"
         return F.expr(f"CAST({hi1} * {_M24}L + {lo2} AS DOUBLE) / {TWO_POW_48!r}")
-    x = (key + F.lit(c)) % F.lit(_M48)
-    hi = F.shiftright(x, 24)
-    lo = x % F.lit(_M24)
-    lo = (lo * F.lit(a) + hi) % F.lit(_M24)
-    hi = (hi * F.lit(b) + lo) % F.lit(_M24)
-    lo = (lo * F.lit(d) + hi) % F.lit(_M24)
-    return (hi * F.lit(_M24) + lo).cast("double") / F.lit(TWO_POW_48)
+
+    def mix(k: Column) -> Column:
+        x = (k + F.lit(c)) % F.lit(_M48)
+        hi = F.shiftright(x, 24)
+        lo = x % F.lit(_M24)
+        lo = (lo * F.lit(a) + hi) % F.lit(_M24)
+        hi = (hi * F.lit(b) + lo) % F.lit(_M24)
+        lo = (lo * F.lit(d) + hi) % F.lit(_M24)
+        return (hi * F.lit(_M24) + lo).cast("double") / F.lit(TWO_POW_48)
+    # the rounds name the key eight times; bound to a variable its md5 is computed once a row
+    return F.transform(F.array(key), mix)[0]
 
 
 def np_mix_uniform(key, seed, epoch):

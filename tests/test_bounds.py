@@ -63,3 +63,13 @@ def test_sums_of_a_long_task_hold_little():
     assert sums["value"] == pytest.approx([50 * v for v in one["value"]])
     wide = list(K.merged(iter([batch]), units=996, values=100_000))  # a large batch is cut
     assert [len(b) for b in wide] == [100] * 100 and pa.Table.from_batches(wide).equals(pa.Table.from_batches([batch]))
+
+
+def test_a_draw_hashes_its_key_once(spark):
+    ex = spark.range(500).withColumn("split", F.lit("train"))
+    key = md5_bits(F.col("id"), 7)
+    got = ex.select(key.alias("k"), mix_uniform(key, 7, 3).alias("u")).collect()
+    assert [r.u for r in got] == np_mix_uniform(np.array([r.k for r in got]), 7, 3).tolist()
+    plan = E.minibatch(ex, 3, 500, 50, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
+    assert spark.range(1).select(mix_uniform(F.lit(None).cast("bigint"), 7, 3).alias("u")).first().u is None
