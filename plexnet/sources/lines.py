@@ -20,7 +20,8 @@ def numbered_rows(scan: DataFrame, name: str = "line") -> DataFrame:
     splits = raw.groupBy("file", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select(F.col("file").alias("_file"), F.col("_start").alias("_s"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    out = raw.join(splits, (raw["file"] == splits["_file"]) & (raw["_start"] == splits["_s"]))
+    # one row per split: without the hint the estimate is the size of the files, and all their rows would be shuffled
+    out = raw.join(F.broadcast(splits), (raw["file"] == splits["_file"]) & (raw["_start"] == splits["_s"]))
     return out.withColumn(name, F.col("_before") + F.col("_at") - F.col("_first")).drop("_file", "_s", "_start", "_at", "_first", "_before")
 
 

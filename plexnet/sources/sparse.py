@@ -69,12 +69,13 @@ def read_libsvm_sparse(spark: SparkSession, path: str, split: str | None = None)
     on how the file is cut into splits. A label or an entry that is no number
     raises; entries may come in any order."""
     lines = numbered_lines(spark, path).where("trim(value) <> '' AND NOT startswith(ltrim(value), '#')")
-    tokens = F.split(F.trim(F.col("value")), r"\s+")
-    entries = F.transform(F.slice(tokens, 2, F.size(tokens)), lambda t: F.split(t, ":"))
+    # steps of their own: named in one, tokens and entries would be split anew for every use
+    lines = lines.select("file", "line", F.split(F.trim(F.col("value")), r"\s+").alias("_tokens"))
+    lines = lines.select("file", "line", F.col("_tokens")[0].cast("double").alias("label"),
+                         F.transform(F.slice("_tokens", 2, F.size("_tokens")), lambda t: F.split(t, ":")).alias("_entries"))
     out = lines.select(
         md5_id(F.col("file"), F.col("line")).alias("id"),
-        F.transform(entries, lambda e: (e[0].cast("int") - 1)).alias("indices"), F.transform(entries, lambda e: e[1].cast("double")).alias("values"),
-        tokens[0].cast("double").alias("label"))
+        F.transform("_entries", lambda e: (e[0].cast("int") - 1)).alias("indices"), F.transform("_entries", lambda e: e[1].cast("double")).alias("values"), "label")
     sp = F.lit(split) if split is not None else split_column(F.col("id"))
     return out.select("id", "indices", "values", "label", sp.alias("split"))
 

@@ -73,3 +73,9 @@ def test_a_draw_hashes_its_key_once(spark):
     plan = E.minibatch(ex, 3, 500, 50, 7)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("md5(") == 1
     assert spark.range(1).select(mix_uniform(F.lit(None).cast("bigint"), 7, 3).alias("u")).first().u is None
+
+
+def test_numbered_lines_are_not_shuffled(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x\ny\n")
+    plan = numbered_lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
