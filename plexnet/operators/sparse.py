@@ -27,7 +27,7 @@ from plexnet.operators.passes import _broadcast, _union, activations_of, group_s
 #: Sums that stand side by side in one row.
 PART = 64
 #: Products held at once in a task (entries times units).
-HELD_PRODUCTS = 4_000_000
+HELD_PRODUCTS = 500_000
 #: Touched rows times units that a task holds unmerged.
 HELD_SUMS = 8_000_000
 
