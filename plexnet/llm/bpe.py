@@ -17,6 +17,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ LEXICON_WORDS = 40_000
 #: Chunks kept in a worker's cache before it starts anew (bounds its memory).
 CACHE_CHUNKS = 300_000
 
+#: :data:`SEPARATOR` as an id.
+_BETWEEN = 0xFFFFFFFF
 #: Fixed value: how this family of vocabularies splits text into pieces.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 #: A coarser split whose chunks contain whole pieces: a word with its space, or white space.
@@ -86,7 +89,9 @@ class Lexicon:
     """A compiled lexicon, memory-mapped from its file."""
 
     def __init__(self, path: str):
-        self.__dict__.update(map_arrays(path))
+        self.__dict__.update((k, np.asarray(a)) for k, a in map_arrays(path).items())
+        starts, ids = (4 * self.starts).tolist(), self.ids.astype("<u4").tobytes()
+        self.outputs = [ids[a:b] for a, b in pairwise(starts)]  # by word number
 
     def find(self, words: list[bytes]) -> list[bytes | None]:
         """Ids (little-endian 32-bit) of each word, None where it is not in the
@@ -111,8 +116,8 @@ class Lexicon:
             ends = alive[done]
             ok[ends] = self.final[state[ends]] == 1
             alive = alive[~done]
-        starts, ids = self.starts, self.ids
-        return [ids[starts[k]:starts[k + 1]].tobytes() if y else None for k, y in zip(number.tolist(), ok.tolist(), strict=True)]
+        outputs = self.outputs
+        return [outputs[k] if y else None for k, y in zip(number.tolist(), ok.tolist(), strict=True)]
 
 
 def _is_utf8(raw: bytes) -> bool:
@@ -139,7 +144,9 @@ class Encoder:
         self.cache: dict = {}  # chunk -> its ids, little-endian 32-bit
         self.written: dict = {}  # chunk -> its ids in decimal
         self.decoded: dict = {}  # chunk -> its ids decoded
-        self.decimal = {i: b"%d" % i for i in self.vocab.bytes}
+        # what stands between two chunks is a line feed in decimal, and decoded a byte that no text has
+        self.decimal = {i: b"%d" % i for i in self.vocab.bytes} | {_BETWEEN: b"\n"}
+        self.spelled = self.vocab.bytes | {_BETWEEN: b"\xff"}
 
     def _learn(self, chunks: set[str]) -> None:
         words = [c for c in chunks if c[-1] not in self.spaces]
@@ -148,9 +155,11 @@ class Encoder:
         new = list(set(found).union(blank).difference("\n"))
         new.append("\n")
         raw = [p.encode() for p in new]
-        ids = dict(zip(new, self.lexicon.find(raw) if self.lexicon else [None] * len(new), strict=True))
-        unseen = [p for p, f in ids.items() if f is None]
-        ids.update(zip(unseen, self.vocab.merge_many([p.encode() for p in unseen]), strict=True))
+        out = self.lexicon.find(raw) if self.lexicon else [None] * len(new)
+        unseen = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(unseen, self.vocab.merge_many([raw[k] for k in unseen]), strict=True):
+            out[k] = x
+        ids = dict(zip(new, out, strict=True))
         self.cache.update((c, ids[c]) for c in blank)
         ids["\n"] = SEPARATOR
         if words:
@@ -168,12 +177,19 @@ class Encoder:
                 out.extend(self.chunks_of(part))
         return out
 
-    def _learned(self, texts: list[str | None]) -> Iterator[list]:
-        """Chunks of each text, all of them in the cache."""
+    def _write(self, chunks: list) -> None:
+        """The ids of chunks of the cache in decimal and decoded, all chunks' in a row."""
+        ids = np.frombuffer(SEPARATOR.join(map(self.cache.__getitem__, chunks)), "<u4").tolist()
+        self.written.update(zip(chunks, b",".join(map(self.decimal.__getitem__, ids)).split(b",\n,"), strict=True))
+        self.decoded.update(zip(chunks, b"".join(map(self.spelled.__getitem__, ids)).split(b"\xff"), strict=True))
+
+    def _learned(self, texts: list[str | None], write: bool = False) -> Iterator[list]:
+        """Chunks of each text, all of them in the cache; with ``write`` also written out and decoded."""
+        known = self.decoded if write else self.cache
         for at in range(0, len(texts), 500):
             parts = [self._chunks(t or "") for t in texts[at:at + 500]]
             need = set().union(*parts)
-            new = need.difference(self.cache)
+            new = need.difference(known)
             if len(self.cache) + len(new) > CACHE_CHUNKS:
                 self.cache.clear()
                 self.written.clear()
@@ -182,6 +198,8 @@ class Encoder:
             if new:
                 self._learn({c for c in new if type(c) is str})
                 self.cache.update((c, c) for c in new if type(c) is bytes)
+                if write:
+                    self._write(list(new))
             yield from parts
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -194,16 +212,10 @@ class Encoder:
         """(number of ids, SHA-256 of the ids in decimal joined by commas,
         SHA-256 of the decoded ids) per text. Each chunk's ids are written out
         and decoded once; a text's are theirs in a row."""
-        written, decoded, bytes_of, decimal = self.written, self.decoded, self.vocab.bytes.__getitem__, self.decimal.__getitem__
-        for p in self._learned(texts):
-            try:
-                ids = b",".join(map(written.__getitem__, p))
-            except KeyError:  # chunks that came into the cache since
-                for c in set(p).difference(written):
-                    found = np.frombuffer(self.cache[c], "<u4").tolist()
-                    written[c], decoded[c] = b",".join(map(decimal, found)), b"".join(map(bytes_of, found))
-                ids = b",".join(map(written.__getitem__, p))
-            raw = b"".join(map(decoded.__getitem__, p))
+        written, decoded = self.written.__getitem__, self.decoded.__getitem__
+        for p in self._learned(texts, write=True):
+            ids = b",".join(map(written, p))
+            raw = b"".join(map(decoded, p))
             text = raw if _is_utf8(raw) else raw.decode("utf-8", "replace").encode()
             yield (ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest())
 

@@ -1,5 +1,6 @@
 """Each method against a brute-force version, an exact round trip or held-out figures."""
 
+import hashlib
 import itertools
 import math
 import zlib
@@ -273,6 +274,29 @@ def test_bpe_equals_the_library(text):
     assert enc.decode(ids) == tok.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_digests_write_new_chunks_at_once(monkeypatch):
+    """Digests equal the library's, whatever the cache holds, and new chunks are written out once a block."""
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(bpe.vocabulary_path())
+    mark = next(iter(tok.get_added_tokens_decoder().values())).content
+    texts = [None, "", "  \n\n ", "a b a", f"x{mark}{mark} y{mark}", "naïve café, don't\t\x85 \u3000z", "\x00\xff\U0001f600"]
+    texts += [f"word{i} {i * 7919} ,;{i}" for i in range(1500)]
+    want = []
+    for t in texts:
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        want.append((len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), tok.decode(ids, skip_special_tokens=False)))))
+    blocks, write = [], bpe.Encoder._write
+    monkeypatch.setattr(bpe.Encoder, "_write", lambda self, chunks: blocks.append(len(chunks)) or write(self, chunks))
+    for most in (300_000, 700):
+        monkeypatch.setattr(bpe, "CACHE_CHUNKS", most)
+        enc = bpe.Encoder(bpe.vocabulary_path())
+        list(enc.encode(texts[:700]))  # chunks that are known, but not yet written out
+        assert not blocks
+        assert list(enc.digests(texts)) == want and list(enc.digests(texts[:5])) == want[:5]
+        assert 4 <= len(blocks) <= 5 and max(blocks) > 1000
+        blocks.clear()
+
+
 _CACHE = {}
 
 
