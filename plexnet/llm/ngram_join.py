@@ -23,6 +23,7 @@ the root of its group, once per node. Classes are the connected components.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexnet.llm.common import components, id_filter, materialize, maybe_in, read_table
+from plexnet.llm.common import components, discard, id_filter, materialize, maybe_in, read_table
 from plexnet.shipping import ensure_importable
 
 WORDS, THRESHOLD, TARGET = 5, 0.8, 0.9999
@@ -293,7 +294,7 @@ def _verify_task(depth: int, threshold: float):
             if cut == 0:
                 continue
             new = _pairs_of(key, held, cut, depth)
-            sets = [shingles(h[3], hashes) for h in held]
+            sets = [shingles(zlib.decompress(h[3]), hashes) for h in held]
             left, right = (sets, sets) if cut is None else (sets[:cut], sets[cut:])
             nodes, sizes = [h[1] for h in held], np.array([len(x) for x in right], np.float64)
             for lo in range(0, len(left), ROWS_AT_ONCE):  # of the left block, against the whole right one
@@ -313,11 +314,14 @@ def _verify_task(depth: int, threshold: float):
 
 
 def _texts_task(shared):
-    """Texts of the rows that the filter lets pass."""
+    """Texts of the rows that the filter lets pass, packed (they are shuffled
+    twice, the second time once a bucket)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                yield b.filter(pa.array(maybe_in(shared.value, b.column(0).to_numpy())))
+                b = b.filter(pa.array(maybe_in(shared.value, b.column(0).to_numpy())))
+                packed = [zlib.compress(t.as_buffer()) if t.is_valid else None for t in b.column(1).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["row", "packed"])
     return run
 
 
@@ -343,10 +347,12 @@ def _round(spark: SparkSession, rows: DataFrame, nodes: DataFrame, depth: int, t
     active = materialize(spark, together(dealt).mapInArrow(
         _active_task(depth), "tree int, key bigint, i int, j int, side int, node bigint, sig binary"), "active")
     wanted = spark.sparkContext.broadcast(id_filter(active.select("node")))
-    texts = rows.select("row", "text").mapInArrow(_texts_task(wanted), "row bigint, text string").withColumnRenamed("row", "node")
-    both = active.join(texts, "node").select(*bucket, "side", "node", "sig", "text")
-    return materialize(spark, together(both).mapInArrow(
+    texts = rows.select("row", "text").mapInArrow(_texts_task(wanted), "row bigint, packed binary").withColumnRenamed("row", "node")
+    both = active.join(texts, "node").select(*bucket, "side", "node", "sig", "packed")
+    links = materialize(spark, together(both).mapInArrow(
         _verify_task(depth, threshold), "node bigint, root bigint, n bigint, step int"), "links")
+    discard(crowded, active)
+    return links
 
 
 def link(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> tuple[DataFrame, float]:
@@ -364,6 +370,8 @@ def link(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, tar
     labels = materialize(spark, rows.mapInArrow(_label_task, "row bigint, doc_id bigint, set binary, size bigint, sig binary"), "labels")
     nodes = materialize(spark, labels.where("set IS NOT NULL").groupBy("set").agg(
         F.min("row").alias("node"), F.first("size").alias("size"), F.first("sig", ignorenulls=True).alias("sig")), "nodes")
+    members = materialize(spark, labels.select("row", "doc_id", "set").join(nodes.select("set", "node"), "set", "left").select("row", "doc_id", "node"), "rows")
+    discard(labels)
     found, recall = None, 1.0
     for depth in range(DEPTH, 0, -1):
         links = _round(spark, rows, nodes, depth, threshold)
@@ -372,7 +380,7 @@ def link(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, tar
             recall = estimated_recall({r.step: r.n for r in found.where("step IS NOT NULL").groupBy("step").agg(F.sum("n").alias("n")).collect()}, depth, threshold)
         if recall >= target:
             break
-    members = labels.select("row", "doc_id", "set").join(nodes.select("set", "node"), "set", "left").select("row", "doc_id", "node")
+    discard(nodes)
     if found is None:
         return materialize(spark, members.select("*", F.col("node").alias("comp"), F.lit(0).cast("bigint").alias("n_links")), "members"), recall
     linked = found.where("node IS NOT NULL")

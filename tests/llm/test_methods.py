@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -244,6 +245,30 @@ def test_paths_are_shortened_until_the_target(spark, monkeypatch):
     assert members.where("n_links > 0").count() > 100
 
 
+def test_ngram_join_stores_no_more_than_it_still_reads(spark, monkeypatch):
+    """Tables of signatures are deleted once read; texts are packed before they are shuffled."""
+    stored, packed, store, task = defaultdict(list), [], ngram_join.materialize, ngram_join._texts_task
+
+    def spy(s, df, name):
+        out = store(s, df, name)
+        stored[name].append(out.scratch)
+        return out
+    monkeypatch.setattr(ngram_join, "materialize", spy)
+    path = scratch_path(spark, "stored-test")
+    texts = _near_texts(np.random.default_rng(9), 8)
+    spark.createDataFrame([*enumerate(texts), (900, None), (901, texts[0]), (None, " ")], "doc_id bigint, text string").write.parquet(path)
+    members, _ = ngram_join.link(spark, spark.read.parquet(path))
+    for name in ("labels", "nodes", "buckets", "active"):
+        assert stored[name] and not any(map(os.path.exists, stored[name])), name
+    assert members.count() == len(texts) + 3 and members.where("n_links > 0").count() > 40
+    shared = type("Shared", (), {"value": b"\xff" * (common.FILTER_BITS // 8)})
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2, 3], pa.int64()), pa.array([texts[0] * 3, None, "é"])], ["row", "text"])
+    for b in task(shared)(iter([rows])):
+        packed.extend(b.column(1).to_pylist())
+    assert [x and zlib.decompress(x).decode() for x in packed] == [texts[0] * 3, None, "é"]
+    assert 2 * len(packed[0]) < len(texts[0] * 3)
+
+
 WORDS = st.lists(st.binary(min_size=1, max_size=6), max_size=60)
 
 
