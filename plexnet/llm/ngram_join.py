@@ -106,18 +106,24 @@ def estimated_recall(counts: dict[int, int], depth: int, threshold: float = THRE
     return float(n.sum() / (n / meets(s, depth)).sum())
 
 
+def marks(shorter: np.ndarray, longer: np.ndarray | None, tree: int) -> np.ndarray:
+    """What tells the new pairs of a bucket of tree ``tree``: the paths of a node
+    in the earlier trees, and its ``longer`` ones in this and the later trees."""
+    return shorter[..., :tree] if longer is None else np.concatenate([shorter[..., :tree], longer[..., tree:]], -1)
+
+
+def unlike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The pairs of nodes that have no mark in common."""
+    new = np.ones((len(left), len(right)), bool)
+    for k in range(left.shape[1]):
+        new &= left[:, k, None] != right[None, :, k]
+    return new
+
+
 def new_pairs(left: np.ndarray, right: np.ndarray, tree: int, depth: int) -> np.ndarray:
     """For signatures that share tree ``tree``'s path: the pairs that no earlier
     tree and no longer path has brought together."""
-    a, b = paths(left, depth), paths(right, depth)
-    new = np.ones((len(left), len(right)), bool)
-    for t in range(tree):
-        new &= a[:, t, None] != b[None, :, t]
-    if depth < DEPTH:
-        a, b = paths(left, depth + 1), paths(right, depth + 1)
-        for t in range(tree, TREES):  # those of earlier trees are gone
-            new &= a[:, t, None] != b[None, :, t]
-    return new
+    return unlike(*(marks(paths(x, depth), paths(x, depth + 1) if depth < DEPTH else None, tree) for x in (left, right)))
 
 
 def _label_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,14 +163,16 @@ def _count_task(depth: int):
 
 
 def _members_task(depth: int, shared):
-    """The nodes' paths that the filter of crowded buckets lets pass, with the signature."""
+    """The nodes' paths that the filter of crowded buckets lets pass, with their marks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = paths(_signatures(b.column(1)), depth).ravel().view(np.int64)
+            sigs = _signatures(b.column(1))
+            shorter, longer = paths(sigs, depth), paths(sigs, depth + 1) if depth < DEPTH else None
+            keys = shorter.ravel().view(np.int64)
             at = np.flatnonzero(maybe_in(shared.value, keys))
-            row = pa.array(at // TREES)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array((at % TREES).astype(np.int32)), b.column(0).take(row), b.column(1).take(row)],
-                                             ["key", "tree", "node", "sig"])
+            told = [marks(shorter[r], None if longer is None else longer[r], t).tobytes() for r, t in zip((at // TREES).tolist(), (at % TREES).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array((at % TREES).astype(np.int32)), b.column(0).take(pa.array(at // TREES)), pa.array(told, pa.binary())],
+                                             ["key", "tree", "node", "marks"])
     return run
 
 
@@ -188,14 +196,14 @@ def _sides(held: list[tuple]) -> int | None:
     return n if n < len(held) else None
 
 
-def _pairs_of(key: tuple, held: list[tuple], cut: int | None, depth: int) -> np.ndarray:
-    sigs = _signatures([h[2] for h in held])
+def _pairs_of(held: list[tuple], cut: int | None) -> np.ndarray:
+    told = np.frombuffer(b"".join(h[2] for h in held), np.uint64).reshape(len(held), -1)
     if cut is None:
-        return np.triu(new_pairs(sigs, sigs, key[0], depth), 1)
-    return new_pairs(sigs[:cut], sigs[cut:], key[0], depth)
+        return np.triu(unlike(told, told), 1)
+    return unlike(told[:cut], told[cut:])
 
 
-def _active_task(depth: int):
+def _active_task():
     """The rows of a bucket that have a new pair there."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -204,12 +212,12 @@ def _active_task(depth: int):
             cols = list(zip(*out, strict=True)) or [()] * 7
             out.clear()
             kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["tree", "key", "i", "j", "side", "node", "sig"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["tree", "key", "i", "j", "side", "node", "marks"])
         for key, held in _groups(batches):
             cut = _sides(held)
             if cut == 0:
                 continue
-            new = _pairs_of(key, held, cut, depth)
+            new = _pairs_of(held, cut)
             on = new.any(1) | new.any(0) if cut is None else np.concatenate([new.any(1), new.any(0)])
             out.extend((*key, *held[k][:3]) for k in np.flatnonzero(on).tolist())
             if len(out) > 50_000:
@@ -285,7 +293,7 @@ class _Found:
         return out
 
 
-def _verify_task(depth: int, threshold: float):
+def _verify_task(threshold: float):
     """Exact similarities of the new pairs of each bucket (or pair of its blocks)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, found = _Hashes(), _Found()
@@ -293,7 +301,7 @@ def _verify_task(depth: int, threshold: float):
             cut = _sides(held)
             if cut == 0:
                 continue
-            new = _pairs_of(key, held, cut, depth)
+            new = _pairs_of(held, cut)
             sets = [shingles(zlib.decompress(h[3]), hashes) for h in held]
             left, right = (sets, sets) if cut is None else (sets[:cut], sets[cut:])
             nodes, sizes = [h[1] for h in held], np.array([len(x) for x in right], np.float64)
@@ -334,23 +342,23 @@ def _round(spark: SparkSession, rows: DataFrame, nodes: DataFrame, depth: int, t
     if crowded.isEmpty():
         return None
     shared = spark.sparkContext.broadcast(id_filter(crowded.select("key")))
-    members = nodes.select("node", "sig").mapInArrow(_members_task(depth, shared), "key bigint, tree int, node bigint, sig binary")
+    members = nodes.select("node", "sig").mapInArrow(_members_task(depth, shared), "key bigint, tree int, node bigint, marks binary")
     large = crowded.where("parts > 1")  # the other buckets are one block each
     dealt = members.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = dealt.select("tree", "key", "node", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
-    dealt = dealt.select("tree", "key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).cast("int").alias("side"), "node", "sig")
+    dealt = dealt.select("tree", "key", "node", "marks", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+    dealt = dealt.select("tree", "key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).cast("int").alias("side"), "node", "marks")
     bucket = ["tree", "key", "i", "j"]
 
     def together(rows_: DataFrame) -> DataFrame:
         return rows_.repartition(*bucket).sortWithinPartitions(*bucket, "side", "node")
     active = materialize(spark, together(dealt).mapInArrow(
-        _active_task(depth), "tree int, key bigint, i int, j int, side int, node bigint, sig binary"), "active")
+        _active_task(), "tree int, key bigint, i int, j int, side int, node bigint, marks binary"), "active")
     wanted = spark.sparkContext.broadcast(id_filter(active.select("node")))
     texts = rows.select("row", "text").mapInArrow(_texts_task(wanted), "row bigint, packed binary").withColumnRenamed("row", "node")
-    both = active.join(texts, "node").select(*bucket, "side", "node", "sig", "packed")
+    both = active.join(texts, "node").select(*bucket, "side", "node", "marks", "packed")
     links = materialize(spark, together(both).mapInArrow(
-        _verify_task(depth, threshold), "node bigint, root bigint, n bigint, step int"), "links")
+        _verify_task(threshold), "node bigint, root bigint, n bigint, step int"), "links")
     discard(crowded, active)
     return links
 
