@@ -33,11 +33,13 @@ from plexnet.shipping import ensure_importable
 LEXICON_WORDS = 40_000
 #: Chunks kept in a worker's cache before it starts anew (bounds its memory).
 CACHE_CHUNKS = 300_000
+#: Characters at which a block of texts ends (bounds its arrays).
+BLOCK_CHARS = 4_000_000
 
-#: :data:`SEPARATOR` as an id.
-_BETWEEN = 0xFFFFFFFF
 #: Fixed value: how this family of vocabularies splits text into pieces.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
+#: The same for bytes that are all ASCII.
+_PLAIN_PIECES = rb"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 #: A coarser split whose chunks contain whole pieces: a word with its space, or white space.
 _CHUNKS = rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 
@@ -120,6 +122,31 @@ class Lexicon:
         return [outputs[k] if y else None for k, y in zip(number.tolist(), ok.tolist(), strict=True)]
 
 
+def _blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in blocks of 500, or fewer once they have BLOCK_CHARS characters."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t or "")
+        if len(held) == 500 or size >= BLOCK_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _in_a_row(values: pa.Array, indices: pa.Array | np.ndarray) -> tuple[np.ndarray, memoryview]:
+    """The places (one more than indices) and the bytes of ``values`` at
+    ``indices``, all in a row; an index without a value raises KeyError."""
+    taken = values.take(pa.array(indices))
+    if taken.null_count:
+        raise KeyError("an id outside the vocabulary")
+    if not len(taken):
+        return np.zeros(1, np.int64), memoryview(b"")
+    _, at, raw = taken.buffers()
+    return np.frombuffer(at, np.int64, len(taken) + 1), memoryview(raw or b"")
+
+
 def _is_utf8(raw: bytes) -> bool:
     try:
         raw.decode()
@@ -129,7 +156,9 @@ def _is_utf8(raw: bytes) -> bool:
 
 
 class Encoder:
-    """Encodes and decodes whole texts with a lexicon and a vocabulary."""
+    """Encodes and decodes whole texts with a lexicon and a vocabulary. A
+    block's texts are cut into chunks by the classes of their bytes; what is
+    done per chunk in Python is done once per distinct chunk of a block."""
 
     def __init__(self, vocab_path: str, lexicon_path: str | None = None):
         import re
@@ -138,86 +167,120 @@ class Encoder:
         self.vocab = MergeTable(vocab_path)
         self.lexicon = Lexicon(lexicon_path) if lexicon_path else None
         self.chunks_of, self.pieces_of = re.compile(_CHUNKS).findall, regex.compile(PIECES).findall
+        self.plain_pieces_of = re.compile(_PLAIN_PIECES).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.vocab.special, key=len, reverse=True))) + ")").split
         self.marks = list(self.vocab.special)
-        self.spaces = frozenset(re.findall(f"[{WHITE}]", "".join(map(chr, range(0x3001)))))
-        self.cache: dict = {}  # chunk -> its ids, little-endian 32-bit
-        self.written: dict = {}  # chunk -> its ids in decimal
-        self.decoded: dict = {}  # chunk -> its ids decoded
-        # what stands between two chunks is a line feed in decimal, and decoded a byte that no text has
-        self.decimal = {i: b"%d" % i for i in self.vocab.bytes} | {_BETWEEN: b"\n"}
-        self.spelled = self.vocab.bytes | {_BETWEEN: b"\xff"}
-
-    def _learn(self, chunks: set[str]) -> None:
-        words = [c for c in chunks if c[-1] not in self.spaces]
-        found = self.pieces_of("\n".join(words))  # all pieces in a row, a newline after each chunk's
-        blank = [c for c in chunks if c[-1] in self.spaces]  # a run of white space is one piece
-        new = list(set(found).union(blank).difference("\n"))
-        new.append("\n")
-        raw = [p.encode() for p in new]
-        out = self.lexicon.find(raw) if self.lexicon else [None] * len(new)
+        spaces = re.findall(f"[{WHITE}]", "".join(map(chr, range(0x3001))))
+        self.odd_space = re.compile("[" + "".join(c for c in spaces if not c.isascii()) + "]").search
+        self.blank = tuple(c.encode() for c in spaces)
+        self.white = np.zeros(256, bool)
+        self.white[[ord(c) for c in spaces if c.isascii()]] = True
+        self.cache: dict[bytes, bytes] = {}  # chunk -> its ids, little-endian 32-bit
+        self.pieces: dict[bytes, bytes] = {}  # the same for pieces
+        ids = range(max(self.vocab.bytes) + 1)
+        self.decimal = pa.array([b"%d," % i for i in ids], pa.large_binary())
+        self.spelled = pa.array([self.vocab.bytes.get(i) for i in ids], pa.large_binary())
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        plain, other, blank = [], [], []
+        for c in chunks:
+            if c.isascii():
+                (blank if self.white[c[-1]] else plain).append(c)
+            else:
+                (blank if c.endswith(self.blank) else other).append(c)
+        # all pieces in a row, a newline after each chunk's; a run of white space is one piece
+        found = self.plain_pieces_of(b"\n".join([*plain, b""]))
+        found.extend(p.encode() for p in self.pieces_of(b"\n".join([*other, b""]).decode()))
+        new = set(found).difference(self.pieces, (b"\n",))
+        if len(self.pieces) + len(new) > CACHE_CHUNKS:
+            self.pieces.clear()
+            new = set(found).difference((b"\n",))
+        raw = [*new, *blank]
+        out = self.lexicon.find(raw) if self.lexicon else [None] * len(raw)
         unseen = [k for k, x in enumerate(out) if x is None]
         for k, x in zip(unseen, self.vocab.merge_many([raw[k] for k in unseen]), strict=True):
             out[k] = x
-        ids = dict(zip(new, out, strict=True))
-        self.cache.update((c, ids[c]) for c in blank)
-        ids["\n"] = SEPARATOR
-        if words:
-            self.cache.update(zip(words, b"".join(map(ids.__getitem__, found)).split(SEPARATOR), strict=True))
-
-    def _chunks(self, text: str) -> list:
-        """Chunks of the text; ids (bytes) of the special tokens it spells out."""
-        if not any(m in text for m in self.marks):
-            return self.chunks_of(text)
-        out: list = []
-        for i, part in enumerate(self.split(text)):
-            if i % 2:
-                out.append(np.array([self.vocab.special[part]], "<u4").tobytes())
+        self.pieces.update(zip(raw[:len(new)], out, strict=False))
+        self.pieces[b"\n"] = SEPARATOR
+        self.cache.update(zip(blank, out[len(new):], strict=True))
+        self.cache.update(zip([*plain, *other], b"".join(map(self.pieces.__getitem__, found)).split(SEPARATOR), strict=False))
+
+    def _odd_chunks(self, text: str) -> list[str]:
+        """Chunks of a text, special tokens that it spells out among them."""
+        return [c for i, part in enumerate(self.split(text)) for c in ([part] if i % 2 else self.chunks_of(part))]
+
+    def _chunks(self, texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+        """The chunks of all texts in a row, and their number up to the end of each text."""
+        parts: list[bytes] = []
+        units: list[int] = []  # parts up to the end of each text
+        whole: list[int] = []  # parts that are one chunk
+        for t in texts:
+            t = t or ""
+            if any(m in t for m in self.marks) or not t.isascii() and self.odd_space(t):
+                odd = self._odd_chunks(t)
+                whole.extend(range(len(parts), len(parts) + len(odd)))
+                parts.extend(c.encode() for c in odd)
             else:
-                out.extend(self.chunks_of(part))
-        return out
-
-    def _write(self, chunks: list) -> None:
-        """The ids of chunks of the cache in decimal and decoded, all chunks' in a row."""
-        ids = np.frombuffer(SEPARATOR.join(map(self.cache.__getitem__, chunks)), "<u4").tolist()
-        self.written.update(zip(chunks, b",".join(map(self.decimal.__getitem__, ids)).split(b",\n,"), strict=True))
-        self.decoded.update(zip(chunks, b"".join(map(self.spelled.__getitem__, ids)).split(b"\xff"), strict=True))
-
-    def _learned(self, texts: list[str | None], write: bool = False) -> Iterator[list]:
-        """Chunks of each text, all of them in the cache; with ``write`` also written out and decoded."""
-        known = self.decoded if write else self.cache
-        for at in range(0, len(texts), 500):
-            parts = [self._chunks(t or "") for t in texts[at:at + 500]]
-            need = set().union(*parts)
-            new = need.difference(known)
+                parts.append(t.encode())
+            units.append(len(parts))
+        raw = b"".join(parts)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        ends = np.cumsum(sizes)
+        byte = np.frombuffer(raw, np.uint8)
+        white = self.white[byte]
+        cut = white.copy()  # the last of a run, which stands before a word
+        cut[:-1] &= ~white[1:]
+        cut[ends[sizes > 0] - 1] = False
+        # a run begins, or a word that no space stands before
+        cut[1:] |= (white[1:] != white[:-1]) & (white[1:] | (byte[:-1] != 32))
+        if whole:
+            one = np.zeros(len(parts), bool)
+            one[whole] = True
+            cut[np.repeat(one, sizes)] = False
+        cut[(ends - sizes)[sizes > 0]] = True
+        first = np.flatnonzero(cut)
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(np.append(first, len(raw))), pa.py_buffer(raw)])
+        return chunks, np.searchsorted(first, np.append(0, ends)[units])
+
+    def _encoded(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[int]]]:
+        """Per block of texts: the ids of all of them in a row, and their number up to the end of each text."""
+        for block in _blocks(texts):
+            chunks, ends = self._chunks(block)
+            coded = chunks.dictionary_encode()
+            need = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            found = list(map(self.cache.get, need))
+            new = [c for c, x in zip(need, found, strict=True) if x is None]
             if len(self.cache) + len(new) > CACHE_CHUNKS:
                 self.cache.clear()
-                self.written.clear()
-                self.decoded.clear()
                 new = need
             if new:
-                self._learn({c for c in new if type(c) is str})
-                self.cache.update((c, c) for c in new if type(c) is bytes)
-                if write:
-                    self._write(list(new))
-            yield from parts
+                self.cache.update((m.encode(), np.array([i], "<u4").tobytes()) for m, i in self.vocab.special.items())
+                self._learn([c for c in new if c not in self.cache])
+                found = [x or self.cache[c] for c, x in zip(need, found, strict=True)]
+            at, ids = _in_a_row(pa.array(found, pa.large_binary()), coded.indices)
+            yield np.frombuffer(ids, "<u4", at[-1] // 4), (at[ends] // 4).tolist()
+
+    def _write(self, ids: np.ndarray) -> tuple[tuple[np.ndarray, memoryview], tuple[np.ndarray, memoryview]]:
+        """A block's ids in decimal, a comma after each, and decoded; with the place of each."""
+        return _in_a_row(self.decimal, ids), _in_a_row(self.spelled, ids)
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text, as the tokenizers library gives them without
         added special tokens (null as empty)."""
-        for p in self._learned(texts):
-            yield np.frombuffer(b"".join(map(self.cache.__getitem__, p)), "<u4")
+        for ids, ends in self._encoded(texts):
+            for a, b in pairwise([0, *ends]):
+                yield ids[a:b]
 
     def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """(number of ids, SHA-256 of the ids in decimal joined by commas,
-        SHA-256 of the decoded ids) per text. Each chunk's ids are written out
-        and decoded once; a text's are theirs in a row."""
-        written, decoded = self.written.__getitem__, self.decoded.__getitem__
-        for p in self._learned(texts, write=True):
-            ids = b",".join(map(written, p))
-            raw = b"".join(map(decoded, p))
-            text = raw if _is_utf8(raw) else raw.decode("utf-8", "replace").encode()
-            yield (ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest())
+        SHA-256 of the decoded ids) per text."""
+        for ids, ends in self._encoded(texts):
+            (at, written), (to, decoded) = self._write(ids)
+            ends = [0, *ends]
+            for (a, b), (i, j), (k, m) in zip(pairwise(ends), pairwise(at[ends].tolist()), pairwise(to[ends].tolist()), strict=True):
+                raw = bytes(decoded[k:m])
+                text = raw if _is_utf8(raw) else raw.decode("utf-8", "replace").encode()
+                yield b - a, hashlib.sha256(written[i:max(i, j - 1)]).hexdigest(), hashlib.sha256(text).hexdigest()
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids, special tokens included; ids outside the

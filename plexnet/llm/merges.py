@@ -11,6 +11,7 @@ import numpy as np
 #: Fixed value: white space in such vocabularies' patterns, as the inside of a character class.
 WHITE = r"\t-\r \x85\xa0  -     　"
 _NONE = np.int32(2**31 - 1)
+_FREE = np.int64(-(2**63))  # a place without a pair
 _LONG = 64  # longer pieces are merged one by one
 #: Stands between the ids of two chunks; no id below 2**24 has a byte pattern that forms it.
 SEPARATOR = b"\xff\xff\xff\xff"
@@ -49,21 +50,44 @@ class MergeTable:
             pairs.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
         #: (left id, right id) -> (rank, merged id)
         self.pairs = pairs
-        keys = np.array([a << 32 | b for a, b in pairs], np.int64)
-        order = np.argsort(keys)
-        self._keys = keys[order]
-        self._ranks = np.array([r for r, _ in pairs.values()], np.int32)[order]
         self._merged = np.zeros(max((r for r, _ in pairs.values()), default=0) + 1, np.int32)
         for r, new in pairs.values():
             self._merged[r] = new
+        keys = np.array([a << 32 | b for a, b in pairs], np.int64)
+        # hashed places of the pairs, at most a quarter of them taken; a taken one passes on to the next
+        self._shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        self._keys = np.full((1 << (64 - int(self._shift))) + len(keys) + 1, _FREE)
+        self._ranks = np.full(len(self._keys), _NONE)
+        ranks = np.array([r for r, _ in pairs.values()], np.int32)
+        at = self._place(keys)
+        while len(keys):
+            at += self._keys[at] != _FREE
+            free = np.flatnonzero(self._keys[at] == _FREE)
+            self._keys[at[free]] = keys[free]  # of several keys at a place one stays
+            stays = self._keys[at] == keys
+            self._ranks[at[stays]] = ranks[stays]
+            keys, ranks, at = keys[~stays], ranks[~stays], at[~stays]
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Ranks of the pairs (a, b); _NONE where a pair does not merge."""
+        """Ranks of the pairs (a, b); _NONE where a pair does not merge (-1
+        stands for no neighbour and is in no pair)."""
         key = a.astype(np.int64) << 32 | b
-        if not len(self._keys):
-            return np.full(key.shape, _NONE)
-        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-        return np.where((self._keys[at] == key) & (a >= 0) & (b >= 0), self._ranks[at], _NONE)
+        at = self._place(key)
+        held = self._keys[at]
+        out = np.where(held == key, self._ranks[at], _NONE)
+        left = np.flatnonzero((held != key) & (held != _FREE))
+        key, at = key[left], at[left]
+        while len(left):
+            at += 1
+            held = self._keys[at]
+            hit = held == key
+            out[left[hit]] = self._ranks[at[hit]]
+            on = ~hit & (held != _FREE)
+            left, key, at = left[on], key[on], at[on]
+        return out
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece: the adjacent pair of lowest rank merges first, of
@@ -98,8 +122,8 @@ class MergeTable:
         low = 0
         for high in (6, 12, 24, _LONG):
             rows = np.flatnonzero((sizes > low) & (sizes <= high))
-            for at in range(0, len(rows), 50_000):
-                self._merge_rows(rows[at:at + 50_000], sizes, pieces, high, out)
+            for at in range(0, len(rows), 20_000):
+                self._merge_rows(rows[at:at + 20_000], sizes, pieces, high, out)
             low = high
         for i in np.flatnonzero(sizes > _LONG).tolist():
             out[i] = np.array(self.merge(pieces[i]), "<u4").tobytes()
@@ -108,32 +132,32 @@ class MergeTable:
     def _merge_rows(self, rows: np.ndarray, sizes: np.ndarray, pieces: list[bytes], width: int, out: list[bytes]) -> None:
         raw = np.frombuffer(b"".join(pieces[i].ljust(width, b"\0") for i in rows.tolist()), np.uint8).reshape(len(rows), width)
         n = sizes[rows]
-        ids = np.where(np.arange(width) < n[:, None], self.first[raw], -1).astype(np.int32)
-        line = np.arange(len(rows))
-        ids[line, n - 1] = self.last[raw[line, n - 1]]
-        ids = np.hstack([ids, np.full((len(rows), 1), -1, np.int32)])  # column of absent neighbours
-        ranks = self._rank(ids[:, :-1], ids[:, 1:])
-        cols = np.arange(width + 1)
-        while len(rows):
-            line = np.arange(len(rows))
-            j = ranks.argmin(1)
-            best = ranks[line, j]
+        line, wide = np.arange(len(rows)), width + 1
+        table = np.full((len(rows), wide), -1, np.int32)  # the last column stays absent: what is before and after a row
+        table[:, :-1] = np.where(np.arange(width) < n[:, None], self.first[raw], -1)
+        table[line, n - 1] = self.last[raw[line, n - 1]]
+        ids = table.ravel()
+        ranks = np.full(ids.shape, _NONE)
+        pairs = np.flatnonzero(ids[1:] >= 0)
+        ranks[pairs] = self._rank(ids[pairs], ids[pairs + 1])
+        # symbols form linked lists, so a merge moves nothing
+        after, before = np.arange(1, len(ids) + 1), np.arange(-1, len(ids) - 1)
+        by_row = ranks.reshape(table.shape)
+        while len(line):
+            near = by_row[line]
+            j = near.argmin(1)
+            best = near[np.arange(len(line)), j]
             go = best < _NONE
             if not go.all():
-                done = ids[~go].astype("<u4").tobytes()  # all finished rows at once, then a slice of it each
-                for i, k, at in zip(rows[~go].tolist(), n[~go].tolist(), range(0, len(done), 4 * (width + 1)), strict=True):
-                    out[i] = done[at:at + 4 * k]
-                rows, ids, ranks, n, j, best = rows[go], ids[go], ranks[go], n[go], j[go], best[go]
-                line = np.arange(len(rows))
-                if not len(rows):
-                    return
-            ids[line, j] = self._merged[best]
-            shift = np.minimum(cols + (cols > j[:, None]), width)  # without the column after the pair's first
-            ids = np.take_along_axis(ids, shift, 1)
-            ids[:, -1] = -1
-            n = n - 1
-            ranks = np.take_along_axis(ranks, np.minimum(cols[:-1] + (cols[:-1] > j[:, None]), width - 1), 1)
-            ranks[:, -1] = _NONE
-            ranks[line, j] = self._rank(ids[line, j], ids[line, j + 1])
-            left = j > 0
-            ranks[line[left], j[left] - 1] = self._rank(ids[line[left], j[left] - 1], ids[line[left], j[left]])
+                line, j, best = line[go], j[go], best[go]
+            i = line * wide + j
+            gone = after[i]
+            right, left, new = after[gone], before[i], self._merged[best]
+            ids[i], ids[gone], ranks[gone] = new, -1, _NONE
+            after[i], before[right] = right, i
+            ranks[i] = self._rank(new, ids[right])
+            ranks[left] = self._rank(ids[left], new)
+        stay = table >= 0
+        done, ends = ids[stay.ravel()].astype("<u4").tobytes(), np.cumsum(4 * stay.sum(1)).tolist()
+        for i, a, b in zip(rows.tolist(), [0, *ends], ends, strict=False):
+            out[i] = done[a:b]

@@ -322,6 +322,48 @@ def test_bpe_digests_write_new_chunks_at_once(monkeypatch):
         blocks.clear()
 
 
+def test_bpe_works_once_per_distinct_chunk_and_piece(monkeypatch):
+    """Blocks look up each distinct chunk, not each chunk; a piece is merged once, whatever chunks it is in."""
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(bpe.vocabulary_path())
+    mark = next(iter(tok.get_added_tokens_decoder().values())).content
+    looked, merged = [], []
+
+    class Seen(dict):
+        def __getitem__(self, k):
+            looked.append(k)
+            return super().__getitem__(k)
+
+        def get(self, k, other=None):
+            looked.append(k)
+            return super().get(k, other)
+    enc = bpe.Encoder(bpe.vocabulary_path())
+    for k, v in list(vars(enc).items()):
+        if isinstance(v, dict):
+            setattr(enc, k, Seen(v))
+    many = enc.vocab.merge_many
+    monkeypatch.setattr(enc.vocab, "merge_many", lambda pieces: merged.extend(pieces) or many(pieces))
+    texts = ["some words, in one\n\n  line " * 100] * 500 + ["words in some line, one"] * 500
+    texts += [f"{mark} déjà\u00a0vu{mark}{mark}\u3000 \t\x1c x\u2028y ", " ", None, "", "été\x85"]
+    got = list(enc.digests(texts))
+    for t, (n, a, b) in zip(texts, got, strict=True):
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        assert (n, a) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert b == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert len(looked) < 500 and len(merged) == len(set(merged))
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 2_000)
+    assert list(enc.digests(texts)) == got
+
+
+def test_merge_table_ranks_every_pair():
+    table = bpe.MergeTable(bpe.vocabulary_path())
+    a, b = np.array(list(table.pairs), np.int32).T
+    assert table._rank(a, b).tolist() == [r for r, _ in table.pairs.values()]
+    odd = np.random.default_rng(5).integers(-1, 50_257, (2, 20_000), np.int32)
+    want = [table.pairs.get(p, (2**31 - 1,))[0] for p in zip(*odd.tolist(), strict=True)]
+    assert table._rank(*odd).tolist() == want
+
+
 _CACHE = {}
 
 
