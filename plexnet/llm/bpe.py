@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexnet.llm.common import count_words, discard, least_count, map_arrays, materialize, read_table, save_arrays
-from plexnet.llm.merges import SEPARATOR, WHITE, MergeTable
+from plexnet.llm.merges import SEPARATOR, WHITE, MergeTable, in_a_row
 from plexnet.shipping import ensure_importable
 
 #: The lexicon holds the word pieces of this many most frequent words.
@@ -135,18 +135,6 @@ def _blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
         yield held
 
 
-def _in_a_row(values: pa.Array, indices: pa.Array | np.ndarray) -> tuple[np.ndarray, memoryview]:
-    """The places (one more than indices) and the bytes of ``values`` at
-    ``indices``, all in a row; an index without a value raises KeyError."""
-    taken = values.take(pa.array(indices))
-    if taken.null_count:
-        raise KeyError("an id outside the vocabulary")
-    if not len(taken):
-        return np.zeros(1, np.int64), memoryview(b"")
-    _, at, raw = taken.buffers()
-    return np.frombuffer(at, np.int64, len(taken) + 1), memoryview(raw or b"")
-
-
 def _is_utf8(raw: bytes) -> bool:
     try:
         raw.decode()
@@ -257,12 +245,12 @@ class Encoder:
                 self.cache.update((m.encode(), np.array([i], "<u4").tobytes()) for m, i in self.vocab.special.items())
                 self._learn([c for c in new if c not in self.cache])
                 found = [x or self.cache[c] for c, x in zip(need, found, strict=True)]
-            at, ids = _in_a_row(pa.array(found, pa.large_binary()), coded.indices)
+            at, ids = in_a_row(pa.array(found, pa.large_binary()), coded.indices)
             yield np.frombuffer(ids, "<u4", at[-1] // 4), (at[ends] // 4).tolist()
 
     def _write(self, ids: np.ndarray) -> tuple[tuple[np.ndarray, memoryview], tuple[np.ndarray, memoryview]]:
         """A block's ids in decimal, a comma after each, and decoded; with the place of each."""
-        return _in_a_row(self.decimal, ids), _in_a_row(self.spelled, ids)
+        return in_a_row(self.decimal, ids), in_a_row(self.spelled, ids)
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text, as the tokenizers library gives them without

@@ -7,6 +7,7 @@ import heapq
 import json
 
 import numpy as np
+import pyarrow as pa
 
 #: Fixed value: white space in such vocabularies' patterns, as the inside of a character class.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -29,6 +30,18 @@ def byte_chars() -> list[str]:
     return out
 
 
+def in_a_row(values: pa.Array, indices: pa.Array | np.ndarray) -> tuple[np.ndarray, memoryview]:
+    """The places (one more than indices) and the bytes of ``values`` at
+    ``indices``, all in a row; an index without a value raises KeyError."""
+    taken = values.take(pa.array(indices))
+    if taken.null_count:
+        raise KeyError("an id outside the vocabulary")
+    if not len(taken):
+        return np.zeros(1, np.int64), memoryview(b"")
+    _, at, raw = taken.buffers()
+    return np.frombuffer(at, np.int64, len(taken) + 1), memoryview(raw or b"")
+
+
 class MergeTable:
     """Vocabulary, special tokens and merge ranks. With an end-of-word suffix
     the last byte of a piece starts as the symbol that carries the suffix."""

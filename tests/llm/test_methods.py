@@ -412,6 +412,44 @@ def test_word_ids_equal_the_library_for_any_text(texts):
     assert [a.tolist() for a in ids(texts)] == [ids.tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@given(st.lists(st.lists(st.sampled_from(["'", "'s", "'T", "'rE", "'LL", "'v", "l", "-", "<", "|", "<|", "<|endoftext|>", "a", "Zé", "É", "×", "÷", "İ", "ɏ", "ɐ", "語",
+                                          "7", "٣", "\u0301", "\x00", "\x1c", "\x7f", " ", "\n", "\x85", "\xa0", "\u1680", "\u2009", "\u200b", "\u3000", "\u3001", "\U0001f600"]),
+                         max_size=30).map("".join) | st.none(), max_size=12), st.integers(1, 60))
+@settings(max_examples=300, deadline=None)
+def test_word_ids_equal_the_library_in_blocks(texts, size):
+    import public_tokenizers
+    if "p" not in _CACHE:
+        _CACHE["p"] = packing.WordIds(str(public_tokenizers.path("word_bpe_49k.json")))
+    ids = _CACHE["p"]
+    want = [ids.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(packing, "BLOCK_BYTES", size)
+        m.setattr(packing, "CACHE_BYTES", 20 * size)
+        column = pa.array(["x", *texts], pa.string())[1:]
+        assert [a.tolist() for a in ids(texts)] == [a.tolist() for a in ids(column)] == want
+
+
+def test_word_ids_remember_a_bounded_number_of_bytes():
+    """Growing vocabularies leave a worker small, and a piece is looked up once a block."""
+    import tracemalloc
+
+    import public_tokenizers
+    ids = packing.WordIds(str(public_tokenizers.path("word_bpe_49k.json")))
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rng = np.random.default_rng(5)
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    try:
+        for _ in range(10):
+            words = ["".join(w) for w in letters[rng.integers(0, 26, (20_000, 9))]]
+            for _ in ids([" ".join(words[i:i + 200]) for i in range(0, len(words), 200)]):
+                pass
+        held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    finally:
+        tracemalloc.stop()
+    assert held < 32e6
+
+
 def test_packing_ids_equal_the_library(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
